@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = (
     "quality_rules",
     "bpe",
+    "packing",
 )
 
 
