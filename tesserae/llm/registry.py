@@ -9,6 +9,7 @@ MODULES = (
     "quality_rules",
     "bpe",
     "packing",
+    "licenses",
 )
 
 
