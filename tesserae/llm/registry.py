@@ -10,6 +10,7 @@ MODULES = (
     "bpe",
     "packing",
     "licenses",
+    "warc",
 )
 
 
