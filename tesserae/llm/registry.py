@@ -11,6 +11,7 @@ MODULES = (
     "packing",
     "licenses",
     "warc",
+    "quality_model",
 )
 
 
