@@ -12,6 +12,7 @@ MODULES = (
     "licenses",
     "warc",
     "quality_model",
+    "near_dedup",
 )
 
 
