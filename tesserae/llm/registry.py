@@ -13,6 +13,7 @@ MODULES = (
     "warc",
     "quality_model",
     "near_dedup",
+    "language_model",
 )
 
 
