@@ -14,6 +14,7 @@ MODULES = (
     "quality_model",
     "near_dedup",
     "language_model",
+    "fingerprints",
 )
 
 
