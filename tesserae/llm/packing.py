@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -41,6 +42,8 @@ LARGE = 1 / 8
 #: Groups that the large lengths are rounded to.
 GROUPS = 256
 STEP = 12 << 20
+#: Words that go to the tokenizer in one call.
+JOINED = 64
 _state: dict = {}
 
 
@@ -170,8 +173,23 @@ def word_ids(path: str) -> WordIds:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
 
+        sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+        for token, i in tokenizer.get_vocab().items():
+            sizes[i] = len(token)  # byte-level tokens are written with a character for each byte
+
         def encode(words: list[str]) -> list[bytes]:
-            return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            # words that begin with a space are split again where they are joined, so many go in one call
+            joined = [w for w in words if w[0] == " " and w[1:].isalpha()]
+            single = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+            groups = ["".join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)]
+            ids = [x.ids for x in tokenizer.encode_batch_fast(groups + single, add_special_tokens=False)]
+            flat = np.fromiter(chain.from_iterable(ids), "<u4")
+            ends = np.cumsum(sizes[flat])
+            wanted = np.cumsum(np.fromiter((len(w.encode()) for w in chain(joined, single)), np.int64, len(words)))
+            cuts = [0, *(np.searchsorted(ends, wanted) + 1).tolist()]
+            raw = flat.tobytes()
+            found = dict(zip(chain(joined, single), (raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+            return [found[w] for w in words]
 
         _state[path] = WordIds(encode)
     return _state[path]
