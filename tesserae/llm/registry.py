@@ -15,6 +15,7 @@ MODULES = (
     "near_dedup",
     "language_model",
     "fingerprints",
+    "substring_dedup",
 )
 
 
