@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -62,6 +63,13 @@ def discard(*frames: DataFrame | None) -> None:
             target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def release(df: DataFrame) -> None:
+    """Lets executors delete the shuffle files of jobs that nothing refers to any more; else they lie there until the
+    driver's JVM happens to collect its garbage."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 

@@ -1,11 +1,12 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are lines; a long line is cut after sentences chosen by their own hash, so a passage falls into the same
-pieces wherever it stands. Equal paragraphs are one class from the start. The bands of a MinHash signature, tuned for
-high recall at the threshold, bring near-equal paragraphs together; exact Jaccard verifies them, and components of the
-confirmed links are the clusters. Of each cluster the document with the smallest identifier keeps its paragraphs; in
-other documents they are repeats. A run of repeats with at least ``MIN_WORDS`` words is removed, so common short lines
-stay where they are.
+Paragraphs are the lines of a text. The bands of a MinHash signature, tuned for high recall at the threshold, bring near
+paragraphs together; exact Jaccard verifies them, and components of the confirmed links are the clusters. Passages that
+begin or end inside a line are found by its sentences, which are paragraphs of their own but match only if equal.
+
+Of each cluster the document with the smallest identifier keeps its paragraphs; in other documents they are repeats.
+Repeats that follow each other make a run; a run of at least ``MIN_WORDS`` words is removed. So a common short line in
+otherwise unlike documents stays where it is.
 
 Defined results. Null or empty text: nothing to remove. Repeats within one document stay. Repeated rows (equal
 identifiers) count as one document. Null identifiers: never removed, never kept for others. Extra columns are ignored.
@@ -19,21 +20,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .near_dedup import SHINGLE, band_keys, in_shared_buckets, settle, signatures
-from .shared import STEP_BYTES, discard, hash_strings, materialise, mix64, shingle_sets, slices, table, word_arrays
+from .shared import STEP_BYTES, discard, hash_strings, materialise, mix64, release, shingle_sets, slices, table, word_arrays
 
 PERCENT = 80
 RECALL = 0.995
 ROWS = 2
 #: Words of a run of repeats from which it is removed.
 MIN_WORDS = 25
-#: Lines of more words are cut into pieces.
-LONG = 48
-_SENTENCE = re.compile(r"[.!?]+(?=[\x20\x09-\x0D])")
+#: Code points (of empty lines) that may lie between the repeats of a run.
+GAP = 4
+_END = re.compile(r"[.!?]+(?=[\x20\x09-\x0D]|\Z)")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,25 +45,27 @@ def tune(percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> in
     return bands
 
 
-def paragraphs(text: str) -> list[tuple[int, int]]:
-    """Start and end (code points, the line's end mark included) of each paragraph."""
+def lines_of(text: str) -> list[tuple[int, int]]:
+    """Start and end (code points, the end mark included) of each line."""
     out, at = [], 0
     while at < len(text):
-        end = text.find("\n", at)
-        end = len(text) if end < 0 else end + 1
-        if end - at > 2 * LONG and len(text[at:end].split()) > LONG:
-            first = at
-            for m in _SENTENCE.finditer(text, at, end):
-                if xxhash.xxh64_intdigest(text[first : m.end()].strip().lower().encode()) & 1:
-                    out.append((at, m.end()))
-                    at = m.end()
-                first = m.end()
-        if at < end:
-            out.append((at, end))
+        end = text.find("\n", at) + 1 or len(text)
+        out.append((at, end))
         at = end
     return out
 
 
+def sentences_of(text: str, at: int, end: int) -> list[tuple[int, int]]:
+    """The sentences of a line. Where it is cut depends on the sentence alone, not on what stands before it."""
+    out = []
+    for m in _END.finditer(text, at, end):
+        out.append((at, m.end()))
+        at = m.end()
+    if at < end:
+        out.append((at, end))
+    return out
+
+
 def _hashed(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each piece: a 64-bit identity of its words, and their number; word hashes and ends."""
     codes, vocabulary, ends = word_arrays(pa.array(pieces, pa.large_string()))
@@ -77,39 +79,47 @@ def _hashed(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def units(docs: DataFrame, bands: int, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """A row per paragraph with words: ``doc``, ``pos``, ``start``, ``length``, ``words``, ``unit`` (identity), ``n``
-    (shingles) and ``bands`` (null where the paragraph alone couldn't be removed)."""
+    """A row per paragraph with words: ``doc``, ``line`` (a whole line that may be compared, else a sentence), ``start``,
+    ``length``, ``words``, ``unit`` (identity), and for lines ``n`` (shingles) and ``bands``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", STEP_BYTES // 2):
             texts = [x or "" for x in part.column("text").to_pylist()]
-            spans = [paragraphs(t) for t in texts]
-            pieces = [t[a:b] for t, own in zip(texts, spans, strict=True) for a, b in own]
-            identity, n, words, ends = _hashed(pieces)
-            docs_of = np.repeat(np.arange(len(texts)), [len(x) for x in spans])
-            pos = np.concatenate([np.arange(len(x)) for x in spans]) if spans else np.zeros(0, np.int64)
-            flat = np.array([x for own in spans for x in own], np.int64).reshape(-1, 2)
+            lines, pieces = [], []
+            for i, t in enumerate(texts):
+                for a, b in lines_of(t):
+                    lines.append((i, a, b))
+                    pieces.extend((i, *x) for x in sentences_of(t, a, b))
+            identity, n, words, ends = _hashed([texts[i][a:b] for i, a, b in lines])
+            whole = n >= MIN_WORDS
             sets, set_ends = shingle_sets(words, ends, size)
             sizes = np.diff(np.concatenate(([0], set_ends)))
-            some, long = n > 0, n >= MIN_WORDS
-            keys = np.zeros((len(n), bands), np.int64)
-            if long.any():
-                chosen = np.repeat(long, sizes)
-                keys[long] = band_keys(signatures(sets[chosen], np.cumsum(sizes[long]), bands * rows), bands, rows)
-            listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(long[some], bands, 0)))).astype(np.int32)), pa.array(keys[some & long].ravel()))
-            cols = [part.column("doc").take(pa.array(docs_of[some])), *(pa.array(x[some].astype(np.int32)) for x in (pos, flat[:, 0], flat[:, 1] - flat[:, 0], n)), pa.array(identity[some]), pa.array(sizes[some].astype(np.int64)), listed]
+            keys = np.zeros((0, bands), np.int64)
+            if whole.any():
+                keys = band_keys(signatures(sets[np.repeat(whole, sizes)], np.cumsum(sizes[whole]), bands * rows), bands, rows)
+            piece_identity, piece_n, _, _ = _hashed([texts[i][a:b] for i, a, b in pieces])
+            some = piece_n > 0
+            at = np.array(lines + pieces, np.int64).reshape(-1, 3)
+            keep = np.concatenate((whole, some))
+            at, n_lines = at[keep], int(whole.sum())
+            cols = [
+                part.column("doc").take(pa.array(at[:, 0])), pa.array(np.arange(len(at)) < n_lines), pa.array(at[:, 1].astype(np.int32)), pa.array((at[:, 2] - at[:, 1]).astype(np.int32)),
+                pa.array(np.concatenate((n[whole], piece_n[some])).astype(np.int32)), pa.array(np.concatenate((identity[whole], piece_identity[some]))),
+                pa.array(np.concatenate((sizes[whole], np.zeros(int(some.sum()), np.int64)))),
+                pa.ListArray.from_arrays(pa.array((np.minimum(np.arange(len(at) + 1), n_lines) * bands).astype(np.int32)), pa.array(keys.ravel())),
+            ]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    names = ["doc", "pos", "start", "length", "words", "unit", "n", "bands"]
-    return docs.mapInArrow(run, "doc bigint, pos int, start int, length int, words int, unit bigint, n bigint, bands array<bigint>")
+    names = ["doc", "line", "start", "length", "words", "unit", "n", "bands"]
+    return docs.mapInArrow(run, "doc bigint, line boolean, start int, length int, words int, unit bigint, n bigint, bands array<bigint>")
 
 
-def unit_texts(docs: DataFrame) -> DataFrame:
-    """``id`` and ``text`` of each paragraph long enough to be removed alone."""
+def line_texts(docs: DataFrame) -> DataFrame:
+    """``id`` and ``text`` of each line that may be compared."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", STEP_BYTES // 2):
-            pieces = [t[a:b] for t in part.column("text").to_pylist() if t for a, b in paragraphs(t)]
+            pieces = [t[a:b] for t in part.column("text").to_pylist() if t for a, b in lines_of(t)]
             identity, n, _, _ = _hashed(pieces)
             first = np.unique(identity, return_index=True)[1]
             first = first[n[first] >= MIN_WORDS]
@@ -118,28 +128,34 @@ def unit_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, "id bigint, text string")
 
 
+def _again(placed: DataFrame, cluster: str) -> DataFrame:
+    """The places of clusters that several documents hold, but for those of the document that keeps them."""
+    keepers = placed.groupBy(cluster).agg(F.min("doc").alias("keeper"), F.max("doc").alias("_other")).where("keeper <> _other").select(cluster, "keeper")
+    return placed.join(keepers, cluster).where("doc <> keeper").select("doc", "start", "length", "words", "keeper")
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """The runs to remove: ``doc``, ``start``, ``length``, ``words``, ``keepers`` (documents that keep such passages)."""
     rows = docs.select(F.col(key).cast("long").alias("doc"), "text").where(F.col(key).isNotNull())
-    bands = tune(percent)
-    found = materialise(units(rows, bands))
-    distinct = found.where(F.size("bands") > 0).dropDuplicates(["unit"]).select(F.col("unit").alias("rep"), "n", "bands")
-    members = in_shared_buckets(distinct)
+    found = materialise(units(rows, tune(percent)))
+    lines = found.where("line")
+    members = in_shared_buckets(lines.dropDuplicates(["unit"]).select(F.col("unit").alias("rep"), "n", "bands"))
     ids = members.select(F.col("rep").alias("id")).distinct()
-    texts = materialise(unit_texts(rows).hint("merge").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    texts = materialise(line_texts(rows).hint("merge").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    release(docs)
     empty = materialise(members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
     parts = settle(members, texts, empty, percent)
     discard(members, texts)
-    # paragraphs of a cluster share its number; an equal paragraph elsewhere is of the same cluster
-    placed = found.drop("bands", "n").join(parts.select(F.col("node").alias("unit"), "component"), "unit", "left").withColumn("cluster", F.coalesce("component", "unit")).drop("component", "unit")
-    keepers = placed.groupBy("cluster").agg(F.min("doc").alias("keeper"), F.max("doc").alias("_other")).where("keeper <> _other").select("cluster", "keeper")
-    again = placed.join(keepers, "cluster").where("doc <> keeper")
-    # repeated rows of a document hold the same paragraphs: one row for each place
-    again = again.groupBy("doc", "pos").agg(F.first("start").alias("start"), F.first("length").alias("length"), F.first("words").alias("words"), F.min("keeper").alias("keeper"))
-    in_order = Window.partitionBy("doc").orderBy("start")
-    # a run goes on while a paragraph begins where the last one ended, or but empty lines lie between (not numbered)
-    run = again.withColumn("_gap", F.when(F.col("pos") == F.lag("pos").over(in_order) + 1, 0).otherwise(1)).withColumn("_run", F.sum("_gap").over(in_order))
-    spans = run.groupBy("doc", "_run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("_end"), F.sum("words").alias("words"), F.array_sort(F.collect_set("keeper")).alias("keepers"))
+    near = materialise(_again(lines.join(parts.select(F.col("node").alias("unit"), "component"), "unit"), "component"))
+    same = materialise(_again(found.where("not line"), "unit"))
+    release(docs)
+    # rows of equal identifiers hold the same places
+    again = near.unionByName(same).groupBy("doc", "start", "length").agg(F.max("words").alias("words"), F.min("keeper").alias("keeper")).withColumn("_end", F.col("start") + F.col("length"))
+    before = Window.partitionBy("doc").orderBy("start", "_end").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("doc").orderBy("start", "_end").rowsBetween(Window.unboundedPreceding, 0)
+    # a run goes on while a place begins where the run ends; empty lines may lie between
+    runs = again.withColumn("_new", F.when(F.col("start") <= F.max("_end").over(before) + GAP, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(upto))
+    spans = runs.groupBy("doc", "_run").agg(F.min("start").alias("start"), F.max("_end").alias("_end"), F.sum("words").alias("words"), F.array_sort(F.collect_set("keeper")).alias("keepers"))
     return materialise(spans.where(F.col("words") >= min_words).select("doc", "start", (F.col("_end") - F.col("start")).alias("length"), "words", "keepers"))
 
 
