@@ -20,7 +20,8 @@ MODULES = (
 
 
 def _all(name: str) -> dict:
-    return {k: v for module in MODULES for k, v in getattr(import_module(f"tesserae.llm.{module}"), name).items()}
+    modules = [*(f"tesserae.llm.{m}" for m in MODULES), "corpus_pipeline"]
+    return {k: v for module in modules for k, v in getattr(import_module(module), name).items()}
 
 
 def queries() -> dict[str, Callable]:
