@@ -6,9 +6,10 @@ candidates are confirmed on their full shingle sets.
 
 Documents with equal sets are one class from the start. Inside a bucket no pairs are listed. In rounds, a few members
 are hubs; every other member that may still be linked to a hub, and isn't yet in its component, is compared with it, and
-the hubs leave the bucket, settled against all. A bucket ends when its members are in one component. Two exact bounds
-spare comparisons: sets of too unequal size can't reach the threshold, and neither can two whose known distances to the
-bucket's first hub differ too much (Jaccard distance is a metric). So no link between members of a bucket is lost, and
+the hubs leave the bucket, settled against all. A bucket ends when its members are in one component. Exact bounds
+spare comparisons: two sets have no more in common than the shingles of either that occur elsewhere at all (counted for
+large buckets; it also covers unequal sizes), and two whose known distances to the bucket's first hub differ too much
+can't reach the threshold (Jaccard distance is a metric). So no link between members of a bucket is lost, and
 a bucket of n copies costs about n comparisons.
 
 Two documents at 85 % share no band with probability 4e-7 (25 bands of 5), at 80 % 5e-5.
@@ -34,6 +35,8 @@ from .shared import components, discard, hash_strings, materialise, mix64, odd_m
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 PERCENT = 85
+#: Buckets of more members are searched for shingles that only one of them has.
+LARGE = 32
 _BLOCK = 1 << 15
 
 
@@ -120,42 +123,68 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFram
                 common[i] = np.count_nonzero(large[at] == small) if len(large) else 0
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(common), pa.array(hub_n + n - common)], ["a", "b", "common", "total"])
 
-    with_b = pairs.select("a", "b").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    with_b = pairs.select("a", "b").hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = with_b.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, common bigint, total bigint")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """``key``, ``n_shingles``, ``component_id`` and ``kept`` for each row of ``docs``."""
-    known = materialise(sketch(docs, key, bands, rows, size))
-    full = known.where("digest is not null and id is not null")
-    # an identifier with several texts stands for all their sets: ``rep`` joins the classes that share it below
-    classes = materialise(full.groupBy("digest").agg(F.min("id").alias("rep")))
-    reps = full.join(classes, "digest").where("id = rep").dropDuplicates(["digest"]).select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    several = reps.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
-    members = materialise(reps.join(several, "bucket").select("bucket", "rep", F.col("n_shingles").alias("n"), F.lit(None).cast("double").alias("d")))
-    ids = members.select(F.col("rep").alias("id")).distinct()
-    texts = materialise(docs.select(F.col(key).cast("long").alias("id"), "text").join(ids, "id", "left_semi"))
-    same = full.join(classes, "digest").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    links, tested, parts, turn, hubs_each = materialise(same), None, None, 0, 1
+def own_shingles(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``id`` and ``alone``: how many of its shingles no other of these texts has. Each task adds up what it reads."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            shingles, ends = sets_of(part.column("text"), size)
+            owner = part.column("id").to_numpy()[np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))]
+            unique, first, times = np.unique(shingles, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(times), pa.array(owner[first])], ["shingle", "c", "id"])
+
+    rows = texts.select("id", "text").mapInArrow(run, "shingle bigint, c bigint, id bigint")
+    once = rows.groupBy("shingle").agg(F.sum("c").alias("c"), F.min("id").alias("id")).where("c = 1")
+    return once.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def shared_sizes(members: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``members`` with ``m``: in buckets of more than ``LARGE`` members, how many of a set's shingles occur in another
+    set of such buckets; else the set's size. No two sets have more than the smaller ``m`` in common."""
+    large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE).select("bucket", F.lit(True).alias("large"))
+    marked = materialise(members.select("bucket", "rep", "n").join(large, "bucket", "left"))
+    of_large = marked.where("large").select(F.col("rep").alias("id")).distinct()
+    alone = own_shingles(texts.hint("merge").join(of_large, "id", "left_semi"), size).withColumnRenamed("id", "rep")
+    out = materialise(marked.join(alone, "rep", "left").select("bucket", "rep", "n", F.when(F.col("large"), F.col("n") - F.coalesce("alone", F.lit(0))).otherwise(F.col("n")).alias("m")))
+    discard(marked)
+    return out
+
+
+def settle(members: DataFrame, texts: DataFrame, links: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """``node``, ``component`` of all nodes that have a link: those of ``links`` (``a``, ``b``) and of the members
+    (``bucket``, ``rep``, ``n``: set size) whose ``texts`` (``id``, ``text``) share ``percent`` of their shingles.
+    ``links`` must come from ``materialise``; it is discarded as the rounds replace it."""
+    members = shared_sizes(members, texts, size).withColumn("d", F.lit(None).cast("double"))
+    tested, parts, turn, hubs_each = None, None, 0, 1
     while True:
         previous, parts = parts, components(links)
         discard(previous)
         placed = members.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        placed = materialise(placed)
+        # who shares too little with all, given the smallest set of the bucket, is alone there
+        least = placed.groupBy("bucket").agg(F.min("n").alias("least"))
+        placed = materialise(placed.join(least, "bucket").where(100 * F.col("m") >= percent * (F.col("n") + F.greatest("least", "m") - F.col("m"))).drop("least"))
         sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
         live = materialise(sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("c", "component")).alias("most")).where("k > 1").select("bucket", "most"))
         if live.isEmpty():
-            discard(placed, live)
-            break
+            discard(members, links, tested, placed, live)
+            return parts
+        # two sets that meet in several buckets are settled in the first of them
         now = placed.join(live, "bucket")
-        # the smaller components first: a hub of theirs is compared with the rest, one of the largest is nearly settled
-        order = [F.col("component") == F.col("most"), F.xxhash64("rep", F.lit(turn)), "rep"] if turn else ["rep"]
+        everywhere = now.groupBy("rep").agg(F.collect_set("bucket").alias("_all"))  # as many as there are bands at most
+        now = materialise(now.join(everywhere, "rep").withColumn("earlier", F.filter("_all", lambda x: x < F.col("bucket"))).drop("_all"))
+        # first the set that shares most; then smaller components first: a hub of theirs is compared with the rest, one of
+        # the largest is nearly settled
+        order = [F.col("component") == F.col("most"), F.xxhash64("rep", F.lit(turn)), "rep"] if turn else [F.desc("m"), "rep"]
         ranked = now.withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("at") <= hubs_each)
-        hubs = materialise(ranked.select("bucket", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("d").alias("hub_d"), F.col("component").alias("hub_component"), F.col("at")))
-        gap = 1 - percent / 100 + 1e-9
-        able = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & F.coalesce(F.abs(F.col("d") - F.col("hub_d")) <= gap, F.lit(True))
-        met = now.join(hubs, "bucket").where((F.col("component") != F.col("hub_component")) & (F.col("rep") != F.col("hub")) & able)
+        hubs = materialise(ranked.select("bucket", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("m").alias("hub_m"), F.col("d").alias("hub_d"), F.col("component").alias("hub_component"), F.col("earlier").alias("hub_earlier")))
+        gap, most = 1 - percent / 100 + 1e-9, F.least("m", "hub_m")
+        able = (100 * most >= percent * (F.col("n") + F.col("hub_n") - most)) & F.coalesce(F.abs(F.col("d") - F.col("hub_d")) <= gap, F.lit(True))
+        met = now.join(hubs, "bucket").where((F.col("component") != F.col("hub_component")) & (F.col("rep") != F.col("hub")) & able & ~F.arrays_overlap("earlier", "hub_earlier"))
         pairs = met.select(F.col("hub").alias("a"), F.col("rep").alias("b")) if turn == 0 else met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
@@ -163,17 +192,40 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT
         pairs = materialise(pairs)
         found = materialise(compare(pairs, texts, size))
         more = found.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b")
-        rest = placed.select("bucket", "rep", "n", "d").join(live.select("bucket"), "bucket", "left_semi")
+        rest = placed.select("bucket", "rep", "n", "m", "d").join(live.select("bucket"), "bucket", "left_semi")
         if turn == 0:  # distances to the first hub
             d = found.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("common") / F.col("total")).alias("d"))
             first = hubs.select("bucket", "hub")
-            rest = rest.drop("d").join(first, "bucket").join(d, ["hub", "rep"], "left").select("bucket", "rep", "n", "d")
+            rest = rest.drop("d").join(first, "bucket").join(d, ["hub", "rep"], "left").select("bucket", "rep", "n", "m", "d")
         rest = rest.join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti")
-        old = (members, links, tested, placed, live, hubs, pairs, found)
+        old = (members, links, tested, placed, live, now, hubs, pairs, found)
         members, links = materialise(rest), materialise(links.unionByName(more))
-        tested = materialise(pairs if tested is None else tested.unionByName(pairs))
+        tested = materialise(found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b")))
         discard(*old)
         turn, hubs_each = turn + 1, hubs_each * 8
+
+
+def in_shared_buckets(banded: DataFrame) -> DataFrame:
+    """``bucket``, ``rep``, ``n`` of the buckets that several of ``banded`` (``rep``, ``n``, array ``bands``) fall into."""
+    rows = banded.select("rep", "n", F.explode("bands").alias("bucket"))
+    several = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
+    return materialise(rows.join(several, "bucket", "left_semi").select("bucket", "rep", "n"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
+    """``key``, ``n_shingles``, ``component_id`` and ``kept`` for each row of ``docs``."""
+    known = materialise(sketch(docs, key, bands, rows, size))
+    full = known.where("digest is not null and id is not null")
+    classes = materialise(full.groupBy("digest").agg(F.min("id").alias("rep")))
+    reps = full.join(classes, "digest").where("id = rep").dropDuplicates(["digest"]).select("rep", F.col("n_shingles").alias("n"), "bands")
+    members = in_shared_buckets(reps)
+    ids = members.select(F.col("rep").alias("id")).distinct()
+    # merge joins wherever texts move: small and large inputs then move the same share of them
+    texts = materialise(docs.select(F.col(key).cast("long").alias("id"), "text").hint("merge").join(ids, "id", "left_semi"))
+    # an identifier with several texts joins their classes
+    same = full.join(classes, "digest").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    parts = settle(members, texts, materialise(same), percent, size)
+    discard(members, texts)
     final = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = known.join(final, "digest", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
