@@ -1,8 +1,8 @@
 """Quality rules from cross-document line frequency, in DataFrame functions only.
 
-Lines are normalised (A-Z lower-cased, digits made 0, white space collapsed) and hashed; for every host the distinct
+Lines are normalised (lower case, no white space at either end) and hashed; for every host the distinct
 documents that hold a line are counted. A line above the limits is boilerplate of its host; a document that loses more
-than a stated share of its words with such lines is rejected as depleted.
+than a stated share of its characters with such lines is rejected as depleted.
 
 Copies of one document are not boilerplate. Equal documents count as one, and a line must also have documents that are
 unlike: ``kind`` is the smallest line hash of a document besides, which near copies share and unrelated documents do
@@ -17,18 +17,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import materialise, table
 
 #: A line is boilerplate of its host from so many distinct documents on ...
 MIN_DOCUMENTS = 20
 #: ... if at least this share of them are unlike each other.
 MIN_UNLIKE = 0.5
-#: A document that loses more than this share of its words is depleted.
+#: A document that loses more than this share of its characters is depleted.
 MAX_LOST = 0.5
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SPACE = r"[\x20\x09-\x0D]"
+SYMBOL = r"[#*$%&|<>]"
 
 
 def let(value: Column, then) -> Column:
@@ -61,7 +62,7 @@ def _covered(grams: Column) -> Column:
 def base_counts(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to ``docs`` (column ``text``)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(SPACES)) != "")
 
     def of_words(words: Column) -> Column:
         last = F.size(words) - 3
@@ -73,8 +74,8 @@ def base_counts(docs: DataFrame) -> DataFrame:
     out = out.select(
         *docs.columns,
         F.col("_w.n_words").alias("n_words"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         F.col("_w.n_repeat_words").alias("n_repeat_words"),
     )
@@ -82,12 +83,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def document_lines(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
-    """One row for each distinct normalised line of each document: ``doc``, ``line`` (hash of host and line), ``words``
-    (words that the document has in such lines), ``body`` (hash of the whole text) and ``kind``."""
+    """One row for each distinct normalised line of each document: ``doc``, ``line`` (hash of host and line), ``chars``
+    (code points that the document has in such a line), ``body`` (hash of the whole text) and ``kind``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    plain = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000")
-    lines = F.split(F.regexp_replace(plain, r"[\x20\x09\x0B-\x0D]+", " "), "\n", -1)
-    named = F.transform(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("w")))
+    lines = F.transform(F.split(F.lower(text), "\n", -1), lambda x: F.trim(x, F.lit(SPACES)))
+    named = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("c")))
     flat = docs.select(
         F.xxhash64(F.col(key), F.col(host), text).alias("doc"),
         F.xxhash64(text).alias("body"),
@@ -97,7 +97,7 @@ def document_lines(docs: DataFrame, key: str = "doc_id", host: str = "source") -
     flat = flat.withColumn("_lowest", F.slice(F.array_sort(F.array_distinct(F.transform("_lines", lambda x: x["h"]))), 1, 2))
     rows = flat.select("doc", "body", "_host", "_lowest", F.explode("_lines").alias("_l"))
     kind = F.when(F.get("_lowest", F.lit(0)) == F.col("_l.h"), F.coalesce(F.get("_lowest", F.lit(1)), F.lit(0))).otherwise(F.get("_lowest", F.lit(0)))
-    return rows.select("doc", "body", F.xxhash64("_host", "_l.h").alias("line"), kind.alias("kind"), F.col("_l.w").alias("words"))
+    return rows.select("doc", "body", F.xxhash64("_host", "_l.h").alias("line"), kind.alias("kind"), F.col("_l.c").alias("chars"))
 
 
 def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE) -> DataFrame:
@@ -108,24 +108,43 @@ def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, min_unl
     return by_kind.groupBy("line").agg(F.sum("n").alias("n_documents"), F.count(F.lit(1)).alias("n_kinds")).where((F.col("n_documents") >= min_documents) & (F.col("n_kinds") >= min_unlike * F.col("n_documents")))
 
 
-def quality_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE, max_lost: float = MAX_LOST) -> DataFrame:
-    """``docs`` with the base counts, ``n_boilerplate_words``, ``depleted`` and ``kept``."""
+def _identity(key: str, host: str) -> Column:
+    return F.xxhash64(F.col(key), F.col(host), F.coalesce(F.col("text"), F.lit("")))
+
+
+def boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "source", min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE) -> DataFrame:
+    """``_doc`` (identity of a row) and ``n_boilerplate_chars`` of the documents that hold lines above the limits."""
     lines = document_lines(docs, key, host)
     bad = frequent_lines(lines, min_documents, min_unlike).select("line")
     # a line of very many documents is one row on the right; adaptive execution splits its rows on the left
-    lost = lines.select("doc", "line", "words").join(bad, "line", "left_semi").groupBy("doc").agg(F.sum("words").alias("_lost"), F.count(F.lit(1)).alias("_n"))
-    out = base_counts(docs).withColumn("_doc", F.xxhash64(F.col(key), F.col(host), F.coalesce(F.col("text"), F.lit(""))))
-    # repeated rows share a hash; each adds the same words, so the sum is shared out among them
-    again = docs.select(F.xxhash64(F.col(key), F.col(host), F.coalesce(F.col("text"), F.lit(""))).alias("_doc")).groupBy("_doc").agg(F.count(F.lit(1)).alias("_rows"))
-    lost = lost.select(F.col("doc").alias("_doc"), "_lost").join(again, "_doc").select("_doc", (F.col("_lost") / F.col("_rows")).cast("long").alias("n_boilerplate_words"))
-    out = out.join(lost, "_doc", "left").drop("_doc").withColumn("n_boilerplate_words", F.coalesce("n_boilerplate_words", F.lit(0).cast("long")))
-    out = out.withColumn("depleted", F.col("n_boilerplate_words") > max_lost * F.col("n_words"))
+    lost = lines.select("doc", "line", "chars").join(bad, "line", "left_semi").groupBy("doc").agg(F.sum("chars").alias("lost"))
+    # repeated rows share an identity; each adds the same characters, so the sum is shared out among them
+    again = docs.select(_identity(key, host).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("rows"))
+    return lost.join(again, "doc").select(F.col("doc").alias("_doc"), (F.col("lost") / F.col("rows")).cast("long").alias("n_boilerplate_chars"))
+
+
+def quality_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE, max_lost: float = MAX_LOST) -> DataFrame:
+    """``docs`` with the base counts, ``n_boilerplate_chars``, ``depleted`` and ``kept``. Only columns that are selected
+    from the result move, so leave the text behind where it isn't needed."""
+    out = base_counts(docs.withColumn("_doc", _identity(key, host)).withColumn("_size", F.length("text")))
+    out = out.join(boilerplate(docs, key, host, min_documents, min_unlike), "_doc", "left").withColumn("n_boilerplate_chars", F.coalesce("n_boilerplate_chars", F.lit(0).cast("long")))
+    out = out.withColumn("depleted", F.col("n_boilerplate_chars") > max_lost * F.coalesce("_size", F.lit(0))).drop("_doc", "_size")
     return out.withColumn("kept", ~(F.col("base_failed") | F.col("depleted")))
 
 
+def accepted(docs: DataFrame, key: str = "doc_id", host: str = "source", min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE, max_lost: float = MAX_LOST) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps. The identities of depleted documents are written first: if they
+    are few, Spark broadcasts them by their known size and the texts stay where they are."""
+    sizes = docs.select(_identity(key, host).alias("_doc"), F.length("text").alias("_size")).distinct()
+    lost = boilerplate(docs, key, host, min_documents, min_unlike)
+    depleted = materialise(lost.join(sizes, "_doc").where(F.col("n_boilerplate_chars") > max_lost * F.col("_size")).select("_doc"))
+    rows = base_counts(docs).where(~F.col("base_failed")).select(*docs.columns)
+    return rows.withColumn("_doc", _identity(key, host)).join(depleted, "_doc", "left_anti").select(*docs.columns)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate_words", "depleted")
+    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate_chars", "depleted")
 
 
 QUERIES = {"op4_quality_rules": op4_quality_rules}
