@@ -16,8 +16,8 @@ Two documents at 85 % share no band with probability 4e-7 (25 bands of 5), at 80
 
 Defined results. Null or empty text, or no words: no shingles, linked with nothing, its own component. Fewer than five
 words: the whole sequence is the one shingle. Repeated rows: each its result (an identifier is one document: its links
-are those of all its texts). Null identifiers: own rows with a null component. Extra columns are ignored. Empty table:
-no rows.
+are those of all its texts). Null identifiers: link nothing, are kept; the component is that of an equal text that has
+an identifier, if any. Extra columns are ignored. Empty table: no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ unlike: ``kind`` is the smallest line hash of a document besides, which near cop
 not. A line is over the limits with ``min_documents`` distinct documents of which ``min_unlike`` (a share) differ in kind.
 
 Defined results. Null or empty text: no words, all counts 0, ``base_failed``. Null host: a host of its own. Repeated
-rows: each row gets its result; they count as one document. Extra columns are ignored. Empty table: no rows.
+rows: each row gets its result; they count as one document. Extra columns stay; those named as results give way. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ MIN_UNLIKE = 0.5
 #: A document that loses more than this share of its characters is depleted.
 MAX_LOST = 0.5
 
+#: Columns that ``base_counts`` adds; columns of these names in the input give way.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 SPACE = r"[\x20\x09-\x0D]"
@@ -72,7 +75,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
     out = docs.withColumn("_w", let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of_words))
     out = out.select(
-        *docs.columns,
+        *(c for c in docs.columns if c not in COUNTS),
         F.col("_w.n_words").alias("n_words"),
         (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
@@ -126,7 +129,8 @@ def boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "source", min_
 def quality_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE, max_lost: float = MAX_LOST) -> DataFrame:
     """``docs`` with the base counts, ``n_boilerplate_chars``, ``depleted`` and ``kept``. Only columns that are selected
     from the result move, so leave the text behind where it isn't needed."""
-    out = base_counts(docs.withColumn("_doc", _identity(key, host)).withColumn("_size", F.length("text")))
+    own = docs.drop("n_boilerplate_chars", "depleted", "kept")
+    out = base_counts(own.withColumn("_doc", _identity(key, host)).withColumn("_size", F.length("text")))
     out = out.join(boilerplate(docs, key, host, min_documents, min_unlike), "_doc", "left").withColumn("n_boilerplate_chars", F.coalesce("n_boilerplate_chars", F.lit(0).cast("long")))
     out = out.withColumn("depleted", F.col("n_boilerplate_chars") > max_lost * F.coalesce("_size", F.lit(0))).drop("_doc", "_size")
     return out.withColumn("kept", ~(F.col("base_failed") | F.col("depleted")))
@@ -138,7 +142,8 @@ def accepted(docs: DataFrame, key: str = "doc_id", host: str = "source", min_doc
     sizes = docs.select(_identity(key, host).alias("_doc"), F.length("text").alias("_size")).distinct()
     lost = boilerplate(docs, key, host, min_documents, min_unlike)
     depleted = materialise(lost.join(sizes, "_doc").where(F.col("n_boilerplate_chars") > max_lost * F.col("_size")).select("_doc"))
-    rows = base_counts(docs).where(~F.col("base_failed")).select(*docs.columns)
+    plain = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "text")
+    rows = base_counts(plain).where(~F.col("base_failed")).select("_row.*")
     return rows.withColumn("_doc", _identity(key, host)).join(depleted, "_doc", "left_anti").select(*docs.columns)
 
 

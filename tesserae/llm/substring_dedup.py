@@ -9,7 +9,7 @@ Repeats that follow each other make a run; a run of at least ``MIN_WORDS`` words
 otherwise unlike documents stays where it is.
 
 Defined results. Null or empty text: nothing to remove. Repeats within one document stay. Repeated rows (equal
-identifiers) count as one document. Null identifiers: never removed, never kept for others. Extra columns are ignored.
+identifiers) count as one document. Null identifiers: never removed, never kept for others. Extra columns stay; one named ``removed`` gives way.
 Empty table: no rows.
 """
 
@@ -163,7 +163,8 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT
     """``docs`` with ``removed`` (the runs, ordered) and ``text`` without them."""
     spans = repeats(docs, key, percent, min_words)
     listed = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "length", "words", "keepers"))).alias("removed"))
-    out = docs.hint("merge").join(listed, docs[key].cast("long") == listed["doc"], "left").drop("doc")
+    listed = listed.withColumnRenamed("doc", "_doc")
+    out = docs.drop("removed").withColumn("_id", F.col(key).cast("long")).hint("merge").join(listed, F.col("_id") == F.col("_doc"), "left").drop("_doc", "_id")
     # the text between the runs: from each run's end to the next one's start
     begins = F.concat(F.array(F.lit(0)), F.transform("removed", lambda r: r["start"] + r["length"]))
     ends = F.concat(F.transform("removed", lambda r: r["start"]), F.array(F.length("text")))

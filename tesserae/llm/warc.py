@@ -259,11 +259,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = read_archives(archive(pages), with_data=False).where("last")
     stored = F.col("record_type") == "response"
     return last.select(
-        F.col("record_id").cast(kind).alias("page_id"),
+        F.col("record_id").try_cast(kind).alias("page_id"),
         F.when(stored, F.col("offset") + F.col("size")).otherwise(F.col("declared_bytes")).alias("payload_bytes"),
         F.when(stored, F.col("sha1")).otherwise(F.col("declared_digest")).alias("payload_digest"),
         "record_type",
-        F.col("refers_to").cast(kind).alias("refers_to"),
+        F.col("refers_to").try_cast(kind).alias("refers_to"),
     )
 
 
