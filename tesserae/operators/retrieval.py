@@ -49,13 +49,15 @@ def idf(postings: DataFrame, lengths: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, key: str = "doc_id", query_key: str = "query_id", text: str = "text") -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, key: str = "doc_id", query_key: str = "query_id", text: str = "text", allowed: DataFrame | None = None) -> DataFrame:
     """``query_id``, ``doc``, ``score``, ``rank``: the best ``k`` with a positive score, ties by document. A term that a
-    query repeats counts as often."""
+    query repeats counts as often. ``allowed`` (``doc``) restricts the results, not the statistics."""
     postings, lengths = term_counts(docs, key, text), doc_lengths(docs, key, text)
-    mean = lengths.agg(F.avg("dl").alias("avgdl"))
+    mean, weights = lengths.agg(F.avg("dl").alias("avgdl")), idf(postings, lengths)
     asked = queries.select(F.col(query_key).alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = postings.join(asked.join(idf(postings, lengths), "term"), "term").join(lengths, "doc").crossJoin(F.broadcast(mean))
+    if allowed is not None:
+        postings = postings.join(allowed.select("doc"), "doc", "left_semi")
+    hits = postings.join(asked.join(weights, "term"), "term").join(lengths, "doc").crossJoin(F.broadcast(mean))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy("query_id", "doc").agg(F.sum(part).alias("score")).where("score > 0")
     return ranked(scores, [F.round("score", 9).desc(), F.col("doc")]).where(F.col("rank") <= k)
@@ -150,7 +152,7 @@ def search(
 ) -> DataFrame:
     """Hybrid search: 30 candidates of each kind, fused, optionally reranked (20), cut to ``k``. ``queries``:
     ``query_id``, ``text`` and, for vectors, ``embedding``; ``docs``: ``doc_id``, ``text``; ``vectors``: ``doc_id``,
-    ``embedding``. ``filter_mode='post'`` filters the candidates, ``'pre'`` the documents before they are ranked."""
+    ``embedding``. ``filter_mode='post'`` filters the candidates, ``'pre'`` the documents before they are ranked (term statistics stay those of all documents)."""
     if filter_mode not in ("pre", "post"):
         raise ValueError("filter_mode is 'pre' or 'post'")
     wanted = wanted or {}
@@ -160,7 +162,7 @@ def search(
         only = lambda rows: rows.join(allowed.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
         post = lambda rows: rows
     else:
-        only, post = (lambda rows: rows), keep
+        allowed, only, post = None, (lambda rows: rows), keep
 
     def again(rows: DataFrame) -> DataFrame:  # ranks count after the filter
         return ranked(post(rows).drop("rank"), [F.round("score", 9).desc(), F.col("doc")])
@@ -169,7 +171,7 @@ def search(
     if vectors is not None:
         lists.append(again(dense(queries, only(vectors), CANDIDATES, "doc_id")))
     if lexical:
-        lists.append(again(bm25(queries, only(docs), CANDIDATES)))
+        lists.append(again(bm25(queries, docs, CANDIDATES, allowed=allowed)))
     fused = fuse(*lists) if len(lists) > 1 else lists[0]
     if rerank:
         return rerank_standin(queries, fused.where(F.col("rank") <= RERANKED), docs, k)

@@ -180,7 +180,7 @@ ORACLES = {
     "r4_dense_topk": f"WITH {DENSE} SELECT query_id, doc, round(score, 4) AS score, rank FROM dn",
     "r5_tag_postfilter": f"WITH {BM25}, {TAGS} {POST} JOIN tags USING (doc) WHERE list_contains(signal_type, 'en')",
     "r5_missing_tags": f"WITH {BM25}, {TAGS} {POST} LEFT JOIN tags USING (doc) WHERE doc IN (SELECT doc_id FROM documents WHERE n_chars > 1000) AND (signal_type IS NULL OR list_contains(signal_type, 'en'))",
-    "r5_prefilter": "WITH " + BM25.replace("FROM documents", "FROM (SELECT d.* FROM documents d JOIN (SELECT doc_id FROM labels) USING (doc_id) WHERE lang = 'fr')") + f" {POST}",
+    "r5_prefilter": "WITH " + BM25.replace("FROM tf JOIN q", "FROM (SELECT * FROM tf WHERE doc IN (SELECT doc_id FROM documents JOIN (SELECT doc_id FROM labels) USING (doc_id) WHERE lang = 'fr')) tf JOIN q") + f" {POST}",
     "r6_rrf": f"WITH {BM25}, {DENSE}, " + RRF.format(""),
     "r8_hybrid_norerank": f"WITH {BM25}, {DENSE}, " + RRF.format("QUALIFY rank <= 5"),
     "r9_embed_text": "SELECT doc_id, md5(lang || chr(10) || source || chr(10) || chr(10) || text) AS md5 FROM documents",
