@@ -202,7 +202,7 @@ def settle(members: DataFrame, texts: DataFrame, links: DataFrame, percent: int
         members, links = materialise(rest), materialise(links.unionByName(more))
         tested = materialise(found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b")))
         discard(*old)
-        turn, hubs_each = turn + 1, hubs_each * 8
+        turn, hubs_each = turn + 1, hubs_each * 4
 
 
 def in_shared_buckets(banded: DataFrame) -> DataFrame:

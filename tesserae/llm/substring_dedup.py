@@ -2,7 +2,8 @@
 
 Paragraphs are the lines of a text. The bands of a MinHash signature, tuned for high recall at the threshold, bring near
 paragraphs together; exact Jaccard verifies them, and components of the confirmed links are the clusters. Passages that
-begin or end inside a line are found by its sentences, which are paragraphs of their own but match only if equal.
+begin or end inside a line are found by its sentences, which are paragraphs of their own but match only if equal. (One
+of fewer than ``SHORT`` words goes with the next.)
 
 Of each cluster the document with the smallest identifier keeps its paragraphs; in other documents they are repeats.
 Repeats that follow each other make a run; a run of at least ``MIN_WORDS`` words is removed. So a common short line in
@@ -31,6 +32,8 @@ RECALL = 0.995
 ROWS = 2
 #: Words of a run of repeats from which it is removed.
 MIN_WORDS = 25
+#: Sentences of fewer words don't end a piece.
+SHORT = 3
 #: Code points (of empty lines) that may lie between the repeats of a run.
 GAP = 4
 _END = re.compile(r"[.!?]+(?=[\x20\x09-\x0D]|\Z)")
@@ -57,25 +60,30 @@ def lines_of(text: str) -> list[tuple[int, int]]:
 
 def sentences_of(text: str, at: int, end: int) -> list[tuple[int, int]]:
     """The sentences of a line. Where it is cut depends on the sentence alone, not on what stands before it."""
-    out = []
+    out, first = [], at
     for m in _END.finditer(text, at, end):
-        out.append((at, m.end()))
-        at = m.end()
+        if m.end() - first > 40 or len(text[first : m.end()].split()) >= SHORT:
+            out.append((at, m.end()))
+            at = m.end()
+        first = m.end()
     if at < end:
         out.append((at, end))
     return out
 
 
-def _hashed(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each piece: a 64-bit identity of its words, and their number; word hashes and ends."""
+def _words(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all pieces, and where each piece's end."""
     codes, vocabulary, ends = word_arrays(pa.array(pieces, pa.large_string()))
-    words = hash_strings(vocabulary)[codes] if len(codes) else np.zeros(0, np.uint64)
+    return (hash_strings(vocabulary)[codes] if len(codes) else np.zeros(0, np.uint64)), ends
+
+
+def _identity(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit identity of each sequence of words, and its length."""
     n = np.diff(np.concatenate(([0], ends)))
     within = np.arange(len(words)) - np.repeat(ends - n, n)
-    powers = np.cumprod(np.full(int(n.max()) if len(n) else 0, _BASE, np.uint64)) if len(n) else np.zeros(0, np.uint64)
+    powers = np.cumprod(np.full(int(n.max()) if len(n) else 0, _BASE, np.uint64))
     terms = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(words) * powers[within], dtype=np.uint64))) if len(words) else np.zeros(1, np.uint64)
-    identity = mix64(terms[ends] - terms[ends - n] + n.astype(np.uint64)).view(np.int64)
-    return identity, n, words, ends
+    return mix64(terms[ends] - terms[ends - n] + n.astype(np.uint64)).view(np.int64), n
 
 
 def units(docs: DataFrame, bands: int, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
@@ -85,19 +93,23 @@ def units(docs: DataFrame, bands: int, rows: int = ROWS, size: int = SHINGLE) ->
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", STEP_BYTES // 2):
             texts = [x or "" for x in part.column("text").to_pylist()]
-            lines, pieces = [], []
+            lines, pieces, last = [], [], []
             for i, t in enumerate(texts):
                 for a, b in lines_of(t):
                     lines.append((i, a, b))
                     pieces.extend((i, *x) for x in sentences_of(t, a, b))
-            identity, n, words, ends = _hashed([texts[i][a:b] for i, a, b in lines])
+                    last.append(len(pieces) - 1)
+            # a line's words are those of its sentences
+            words, piece_ends = _words([texts[i][a:b] for i, a, b in pieces])
+            ends = piece_ends[np.array(last, np.int64)]
+            identity, n = _identity(words, ends)
             whole = n >= MIN_WORDS
             sets, set_ends = shingle_sets(words, ends, size)
             sizes = np.diff(np.concatenate(([0], set_ends)))
             keys = np.zeros((0, bands), np.int64)
             if whole.any():
                 keys = band_keys(signatures(sets[np.repeat(whole, sizes)], np.cumsum(sizes[whole]), bands * rows), bands, rows)
-            piece_identity, piece_n, _, _ = _hashed([texts[i][a:b] for i, a, b in pieces])
+            piece_identity, piece_n = _identity(words, piece_ends)
             some = piece_n > 0
             at = np.array(lines + pieces, np.int64).reshape(-1, 3)
             keep = np.concatenate((whole, some))
@@ -114,20 +126,6 @@ def units(docs: DataFrame, bands: int, rows: int = ROWS, size: int = SHINGLE) ->
     return docs.mapInArrow(run, "doc bigint, line boolean, start int, length int, words int, unit bigint, n bigint, bands array<bigint>")
 
 
-def line_texts(docs: DataFrame) -> DataFrame:
-    """``id`` and ``text`` of each line that may be compared."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", STEP_BYTES // 2):
-            pieces = [t[a:b] for t in part.column("text").to_pylist() if t for a, b in lines_of(t)]
-            identity, n, _, _ = _hashed(pieces)
-            first = np.unique(identity, return_index=True)[1]
-            first = first[n[first] >= MIN_WORDS]
-            yield pa.RecordBatch.from_arrays([pa.array(identity[first]), pa.array([pieces[i] for i in first.tolist()], pa.string())], ["id", "text"])
-
-    return docs.select("doc", "text").mapInArrow(run, "id bigint, text string")
-
-
 def _again(placed: DataFrame, cluster: str) -> DataFrame:
     """The places of clusters that several documents hold, but for those of the document that keeps them."""
     keepers = placed.groupBy(cluster).agg(F.min("doc").alias("keeper"), F.max("doc").alias("_other")).where("keeper <> _other").select(cluster, "keeper")
@@ -140,8 +138,10 @@ def repeats(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, min_wo
     found = materialise(units(rows, tune(percent)))
     lines = found.where("line")
     members = in_shared_buckets(lines.dropDuplicates(["unit"]).select(F.col("unit").alias("rep"), "n", "bands"))
-    ids = members.select(F.col("rep").alias("id")).distinct()
-    texts = materialise(line_texts(rows).hint("merge").join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    # the text of each such line from one place where it stands
+    at = lines.groupBy(F.col("unit").alias("id")).agg(F.min(F.struct("doc", "start", "length")).alias("at")).join(members.select(F.col("rep").alias("id")), "id", "left_semi")
+    held = rows.hint("merge").join(at.select("id", F.col("at.doc").alias("doc"), "at.start", "at.length"), "doc")
+    texts = materialise(held.select("id", F.substring("text", F.col("start") + 1, F.col("length")).alias("text")).dropDuplicates(["id"]))
     release(docs)
     empty = materialise(members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
     parts = settle(members, texts, empty, percent)
