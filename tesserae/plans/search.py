@@ -132,7 +132,7 @@ def r11_lookup(spark, d):
 
 def _gold(spark, d):
     docs, q = table(spark, d, "documents"), table(spark, d, "benchmark")
-    return docs.crossJoin(F.broadcast(q.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))).where(F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("doc"))
+    return docs.crossJoin(q.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))).where(F.contains("text", "passage")).select("query_id", F.col("doc_id").alias("doc"))
 
 
 def e1_hit_mrr(spark, d):
