@@ -8,7 +8,7 @@ Documents with equal sets are one class from the start. Inside a bucket no pairs
 are hubs; every other member that may still be linked to a hub, and isn't yet in its component, is compared with it, and
 the hubs leave the bucket, settled against all. A bucket ends when its members are in one component. Exact bounds
 spare comparisons: two sets have no more in common than the shingles of either that occur elsewhere at all (counted for
-large buckets; it also covers unequal sizes), and two whose known distances to the bucket's first hub differ too much
+large buckets; it also covers unequal sizes), nor more than what falls into cells of a table that both fill, and two whose known distances to the bucket's first hub differ too much
 can't reach the threshold (Jaccard distance is a metric). So no link between members of a bucket is lost, and
 a bucket of n copies costs about n comparisons.
 
@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import components, discard, hash_strings, materialise, mix64, odd_multipliers, shingle_sets, slices, table, word_arrays
@@ -37,6 +37,8 @@ BANDS, ROWS = 25, 5
 PERCENT = 85
 #: Buckets of more members are searched for shingles that only one of them has.
 LARGE = 32
+#: 64-bit words of a set's bitmap.
+CELLS = 16
 _BLOCK = 1 << 15
 
 
@@ -143,15 +145,41 @@ def own_shingles(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     return once.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
 
 
+def bitmaps(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``id`` and ``bits``: the cells of a table of ``64 * CELLS`` that the text's shingles fall into."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            shingles, ends = sets_of(part.column("text"), size)
+            owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))
+            cell = (mix64(shingles ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(64 * CELLS)).astype(np.int64)
+            marks = np.zeros((len(ends), 64 * CELLS), np.uint8)
+            marks[owner, cell] = 1
+            bits = np.packbits(marks, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * CELLS), pa.array(bits.ravel()))], ["id", "bits"])
+
+    return texts.select("id", "text").mapInArrow(run, "id bigint, bits array<bigint>")
+
+
+def most_in_common(n: Column, bits: Column, other_n: Column, other_bits: Column) -> Column:
+    """An upper bound on two sets' intersection: shingles in cells that the other set leaves empty are not in it. Null
+    without bitmaps."""
+    outside = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
+    return F.least(n - outside(bits, other_bits), other_n - outside(other_bits, bits))
+
+
 def shared_sizes(members: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``members`` with ``m``: in buckets of more than ``LARGE`` members, how many of a set's shingles occur in another
-    set of such buckets; else the set's size. No two sets have more than the smaller ``m`` in common."""
+    set of such buckets; else the set's size. No two sets have more than the smaller ``m`` in common. ``bits`` (large
+    buckets only) bound what two sets share."""
     large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE).select("bucket", F.lit(True).alias("large"))
     marked = materialise(members.select("bucket", "rep", "n").join(large, "bucket", "left"))
     of_large = marked.where("large").select(F.col("rep").alias("id")).distinct()
-    alone = own_shingles(texts.hint("merge").join(of_large, "id", "left_semi"), size).withColumnRenamed("id", "rep")
-    out = materialise(marked.join(alone, "rep", "left").select("bucket", "rep", "n", F.when(F.col("large"), F.col("n") - F.coalesce("alone", F.lit(0))).otherwise(F.col("n")).alias("m")))
-    discard(marked)
+    held = materialise(texts.hint("merge").join(of_large, "id", "left_semi"))
+    told = bitmaps(held, size).join(own_shingles(held, size), "id", "left").withColumnRenamed("id", "rep")
+    m = F.when(F.col("large"), F.col("n") - F.coalesce("alone", F.lit(0))).otherwise(F.col("n"))
+    out = materialise(marked.join(told, "rep", "left").select("bucket", "rep", "n", m.alias("m"), F.when(F.col("large"), F.col("bits")).alias("bits")))
+    discard(marked, held)
     return out
 
 
@@ -181,10 +209,13 @@ def settle(members: DataFrame, texts: DataFrame, links: DataFrame, percent: int
         # the largest is nearly settled
         order = [F.col("component") == F.col("most"), F.xxhash64("rep", F.lit(turn)), "rep"] if turn else [F.desc("m"), "rep"]
         ranked = now.withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("at") <= hubs_each)
-        hubs = materialise(ranked.select("bucket", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("m").alias("hub_m"), F.col("d").alias("hub_d"), F.col("component").alias("hub_component"), F.col("earlier").alias("hub_earlier")))
+        hubs = materialise(ranked.select("bucket", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("m").alias("hub_m"), F.col("d").alias("hub_d"), F.col("component").alias("hub_component"), F.col("earlier").alias("hub_earlier"), F.col("bits").alias("hub_bits")))
         gap, most = 1 - percent / 100 + 1e-9, F.least("m", "hub_m")
         able = (100 * most >= percent * (F.col("n") + F.col("hub_n") - most)) & F.coalesce(F.abs(F.col("d") - F.col("hub_d")) <= gap, F.lit(True))
-        met = now.join(hubs, "bucket").where((F.col("component") != F.col("hub_component")) & (F.col("rep") != F.col("hub")) & able & ~F.arrays_overlap("earlier", "hub_earlier"))
+        shared = most_in_common(F.col("n"), F.col("bits"), F.col("hub_n"), F.col("hub_bits"))
+        likely = F.coalesce(100 * shared >= percent * (F.col("n") + F.col("hub_n") - shared), F.lit(True))
+        # the dear bound last
+        met = now.join(hubs, "bucket").where((F.col("component") != F.col("hub_component")) & (F.col("rep") != F.col("hub")) & able & ~F.arrays_overlap("earlier", "hub_earlier") & likely)
         pairs = met.select(F.col("hub").alias("a"), F.col("rep").alias("b")) if turn == 0 else met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
         pairs = pairs.distinct()
         if tested is not None:
@@ -192,17 +223,17 @@ def settle(members: DataFrame, texts: DataFrame, links: DataFrame, percent: int
         pairs = materialise(pairs)
         found = materialise(compare(pairs, texts, size))
         more = found.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b")
-        rest = placed.select("bucket", "rep", "n", "m", "d").join(live.select("bucket"), "bucket", "left_semi")
+        rest = placed.select("bucket", "rep", "n", "m", "bits", "d").join(live.select("bucket"), "bucket", "left_semi")
         if turn == 0:  # distances to the first hub
             d = found.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("common") / F.col("total")).alias("d"))
             first = hubs.select("bucket", "hub")
-            rest = rest.drop("d").join(first, "bucket").join(d, ["hub", "rep"], "left").select("bucket", "rep", "n", "m", "d")
+            rest = rest.drop("d").join(first, "bucket").join(d, ["hub", "rep"], "left").select("bucket", "rep", "n", "m", "bits", "d")
         rest = rest.join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti")
         old = (members, links, tested, placed, live, now, hubs, pairs, found)
         members, links = materialise(rest), materialise(links.unionByName(more))
         tested = materialise(found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b")))
         discard(*old)
-        turn, hubs_each = turn + 1, hubs_each * 4
+        turn, hubs_each = turn + 1, hubs_each * 8
 
 
 def in_shared_buckets(banded: DataFrame) -> DataFrame:
