@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import near_dedup, packing, quality_model, quality_rules, substring_dedup
-from tesserae.llm.shared import materialise, table
+from tesserae.llm.shared import bound_batches, materialise, table
 
 #: Near duplicates share at least this percentage of their five-word shingles.
 NEAR_PERCENT = 80
@@ -21,6 +21,7 @@ NEAR_PERCENT = 80
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
+    bound_batches(spark)
     return quality_rules.accepted(docs)
 
 

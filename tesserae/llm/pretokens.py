@@ -13,8 +13,8 @@ from itertools import islice
 import public_tokenizers
 import regex
 
-#: Words that a Python worker remembers with their ids (about 200 MB).
-REMEMBERED = 800_000
+#: Words that a Python worker remembers with their ids (about 70 MB; workers live on between queries).
+REMEMBERED = 300_000
 #: Matches of one text that are held at once.
 RUN = 1_000_000
 

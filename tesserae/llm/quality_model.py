@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import slices, table, word_arrays
+from .shared import STEP_BYTES, slices, table, word_arrays
 
 #: Labelled rows that a model learns from at most.
 SAMPLE = 20_000
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = S
     chosen = chosen.join(known.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", STEP_BYTES // 2):
             x = statistics(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
@@ -167,7 +167,7 @@ def quality_scores(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("do
     """The columns ``keep`` and ``score`` of every whole text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", STEP_BYTES // 2):
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(forest.score(statistics(part.column("text"))))], [*keep, "score"])
 
     columns = list(dict.fromkeys((*keep, "text")))

@@ -16,10 +16,18 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds at most (a single longer text is a step of its own).
 STEP_BYTES = 8 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes too, unless the session says otherwise: rows of long texts would fill memory by number."""
+    if spark.conf.get(ARROW_BYTES, None) is None:
+        spark.conf.set(ARROW_BYTES, str(2 * STEP_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; Spark alone touches the path, so any store that Spark can read will do."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +54,7 @@ def materialise(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet to a shared folder and reads it back: the lineage ends there, and losing an executor
     later costs no recomputation. ``discard`` removes it once nothing reads it any more."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = shared_dir(spark)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
