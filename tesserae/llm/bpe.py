@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .pretokens import WordIds
-from .shared import slices, table
+from .shared import slices, table, tidy
 
 STEP = 12 << 20
 _state: dict = {}
@@ -158,7 +158,8 @@ def bpe_roundtrip(
             yield pa.RecordBatch.from_arrays([part.column(key), *made], names)
 
     names = [key, *(x.strip().split(" ")[0] for x in schema.split(","))]
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, {schema}")
+    whole = lambda batches: tidy(run(batches), encoder(path, pattern)[1].forget)
+    return docs.select(key, "text").mapInArrow(whole, f"`{key}` {docs.schema[key].dataType.simpleString()}, {schema}")
 
 
 def _digests(ids: list[bytes], decoded: list[bytes]) -> list[pa.Array]:

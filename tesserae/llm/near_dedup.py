@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import components, discard, hash_strings, materialise, mix64, odd_multipliers, shingle_sets, slices, table, word_arrays
+from .shared import components, discard, hash_strings, materialise, mix64, odd_multipliers, shingle_sets, slices, table, tidy, word_arrays
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -102,7 +102,7 @@ def sketch(docs: DataFrame, key: str, bands: int = BANDS, rows: int = ROWS, size
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), pa.array(n), pa.array(digest, pa.binary()), listed], ["id", "n_shingles", "digest", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), "text").mapInArrow(run, "id bigint, n_shingles bigint, digest binary, bands array<bigint>")
+    return docs.select(F.col(key).cast("long").alias("id"), "text").mapInArrow(lambda batches: tidy(run(batches)), "id bigint, n_shingles bigint, digest binary, bands array<bigint>")
 
 
 def compare(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -127,7 +127,7 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFram
 
     with_b = pairs.select("a", "b").hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, common bigint, total bigint")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: tidy(run(batches)), "a bigint, b bigint, common bigint, total bigint")
 
 
 def own_shingles(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -140,7 +140,7 @@ def own_shingles(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
             unique, first, times = np.unique(shingles, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(times), pa.array(owner[first])], ["shingle", "c", "id"])
 
-    rows = texts.select("id", "text").mapInArrow(run, "shingle bigint, c bigint, id bigint")
+    rows = texts.select("id", "text").mapInArrow(lambda batches: tidy(run(batches)), "shingle bigint, c bigint, id bigint")
     once = rows.groupBy("shingle").agg(F.sum("c").alias("c"), F.min("id").alias("id")).where("c = 1")
     return once.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
 
@@ -158,7 +158,7 @@ def bitmaps(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
             bits = np.packbits(marks, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * CELLS), pa.array(bits.ravel()))], ["id", "bits"])
 
-    return texts.select("id", "text").mapInArrow(run, "id bigint, bits array<bigint>")
+    return texts.select("id", "text").mapInArrow(lambda batches: tidy(run(batches)), "id bigint, bits array<bigint>")
 
 
 def most_in_common(n: Column, bits: Column, other_n: Column, other_bits: Column) -> Column:

@@ -32,6 +32,9 @@ class WordIds:
         self.encode, self.pattern, self.known = encode, regex.compile(pattern), {}
         self.plain = _PLAIN if pattern == public_tokenizers.PATTERN else None
 
+    def forget(self) -> None:
+        self.known = {}
+
     def words(self, text: str) -> list[str]:
         return self.plain.findall(text) if self.plain and not _ODD.search(text) else self.pattern.findall(text)
 

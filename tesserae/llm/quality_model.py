@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import STEP_BYTES, slices, table, word_arrays
+from .shared import STEP_BYTES, slices, table, tidy, word_arrays
 
 #: Labelled rows that a model learns from at most.
 SAMPLE = 20_000
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = S
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = known.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("double").alias("quality"), "text").mapInArrow(run, f"doc_id {kind}, quality double, x array<float>").toArrow().to_pandas()
+    rows = known.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("double").alias("quality"), "text").mapInArrow(lambda batches: tidy(run(batches)), f"doc_id {kind}, quality double, x array<float>").toArrow().to_pandas()
     rows = rows.sort_values("doc_id").drop_duplicates("doc_id")  # the same model whatever the order of the rows
     x = np.stack(rows["x"].to_list()).astype(np.float32) if len(rows) else np.zeros((0, len(FEATURES)), np.float32)
     return grow(x, (rows["quality"].to_numpy() > 0).astype(np.float64))
@@ -172,7 +172,7 @@ def quality_scores(docs: DataFrame, forest: Forest, keep: tuple[str, ...] = ("do
 
     columns = list(dict.fromkeys((*keep, "text")))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*columns).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*columns).mapInArrow(lambda batches: tidy(run(batches)), f"{schema}, score double")
 
 
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +81,18 @@ def release(df: DataFrame) -> None:
     df.sparkSession._jvm.System.gc()
 
 
+def tidy(batches: Iterator[pa.RecordBatch], *leave: Callable[[], None]) -> Iterator[pa.RecordBatch]:
+    """Passes batches on; after the last one it calls ``leave`` and gives freed memory back to the system. Python workers
+    live on between tasks, and what one of them keeps is missing to the next query."""
+    yield from batches
+    for done in leave:
+        done()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .near_dedup import SHINGLE, band_keys, in_shared_buckets, settle, signatures
-from .shared import STEP_BYTES, discard, hash_strings, materialise, mix64, release, shingle_sets, slices, table, word_arrays
+from .shared import STEP_BYTES, discard, hash_strings, materialise, mix64, release, shingle_sets, slices, table, tidy, word_arrays
 
 PERCENT = 80
 RECALL = 0.995
@@ -123,7 +123,7 @@ def units(docs: DataFrame, bands: int, rows: int = ROWS, size: int = SHINGLE) ->
             yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["doc", "line", "start", "length", "words", "unit", "n", "bands"]
-    return docs.mapInArrow(run, "doc bigint, line boolean, start int, length int, words int, unit bigint, n bigint, bands array<bigint>")
+    return docs.mapInArrow(lambda batches: tidy(run(batches)), "doc bigint, line boolean, start int, length int, words int, unit bigint, n bigint, bands array<bigint>")
 
 
 def _again(placed: DataFrame, cluster: str) -> DataFrame:
