@@ -41,7 +41,7 @@ END = 0
 LARGE = 1 / 8
 #: Groups that the large lengths are rounded to.
 GROUPS = 256
-STEP = 6 << 20
+STEP = 12 << 20
 #: Words that go to the tokenizer in one call.
 JOINED = 64
 _state: dict = {}
@@ -220,7 +220,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", path: str | None = None, capaci
             yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(cols[0])), *made, pa.array(np.full(len(rows), block, np.int32))], names)
 
     names = [key, "piece", "start", "length", "ids_crc32", "nth", "block"]
-    whole = lambda batches: tidy(run(batches), word_ids(path).forget)
+    whole = lambda batches: tidy(run(batches))
     return docs.select(key, "text").mapInArrow(whole, f"`{key}` {docs.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, nth bigint, block int")
 
 

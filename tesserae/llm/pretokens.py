@@ -13,8 +13,8 @@ from itertools import islice
 import public_tokenizers
 import regex
 
-#: Words that a Python worker remembers with their ids (about 70 MB; workers live on between queries).
-REMEMBERED = 300_000
+#: Words that a Python worker remembers with their ids (about 110 MB; workers live on between queries).
+REMEMBERED = 500_000
 #: Matches of one text that are held at once.
 RUN = 1_000_000
 
@@ -32,9 +32,6 @@ class WordIds:
         self.encode, self.pattern, self.known = encode, regex.compile(pattern), {}
         self.plain = _PLAIN if pattern == public_tokenizers.PATTERN else None
 
-    def forget(self) -> None:
-        self.known = {}
-
     def words(self, text: str) -> list[str]:
         return self.plain.findall(text) if self.plain and not _ODD.search(text) else self.pattern.findall(text)
 
