@@ -5,8 +5,10 @@ documents that hold a line are counted. A line above the limits is boilerplate o
 than a stated share of its characters with such lines is rejected as depleted.
 
 Copies of one document are not boilerplate. Equal documents count as one, and a line must also have documents that are
-unlike: ``kind`` is the smallest line hash of a document besides, which near copies share and unrelated documents do
-not. A line is over the limits with ``min_documents`` distinct documents of which ``min_unlike`` (a share) differ in kind.
+unlike: ``kind`` is the smallest hash of a beginning among the document's own lines, those that neither begin nor end as a
+line of ``min_documents`` documents of the host. So the other lines of a template say nothing of its pages, near copies (a
+few words changed here and there) have no lines of their own, and unrelated documents differ. A line is over the limits
+with ``min_documents`` distinct documents of which ``min_unlike`` (a share) differ in kind.
 
 Defined results. Null or empty text: no words, all counts 0, ``base_failed``. Null host: a host of its own. Repeated
 rows: each row gets its result; they count as one document. Extra columns stay; those named as results give way. Empty table: no rows.
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialise, table
+from .shared import discard, materialise, table
 
 #: A line is boilerplate of its host from so many distinct documents on ...
 MIN_DOCUMENTS = 20
@@ -25,6 +27,10 @@ MIN_DOCUMENTS = 20
 MIN_UNLIKE = 0.5
 #: A document that loses more than this share of its characters is depleted.
 MAX_LOST = 0.5
+#: Words at either end of a line by which a changed copy of it is known.
+END_WORDS = 3
+#: Code points of its own lines below which a document counts as a copy with a mark (a date, a number), not as unlike.
+OWN_CHARS = 40
 
 #: Columns that ``base_counts`` adds; columns of these names in the input give way.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -86,29 +92,32 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def document_lines(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
-    """One row for each distinct normalised line of each document: ``doc``, ``line`` (hash of host and line), ``chars``
-    (code points that the document has in such a line), ``body`` (hash of the whole text) and ``kind``."""
+    """One row for each line with words of each document: ``doc``, ``body`` (hash of host and whole text), ``pos`` (of the
+    line in the text), ``chars`` (code points of the normalised line), and hashes with the host of the ``line``, of its
+    first words (``head``) and of its last (``tail``)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.transform(F.split(F.lower(text), "\n", -1), lambda x: F.trim(x, F.lit(SPACES)))
-    named = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("c")))
-    flat = docs.select(
-        F.xxhash64(F.col(key), F.col(host), text).alias("doc"),
-        F.xxhash64(text).alias("body"),
-        F.xxhash64(F.coalesce(F.col(host), F.lit("\x00"))).alias("_host"),
-        named.alias("_lines"),
-    )
-    flat = flat.withColumn("_lowest", F.slice(F.array_sort(F.array_distinct(F.transform("_lines", lambda x: x["h"]))), 1, 2))
-    rows = flat.select("doc", "body", "_host", "_lowest", F.explode("_lines").alias("_l"))
-    kind = F.when(F.get("_lowest", F.lit(0)) == F.col("_l.h"), F.coalesce(F.get("_lowest", F.lit(1)), F.lit(0))).otherwise(F.get("_lowest", F.lit(0)))
-    return rows.select("doc", "body", F.xxhash64("_host", "_l.h").alias("line"), kind.alias("kind"), F.col("_l.c").alias("chars"))
+    ends = lambda x: (F.substring_index(x, " ", END_WORDS), F.substring_index(x, " ", -END_WORDS))
+    named = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.length(x).alias("c"), F.xxhash64(x).alias("h"), F.xxhash64(ends(x)[0], F.lit(0)).alias("a"), F.xxhash64(ends(x)[1], F.lit(1)).alias("b")))
+    own = F.xxhash64(F.coalesce(F.col(host), F.lit("\x00")))
+    flat = docs.select(_identity(key, host).alias("doc"), F.xxhash64(own, text).alias("body"), own.alias("_host"), F.explode(F.filter(named, lambda x: x["c"] > 0)).alias("_l"))
+    of_host = lambda c: F.xxhash64("_host", f"_l.{c}")
+    return flat.select("doc", "body", F.col("_l.pos").alias("pos"), F.col("_l.c").alias("chars"), of_host("h").alias("line"), of_host("a").alias("head"), of_host("b").alias("tail"))
 
 
 def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE) -> DataFrame:
-    """Lines above the limits: ``line``, ``n_documents``, ``n_kinds``. Three nested groupings, each combined before it is
+    """Lines above the limits: ``line``, ``n_documents``, ``n_kinds``. Nested groupings, each combined before it is
     shuffled, so a line that every document has costs a row a task."""
-    once = lines.groupBy("line", "kind", "body").agg(F.lit(1).alias("one"))
-    by_kind = once.groupBy("line", "kind").agg(F.count(F.lit(1)).alias("n"))
-    return by_kind.groupBy("line").agg(F.sum("n").alias("n_documents"), F.count(F.lit(1)).alias("n_kinds")).where((F.col("n_documents") >= min_documents) & (F.col("n_kinds") >= min_unlike * F.col("n_documents")))
+    once = lines.groupBy("line", "head", "tail", "body").agg(F.lit(1).alias("one"))
+    often = materialise(once.groupBy("line", "head", "tail").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("line", "head", "tail"))
+    # what is a document's own: lines that neither begin nor end as a frequent one
+    heads, tails = often.select("head").distinct(), often.select("tail").distinct()
+    own = lines.select("body", "pos", "chars", "head", "tail").join(heads, "head", "left_anti").join(tails, "tail", "left_anti").distinct()  # repeated rows say the same
+    kinds = own.groupBy("body").agg(F.min("head").alias("kind"), F.sum("chars").alias("own")).where(F.col("own") >= OWN_CHARS).select("body", "kind")
+    holders = lines.select("line", "body").join(often.select("line"), "line", "left_semi").distinct()
+    placed = holders.join(kinds, "body", "left").select("line", F.coalesce("kind", F.lit(0).cast("long")).alias("kind"))
+    by_kind = placed.groupBy("line", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return by_kind.groupBy("line").agg(F.sum("n").alias("n_documents"), F.count(F.lit(1)).alias("n_kinds")).where(F.col("n_kinds") >= min_unlike * F.col("n_documents"))
 
 
 def _identity(key: str, host: str) -> Column:
@@ -116,14 +125,18 @@ def _identity(key: str, host: str) -> Column:
 
 
 def boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "source", min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE) -> DataFrame:
-    """``_doc`` (identity of a row) and ``n_boilerplate_chars`` of the documents that hold lines above the limits."""
-    lines = document_lines(docs, key, host)
+    """``_doc`` (identity of a row), ``n_boilerplate_chars`` and ``_gone`` (positions of the lines above the limits) of the
+    documents that hold such lines. Written: if they are few, Spark broadcasts them and the texts stay where they are."""
+    lines = materialise(document_lines(docs, key, host))
     bad = frequent_lines(lines, min_documents, min_unlike).select("line")
     # a line of very many documents is one row on the right; adaptive execution splits its rows on the left
-    lost = lines.select("doc", "line", "chars").join(bad, "line", "left_semi").groupBy("doc").agg(F.sum("chars").alias("lost"))
-    # repeated rows share an identity; each adds the same characters, so the sum is shared out among them
-    again = docs.select(_identity(key, host).alias("doc")).groupBy("doc").agg(F.count(F.lit(1)).alias("rows"))
-    return lost.join(again, "doc").select(F.col("doc").alias("_doc"), (F.col("lost") / F.col("rows")).cast("long").alias("n_boilerplate_chars"))
+    held = lines.select("doc", "line", "pos", "chars").join(bad, "line", "left_semi")
+    # repeated rows share an identity and have the same lines
+    lost = held.groupBy("doc").agg(F.collect_set(F.struct("pos", "chars")).alias("l"))
+    chars = F.aggregate("l", F.lit(0).cast("long"), lambda s, x: s + x["chars"])
+    out = materialise(lost.select(F.col("doc").alias("_doc"), chars.alias("n_boilerplate_chars"), F.transform("l", lambda x: x["pos"]).alias("_gone")))
+    discard(lines)
+    return out
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE, max_lost: float = MAX_LOST) -> DataFrame:
@@ -132,7 +145,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", mi
     own = docs.drop("n_boilerplate_chars", "depleted", "kept")
     out = base_counts(own.withColumn("_doc", _identity(key, host)).withColumn("_size", F.length("text")))
     out = out.join(boilerplate(docs, key, host, min_documents, min_unlike), "_doc", "left").withColumn("n_boilerplate_chars", F.coalesce("n_boilerplate_chars", F.lit(0).cast("long")))
-    out = out.withColumn("depleted", F.col("n_boilerplate_chars") > max_lost * F.coalesce("_size", F.lit(0))).drop("_doc", "_size")
+    out = out.withColumn("depleted", F.col("n_boilerplate_chars") > max_lost * F.coalesce("_size", F.lit(0))).drop("_doc", "_size", "_gone")
     return out.withColumn("kept", ~(F.col("base_failed") | F.col("depleted")))
 
 

@@ -269,6 +269,20 @@ def test_boilerplate_depletes_but_copies_do_not(spark):
     assert {i for i, x in got.items() if x} == set(range(40))
 
 
+@pytest.mark.parametrize(("shared", "own"), [(3, 1), (5, 1), (6, 3), (12, 4), (20, 2)])
+def test_templates_of_many_lines(spark, shared, own):
+    template = [para(500 + k, 20) for k in range(shared)]
+    rows = [(i, "\n".join(template[: shared // 2] + [para(1000 + 10 * i + k, 20) for k in range(own)] + template[shared // 2 :]), "host") for i in range(60)]
+    copy = [para(700 + k, 20) for k in range(8)]
+    # near copies: one line with another word, another line for each
+    rows += [(100 + i, "\n".join(x.replace(x.split()[9], f"new{i}") if k == i % 8 else x for k, x in enumerate(copy)), "host") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    bad = quality_rules.frequent_lines(quality_rules.document_lines(df)).collect()
+    assert len(bad) == shared and {r.n_documents for r in bad} == {60}
+    got = {r.doc_id: r.depleted for r in quality_rules.quality_rules(df).collect()}
+    assert {i for i, x in got.items() if x} == set(range(60))
+
+
 # ---------------------------------------------------------------- 5 licences
 
 
