@@ -20,7 +20,7 @@ NEAR_PERCENT = 80
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, and so do boilerplate lines of the others."""
     bound_batches(spark)
     return quality_rules.accepted(docs)
 

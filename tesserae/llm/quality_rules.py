@@ -2,7 +2,7 @@
 
 Lines are normalised (lower case, no white space at either end) and hashed; for every host the distinct
 documents that hold a line are counted. A line above the limits is boilerplate of its host; a document that loses more
-than a stated share of its characters with such lines is rejected as depleted.
+than a stated share of its characters with such lines is rejected as depleted; from all others they are removed.
 
 Copies of one document are not boilerplate. Equal documents count as one, and a line must also have documents that are
 unlike: ``kind`` is the smallest hash of a beginning among the document's own lines, those that neither begin nor end as a
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, materialise, table
+from .shared import discard, materialise, release, table
 
 #: A line is boilerplate of its host from so many distinct documents on ...
 MIN_DOCUMENTS = 20
@@ -126,7 +126,7 @@ def _identity(key: str, host: str) -> Column:
 
 def boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "source", min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE) -> DataFrame:
     """``_doc`` (identity of a row), ``n_boilerplate_chars`` and ``_gone`` (positions of the lines above the limits) of the
-    documents that hold such lines. Written: if they are few, Spark broadcasts them and the texts stay where they are."""
+    documents that hold such lines. Written, so that what it took is gone before texts move."""
     lines = materialise(document_lines(docs, key, host))
     bad = frequent_lines(lines, min_documents, min_unlike).select("line")
     # a line of very many documents is one row on the right; adaptive execution splits its rows on the left
@@ -136,33 +136,42 @@ def boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "source", min_
     chars = F.aggregate("l", F.lit(0).cast("long"), lambda s, x: s + x["chars"])
     out = materialise(lost.select(F.col("doc").alias("_doc"), chars.alias("n_boilerplate_chars"), F.transform("l", lambda x: x["pos"]).alias("_gone")))
     discard(lines)
+    release(docs)
     return out
 
 
+def without_lines(text: str, gone: str) -> Column:
+    """The text without the lines at the positions ``gone`` (null: as it is)."""
+    rest = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col(gone), i))
+    return F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
+
+
 def quality_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE, max_lost: float = MAX_LOST) -> DataFrame:
-    """``docs`` with the base counts, ``n_boilerplate_chars``, ``depleted`` and ``kept``. Only columns that are selected
-    from the result move, so leave the text behind where it isn't needed."""
+    """``docs`` with the base counts (of the text as it came), ``n_boilerplate_chars``, ``depleted`` and ``kept``, and
+    ``text`` without the lines above the limits. Only columns that are selected from the result move."""
     own = docs.drop("n_boilerplate_chars", "depleted", "kept")
     out = base_counts(own.withColumn("_doc", _identity(key, host)).withColumn("_size", F.length("text")))
-    out = out.join(boilerplate(docs, key, host, min_documents, min_unlike), "_doc", "left").withColumn("n_boilerplate_chars", F.coalesce("n_boilerplate_chars", F.lit(0).cast("long")))
-    out = out.withColumn("depleted", F.col("n_boilerplate_chars") > max_lost * F.coalesce("_size", F.lit(0))).drop("_doc", "_size", "_gone")
+    out = out.hint("merge").join(boilerplate(docs, key, host, min_documents, min_unlike), "_doc", "left").withColumn("n_boilerplate_chars", F.coalesce("n_boilerplate_chars", F.lit(0).cast("long")))
+    out = out.withColumn("depleted", F.col("n_boilerplate_chars") > max_lost * F.coalesce("_size", F.lit(0))).withColumn("text", without_lines("text", "_gone")).drop("_doc", "_size", "_gone")
     return out.withColumn("kept", ~(F.col("base_failed") | F.col("depleted")))
 
 
 def accepted(docs: DataFrame, key: str = "doc_id", host: str = "source", min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE, max_lost: float = MAX_LOST) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps. The identities of depleted documents are written first: if they
-    are few, Spark broadcasts them by their known size and the texts stay where they are."""
-    sizes = docs.select(_identity(key, host).alias("_doc"), F.length("text").alias("_size")).distinct()
+    """The rows of ``docs`` that ``quality_rules`` keeps, without the lines above the limits; ``n_chars``, where there is
+    one, is that of the text that is left."""
     lost = boilerplate(docs, key, host, min_documents, min_unlike)
-    depleted = materialise(lost.join(sizes, "_doc").where(F.col("n_boilerplate_chars") > max_lost * F.col("_size")).select("_doc"))
     plain = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "text")
     rows = base_counts(plain).where(~F.col("base_failed")).select("_row.*")
-    return rows.withColumn("_doc", _identity(key, host)).join(depleted, "_doc", "left_anti").select(*docs.columns)
+    rows = rows.withColumn("_doc", _identity(key, host)).hint("merge").join(lost, "_doc", "left")
+    rows = rows.where(F.col("_gone").isNull() | (F.col("n_boilerplate_chars") <= max_lost * F.length("text"))).withColumn("text", without_lines("text", "_gone"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate_chars", "depleted")
+    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_boilerplate_chars", "depleted", "text")
 
 
 QUERIES = {"op4_quality_rules": op4_quality_rules}

@@ -283,6 +283,20 @@ def test_templates_of_many_lines(spark, shared, own):
     assert {i for i, x in got.items() if x} == set(range(60))
 
 
+def test_boilerplate_lines_go(spark):
+    import corpus_pipeline
+
+    banner, own = para(70, 20), {i: para(100 + i, 70) for i in range(40)}
+    rows = [(i, f"{banner}\n{x}\n\n  {banner.upper()}", "host", 0) for i, x in own.items()] + [(99, f"{banner}\n{own[0]}", "other", 7), (7, f"{banner}\n{own[7]}\n\n  {banner.upper()}", "host", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    left = {i: f"{x}\n" for i, x in own.items()} | {99: rows[40][1]}
+    assert {r.doc_id: r.text for r in quality_rules.quality_rules(df).collect()} == left
+    for got in (quality_rules.accepted(df), corpus_pipeline.rules(spark, df, "")):
+        found = got.collect()
+        assert got.columns == df.columns and len(found) == len(rows) and {r.doc_id: r.text for r in found} == left
+        assert all(r.n_chars == (7 if r.doc_id == 99 else len(r.text)) for r in found)
+
+
 # ---------------------------------------------------------------- 5 licences
 
 
