@@ -5,6 +5,11 @@ paragraphs together; exact Jaccard verifies them, and components of the confirme
 begin or end inside a line are found by its sentences, which are paragraphs of their own but match only if equal. (One
 of fewer than ``SHORT`` words goes with the next.)
 
+Passages that keep to neither lines nor sentences are found by anchors: runs of ``ANCHOR`` words, chosen by their hash so
+that one begins among any ``SPREAD`` words in a row that begin one. So whatever ``ANCHOR + SPREAD - 1`` = 50 words several
+documents share, one of their anchors is in it. Anchors at the ends of a run are compared with the keeper's text beyond
+them and grow by all words that are the same (as far as ``REACH`` code points).
+
 Of each cluster the document with the smallest identifier keeps its paragraphs; in other documents they are repeats.
 Repeats that follow each other make a run; a run of at least ``MIN_WORDS`` words is removed. So a common short line in
 otherwise unlike documents stays where it is.
@@ -34,10 +39,17 @@ ROWS = 2
 MIN_WORDS = 25
 #: Sentences of fewer words don't end a piece.
 SHORT = 3
+#: Words of an anchor, and of the places among which one is chosen.
+ANCHOR, SPREAD = 30, 21
+#: Code points beyond an anchor in which it grows; the words that count there are fewer than ``SPREAD``.
+REACH = 1000
 #: Code points (of empty lines) that may lie between the repeats of a run.
 GAP = 4
 _END = re.compile(r"[.!?]+(?=[\x20\x09-\x0D]|\Z)")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_LOW = {c: c + 32 for c in range(65, 91)}
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def tune(percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -86,9 +98,38 @@ def _identity(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mix64(terms[ends] - terms[ends - n] + n.astype(np.uint64)).view(np.int64), n
 
 
+def anchors(words: np.ndarray, ends: np.ndarray, size: int = ANCHOR, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray]:
+    """First words (positions in ``words``) of the anchors of all texts, and their identities. Of any ``spread`` runs of
+    ``size`` words that follow each other in a text, the one with the least hash is an anchor."""
+    n = len(words)
+    if n < size + spread - 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    powers, back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)))) for x in (_BASE, _BACK))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(words) * powers, dtype=np.uint64)))
+    grams = mix64((sums[size:] - sums[:-size]) * back[: n - size + 1] + np.uint64(size))
+    # windows of runs that end in the text in which they begin
+    last = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
+    begins = np.flatnonzero(np.arange(n) + size + spread - 1 <= last)
+    least = np.lib.stride_tricks.sliding_window_view(grams, spread).argmin(1)
+    at = np.unique(begins + least[begins])
+    return at, grams[at].view(np.int64)
+
+
+def word_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end (code points, within its text) of every word of all texts."""
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    points = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = ~((points == 32) | ((points >= 9) & (points <= 13)))
+    turns = np.flatnonzero(np.diff(np.concatenate(([False], inside)).view(np.int8))).reshape(-1, 2)
+    base = np.cumsum(sizes) - sizes
+    base = base[np.searchsorted(base, turns[:, 0], "right") - 1]
+    return turns[:, 0] - base, turns[:, 1] - base
+
+
 def units(docs: DataFrame, bands: int, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """A row per paragraph with words: ``doc``, ``line`` (a whole line that may be compared, else a sentence), ``start``,
-    ``length``, ``words``, ``unit`` (identity), and for lines ``n`` (shingles) and ``bands``."""
+    """A row per line with words, sentence and anchor: ``doc``, ``line`` (a whole line), ``start``, ``length``, ``at``
+    (its first word's number in the text), ``words``, ``unit`` (identity), ``n`` (shingles of a line; -1: an anchor) and
+    for lines ``bands``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", STEP_BYTES // 2):
@@ -111,51 +152,113 @@ def units(docs: DataFrame, bands: int, rows: int = ROWS, size: int = SHINGLE) ->
                 keys = band_keys(signatures(sets[np.repeat(whole, sizes)], np.cumsum(sizes[whole]), bands * rows), bands, rows)
             piece_identity, piece_n = _identity(words, piece_ends)
             some = piece_n > 0
-            at = np.array(lines + pieces, np.int64).reshape(-1, 3)
+            places = np.array(lines + pieces, np.int64).reshape(-1, 3)
             keep = np.concatenate((whole, some))
-            at, n_lines = at[keep], int(whole.sum())
+            # the words of each text, and where they stand
+            owner = np.array([i for i, _, _ in pieces], np.int64)
+            text_ends = np.cumsum(np.bincount(owner, piece_n, minlength=len(texts))).astype(np.int64)
+            first_word = text_ends - np.diff(np.concatenate(([0], text_ends)))
+            found, anchor_identity = anchors(words, text_ends)
+            begin, end = word_places(texts)
+            of = np.searchsorted(text_ends, found, "right")
+            places = np.concatenate((places[keep], np.stack((of, begin[found], end[found + ANCHOR - 1]), 1)))
+            at = np.concatenate(((ends - n)[whole], (piece_ends - piece_n)[some], found)) - first_word[places[:, 0]]
+            n_lines, n_pieces = int(whole.sum()), int(some.sum())
             cols = [
-                part.column("doc").take(pa.array(at[:, 0])), pa.array(np.arange(len(at)) < n_lines), pa.array(at[:, 1].astype(np.int32)), pa.array((at[:, 2] - at[:, 1]).astype(np.int32)),
-                pa.array(np.concatenate((n[whole], piece_n[some])).astype(np.int32)), pa.array(np.concatenate((identity[whole], piece_identity[some]))),
-                pa.array(np.concatenate((sizes[whole], np.zeros(int(some.sum()), np.int64)))),
-                pa.ListArray.from_arrays(pa.array((np.minimum(np.arange(len(at) + 1), n_lines) * bands).astype(np.int32)), pa.array(keys.ravel())),
+                part.column("doc").take(pa.array(places[:, 0])), pa.array(np.arange(len(places)) < n_lines), pa.array(places[:, 1].astype(np.int32)), pa.array((places[:, 2] - places[:, 1]).astype(np.int32)), pa.array(at.astype(np.int32)),
+                pa.array(np.concatenate((n[whole], piece_n[some], np.full(len(found), ANCHOR))).astype(np.int32)), pa.array(np.concatenate((identity[whole], piece_identity[some], anchor_identity))),
+                pa.array(np.concatenate((sizes[whole], np.zeros(n_pieces, np.int64), np.full(len(found), -1)))),
+                pa.ListArray.from_arrays(pa.array((np.minimum(np.arange(len(places) + 1), n_lines) * bands).astype(np.int32)), pa.array(keys.ravel())),
             ]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    names = ["doc", "line", "start", "length", "words", "unit", "n", "bands"]
-    return docs.mapInArrow(lambda batches: tidy(run(batches)), "doc bigint, line boolean, start int, length int, words int, unit bigint, n bigint, bands array<bigint>")
+    names = ["doc", "line", "start", "length", "at", "words", "unit", "n", "bands"]
+    return docs.mapInArrow(lambda batches: tidy(run(batches)), "doc bigint, line boolean, start int, length int, at int, words int, unit bigint, n bigint, bands array<bigint>")
 
 
 def _again(placed: DataFrame, cluster: str) -> DataFrame:
-    """The places of clusters that several documents hold, but for those of the document that keeps them."""
-    keepers = placed.groupBy(cluster).agg(F.min("doc").alias("keeper"), F.max("doc").alias("_other")).where("keeper <> _other").select(cluster, "keeper")
-    return placed.join(keepers, cluster).where("doc <> keeper").select("doc", "start", "length", "words", "keeper")
+    """The places of clusters that several documents hold, but for those of the document that keeps them, and one of its
+    places (``from``)."""
+    keepers = placed.groupBy(cluster).agg(F.min(F.struct("doc", "start", "length")).alias("from"), F.max("doc").alias("_other")).where("from.doc <> _other").select(cluster, "from")
+    return placed.join(keepers, cluster).where("doc <> from.doc").select("doc", "start", "length", "at", "words", "n", "from")
+
+
+def same_words(own: str, kept: str, ahead: bool) -> tuple[int, int]:
+    """The words that two texts have in common from their beginning (``ahead``) or up to their end, and the code points of
+    ``own`` that they take."""
+    a, b = (list(_WORD.finditer(x.translate(_LOW))) for x in (own, kept))
+    if not ahead:
+        a, b = a[::-1], b[::-1]
+    n = 0
+    while n < min(len(a), len(b), SPREAD - 1) and a[n].group() == b[n].group():
+        n += 1
+    # a word at the edge of what was read may go on
+    cut = lambda x, m: len(x) >= REACH and (m.end() == len(x) if ahead else m.start() == 0)
+    if n and (cut(own, a[n - 1]) or cut(kept, b[n - 1])):
+        n -= 1
+    return n, 0 if not n else a[n - 1].end() if ahead else len(own) - a[n - 1].start()
+
+
+def grown(edges: DataFrame, around: DataFrame) -> DataFrame:
+    """Places of ``edges`` (anchors) with the words beyond them that their keepers share; ``around``: ``doc``, ``start``,
+    ``before`` and ``after`` of all places concerned."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [b.column(c).to_pylist() for c in ("before", "kept_before", "after", "kept_after")]
+            left = np.array([same_words(x, y, False) for x, y in zip(*texts[:2], strict=True)], np.int32).reshape(-1, 2)
+            right = np.array([same_words(x, y, True) for x, y in zip(*texts[2:], strict=True)], np.int32).reshape(-1, 2)
+            start, length, at, words = (b.column(c).to_numpy() for c in ("start", "length", "at", "words"))
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(start - left[:, 1]), pa.array(length + left[:, 1] + right[:, 1]), pa.array(at - left[:, 0]), pa.array(words + left[:, 0] + right[:, 0]), b.column("keeper")], ["doc", "start", "length", "at", "words", "keeper"])
+
+    kept = around.select(F.col("doc").alias("keeper"), F.col("start").alias("_from"), F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
+    both = edges.select("doc", "start", "length", "at", "words", F.col("from.doc").alias("keeper"), F.col("from.start").alias("_from")).join(around, ["doc", "start"]).join(kept, ["keeper", "_from"])
+    return both.mapInArrow(lambda batches: tidy(run(batches)), "doc bigint, start int, length int, at int, words int, keeper bigint")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """The runs to remove: ``doc``, ``start``, ``length``, ``words``, ``keepers`` (documents that keep such passages)."""
     rows = docs.select(F.col(key).cast("long").alias("doc"), "text").where(F.col(key).isNotNull())
     found = materialise(units(rows, tune(percent)))
+    same = materialise(_again(found.where("not line"), "unit"))
+    # anchors that no other overlaps before or after them; rows of equal identifiers hold the same places
+    by_place = Window.partitionBy("doc").orderBy("start")
+    ends = same.where("n < 0").dropDuplicates(["doc", "start"]).withColumn("_end", F.col("start") + F.col("length"))
+    ends = ends.withColumn("_open", F.coalesce(F.lag("_end").over(by_place) < F.col("start"), F.lit(True)) | F.coalesce(F.lead("start").over(by_place) > F.col("_end"), F.lit(True)))
+    edges = materialise(ends.where("_open").drop("_open", "_end"))
     lines = found.where("line")
     members = in_shared_buckets(lines.dropDuplicates(["unit"]).select(F.col("unit").alias("rep"), "n", "bands"))
-    # the text of each such line from one place where it stands
-    at = lines.groupBy(F.col("unit").alias("id")).agg(F.min(F.struct("doc", "start", "length")).alias("at")).join(members.select(F.col("rep").alias("id")), "id", "left_semi")
-    held = rows.hint("merge").join(at.select("id", F.col("at.doc").alias("doc"), "at.start", "at.length"), "doc")
-    texts = materialise(held.select("id", F.substring("text", F.col("start") + 1, F.col("length")).alias("text")).dropDuplicates(["id"]))
+    # the text of each such line from one place where it stands, and what is around the edges and their keepers' places
+    at = lines.groupBy(F.col("unit").alias("id")).agg(F.min(F.struct("doc", "start", "length")).alias("at")).join(members.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "at.*")
+    asked = edges.select("doc", "start", "length").unionByName(edges.select("from.*")).distinct().select(F.lit(None).cast("long").alias("id"), "*")
+    held = rows.hint("merge").join(at.unionByName(asked), "doc")
+    first = F.greatest(F.col("start") - REACH, F.lit(0))
+    line = F.col("id").isNotNull()
+    texts = held.select(
+        "id", "doc", "start", F.when(line, F.substring("text", F.col("start") + 1, F.col("length"))).alias("text"),
+        F.when(~line, F.substring("text", first + 1, F.col("start") - first)).alias("before"), F.when(~line, F.substring("text", F.col("start") + F.col("length") + 1, F.lit(REACH))).alias("after"),
+    )
+    every = materialise(texts)
+    texts = materialise(every.where("id is not null").select("id", "text").dropDuplicates(["id"]))
+    wider = materialise(grown(edges, every.where("id is null").select("doc", "start", "before", "after").dropDuplicates(["doc", "start"])))
+    discard(every, edges)
     release(docs)
     empty = materialise(members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
     parts = settle(members, texts, empty, percent)
     discard(members, texts)
     near = materialise(_again(lines.join(parts.select(F.col("node").alias("unit"), "component"), "unit"), "component"))
-    same = materialise(_again(found.where("not line"), "unit"))
+    discard(found)
     release(docs)
     # rows of equal identifiers hold the same places
-    again = near.unionByName(same).groupBy("doc", "start", "length").agg(F.max("words").alias("words"), F.min("keeper").alias("keeper")).withColumn("_end", F.col("start") + F.col("length"))
+    placed = near.unionByName(same).select("doc", "start", "length", "at", "words", F.col("from.doc").alias("keeper")).unionByName(wider)
+    again = placed.groupBy("doc", "start", "length").agg(F.max("at").alias("at"), F.max("words").alias("words"), F.min("keeper").alias("keeper")).withColumn("_end", F.col("start") + F.col("length"))
     before = Window.partitionBy("doc").orderBy("start", "_end").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("doc").orderBy("start", "_end").rowsBetween(Window.unboundedPreceding, 0)
     # a run goes on while a place begins where the run ends; empty lines may lie between
     runs = again.withColumn("_new", F.when(F.col("start") <= F.max("_end").over(before) + GAP, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(upto))
-    spans = runs.groupBy("doc", "_run").agg(F.min("start").alias("start"), F.max("_end").alias("_end"), F.sum("words").alias("words"), F.array_sort(F.collect_set("keeper")).alias("keepers"))
+    # places overlap: a run's words are those from its first to its last
+    words = (F.max(F.col("at") + F.col("words")) - F.min("at")).cast("long").alias("words")
+    spans = runs.groupBy("doc", "_run").agg(F.min("start").alias("start"), F.max("_end").alias("_end"), words, F.array_sort(F.collect_set("keeper")).alias("keepers"))
     return materialise(spans.where(F.col("words") >= min_words).select("doc", "start", (F.col("_end") - F.col("start")).alias("length"), "words", "keepers"))
 
 

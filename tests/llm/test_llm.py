@@ -164,6 +164,18 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_passages_of_fifty_words_anywhere(spark):
+    rows, left = [], {}
+    for i in range(40):
+        # words of one long sentence, put between other words inside a line
+        passage, host = para(2000 + i, 50 + i % 3), [para(3000 + 4 * i + k, 20 + i) for k in range(4)]
+        rows += [(100 + i, f"{host[0]} {passage} {host[1]}"), (200 + i, f"{host[2]} É {passage.upper()} {host[3]}")]
+        left |= {100 + i: rows[-2][1], 200 + i: f"{host[2]} É  {host[3]}"}
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == left
+    assert all([x.words for x in r.removed] == [50 + (r.doc_id - 200) % 3] for r in got if r.doc_id >= 200)
+
+
 def test_bands_reach_the_recall():
     n = substring_dedup.tune(80, 2, 0.995)
     assert 1 - (1 - 0.64) ** n >= 0.995 > 1 - (1 - 0.64) ** (n - 1)
