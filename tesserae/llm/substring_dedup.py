@@ -144,7 +144,7 @@ def units(docs: DataFrame, bands: int, rows: int = ROWS, size: int = SHINGLE) ->
             words, piece_ends = _words([texts[i][a:b] for i, a, b in pieces])
             ends = piece_ends[np.array(last, np.int64)]
             identity, n = _identity(words, ends)
-            whole = n >= MIN_WORDS
+            whole = n > 0
             sets, set_ends = shingle_sets(words, ends, size)
             sizes = np.diff(np.concatenate(([0], set_ends)))
             keys = np.zeros((0, bands), np.int64)

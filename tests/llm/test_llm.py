@@ -176,6 +176,16 @@ def test_passages_of_fifty_words_anywhere(spark):
     assert all([x.words for x in r.removed] == [50 + (r.doc_id - 200) % 3] for r in got if r.doc_id >= 200)
 
 
+def test_short_lines_that_are_nearly_equal(spark):
+    verse = [para(4000 + k, 16) for k in range(6)]
+    other = [" ".join(["new", *x.split()[1:]]) for x in verse]  # another first word in each line
+    short = [para(4100, 13), " ".join(["new", *para(4100, 13).split()[1:]])]
+    rows = [(1, "\n".join(verse)), (2, "\n".join([para(4200, 9), *other, para(4201, 9)])), (3, short[0]), (4, short[1]), (5, short[0])]
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].text == f"{para(4200, 9)}\n{para(4201, 9)}" and got[2].removed[0].words == 96
+    assert all(got[i].text == rows[i - 1][1] for i in (1, 3, 4, 5))  # 13 words are too few, however they are found
+
+
 def test_bands_reach_the_recall():
     n = substring_dedup.tune(80, 2, 0.995)
     assert 1 - (1 - 0.64) ** n >= 0.995 > 1 - (1 - 0.64) ** (n - 1)
