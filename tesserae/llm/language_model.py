@@ -5,9 +5,10 @@ every other string falls, by its characters, into one of ``KINDS`` rare kinds, a
 (c + 0.5) / (N_kind + 0.5 (V_kind + 1)), so unseen strings have theirs too and all probabilities sum to one.
 
 The output softmax is factored: classes of words of like frequency, then words within the class; a rare kind is a class.
-It starts as the unigram model of the counts. The network is trained by truncated backpropagation in ``ROUNDS`` rounds;
-each takes its own ``1 / SHARE`` of the training documents (by hash, so it grows with the corpus). All tasks of a round
-start from the same weights and train on their documents; the weights are averaged by tokens. In scoring, the state is
+It starts as the unigram model of the counts. The network is trained by truncated backpropagation in ``ROUNDS`` rounds
+that share out all training documents among them by hash, each document in exactly one. All tasks of a round start from
+the same weights and train on their documents; the weights are averaged by tokens. The vocabulary grows with the corpus,
+and the lanes of a training step with it, so that the cost of a token's share of an update stays the same. In scoring, the state is
 carried across windows over each complete document.
 
 Counts of the ``KNOWN`` most frequent words go to every task; the other words of each document meet their counts in a
@@ -33,12 +34,13 @@ from pyspark.sql import functions as F
 
 from .shared import discard, hash_strings, materialise, slices, table, tidy, word_arrays
 
-VOCABULARY = 1024
+#: Words of the network up to ``TOKENS`` words of training text; beyond, it grows with their cube root.
+VOCABULARY, TOKENS = 1024, 10_000_000
 CLASS = 64
 HIDDEN = 16
 KINDS = 6
 KNOWN = 200_000
-ROUNDS, SHARE = 2, 10
+ROUNDS = 4
 LANES, WINDOW = 128, 64
 TRAIN_LANES, TRAIN_WINDOW = 32, 16
 #: Tokens of a text that training takes without a fresh state.
@@ -120,8 +122,14 @@ def most_frequent(counts: DataFrame, most: int) -> list:
     return counts.where(level >= least).orderBy(F.desc("c"), "word").collect() if least is not None else []
 
 
-def gather(counts: DataFrame, vocabulary: int = VOCABULARY, known: int = KNOWN) -> Counts:
+def vocabulary_of(tokens: int, known: int = KNOWN) -> int:
+    """The network's vocabulary for so many training tokens, in whole classes; at most the words that every task knows."""
+    return min(max(VOCABULARY, round(VOCABULARY * (tokens / TOKENS) ** (1 / 3) / CLASS) * CLASS), max(known, VOCABULARY))
+
+
+def gather(counts: DataFrame, vocabulary: int | None = None, known: int = KNOWN) -> Counts:
     totals = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy("kind").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    vocabulary = vocabulary or vocabulary_of(sum(x for x, _ in totals.values()), known)
     top = [r for r in most_frequent(counts, known) if r["kind"] >= 0]
     end = totals.get(-1, (0, 0))[0]
     inside = top[: vocabulary - 1]
@@ -312,9 +320,10 @@ class Reader:
         return symbols, lengths, codes, ends, hashes, kinds, c, symbol
 
 
-def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, share: int = SHARE) -> np.ndarray:
-    """The averaged weights after ``rounds`` rounds over ``docs`` (``doc_id``, ``text``)."""
+def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
+    """The averaged weights after ``rounds`` rounds, which share out ``docs`` (``doc_id``, ``text``) among them."""
     weights = Gated(counts).p
+    lanes = TRAIN_LANES * max(1, counts.size // VOCABULARY)
 
     def one_round(turn: int, start: np.ndarray) -> np.ndarray:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +337,7 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, share: int = SH
                 parts = -(-lengths // SEGMENT)
                 within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
                 cut = np.minimum(SEGMENT, np.repeat(lengths, parts) - within * SEGMENT)
-                inputs, targets, fresh, _ = grid(symbols, cut, TRAIN_LANES, counts.size + KINDS, within == 0)
+                inputs, targets, fresh, _ = grid(symbols, cut, lanes, counts.size + KINDS, within == 0)
                 h = np.zeros((inputs.shape[1], model.hidden), np.float32)
                 for a in range(0, len(inputs), TRAIN_WINDOW):
                     w = slice(a, a + TRAIN_WINDOW)
@@ -341,7 +350,7 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, share: int = SH
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(model.p), dtype=np.int32)), pa.array(model.p.astype(np.float64) * tokens), pa.array(np.full(len(model.p), tokens, np.int64))], ["i", "v", "n"])
 
-        chosen = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("round")), F.lit(share)) == turn)
+        chosen = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("round")), F.lit(rounds)) == turn)
         rows = chosen.select("text").mapInArrow(lambda batches: tidy(run(batches)), "i int, v double, n bigint").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
         got = rows.select("i", (F.col("v") / F.col("n")).alias("v")).toArrow()
         out = start.copy()

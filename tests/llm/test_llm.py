@@ -476,6 +476,21 @@ def small_counts(size=70):
     return language_model.Counts(100, 10, np.array([], np.uint64), np.array([]), np.array([]), size, np.arange(size + language_model.KINDS) + 1.0, np.ones(language_model.KINDS), np.ones(language_model.KINDS))
 
 
+def test_every_training_document_is_learnt_from(spark):
+    # each document has a word of its own: a row of the input weights that moves only if the document is seen
+    rows = [(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26)} " * 60) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = language_model.gather(language_model.word_counts(df))
+    before, after = language_model.Gated(counts), language_model.Gated(counts)
+    after.load(language_model.train(df, counts))
+    assert counts.size == 201 and (before.x[:201] != after.x[:201]).any(1)[1:].all()
+
+
+def test_the_vocabulary_grows():
+    sizes = [language_model.vocabulary_of(n) for n in (0, 10**7, 8 * 10**7, 10**10, 10**18)]
+    assert sizes[:3] == [1024, 1024, 2048] and sizes == sorted(sizes) and sizes[3] > 8 * 1024 and sizes[4] == language_model.KNOWN
+
+
 def test_gradient():
     m = language_model.Gated(small_counts(), hidden=3)
     m.p = m.p.astype(np.float64)
