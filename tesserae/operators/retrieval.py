@@ -8,6 +8,7 @@ by their known size, and vector queries go in blocks of a stated number.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -65,10 +66,16 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, key: str = "d
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
     """``query_id``, ``doc``, ``score``, ``rank``: exact inner products in double precision. Each batch of vectors is
-    multiplied with all queries and sends its best ``k`` of each query on."""
-    asked = queries.select(F.col(query_key).alias("query_id"), F.col(vector).alias("q")).limit(QUERY_BLOCK + 1).collect()
-    if len(asked) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} query vectors: ask in blocks")
+    multiplied with all queries, ``QUERY_BLOCK`` at a time, and sends its best ``k`` of each query on."""
+    rows = queries.select(F.col(query_key).alias("query_id"), F.col(vector).alias("q")).toLocalIterator()
+    found = _block(queries, vectors, k, key, query_key, vector, list(islice(rows, QUERY_BLOCK)))
+    while asked := list(islice(rows, QUERY_BLOCK)):
+        found = found.unionByName(_block(queries, vectors, k, key, query_key, vector, asked))
+    return ranked(found, [F.round("score", 9).desc(), F.col("doc")]).where(F.col("rank") <= k)
+
+
+def _block(queries: DataFrame, vectors: DataFrame, k: int, key: str, query_key: str, vector: str, asked: list) -> DataFrame:
+    """``query_id``, ``doc``, ``score`` of the best ``k`` of each batch of vectors for each of the queries ``asked``."""
     ids = [r["query_id"] for r in asked]
     matrix = np.array([r["q"] for r in asked], np.float64) if asked else np.zeros((0, 0))
     id_type = queries.schema[query_key].dataType.simpleString()
@@ -96,8 +103,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, key: str
         return out
 
     query_field = queries.schema[query_key].dataType
-    rows = vectors.select(F.col(key).alias("d"), F.col(vector).alias("v")).where("v is not null").mapInArrow(run, f"query_id {id_type}, doc {doc_type}, score double")
-    return ranked(rows, [F.round("score", 9).desc(), F.col("doc")]).where(F.col("rank") <= k)
+    return vectors.select(F.col(key).alias("d"), F.col(vector).alias("v")).where("v is not null").mapInArrow(run, f"query_id {id_type}, doc {doc_type}, score double")
 
 
 def tag_filter(results: DataFrame, tags: DataFrame, wanted: dict[str, str], ids: DataFrame | None = None, doc: str = "doc") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -144,6 +145,15 @@ def test_dense_is_exact_with_ties(spark):
     assert retrieval.dense(q.limit(0), v).count() == 0
 
 
+def test_dense_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(30)], "vec_id long, embedding array<double>")
+    q = v.select(F.col("vec_id").alias("query_id"), "embedding")
+    whole = sorted(retrieval.dense(q, v, 5).collect())
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    assert sorted(retrieval.dense(q, v, 5).collect()) == whole and len(whole) == 150
+
+
 def test_tag_filter(spark):
     found = spark.createDataFrame([(1, i, 1.0, i) for i in (1, 2, 3)], "query_id long, doc long, score double, rank int")
     tags = spark.createDataFrame([(1, ["x"]), (2, [])], "doc long, signal_type array<string>")
