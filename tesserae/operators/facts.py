@@ -96,8 +96,8 @@ def filter_text(params: Params) -> str:
 def summary(records: DataFrame, params: Params) -> DataFrame:
     """One row: ``total_matches`` (before any limit) and the sentence that reports it."""
     told = filter_text(params)
-    end = F.lit(f" matching {told}." if told else ".")
-    text = F.when(F.col("total_matches") == 0, "No papers in the corpus match those filters.").otherwise(F.concat(F.lit("Found "), F.col("total_matches").cast("string"), F.lit(" paper(s)"), end))
+    end = F.lit(f" fit: {told}" if told else " fit")
+    text = F.when(F.col("total_matches") == 0, "nothing fits").otherwise(F.concat(F.col("total_matches").cast("string"), end))
     return matches(records, params).agg(F.count(F.lit(1)).alias("total_matches")).select("total_matches", text.alias("summary"))
 
 

@@ -1,22 +1,23 @@
 """Lexical and vector retrieval over whole batches of queries.
 
-Everything is keyed by (query, document). The only shuffles are those that group tokens, and the per-query top-k, which
-Spark limits before it shuffles. Query sets are small next to a corpus: they are joined so that Spark may broadcast them
+Everything is keyed by (query, document). Tokens are counted where their text lies; what moves are document frequencies,
+scores and the per-query top-k, which Spark limits before it shuffles. An index is written once and asked many times. Query sets are small next to a corpus: they are joined so that Spark may broadcast them
 by their known size, and vector queries go in blocks of a stated number.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import tokens
+from tesserae.functions.text import let, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -30,9 +31,22 @@ def ranked(rows: DataFrame, by: list[Column], within: str = "query_id", name: st
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(within).orderBy(*by)))
 
 
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc``, ``term``, ``tf``, ``dl`` (tokens of the document). Counted along each document's sorted tokens, so no row
+    moves; a row is a document."""
+
+    def counted(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        run = lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf")))
+        return F.struct(F.size(s).cast("long").alias("dl"), let(first, run).alias("runs"))
+
+    rows = docs.select(F.col(key).alias("doc"), let(F.array_sort(tokens(F.coalesce(F.col(text), F.lit("")))), counted).alias("_p"))
+    return rows.select("doc", F.col("_p.dl").alias("dl"), F.explode("_p.runs").alias("_r")).select("doc", "_r.term", "_r.tf", "dl")
+
+
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings: ``doc``, ``term``, ``tf``."""
-    return docs.select(F.col(key).alias("doc"), F.explode(tokens(F.col(text))).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """``doc``, ``term``, ``tf``."""
+    return postings(docs, key, text).select("doc", "term", "tf")
 
 
 def doc_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -40,28 +54,80 @@ def doc_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(key).alias("doc"), F.coalesce(F.size(tokens(F.col(text))), F.lit(0)).cast("long").alias("dl"))
 
 
-def idf(postings: DataFrame, lengths: DataFrame) -> DataFrame:
-    """``term``, ``df``, ``idf``. A negative idf is replaced by ``EPSILON`` times the mean idf of the vocabulary, which
-    includes the negative ones."""
-    total = lengths.agg(F.count(F.lit(1)).alias("n_docs"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))
-    raw = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
+def idf(held: DataFrame, n_docs: int) -> DataFrame:
+    """``term``, ``df``, ``idf`` of postings. A negative idf is replaced by ``EPSILON`` times the mean idf of the
+    vocabulary, which includes the negative ones."""
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    raw = df.withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, key: str = "doc_id", query_key: str = "query_id", text: str = "text", allowed: DataFrame | None = None) -> DataFrame:
-    """``query_id``, ``doc``, ``score``, ``rank``: the best ``k`` with a positive score, ties by document. A term that a
-    query repeats counts as often. ``allowed`` (``doc``) restricts the results, not the statistics."""
-    postings, lengths = term_counts(docs, key, text), doc_lengths(docs, key, text)
-    mean, weights = lengths.agg(F.avg("dl").alias("avgdl")), idf(postings, lengths)
+@dataclass(frozen=True)
+class Index:
+    """What BM25 knows of a corpus: postings, the terms' weights, and two totals."""
+
+    postings: DataFrame
+    terms: DataFrame
+    n_docs: int
+    mean_length: float
+
+
+def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+    held = postings(docs, key, text)
+    return _index(held, docs.count(), held)
+
+
+def _index(counted: DataFrame, n_docs: int, held: DataFrame) -> Index:
+    total = counted.agg(F.sum("tf")).head()[0] or 0
+    return Index(held, idf(held, n_docs), n_docs, total / n_docs if n_docs else 0.0)
+
+
+def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> Index:
+    """The index, written to ``path`` (texts are tokenised once) and read back."""
+    spark = docs.sparkSession
+    postings(docs, key, text).write.mode("overwrite").parquet(f"{path}/postings")
+    held = spark.read.parquet(f"{path}/postings")
+    made = _index(held, docs.count(), held)
+    made.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    spark.createDataFrame([(made.n_docs, made.mean_length)], "n_docs long, mean_length double").write.mode("overwrite").parquet(f"{path}/totals")
+    return read_index(spark, path)
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    totals = spark.read.parquet(f"{path}/totals").head()
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), totals["n_docs"], totals["mean_length"])
+
+
+def bm25_scores(queries: DataFrame, held: Index, query_key: str = "query_id", allowed: DataFrame | None = None) -> DataFrame:
+    """``query_id``, ``doc``, ``score`` of all documents with a positive score. A term that a query repeats counts as often.
+    ``allowed`` (``doc``, or ``query_id`` and ``doc``) restricts the results, not the statistics."""
     asked = queries.select(F.col(query_key).alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    found = held.postings.join(asked.join(held.terms.select("term", "idf"), "term"), "term")
     if allowed is not None:
-        postings = postings.join(allowed.select("doc"), "doc", "left_semi")
-    hits = postings.join(asked.join(weights, "term"), "term").join(lengths, "doc").crossJoin(F.broadcast(mean))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("query_id", "doc").agg(F.sum(part).alias("score")).where("score > 0")
-    return ranked(scores, [F.round("score", 9).desc(), F.col("doc")]).where(F.col("rank") <= k)
+        found = found.join(allowed, [c for c in ("query_id", "doc") if c in allowed.columns], "left_semi")
+    mean = held.mean_length or 1.0
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
+    return found.groupBy("query_id", "doc").agg(F.sum(part).alias("score")).where("score > 0")
+
+
+def bm25(queries: DataFrame, docs: DataFrame | Index, k: int = CANDIDATES, key: str = "doc_id", query_key: str = "query_id", text: str = "text", allowed: DataFrame | None = None) -> DataFrame:
+    """``query_id``, ``doc``, ``score``, ``rank``: the best ``k`` with a positive score, ties by document. ``docs``: a
+    corpus, or its index."""
+    held = docs if isinstance(docs, Index) else index(docs, key, text)
+    return ranked(bm25_scores(queries, held, query_key, allowed), [F.round("score", 9).desc(), F.col("doc")]).where(F.col("rank") <= k)
+
+
+def holders(passages: DataFrame, docs: DataFrame, held: Index, key: str = "doc_id", query_key: str = "query_id") -> DataFrame:
+    """``query_id``, ``doc`` of all documents that hold a passage's tokens in a row. Only documents with the passage's
+    rarest token are looked at; a passage without tokens is nowhere."""
+    norm = lambda c: F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" "))
+    asked = passages.select(F.col(query_key).alias("query_id"), F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(held.terms.select("term", "df"), "term", "left")
+    rare = asked.groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("term").alias("term"))).alias("r")).select("query_id", "r.term")
+    pairs = held.postings.select("doc", "term").join(rare, "term").select("query_id", "doc")
+    texts = docs.select(F.col(key).alias("doc"), "text").join(pairs.select("doc").distinct(), "doc", "left_semi").select("doc", norm(F.col("text")).alias("_t"))
+    both = pairs.join(texts, "doc").join(passages.select(F.col(query_key).alias("query_id"), norm(F.col("text")).alias("_p")), "query_id")
+    return both.where(F.contains("_t", "_p")).select("query_id", "doc").distinct()
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
@@ -155,10 +221,12 @@ def search(
     rerank: bool = False,
     lexical: bool = True,
     filter_mode: str = "pre",
+    held: Index | None = None,
 ) -> DataFrame:
     """Hybrid search: 30 candidates of each kind, fused, optionally reranked (20), cut to ``k``. ``queries``:
     ``query_id``, ``text`` and, for vectors, ``embedding``; ``docs``: ``doc_id``, ``text``; ``vectors``: ``doc_id``,
-    ``embedding``. ``filter_mode='post'`` filters the candidates, ``'pre'`` the documents before they are ranked (term statistics stay those of all documents)."""
+    ``embedding``. ``filter_mode='post'`` filters the candidates, ``'pre'`` the documents before they are ranked (term statistics stay those of all documents).
+    ``held``: the documents' index, if there is one."""
     if filter_mode not in ("pre", "post"):
         raise ValueError("filter_mode is 'pre' or 'post'")
     wanted = wanted or {}
@@ -177,7 +245,7 @@ def search(
     if vectors is not None:
         lists.append(again(dense(queries, only(vectors), CANDIDATES, "doc_id")))
     if lexical:
-        lists.append(again(bm25(queries, docs, CANDIDATES, allowed=allowed)))
+        lists.append(again(bm25(queries, held or docs, CANDIDATES, allowed=allowed)))
     fused = fuse(*lists) if len(lists) > 1 else lists[0]
     if rerank:
         return rerank_standin(queries, fused.where(F.col("rank") <= RERANKED), docs, k)
@@ -192,3 +260,29 @@ def embed_standin(docs: DataFrame, dim: int = 64, key: str = "doc_id", text: str
     vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)).cast("float"))
     empty = docs.select(F.col(key).alias("doc")).join(packed.select("doc", vector.alias("embedding")), "doc", "left")
     return empty.select("doc", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), dim)).alias("embedding"))
+
+
+#: What models expect before a query and before a passage.
+PREFIXES = {
+    "bge-large": {"query": "Represent this sentence for searching relevant passages: ", "passage": ""},
+    "e5-large": {"query": "query: ", "passage": "passage: "},
+}
+EMBED_BATCH = 32
+
+
+def embed(rows: DataFrame, make_model: Callable[[], Callable[[list[str]], np.ndarray]], key: str = "doc_id", text: str = "text", prefix: str = "", batch: int = EMBED_BATCH) -> DataFrame:
+    """``doc``, ``embedding``: texts (null: empty) with ``prefix`` through a model, ``batch`` at a time, normalised. The
+    model is made once for each task, where it runs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for b in batches:
+            for a in range(0, b.num_rows, batch):
+                part = b.slice(a, batch)
+                model = model or make_model()
+                v = np.asarray(model([prefix + (x or "") for x in part.column("text").to_pylist()]), np.float32)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), np.float32(1e-12))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(list(v), pa.list_(pa.float32()))], ["doc", "embedding"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(run, f"doc {kind}, embedding array<float>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators import facts, validate
+from tesserae.operators import extract, facts, validate
 from tesserae.plans.tables import table
 
 UNIT = {"click": "ratio", "view": "percent", "purchase": "currency", "error": "count", "signup": "stddev"}
@@ -85,18 +85,33 @@ def q10_total_count(spark, d):
 
 
 def _quotes(spark, d):
-    docs, q = table(spark, d, "documents"), table(spark, d, "benchmark")
-    n = docs.select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    return n.join(q.select("item_id", F.col("text").alias("quote")), "item_id")
+    """Every turn as a quote, and what its conversation opened with as the source."""
+    c = table(spark, d, "conversations")
+    quotes = c.select(F.concat_ws("/", "conv_id", "turn").alias("quote_id"), F.col("conv_id").alias("source_id"), F.col("text").alias("quote"))
+    return quotes, c.groupBy(F.col("conv_id").alias("source_id")).agg(F.min_by("text", "turn").alias("text"))
 
 
 def v1_containment(spark, d):
-    return _quotes(spark, d).select("doc_id", validate.is_grounded(F.col("quote"), F.col("text"), 0.05).alias("grounded"))
+    quotes, sources = _quotes(spark, d)
+    return quotes.join(sources, "source_id").select("quote_id", validate.is_grounded(F.col("quote"), F.col("text"), 0.3).alias("grounded"))
 
 
 def v1_containment_join(spark, d):
-    rows = _quotes(spark, d)
-    return validate.grounded(rows.select(F.col("doc_id").alias("quote_id"), F.col("doc_id").alias("source_id"), "quote"), rows.select(F.col("doc_id").alias("source_id"), "text"), 0.05).select("quote_id", F.round("share", 6).alias("share"), "grounded")
+    return validate.grounded(*_quotes(spark, d), 0.3).select("quote_id", F.round("share", 6).alias("share"), "grounded")
+
+
+def v5_extract(spark, d):
+    """A paper per user from what its events report, through the stand-in extractor, checked and with its metadata."""
+    quote = F.concat(F.lit("reported "), F.col("event_type"), F.lit(" of "), F.col("value").cast("string"), F.when(F.col("event_id") % 7 == 0, "%").otherwise(""))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", quote.alias("q")))), lambda x: x["q"]), "\n")
+    per = table(spark, d, "events").groupBy("user_id").agg(told.alias("text"))
+    section = F.struct(F.lit("Results").alias("title"), F.lit(1).alias("level"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), F.col("text").alias("text"))
+    none = F.array().cast("array<struct<table_id:string,page:int,caption:string,bbox:array<double>,html:string,rows:array<array<string>>>>")
+    papers = per.select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("paper_id"), F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("title"), F.array(section).alias("sections"), none.alias("tables"))
+    made = extract.process_papers(papers, extract.extract_standin, _curated(spark, d), "stand-in", "2000-01-01T00:00:00+00:00")
+    metrics, meta = F.col("extraction.performance_metrics"), F.col("extraction_meta")
+    total = F.aggregate(metrics, F.lit(0.0), lambda s, m: s + m["value"])
+    return made.select("paper_id", "title", F.size(metrics).cast("long").alias("n_metrics"), F.round(total, 4).alias("total"), meta["input_tokens"].alias("input_tokens"), F.array_join(meta["validation_flags"], "|").alias("flags"), F.array_join(meta["curation_signal_type"], ",").alias("curated"), "error")
 
 
 def v2_range(spark, d):
@@ -170,12 +185,12 @@ fl AS (SELECT src.paper_id, CASE WHEN has_source THEN list_concat(f, CASE WHEN c
       CASE WHEN asset <> ca AND asset <> 'other' AND ca <> 'other' THEN 'asset_class_disagrees_with_curation' END], lambda x: x IS NOT NULL) END) END AS flags
   FROM src JOIN mf2 USING (user_id) LEFT JOIN cur ON cur.paper_id = src.paper_id)"""
 QUOTES = """
-qs AS (SELECT d.doc_id, list_filter(regexp_extract_all(lower(b.text), '[a-z0-9]+'), lambda w: len(w) >= 3) AS q, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS s
-  FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40),
-sh AS (SELECT doc_id, CASE WHEN len(q) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(q, lambda w: list_contains(s, w))) / len(q)::DOUBLE END AS share FROM qs)"""
+qs AS (SELECT c.conv_id || '/' || c.turn AS quote_id, list_filter(regexp_extract_all(lower(c.text), '[a-z0-9]+'), lambda w: len(w) >= 3) AS q, regexp_extract_all(lower(o.text), '[a-z0-9]+') AS s
+  FROM conversations c JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY 1) o USING (conv_id)),
+sh AS (SELECT quote_id, CASE WHEN len(q) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(q, lambda w: list_contains(s, w))) / len(q)::DOUBLE END AS share FROM qs)"""
 MET = "SELECT paper_id, title, array_to_string(signal, ',') AS signal_type, asset AS asset_class, event_type AS metric, value, unit"
 
-QUERIES = {f.__name__: f for f in (q1_array_overlap, q2_allow_list, q3_substring, q4_threshold, q5_best_metric, q6_requires_metric, q7_topk, q8_projection, q9_structured, q10_total_count, v1_containment, v1_containment_join, v2_range, v3_tag_mismatch, v4_flags, v6_revalidate, v7_flag_counts, v8_schema, e4_stats, e5_distinct, s11_summary)}
+QUERIES = {f.__name__: f for f in (q1_array_overlap, q2_allow_list, q3_substring, q4_threshold, q5_best_metric, q6_requires_metric, q7_topk, q8_projection, q9_structured, q10_total_count, v1_containment, v1_containment_join, v5_extract, v2_range, v3_tag_mismatch, v4_flags, v6_revalidate, v7_flag_counts, v8_schema, e4_stats, e5_distinct, s11_summary)}
 BEST = PICK.format(kw="purchase", op="> 50", by="value DESC, event_id")
 ORACLES = {
     "q1_array_overlap": f"WITH {REC} SELECT paper_id FROM rec WHERE list_has_any(signal, ['error', 'purchase']) AND asset IN ('c1', 'c2')",
@@ -187,9 +202,14 @@ ORACLES = {
     "q7_topk": f"WITH {REC}, p AS ({PICK.format(kw='error', op='< 5', by='value, event_id')}) {MET} FROM p JOIN rec USING (user_id) ORDER BY value, user_id LIMIT 25",
     "q8_projection": f"WITH {REC} SELECT paper_id, title, array_to_string(signal, ',') AS signal_type, asset AS asset_class, NULL::VARCHAR AS metric, NULL::DOUBLE AS value, NULL::VARCHAR AS unit, 's' AS methodology_summary FROM rec WHERE asset = 'c0' ORDER BY user_id LIMIT 25",
     "q9_structured": f"WITH {REC}, p AS ({BEST}), m AS ({MET}, user_id FROM p JOIN rec USING (user_id) WHERE list_has_any(signal, ['click', 'view']) AND asset IN ('c0', 'c1')) SELECT * EXCLUDE (user_id), (SELECT count(*) FROM m) AS total_matches FROM m ORDER BY value DESC, user_id LIMIT 25",
-    "q10_total_count": f"WITH {REC}, p AS ({BEST}), n AS (SELECT count(*) AS c FROM p JOIN rec USING (user_id) WHERE list_has_any(signal, ['click', 'view']) AND asset IN ('c0', 'c1')) SELECT c AS total_matches, CASE WHEN c = 0 THEN 'No papers in the corpus match those filters.' ELSE 'Found ' || c || ' paper(s) matching signal_type in click, view; asset_class in c0, c1; purchase > 50.0.' END AS summary FROM n UNION ALL SELECT 0, 'No papers in the corpus match those filters.' UNION ALL SELECT count(*), 'Found ' || count(*) || ' paper(s).' FROM rec",
-    "v1_containment": f"WITH {QUOTES} SELECT doc_id, share >= 0.05 AS grounded FROM sh",
-    "v1_containment_join": f"WITH {QUOTES} SELECT doc_id AS quote_id, round(share, 6) AS share, share >= 0.05 AS grounded FROM sh",
+    "q10_total_count": f"WITH {REC}, p AS ({BEST}), n AS (SELECT count(*) AS c FROM p JOIN rec USING (user_id) WHERE list_has_any(signal, ['click', 'view']) AND asset IN ('c0', 'c1')) SELECT c AS total_matches, CASE WHEN c = 0 THEN 'nothing fits' ELSE c || ' fit: signal_type in click, view; asset_class in c0, c1; purchase > 50.0' END AS summary FROM n UNION ALL SELECT 0, 'nothing fits' UNION ALL SELECT count(*), count(*) || ' fit' FROM rec",
+    "v1_containment": f"WITH {QUOTES} SELECT quote_id, share >= 0.3 AS grounded FROM sh",
+    "v1_containment_join": f"WITH {QUOTES} SELECT quote_id, round(share, 6) AS share, share >= 0.3 AS grounded FROM sh",
+    "v5_extract": f"""WITH {REC}, {CUR}, x AS (SELECT user_id, value, event_id, event_type, CASE WHEN event_id % 7 = 0 THEN 'percent' ELSE 'ratio' END AS unit FROM ev),
+m AS (SELECT user_id, count(*) AS n, round(sum(value ORDER BY event_id), 4) AS total,
+  coalesce(list('metric_out_of_range:' || chr(39) || event_type || chr(39) || '=' || value::VARCHAR || unit ORDER BY event_id) FILTER (NOT (CASE unit WHEN 'ratio' THEN value BETWEEN -15 AND 20 ELSE value BETWEEN -500 AND 5000 END)), []) AS f FROM x GROUP BY user_id)
+SELECT rec.paper_id, title, n AS n_metrics, total, 5 + 4 * n AS input_tokens, array_to_string(list_concat(f, CASE WHEN cur.paper_id IS NULL THEN ['no_curation_tags_to_cross_check'] ELSE [] END), '|') AS flags,
+  coalesce(array_to_string(cs, ','), '') AS curated, NULL::VARCHAR AS error FROM rec JOIN m USING (user_id) LEFT JOIN cur ON cur.paper_id = rec.paper_id""",
     "v2_range": f"WITH {REC} SELECT 'user:' || user_id AS paper_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, event_type AS metric_name, value, unit FROM ev QUALIFY NOT ({RANGE})",
     "v3_tag_mismatch": f"WITH {REC}, {CUR}, x AS (SELECT rec.paper_id, {MIS} FROM rec JOIN cur ON cur.paper_id = rec.paper_id) SELECT paper_id, signal_mis AS signal, asset_mis AS asset FROM x",
     "v4_flags": f"WITH {REC}, {CUR}, {FLAGS} SELECT paper_id, array_to_string(flags, '|') AS flags FROM fl",

@@ -21,6 +21,11 @@ def jsonl(spark: SparkSession, path: str, schema: str, optional: bool = False) -
     return spark.read.schema(schema).json(path)
 
 
+def eval_queries(spark: SparkSession, path: str) -> DataFrame:
+    """Questions with their relevant papers; of a repeated identifier each line is a question."""
+    return jsonl(spark, path, schemas.EVAL_QUERIES)
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
     """One JSON record per file, with ``file_name`` as the corpus order; files whose name starts with ``_`` are none."""
     rows = spark.read.schema(schemas.RECORDS).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
