@@ -110,14 +110,26 @@ def sectionize(rows: DataFrame) -> DataFrame:
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str], window: float = CAPTION_WINDOW, order: str = "pos") -> DataFrame:
     """For each left row (``row_id``) the right row of the same keys with the smallest gap between their spans, less than
-    ``window``; overlapping ones don't count; the first in ``order`` of equals. A range join, reduced per left row."""
-    a0, a1, b0, b1 = (F.col(f"l.{left_span[0]}"), F.col(f"l.{left_span[1]}"), F.col(f"r.{right_span[0]}"), F.col(f"r.{right_span[1]}"))
-    gap = F.when(b1 <= a0, a0 - b1).when(b0 >= a1, b0 - a1)
-    same = None
-    for k in keys:
-        same = (F.col(f"l.{k}") == F.col(f"r.{k}")) & (same if same is not None else F.lit(True))
-    met = left.alias("l").join(right.alias("r"), same).withColumn("gap", gap).where(F.col("gap") < window)
-    return met.groupBy(F.col("l.row_id").alias("row_id")).agg(F.min_by(F.struct(*(F.col(f"r.{c}").alias(c) for c in right.columns)), F.struct("gap", F.col(f"r.{order}"))).alias("near"), F.min("gap").alias("gap"))
+    ``window``; overlapping ones don't count; the first in ``order`` of equals: ``row_id``, ``near``, ``gap``.
+
+    An as-of join: the nearest before a span is the last that ends at its start or before, the nearest after it the first
+    that starts at its end or later. Both sides go through one sort for each direction; no pairs are formed."""
+    held = F.struct(*(F.col(c).alias(c) for c in right.columns))
+    none = F.lit(None).cast(right.select(held.alias("r")).schema["r"].dataType)
+
+    def side(before: bool) -> DataFrame:
+        mine, other = (left_span[0], right_span[1]) if before else (left_span[1], right_span[0])
+        asks = left.select(*keys, "row_id", F.col(mine).cast("double").alias("_at"), none.alias("_r"), F.lit(None).cast("double").alias("_o"))
+        gives = right.select(*keys, F.lit(None).cast(left.schema["row_id"].dataType).alias("row_id"), F.col(other).cast("double").alias("_at"), held.alias("_r"), F.col(order).cast("double").alias("_o"))
+        # at one place what is given stands before what asks, and of equals the first in order stands nearest
+        way = F.col("_at").asc() if before else F.col("_at").desc()
+        w = Window.partitionBy(*keys).orderBy(way, F.col("row_id").isNotNull(), F.col("_o").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        both = asks.unionByName(gives.where(F.col("_at").isNotNull()))
+        met = both.withColumn("_near", F.last(F.when(F.col("row_id").isNull(), F.struct("_at", "_r")), ignorenulls=True).over(w))
+        return met.where("row_id is not null and _near is not null").select("row_id", F.col("_near._r").alias("near"), F.abs(F.col("_at") - F.col("_near._at")).alias("gap"))
+
+    met = side(True).unionByName(side(False)).where(F.col("gap") < window)
+    return met.groupBy("row_id").agg(F.min_by("near", F.struct("gap", F.col(f"near.{order}"))).alias("near"), F.min("gap").alias("gap"))
 
 
 def split_tables(candidates: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -128,7 +140,7 @@ def split_tables(candidates: DataFrame, lines: DataFrame) -> tuple[DataFrame, Da
     near = nearest(tables, captions, ["paper_id", "page"], ("_y0", "_y1"), ("y0", "y1"))
     rows = tables.join(near, "row_id", "left").drop("_y0", "_y1", "row_id")
     kept = rows.where("near.kind = 'table'").select("paper_id", "page", F.format_string("p%d_t%d", "page", F.col("idx") + 1).alias("table_id"), F.col("near.text").alias("caption"), "bbox", "rows")
-    why = F.when(F.col("near.kind") == "figure", F.concat(F.lit("nearest caption is a Figure, not a Table: '"), F.col("near.text"), F.lit("'"))).otherwise("no Table/Figure caption found nearby")
+    why = F.when(F.col("near.kind") == "figure", F.concat(F.lit("beside a figure: "), F.col("near.text"))).otherwise("no caption within reach")
     rejected = rows.where("near is null or near.kind = 'figure'").select("paper_id", "page", "bbox", why.alias("reason"))
     return kept, rejected
 

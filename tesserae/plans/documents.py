@@ -13,13 +13,14 @@ from tesserae.sources import files
 
 
 def _papers(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as parsed papers: a page per line, one section per two lines."""
+    """Documents as parsed papers: a page per line, a section per two lines, and all lines as the rows of a table."""
     docs = table(spark, d, "documents")
     lines = F.split("text", "\n", -1)
     pages = F.transform(lines, lambda x, i: F.struct((i + 1).alias("page_number"), x.alias("text")))
     title = lambda i: F.when(i == 0, "Abstract").when(i == 6, "7. References").otherwise(F.concat(F.lit("1.2 Part "), i.cast("string")))
-    parts = F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda r: r["i"] % 2 == 0), lambda r: F.struct(title(r["i"]).alias("title"), F.lit(1).alias("level"), (r["i"] + 1).alias("page_start"), (r["i"] + 2).alias("page_end"), r["x"].alias("text")))
-    rows = F.transform(F.slice(lines, 1, 3), lambda x: F.transform(F.slice(F.split(x, " "), 1, 4), lambda c: F.nullif(c, F.lit("the"))))
+    pairs = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.concat_ws(" ", x, F.get(lines, i + 1)).alias("x")))
+    parts = F.transform(F.filter(pairs, lambda r: r["i"] % 2 == 0), lambda r: F.struct(title(r["i"]).alias("title"), F.lit(1).alias("level"), (r["i"] + 1).alias("page_start"), (r["i"] + 2).alias("page_end"), r["x"].alias("text")))
+    rows = F.transform(lines, lambda x: F.transform(F.split(x, " "), lambda c: F.nullif(c, F.lit("the"))))
     tables = F.array(F.struct(F.lit("p2/t1").alias("table_id"), F.lit(2).alias("page"), F.concat(F.lit(" Table 1 of "), F.col("source")).alias("caption"), F.lit(None).cast("array<double>").alias("bbox"), F.lit(None).cast("string").alias("html"), rows.alias("rows")))
     return docs.select(F.col("doc_id"), F.concat(F.lit("arxiv:"), F.col("doc_id").cast("string")).alias("paper_id"), F.col("lang").alias("title"), pages.alias("pages"), parts.alias("sections"), tables.alias("tables"))
 
@@ -29,13 +30,13 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     n = F.length("text")
     y = F.col("turn") * 40.0
-    text = F.when(F.col("role") == "system", F.concat(F.lit("Table "), F.col("turn").cast("string"), F.lit(" x"))).when(n % 5 == 0, F.concat((n % 4 + 1).cast("string"), F.lit(".2 Methods"))).when(n % 5 == 1, F.lit("Results:")).otherwise(F.translate(F.substring("text", 1, 60), "\n", " "))
+    text = F.when(F.col("role") == "system", F.concat(F.lit("Table "), F.col("turn").cast("string"), F.lit(" x"))).when(n % 5 == 0, F.concat((n % 4 + 1).cast("string"), F.lit(".2 Methods"))).when(n % 5 == 1, F.lit("Results:")).otherwise(F.translate("text", "\n", " "))
     return c.select(F.col("conv_id").cast("string").alias("paper_id"), (F.col("turn") / 4).cast("int").alias("page"), F.col("turn").cast("int").alias("pos"), text.alias("text"), ((n % 9) / 4 + 9).alias("size"), (n % 3 == 0).alias("bold"), F.array(F.lit(0.0), y, F.lit(10.0), y + 10).alias("bbox"))
 
 
 LINES = """
 ln AS (SELECT conv_id::VARCHAR AS paper_id, (turn // 4)::INT AS page, turn::INT AS pos, CASE WHEN role = 'system' THEN 'Table ' || turn || ' x'
-    WHEN length(text) % 5 = 0 THEN (length(text) % 4 + 1) || '.2 Methods' WHEN length(text) % 5 = 1 THEN 'Results:' ELSE replace(substr(text, 1, 60), chr(10), ' ') END AS text,
+    WHEN length(text) % 5 = 0 THEN (length(text) % 4 + 1) || '.2 Methods' WHEN length(text) % 5 = 1 THEN 'Results:' ELSE replace(text, chr(10), ' ') END AS text,
   (length(text) % 9) / 4.0::DOUBLE + 9 AS size, length(text) % 3 = 0 AS bold FROM conversations),
 w AS (SELECT paper_id, round_even(size * 2, 0) / 2 AS s, sum(length(text)) AS w, min(pos) AS first FROM ln GROUP BY ALL),
 body AS (SELECT paper_id, s AS body FROM w QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY w DESC, first) = 1),
@@ -76,7 +77,7 @@ def c6_rows_to_text(spark, d):
 
 
 def c7_table_batches(spark, d):
-    return chunking.tables(_papers(spark, d), most=6)
+    return chunking.tables(_papers(spark, d), most=200)
 
 
 def _sectioned(spark, d):
@@ -121,7 +122,9 @@ def p4_weighted_mode(spark, d):
 
 
 def p5_prose(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.looks_like_prose(F.substring("text", 1, 120)).alias("prose"))
+    """Lines of each text, and how many of them look like prose."""
+    lines = F.split("text", "\n", -1)
+    return table(spark, d, "documents").select("doc_id", F.size(lines).cast("long").alias("n"), F.size(F.filter(lines, T.looks_like_prose)).cast("long").alias("n_prose"))
 
 
 def p6_heading_rules(spark, d):
@@ -148,7 +151,7 @@ def p9_tables(spark, d):
 
 
 def p10_mentions(spark, d):
-    text = F.concat(F.substring("text", 1, 30), F.lit(" Table 1 and Table "), (F.col("doc_id") % 3).cast("string"), F.when(F.col("doc_id") % 2 == 0, "; TABLE 9, Table IV.").otherwise(""))
+    text = F.concat("text", F.lit(" Table 1 and Table "), (F.col("doc_id") % 3).cast("string"), F.when(F.col("doc_id") % 2 == 0, "; TABLE 9, Table IV.").otherwise(""))
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(T.table_mentions(text)), ",").alias("mentioned"))
 
 
@@ -268,7 +271,7 @@ def a6_backoff(spark, d):
     return spark.createDataFrame(rows, "attempt long, least double, most double, least_other double, most_other double")
 
 
-TABLE_BODY = "array_to_string(list_filter(list_transform(string_split(text, chr(10))[1:3], lambda x: array_to_string(list_filter(list_transform(string_split(x, ' ')[1:4], lambda c: regexp_replace(regexp_replace(CASE WHEN c = 'the' THEN '' ELSE c END, '^\\s+', ''), '\\s+$', '')), lambda c: c <> ''), ' | ')), lambda x: x <> ''), chr(10))"
+TABLE_BODY = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: array_to_string(list_filter(list_transform(string_split(x, ' '), lambda c: regexp_replace(regexp_replace(CASE WHEN c = 'the' THEN '' ELSE c END, '^\\s+', ''), '\\s+$', '')), lambda c: c <> ''), ' | ')), lambda x: x <> ''), chr(10))"
 TABLE_TEXT = f"CASE WHEN {TABLE_BODY} = '' THEN 'Table 1 of ' || source ELSE 'Table 1 of ' || source || chr(10) || chr(10) || {TABLE_BODY} END"
 SENTENCES = "list_filter(string_split(regexp_replace(regexp_replace(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '([.!?])\\s+([A-Z0-9])', '\\1' || chr(30) || '\\2', 'g'), '([.!?])\\s+([A-Z0-9])', '\\1' || chr(30) || '\\2', 'g'), chr(30)), lambda x: x <> '')"
 WORDS = "regexp_extract_all(text, '\\S+')"
@@ -287,19 +290,23 @@ ORACLES = {
     "c8_interval_join": "SELECT c.conv_id AS paper_id, c.turn::INT AS page, coalesce('s' || min(u.turn), 'Unknown') AS section_title FROM conversations c LEFT JOIN conversations u ON u.conv_id = c.conv_id AND u.role = 'user' AND c.turn BETWEEN u.turn AND u.turn + 2 GROUP BY ALL",
     "c10_token_pages": f"WITH {PAGED} SELECT 'arxiv:' || doc_id AS paper_id, count(*) AS n, max(page) AS last_page, sum((pos % 7) * page)::BIGINT AS mix FROM tk GROUP BY doc_id",
     "c11_fixed_windows": f"WITH {PAGED}, n AS (SELECT doc_id, count(*) AS n FROM tk GROUP BY 1), st AS (SELECT doc_id, unnest(range(0, (greatest(0, ceil((n - 650) / 560.0)) + 1)::BIGINT)) AS k FROM n) SELECT 'arxiv:' || doc_id || '::fixed::chunk' || k AS chunk_id, min(page)::INT AS page_start, max(page)::INT AS page_end, count(*)::INT AS token_count, md5(string_agg(t, ' ' ORDER BY pos)) AS md5 FROM st JOIN tk USING (doc_id) WHERE pos >= k * 560 AND pos < k * 560 + 650 GROUP BY doc_id, k",
-    "c12_doc_text": f"WITH s AS (SELECT doc_id, i - 1 AS i, regexp_replace(regexp_replace(line, '^\\s+', ''), '\\s+$', '') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)), b AS (SELECT doc_id, string_agg('## ' || CASE i WHEN 0 THEN 'Abstract' ELSE '1.2 Part ' || i END || chr(10) || line, chr(10) || chr(10) ORDER BY i) AS body FROM s WHERE i % 2 = 0 AND i <> 6 AND line <> '' GROUP BY 1) SELECT 'arxiv:' || doc_id AS paper_id, md5('Title: ' || lang || coalesce(chr(10) || chr(10) || body, '') || chr(10) || chr(10) || '## Table p2/t1 (page 2)' || chr(10) || {TABLE_TEXT}) AS md5 FROM documents LEFT JOIN b USING (doc_id)",
+    "c12_doc_text": f"""WITH ln AS (SELECT doc_id, i - 1 AS i, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+s AS (SELECT doc_id, i // 2 * 2 AS i, regexp_replace(regexp_replace(string_agg(line, ' ' ORDER BY ln.i), '^\\s+', ''), '\\s+$', '') AS line FROM ln GROUP BY doc_id, ln.i // 2),
+b AS (SELECT doc_id, string_agg('## ' || CASE i WHEN 0 THEN 'Abstract' ELSE '1.2 Part ' || i END || chr(10) || line, chr(10) || chr(10) ORDER BY i) AS body FROM s WHERE i <> 6 AND line <> '' GROUP BY 1)
+SELECT 'arxiv:' || doc_id AS paper_id, md5('Title: ' || lang || coalesce(chr(10) || chr(10) || body, '') || chr(10) || chr(10) || '## Table p2/t1 (page 2)' || chr(10) || {TABLE_TEXT}) AS md5 FROM documents LEFT JOIN b USING (doc_id)""",
     "s9_chunk_stats": "SELECT lang AS chunk_type, count(*) AS n, round(avg(n_chars), 4) AS mean, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY lang UNION ALL SELECT NULL, count(*), round(avg(n_chars), 4), min(n_chars), max(n_chars) FROM documents",
     "p4_weighted_mode": f"WITH {LINES} SELECT * FROM body",
-    "p5_prose": "SELECT doc_id, NOT regexp_matches(substr(text, 1, 120), '[\\x00-\\x1f]') AND (text = '' OR length(regexp_replace(substr(text, 1, 120), '[\\x00-\\x7f]', '', 'g')) / greatest(length(substr(text, 1, 120)), 1) <= 0.15) AS prose FROM documents",
+    "p5_prose": "SELECT doc_id, len(string_split(text, chr(10))) AS n, len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '[\\x00-\\x1f]') AND (x = '' OR length(regexp_replace(x, '[\\x00-\\x7f]', '', 'g')) / greatest(length(x), 1) <= 0.15))) AS n_prose FROM documents",
     "p6_heading_rules": f"WITH {LINES} SELECT paper_id, pos, level FROM hd",
     "p7_sessionize": f"WITH {LINES}, sg AS (SELECT *, count(level) OVER (PARTITION BY paper_id ORDER BY pos) AS seg FROM hd) SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY seg) - 1 AS sec_idx, coalesce(max(text) FILTER (level IS NOT NULL), 'Front Matter') AS title, coalesce(max(level), 0)::INT AS level, min(page) AS page_start, coalesce(max(page) FILTER (level IS NULL), min(page)) AS page_end, md5(trim(coalesce(string_agg(text, ' ' ORDER BY pos) FILTER (level IS NULL), ''))) AS md5 FROM sg GROUP BY paper_id, seg",
     "p8_nearest": "WITH j AS (SELECT a.event_id AS row_id, b.event_id AS near, CASE WHEN b.value + 1 <= a.value THEN a.value - (b.value + 1) WHEN b.value >= a.value + 1 THEN b.value - (a.value + 1) END AS gap FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'purchase') SELECT row_id, near, round(gap, 6) AS gap FROM j WHERE gap < 5 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY gap, near) = 1",
-    "p9_tables": f"WITH {LINES}, cap AS (SELECT paper_id, page, pos, text, pos * 40.0::DOUBLE AS y0, pos * 40.0::DOUBLE + 10 AS y1 FROM ln WHERE regexp_matches(text, '^\\s*(TABLE|Table)\\s+([IVXLCDM]+|\\d+)\\b')), tb AS (SELECT paper_id, page, pos, pos * 40.0::DOUBLE + 3 AS y0, pos * 40.0::DOUBLE + 13 AS y1 FROM ln WHERE pos % 3 = 1), nr AS (SELECT tb.paper_id, tb.page, tb.pos, cap.text, CASE WHEN cap.y1 <= tb.y0 THEN tb.y0 - cap.y1 WHEN cap.y0 >= tb.y1 THEN cap.y0 - tb.y1 END AS gap, cap.pos AS cpos FROM tb JOIN cap ON tb.paper_id = cap.paper_id AND tb.page = cap.page WHERE gap < 120 QUALIFY row_number() OVER (PARTITION BY tb.paper_id, tb.pos ORDER BY gap, cpos) = 1) SELECT tb.paper_id, tb.page, CASE WHEN text IS NULL THEN 'rejected' ELSE 'kept' END AS kind, coalesce(text, 'no Table/Figure caption found nearby') AS caption FROM tb LEFT JOIN nr USING (paper_id, pos)",
-    "p10_mentions": "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(substr(text, 1, 30) || ' Table 1 and Table ' || (doc_id % 3) || CASE WHEN doc_id % 2 = 0 THEN '; TABLE 9, Table IV.' ELSE '' END, '\\bTable\\s+([IVXLCDM]+|\\d+)\\b', 1))), ',') AS mentioned FROM documents",
+    "p9_tables": f"WITH {LINES}, cap AS (SELECT paper_id, page, pos, text, pos * 40.0::DOUBLE AS y0, pos * 40.0::DOUBLE + 10 AS y1 FROM ln WHERE regexp_matches(text, '^\\s*(TABLE|Table)\\s+([IVXLCDM]+|\\d+)\\b')), tb AS (SELECT paper_id, page, pos, pos * 40.0::DOUBLE + 3 AS y0, pos * 40.0::DOUBLE + 13 AS y1 FROM ln WHERE pos % 3 = 1), nr AS (SELECT tb.paper_id, tb.page, tb.pos, cap.text, CASE WHEN cap.y1 <= tb.y0 THEN tb.y0 - cap.y1 WHEN cap.y0 >= tb.y1 THEN cap.y0 - tb.y1 END AS gap, cap.pos AS cpos FROM tb JOIN cap ON tb.paper_id = cap.paper_id AND tb.page = cap.page WHERE gap < 120 QUALIFY row_number() OVER (PARTITION BY tb.paper_id, tb.pos ORDER BY gap, cpos) = 1) SELECT tb.paper_id, tb.page, CASE WHEN text IS NULL THEN 'rejected' ELSE 'kept' END AS kind, coalesce(text, 'no caption within reach') AS caption FROM tb LEFT JOIN nr USING (paper_id, pos)",
+    "p10_mentions": "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text || ' Table 1 and Table ' || (doc_id % 3) || CASE WHEN doc_id % 2 = 0 THEN '; TABLE 9, Table IV.' ELSE '' END, '\\bTable\\s+([IVXLCDM]+|\\d+)\\b', 1))), ',') AS mentioned FROM documents",
     "p10_diagnostics": f"WITH {LINES}, pp AS (SELECT paper_id, count(DISTINCT page) AS num_pages, len(list_distinct(flatten(list(regexp_extract_all(text, '\\bTable\\s+([IVXLCDM]+|\\d+)\\b', 1))))) AS m, count(level) AS h FROM hd GROUP BY 1), cc AS (SELECT paper_id, count(*) AS n, count(DISTINCT regexp_extract(text, '\\d+')) AS c FROM ln WHERE regexp_matches(text, '^\\s*(TABLE|Table)\\s+([IVXLCDM]+|\\d+)\\b') AND pos % 2 = 0 GROUP BY 1) SELECT paper_id, num_pages, h AS num_headings_detected, m AS mentioned_table_count, coalesce(n, 0) AS captured_table_count, m > coalesce(c, 0) AS tables_garbled, h / num_pages > 3.5 AS headings_garbled, m > coalesce(c, 0) OR h / num_pages > 3.5 AS needs_fallback_parser FROM pp LEFT JOIN cc USING (paper_id)",
     "p12_html_table": "SELECT page_id, 'a,' || page_id || ';b & c' AS rows FROM pages",
     "p13_block_page": "SELECT page_id, (page_id + 1)::INT AS page FROM pages",
     "p14_heading_level": "SELECT page_id, CASE WHEN page_id % 9 BETWEEN 1 AND 6 THEN page_id % 9 ELSE 1 END::INT AS level FROM pages",
+    "p15_walk": "SELECT page_id, 0::INT AS ord, -1::INT AS parent, 0::INT AS idx, 'Document' AS block_type, NULL::VARCHAR AS id FROM pages UNION ALL SELECT page_id, 1, 0, 0, 'Page', url FROM pages UNION ALL SELECT page_id, 2, 1, 0, 'Text', page_id::VARCHAR FROM pages",
     "p16_sibling_caption": "WITH b AS (SELECT *, CASE WHEN role = 'user' THEN 'Caption' WHEN role = 'system' THEN 'SectionHeader' WHEN turn % 3 = 1 THEN 'Table' ELSE 'Text' END AS bt FROM conversations), s AS (SELECT *, lag(bt) OVER w AS pb, lag(turn) OVER w AS pt, lead(bt) OVER w AS nb, lead(turn) OVER w AS nt FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id AS paper_id, '/page/' || (turn % 3) || '/x/' || turn AS table_id, (turn % 3 + 1)::INT AS page, CASE WHEN pb = 'Caption' THEN 't' || pt || ' <' WHEN nb = 'Caption' THEN 't' || nt || ' <' ELSE '' END AS caption FROM s WHERE bt = 'Table'",
     "p17_block_sections": "WITH b AS (SELECT *, CASE WHEN role = 'user' THEN 'Caption' WHEN role = 'system' THEN 'SectionHeader' WHEN turn % 3 = 1 THEN 'Table' ELSE 'Text' END AS bt FROM conversations), s AS (SELECT *, count(*) FILTER (bt = 'SectionHeader') OVER (PARTITION BY conv_id ORDER BY turn) AS seg FROM b WHERE bt <> 'Table') SELECT conv_id AS paper_id, row_number() OVER (PARTITION BY conv_id ORDER BY seg) - 1 AS sec_idx, coalesce('t' || max(turn) FILTER (bt = 'SectionHeader') || ' <', 'Front Matter') AS title, CASE WHEN max(bt = 'SectionHeader') THEN 3 ELSE 0 END AS level, 5 AS page_start, 5 AS page_end, coalesce(string_agg('t' || turn || ' <', ' ' ORDER BY turn) FILTER (bt <> 'SectionHeader'), '') AS text FROM s GROUP BY conv_id, seg",
     "p19_upsert": "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN lower(s_name) ELSE s_name END AS s_name FROM supplier",

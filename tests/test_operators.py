@@ -218,7 +218,7 @@ def test_total_is_counted_before_the_limit(spark):
     rows = frame(spark, *(record(spark, [("m", float(i), "ratio", "")], key=f"{i:03d}") for i in range(30)))
     top = facts.structured_query(rows, facts.Params(keyword="m"), with_total=True).collect()
     assert len(top) == 25 and {r.total_matches for r in top} == {30} and not top[0].mixed_units
-    assert facts.summary(rows, facts.Params(keyword="m", operator=">", threshold=2)).head().summary == "Found 27 paper(s) matching m > 2.0."
+    assert facts.summary(rows, facts.Params(keyword="m", operator=">", threshold=2)).head().summary == "27 fit: m > 2.0"
 
 
 @pytest.mark.parametrize("name,value,unit,want", [("x", 20.0, "ratio", False), ("x", -15.0, "ratio", False), ("x", 20.1, "ratio", True), ("t-stat of x", 900.0, "ratio", False), ("Chi square", 1000.1, "ratio", True), ("x", float("nan"), "ratio", True), ("x", -0.1, "stddev", True), ("x", 5e11, "unknown", False), ("x", 2e12, "unknown", True)])
@@ -281,7 +281,7 @@ def test_nearest_captions(spark):
     spots = spark.createDataFrame([("p", 1, 0, [0.0, 420.0, 1.0, 450.0], [["a"]]), ("p", 1, 1, [0.0, 130.0, 1.0, 140.0], [["b"]]), ("p", 1, 2, [0.0, 129.9, 1.0, 140.0], [["c"]]), ("p", 1, 3, [0.0, 490.0, 1.0, 500.0], [["d"]])], "paper_id string, page int, idx int, bbox array<double>, rows array<array<string>>")
     kept, rejected = parsing.split_tables(spots, lines)
     assert sorted((r.table_id, r.caption) for r in kept.collect()) == [("p1_t1", "Table 2 tie"), ("p1_t3", "Table 1 far")]
-    assert sorted(r.reason[:22] for r in rejected.collect()) == ["nearest caption is a F", "no Table/Figure captio"]
+    assert sorted(r.reason[:22] for r in rejected.collect()) == ["beside a figure: Figur", "no caption within reac"]
 
 
 def test_html_and_trees(spark):
@@ -323,7 +323,7 @@ def test_answers(spark):
     got = engine.hybrid("works", facts.Params(keyword="sharpe", operator=">", threshold=0.5))
     assert got["answer"] == "yes" and asked[-1].startswith("[1] (")
     assert engine.hybrid("works", facts.Params(keyword="none such"))["answer"] is None
-    assert engine.retrieved("zzz", facts.Params())["caveat"] == "Retrieval returned zero results."
+    assert engine.retrieved("zzz", facts.Params())["caveat"] == answer.NOTHING["caveat"]
 
 
 def test_retries():
@@ -415,3 +415,122 @@ def test_entry(spark, small):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+# ---------------------------------------------------------------- extraction, batches, pages, indexes
+
+
+def papers_of(spark, texts):
+    rows = [(i, f"T {i}", [("Results", 1, 1, 1, t)], []) for i, t in texts.items()]
+    return spark.createDataFrame(rows, "paper_id string, title string, sections array<struct<title:string,level:int,page_start:int,page_end:int,text:string>>, tables array<struct<table_id:string,page:int,caption:string,bbox:array<double>,html:string,rows:array<array<string>>>>")
+
+
+def quota(code, quota_id):
+    from tesserae.operators import answer
+
+    return answer.ServiceError(code, {"error": {"details": [{"@type": "x.QuotaFailure", "violations": [{"quotaId": quota_id}]}]}})
+
+
+def test_extraction_keeps_failures_apart_and_stops(spark, tmp_path):
+    from tesserae.operators import extract
+
+    tags = spark.createDataFrame([("a", ["momentum"], ["fx"])], "paper_id string, signal_type array<string>, asset_class array<string>")
+    papers = papers_of(spark, {"a": "reported gain of 250% here", "b": "reported x of 1.5", "bad": "broken"})
+
+    def extractor(text):
+        if "broken" in text:
+            raise ValueError("no model can read this")
+        return extract.extract_standin(text)
+
+    rows = {r.paper_id: r for r in extract.process_papers(papers, extractor, tags, "m", "now", sleep=lambda s: None).collect()}
+    assert rows["a"].extraction.performance_metrics[0].value == 250 and rows["a"].extraction_meta.validation_flags == [] and rows["a"].extraction_meta.curation_signal_type == ["momentum"]
+    assert rows["b"].extraction_meta.validation_flags == ["no_curation_tags_to_cross_check"] and rows["b"].extraction_meta.input_tokens == 9 and rows["b"].extraction_meta.model == "m"
+    assert rows["bad"].extraction is None and rows["bad"].extraction_meta is None and rows["bad"].error == "RuntimeError: no model can read this"
+
+    def spent(text):
+        from tesserae.operators import answer
+
+        raise answer.ServiceError(429, {"error": {"details": [{"@type": "x.QuotaFailure", "violations": [{"quotaId": "GenerateRequestsPerDay"}]}]}})
+
+    none = spark.createDataFrame([], "paper_id string")
+    many = papers_of(spark, {str(i): "x" for i in range(40)})
+    told = extract.run_extraction(many, none, f"{tmp_path}/spent", spent, tags, "m", size=10, sleep=lambda s: None)
+    assert len(told) == 1 and told[0]["stop"] and told[0]["ok"] == 0
+    told = extract.run_extraction(papers, none, f"{tmp_path}/run", extractor, tags, "m", size=2, sleep=lambda s: None)
+    assert sum(x["ok"] for x in told) == 2 and sum(x["failed"] for x in told) == 1
+    assert {r.paper_id for r in spark.read.json(f"{tmp_path}/run/records").collect()} == {"a", "b"} and spark.read.json(f"{tmp_path}/run/failed").head().paper_id == "bad"
+
+
+def test_which_errors_are_fatal():
+    from tesserae.operators import answer
+
+    tried = []
+
+    def failing(error):
+        def call():
+            tried.append(1)
+            raise error
+
+        return call
+
+    for error, kind, n in ((quota(429, "RequestsPerDay"), answer.DayQuota, 1), (answer.ServiceError(404), answer.Fatal, 1), (quota(429, "PerMinute"), RuntimeError, 3), (answer.ServiceError(429, {"error": None}), RuntimeError, 3)):
+        tried.clear()
+        with pytest.raises(kind):
+            answer.with_retries(failing(error), 3, sleep=lambda s: None)
+        assert len(tried) == n
+
+
+def test_paged_listing(spark, tmp_path):
+    from tesserae.sources import paged
+
+    spark.dataSource.register(paged.PagedListing)
+    read = lambda **options: spark.read.format("paged_listing").options(**options).load().collect()
+    for i in (0, 2, 6):
+        (tmp_path / f"page-{i}.json").write_text(json.dumps([{"entry_id": f"e{i}", "title": "t"}, {"entry_id": f"e{i + 1}", "authors": ["a", "b"]}]))
+    rows = read(fetch="tesserae.sources.paged:replay", query=f"file://{tmp_path}", max=7, page_size=2)
+    assert sorted(r.entry_id for r in rows) == ["e0", "e1", "e2", "e3", "e6"] and [r.pos for r in rows if r.entry_id == "e3"] == [3]
+    (tmp_path / "page-4.json").write_text("no json")
+    rows = read(fetch="tesserae.sources.paged:replay", query=f"file://{tmp_path}", max=7, page_size=2, retries=2)
+    assert len(rows) == 6 and [r.page for r in rows if r.error] == [2]
+
+
+def test_index_is_written_once_and_again_for_another_state(spark, tmp_path):
+    from tesserae.sources import catalog
+
+    path, put = f"{tmp_path}/t.parquet", lambda rows: spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+    put([(1, "a b a"), (2, None), (3, "b c")])
+    held = catalog.index_of(spark, path)
+    assert sorted(tuple(r) for r in held.postings.collect()) == [(1, "a", 2, 3), (1, "b", 1, 3), (3, "b", 1, 2), (3, "c", 1, 2)]
+    assert held.n_docs == 3 and held.mean_length == pytest.approx(5 / 3)
+    assert catalog.index_of(spark, path).postings.inputFiles() == held.postings.inputFiles()
+    put([(1, "z")])
+    assert catalog.index_of(spark, path).n_docs == 1
+    q = spark.createDataFrame([(1, "b a"), (2, "a b"), (3, "...")], "query_id long, text string")
+    docs = spark.createDataFrame([(1, "x, B a! c"), (2, "a. b"), (3, "ba a")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in retrieval.holders(q, docs, retrieval.index(docs)).collect()) == [(1, 1), (2, 2)]
+
+
+def test_embed_by_a_model_in_batches(spark):
+    def make():
+        import numpy
+
+        return lambda texts: numpy.array([[len(x), len(texts)] for x in texts], float)
+
+    df = spark.createDataFrame([(i, "x" * i if i else None) for i in range(70)], "doc_id long, text string").coalesce(1)
+    got = {r.doc: r.embedding for r in retrieval.embed(df, make, prefix="pp").collect()}
+    assert len(got) == 70 and got[0] == pytest.approx([2 / np.hypot(2, 32), 32 / np.hypot(2, 32)], rel=1e-6) and got[69] == pytest.approx([71 / np.hypot(71, 6), 6 / np.hypot(71, 6)], rel=1e-6)
+
+
+def test_nearest_by_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    spans = lambda n: [(rng.randrange(2), i, float(a := rng.randrange(30)), float(a + rng.randrange(4))) for i in range(n)]
+    left, right = spans(60), spans(25)
+    got = {r.row_id: (r.near.pos, r.gap) for r in parsing.nearest(spark.createDataFrame(left, "k int, row_id long, lo double, hi double"), spark.createDataFrame(right, "k int, pos long, lo double, hi double"), ["k"], ("lo", "hi"), ("lo", "hi"), 6.0).collect()}
+    want = {}
+    for k, i, a0, a1 in left:
+        gaps = [(a0 - b1 if b1 <= a0 else b0 - a1, p) for q, p, b0, b1 in right if q == k and (b1 <= a0 or b0 >= a1)]
+        if gaps and min(gaps)[0] < 6:
+            want[i] = (min(gaps)[1], min(gaps)[0])
+    assert got == want and len(want) > 20
