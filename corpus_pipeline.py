@@ -3,8 +3,8 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that its predecessor kept; all but the last return the
 columns of ``documents``. ``run`` writes what a stage returns to the shared folder and hands it to the next.
 
-Rows with null identifiers pass through the stages that compare documents. Repeated rows of a document leave one row
-behind in near-dedup. An empty table passes through all stages.
+Rows with null identifiers pass through the stages that compare documents. Of repeated rows of a document near-dedup
+leaves one, that with the least text. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import near_dedup, packing, quality_model, quality_rules, substring_dedup
-from tesserae.llm.shared import bound_batches, materialise, table
+from tesserae.llm.shared import bound_batches, materialise, sieved, table
 
 #: Near duplicates share at least this percentage of their five-word shingles.
 NEAR_PERCENT = 80
@@ -34,10 +34,18 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the smallest identifier."""
-    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT)
+    found = materialise(near_dedup.near_duplicates(docs, percent=NEAR_PERCENT))
     gone = materialise(found.where("not kept").select("doc_id").distinct())
-    rest = docs.join(gone, "doc_id", "left_anti").withColumn("_row", F.coalesce(F.col("doc_id"), F.xxhash64("text")))
-    return rest.dropDuplicates(["_row"]).select(*docs.columns)
+    # only documents that may be gone, or that come more than once, move
+    maybe, rest = sieved(docs, F.col("doc_id"), gone, "doc_id")
+    rest = rest.unionByName(maybe.join(gone, "doc_id", "left_anti").select(*docs.columns))
+    again = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return rest
+    rest = materialise(rest)
+    row = F.struct(*docs.columns)
+    one = rest.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text"), F.to_json(row))).alias("r")).select("r.*")
+    return rest.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
 """Document fingerprints by SpotSigs, in DataFrame functions only.
 
-A spot is an anchor (a very common word); its signature is the chain of the next two content words, stop words skipped.
-The set of a text's signatures is its fingerprint. Sets are compared by Jaccard, pruned by their sizes: they can't be
-more alike than the smaller size over the larger.
+A spot is an anchor (a very common word); its signature is the chain of the next two content words, stop words and other
+anchors skipped (of one, where the text ends). The set of a text's signatures is its fingerprint. Sets are compared by
+Jaccard, pruned by their sizes: they can't be more alike than the smaller size over the larger.
 
 ``edited`` and ``next`` texts need each document's successor by descending identifier. Rows are dealt into at most
-``BUCKETS`` ranges of identifiers (boundaries by approximate percentiles, each range cut evenly), each range also gets
+``BUCKETS`` ranges of identifiers (more with more rows) (boundaries by approximate percentiles, each range cut evenly), each range also gets
 the first document of the following one as a guest, and a window finds the successor inside. One shuffle of the texts.
 
 Defined results. Null or empty text: no signatures, fingerprint ``''``; two such are alike (1.0), one such and another
@@ -37,36 +37,41 @@ STOPS = sorted(
     )
 )
 CHAIN = 2
-BUCKETS = 8192
+BUCKETS = 1 << 17
 _RANGES = 64
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SPOT = "\x01"
 
 
+def _digest(text: Column) -> Column:
+    """16 hexadecimal digits."""
+    return F.substring(F.md5(text), 1, 16)
+
+
 def signatures(text: Column) -> Column:
-    """The sorted distinct 64-bit signatures of a text."""
+    """The sorted distinct signatures of a text, 16 hexadecimal digits each."""
 
     def of_words(words: Column) -> Column:
         content = F.filter(words, lambda w: ~w.isin([w for w in STOPS if w not in ANCHORS]))
         marked = F.array_join(F.transform(content, lambda w: F.when(w.isin(ANCHORS), F.lit(_SPOT)).otherwise(w)), " ")
-        # a part ends with a space unless it is the last, so parts can be put together again
-        chains = let(F.split(marked, _SPOT + " ?", -1), of_parts)
-        whole = F.when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
+        # anchors become a mark on the content word that follows them
+        chains = let(F.split(F.regexp_replace(marked, f"({_SPOT} )+", _SPOT), " ", -1), of_content)
+        whole = F.when(F.size(words) > 0, F.array(_digest(F.array_join(words, " ")))).otherwise(F.array().cast("array<string>"))
         return let(chains, lambda c: F.when(F.size(c) > 0, c).otherwise(whole))
 
-    def of_parts(parts: Column) -> Column:
-        places = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        at = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
-        chain = lambda i: F.rtrim(F.substring_index(F.concat(at(i), at(i + 1), at(i + 2)), " ", CHAIN))
-        return F.array_sort(F.array_distinct(F.transform(F.filter(F.transform(places, chain), lambda c: c != ""), lambda c: F.xxhash64(c))))
+    def of_content(content: Column) -> Column:
+        plain = lambda w: F.translate(F.coalesce(w, F.lit("")), _SPOT, "")
+        chain = lambda w, i: F.rtrim(F.concat_ws(" ", plain(w), *(plain(F.get(content, i + k)) for k in range(1, CHAIN))))
+        spots = F.transform(content, lambda w, i: F.when(F.startswith(w, F.lit(_SPOT)) & (plain(w) != ""), _digest(chain(w, i))))
+        return F.array_sort(F.array_distinct(F.array_compact(spots)))
 
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _BREAK, -1), lambda w: w != "")
     return let(words, of_words)
 
 
 def fingerprint(signature: Column) -> Column:
-    """Signatures as text: 16 hexadecimal digits each."""
-    return F.array_join(F.transform(signature, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    """Signatures as one text."""
+    return F.array_join(signature, "")
 
 
 def likeness(a: Column, b: Column, least: float = 0.0) -> Column:
@@ -102,7 +107,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", rows_each: int = 512) -> Dat
     rows = rows.withColumn("_bucket", bucket)
     # the largest identifier of each bucket is the guest of the bucket above; that of the topmost is the lowest's
     tops = rows.groupBy("_bucket").agg(F.max("_id").alias("_id"))
-    order = Window.partitionBy(F.lit(0)).orderBy("_bucket")  # BUCKETS + 1 rows at most
+    order = Window.partitionBy(F.lit(0)).orderBy("_bucket")  # BUCKETS + 1 rows at most, whatever the input
     lowest_bucket = F.min("_bucket").over(Window.partitionBy(F.lit(0)))
     guests = tops.select("_id", F.coalesce(F.lead("_bucket").over(order), lowest_bucket).alias("_bucket"))
     own = rows.select(key, "text", "_id", "_bucket", F.lit(0).alias("_guest"))
@@ -132,4 +137,33 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_spotsigs": op1_spotsigs}
-ORACLES: dict[str, str] = {}
+_QUOTED = {k: ", ".join(f"'{w}'" for w in v) for k, v in (("anchors", ANCHORS), ("stops", [w for w in STOPS if w not in ANCHORS]))}
+ORACLES: dict[str, str] = {
+    "op1_spotsigs": f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS nt, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id
+  FROM documents WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+), e AS (
+  SELECT *, substr(t, 1, length(t) - length(t) // 2) || substr(nt, 1, length(t) // 2) AS edited FROM d
+), x AS (
+  SELECT doc_id, 0 AS kind, t FROM e UNION ALL SELECT doc_id, 1, edited FROM e
+), w AS (
+  SELECT doc_id, kind, regexp_extract_all(lower(t), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM x
+), c AS (
+  SELECT *, string_split(regexp_replace(array_to_string(list_transform(list_filter(w, lambda y: y NOT IN ({_QUOTED["stops"]})),
+    lambda y: CASE WHEN y IN ({_QUOTED["anchors"]}) THEN chr(1) ELSE y END), ' '), '(' || chr(1) || ' )+', chr(1), 'g'), ' ') AS c FROM w
+), s AS (
+  SELECT doc_id, kind, w, list_sort(list_distinct(list_filter(list_transform(c, lambda y, i: CASE WHEN starts_with(y, chr(1)) AND replace(y, chr(1), '') <> ''
+    THEN substr(md5(rtrim(replace(y, chr(1), '') || ' ' || replace(coalesce(c[i + 1], ''), chr(1), ''))), 1, 16) END), lambda y: y IS NOT NULL))) AS s FROM c
+), f AS (
+  SELECT doc_id, kind, CASE WHEN len(s) > 0 THEN s WHEN len(w) > 0 THEN [substr(md5(array_to_string(w, ' ')), 1, 16)] ELSE [] END AS s FROM s
+), p AS (
+  SELECT e.doc_id, length(t) AS n_chars, sha256(edited) AS edited_sha256, a.s AS own, b.s AS changed, n.s AS following
+  FROM e JOIN f a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN f b ON b.doc_id = e.doc_id AND b.kind = 1 JOIN f n ON n.doc_id = e.next_id AND n.kind = 0
+)
+SELECT doc_id, n_chars, edited_sha256, array_to_string(own, '') AS fingerprint, array_to_string(changed, '') AS edited_fingerprint,
+  CASE WHEN len(own) + len(changed) = 0 THEN 1 WHEN len(own) = 0 OR len(changed) = 0 THEN 0 ELSE len(list_intersect(own, changed)) / (len(own) + len(changed) - len(list_intersect(own, changed)))::DOUBLE END::DOUBLE AS near_edited,
+  CASE WHEN len(own) + len(following) = 0 THEN 1 WHEN len(own) = 0 OR len(following) = 0 THEN 0 ELSE len(list_intersect(own, following)) / (len(own) + len(following) - len(list_intersect(own, following)))::DOUBLE END::DOUBLE AS near_next
+FROM p
+"""
+}

@@ -27,12 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, hash_strings, materialise, slices, table, tidy, word_arrays
+from .shared import BASE, STEP_BYTES, Lookup, Words, materialise, mix64, slices, spans_of, split_words, table, tidy
 
 #: Words of the network up to ``TOKENS`` words of training text; beyond, it grows with their cube root.
 VOCABULARY, TOKENS = 1024, 10_000_000
@@ -41,11 +40,13 @@ HIDDEN = 16
 KINDS = 6
 KNOWN = 200_000
 ROUNDS = 4
-LANES, WINDOW = 128, 64
-TRAIN_LANES, TRAIN_WINDOW = 32, 16
+LANES, WINDOW = 256, 32
+TRAIN_LANES, TRAIN_WINDOW = 128, 32
 #: Tokens of a text that training takes without a fresh state.
-SEGMENT = 256
-RATE = 0.02
+SEGMENT = 1024
+RATE = 0.04
+#: Tasks whose weights are added up by one task.
+FAN = 32
 #: The end token's key in the count table; no word hashes to it but by a chance of 2**-64.
 END_KEY = np.uint64(0x51AFD7ED558CCD01)
 
@@ -53,16 +54,22 @@ END_KEY = np.uint64(0x51AFD7ED558CCD01)
 # ---------------------------------------------------------------- words
 
 
-def _kinds(vocabulary: pa.Array) -> np.ndarray:
+#: By a word's last byte: 1 a full stop, 2 another sign, else 0.
+_LAST = np.array([1 if c == 46 else 0 if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 2 for c in range(256)], np.int64)
+
+
+def _kinds(words: Words) -> np.ndarray:
     """By characters: non-ASCII or not, and a last character that is a full stop, another sign, or neither."""
-    if not len(vocabulary):
-        return np.zeros(0, np.int64)
-    high = pc.not_equal(pc.binary_length(vocabulary), pc.utf8_length(vocabulary)).to_numpy(zero_copy_only=False)
-    _, offsets, data = vocabulary.buffers()
-    ends = np.frombuffer(offsets, np.int64)[vocabulary.offset + 1 : vocabulary.offset + len(vocabulary) + 1]
-    last = np.frombuffer(data, np.uint8)[ends - 1]  # words are never empty
-    sign = (last < 48) | ((last > 57) & (last < 97)) | ((last > 122) & (last < 128))
-    return 3 * high + np.where(last == 46, 1, np.where(sign, 2, 0))
+    high = np.concatenate((np.zeros(1, np.int32), np.cumsum(words.data >= 128, dtype=np.int32)))
+    return 3 * (high[words.ends] > high[words.starts]) + _LAST[words.data[words.ends - 1]]
+
+
+def _counted(hashes: np.ndarray, *more: np.ndarray) -> tuple:
+    """Distinct hashes, where each begins in the sorted order, and ``more`` in that order."""
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+    return hashes[first], first, *(x[order] for x in more)
 
 
 def held_out(key: Column) -> Column:
@@ -75,16 +82,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(held: list) -> pa.RecordBatch:
-            words, kinds, c = (np.concatenate(x) for x in zip(*held, strict=True))
-            unique, first, inverse = np.unique(words, return_index=True, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(kinds[first].astype(np.int32)), pa.array(np.bincount(inverse, c).astype(np.int64))], ["word", "kind", "c"])
+            words, first, kinds, c = _counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(kinds[first].astype(np.int32)), pa.array(np.add.reduceat(c, first))], ["word", "kind", "c"])
 
         held, n = [], 0
-        for part in slices(batches, "text"):
-            codes, vocabulary, _ = word_arrays(part.column("text"))
-            held.append((hash_strings(vocabulary), _kinds(vocabulary), np.bincount(codes, minlength=len(vocabulary))))
+        for part in slices(batches, "text", STEP_BYTES // 2):
+            w = split_words(part.column("text"))
+            words, first, kinds = _counted(w.hashes, _kinds(w))
+            held.append((words, kinds[first], np.diff(np.append(first, len(kinds)))))
             held.append((np.array([END_KEY]), np.array([-1]), np.array([part.num_rows])))
-            n += len(vocabulary)
+            n += len(words)
             if n > 1_000_000:
                 yield batch(held)
                 held, n = [], 0
@@ -154,7 +161,7 @@ class Gated:
     (classes of ``CLASS``), rare kinds (a class each). ``p`` holds all weights; the named ones are views of it."""
 
     def __init__(self, counts: Counts, hidden: int = HIDDEN):
-        self.size, self.hidden = counts.size, hidden
+        self.size, self.hidden, self.rooms = counts.size, hidden, {}
         self.classes = -(-self.size // CLASS)
         padded, n_out = self.classes * CLASS, self.classes + KINDS
         shapes = {"x": (self.size + KINDS + 1, 3 * hidden), "u": (hidden, 3 * hidden), "wc": (hidden, n_out), "bc": (n_out,), "wo": (padded, hidden), "bo": (padded,)}
@@ -181,90 +188,149 @@ class Gated:
     def load(self, p: np.ndarray) -> None:
         self.p[...] = p
 
-    def step(self, word: np.ndarray, h: np.ndarray) -> tuple:
+    def step(self, word: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The state after a word."""
+        room = lambda name, width: self._room(name, (len(h), width), h.dtype)
         k = self.hidden
-        a, b = self.x[word], h @ self.u
-        gates = 1 / (1 + np.exp(-(a[:, : 2 * k] + b[:, : 2 * k])))
-        z, r = gates[:, :k], gates[:, k:]
-        n = np.tanh(a[:, 2 * k :] + r * b[:, 2 * k :])
-        return n + z * (h - n), z, r, n, b[:, 2 * k :]
-
-    def _groups(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Rows of each class of words among the targets."""
-        cls = np.where(target < self.size, target // CLASS, -1)
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            if cuts[c + 1] > cuts[c]:
-                yield c, order[cuts[c] : cuts[c + 1]]
+        return self._step(self.x[word], h, room("gate", 2 * k), room("made", k), room("part", k), np.empty_like(h))
+
+    def _step(self, a: np.ndarray, h: np.ndarray, gates: np.ndarray, new: np.ndarray, inner: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """The state after inputs ``a``, into ``out``; the other arrays take what the gradient needs."""
+        k = self.hidden
+        b = h @ self.u
+        np.add(a[:, : 2 * k], b[:, : 2 * k], out=gates)
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        inner[...] = b[:, 2 * k :]
+        np.multiply(gates[:, k:], inner, out=new)
+        new += a[:, 2 * k :]
+        np.tanh(new, out=new)
+        np.subtract(h, new, out=out)
+        out *= gates[:, :k]
+        out += new
+        return out
+
+    def _room(self, name: str, shape: tuple, kind: np.dtype) -> np.ndarray:
+        """An array that is taken again in the next window."""
+        held = self.rooms.get(name)
+        if held is None or held.shape != shape or held.dtype != kind:
+            self.rooms[name] = held = np.empty(shape, kind)
+        return held
+
+    def _groups(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """The targets in the order of their classes of words (rare kinds last), and each class's span of that order."""
+        cls = np.minimum(target // CLASS, self.classes)
+        cls[target >= self.size] = self.classes
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+        return order, [(c, slice(cuts[c], cuts[c + 1])) for c in range(self.classes) if cuts[c + 1] > cuts[c]]
 
     def _class_of(self, target: np.ndarray) -> np.ndarray:
         return np.where(target < self.size, target // CLASS, target - self.size + self.classes)
 
+    @staticmethod
+    def _bounded(logits: np.ndarray) -> np.ndarray:
+        """So that no exponential overflows and no sum of them is zero; a state's logits stay far inside."""
+        return np.clip(logits, -60, 60, out=logits)
+
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithm, of a rare kind as a whole."""
-        rows = np.arange(len(target))
-        logits = h @ self.wc + self.bc
-        out = logits[rows, self._class_of(target)] - _log_sum(logits)
-        for c, at in self._groups(target):
-            own = h[at] @ self.wo[c * CLASS : (c + 1) * CLASS].T + self.bo[c * CLASS : (c + 1) * CLASS]
-            out[at] += own[np.arange(len(at)), target[at] - c * CLASS] - _log_sum(own)
+        # outputs stand in columns here and below, so that sums over them run along memory
+        logits = self._bounded(self.wc.T @ h.T + self.bc[:, None])
+        out = logits[self._class_of(target), np.arange(len(target))] - _log_sum(logits)
+        order, groups = self._groups(target)
+        h, target, words = h[order], target[order], np.zeros(len(target), h.dtype)
+        for c, at in groups:
+            span = slice(c * CLASS, (c + 1) * CLASS)
+            own = self._bounded(self.wo[span] @ h[at].T + self.bo[span][:, None])
+            words[at] = own[target[at] - c * CLASS, np.arange(at.stop - at.start)] - _log_sum(own)
+        out[order] += words
         return out
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Truncated backpropagation through a window (steps x lanes; target -1: none; fresh: the state starts anew
         before the step). Returns the gradient of the mean loss, the state after the window and the tokens."""
-        k, kept, g = self.hidden, [], np.zeros_like(self.p)
+        k, (steps, lanes) = self.hidden, inputs.shape
+        g = self._room("g", self.p.shape, self.p.dtype)
+        g[...] = 0
         grad = {name: g[a:b].reshape(shape) for name, (a, b, shape) in self.spans.items()}
-        for word, new in zip(inputs, fresh, strict=True):
-            h = np.where(new[:, None], np.float32(0), h)
-            made = self.step(word, h)
-            kept.append((h, *made))
-            h = made[0]
-        states, flat = np.stack([x[1] for x in kept]).reshape(-1, k), targets.ravel()
+        room = lambda name, width: self._room(name, (steps, lanes, width), h.dtype)
+        before, states, gates, new, inner = room("before", k), room("states", k), room("gates", 2 * k), room("new", k), room("inner", k)
+        anew, given = fresh.any(1), np.take(self.x, inputs, 0, out=room("given", 3 * k), mode="clip")
+        for t in range(steps):
+            before[t] = h
+            if anew[t]:
+                before[t][fresh[t]] = 0
+            h = self._step(given[t], before[t], gates[t], new[t], inner[t], states[t])
+        z, r = gates[:, :, :k], gates[:, :, k:]
+        flat = targets.ravel()
         used = np.flatnonzero(flat >= 0)
         n = max(len(used), 1)
-        hu, target = states[used], flat[used]
-        d = _softmax(hu @ self.wc + self.bc)
-        d[np.arange(len(used)), self._class_of(target)] -= 1
+        # targets in the order of their classes
+        order, groups = self._groups(flat[used])
+        used = used[order]
+        hu, target = states.reshape(-1, k)[used], flat[used]
+        d = _softmax(self._bounded(self.wc.T @ hu.T + self.bc[:, None]))
+        d[self._class_of(target), np.arange(len(used))] -= 1
         d /= n
-        grad["wc"][...], grad["bc"][...] = hu.T @ d, d.sum(0)
-        dh_used = d @ self.wc.T
-        for c, at in self._groups(target):
-            span = slice(c * CLASS, (c + 1) * CLASS)
-            d = _softmax(hu[at] @ self.wo[span].T + self.bo[span])
-            d[np.arange(len(at)), target[at] - c * CLASS] -= 1
+        grad["wc"][...], grad["bc"][...] = (d @ hu).T, d.sum(1)
+        dh_used = d.T @ self.wc.T
+        for c, at in groups:
+            span, own = slice(c * CLASS, (c + 1) * CLASS), hu[at]
+            d = _softmax(self._bounded(self.wo[span] @ own.T + self.bo[span][:, None]))
+            d[target[at] - c * CLASS, np.arange(len(own))] -= 1
             d /= n
-            grad["wo"][span], grad["bo"][span] = d.T @ hu[at], d.sum(0)
-            dh_used[at] += d @ self.wo[span]
-        d_states = np.zeros_like(states)
-        d_states[used] = dh_used
-        d_states = d_states.reshape(len(kept), -1, k)
-        carried, d_in = np.zeros_like(h), np.empty((len(kept), h.shape[0], 3 * k), np.float32)
-        for t in range(len(kept) - 1, -1, -1):
-            before, _, z, r, m, inner = kept[t]
-            dh = d_states[t] + carried
-            dn = dh * (1 - z) * (1 - m * m)
-            da = np.concatenate((dh * (before - m) * z * (1 - z), dn * inner * r * (1 - r), dn), 1)
-            d_in[t] = da
-            db = np.concatenate((da[:, : 2 * k], dn * r), 1)
-            grad["u"] += before.T @ db
-            carried = np.where(fresh[t][:, None], np.float32(0), dh * z + db @ self.u.T)
+            grad["wo"][span], grad["bo"][span] = d @ own, d.sum(1)
+            dh_used[at] += d.T @ self.wo[span]
+        d_states = room("d_states", k)
+        d_states[...] = 0
+        d_states.reshape(-1, k)[used] = dh_used
+        # what a step's derivatives have as factors, for all steps at once
+        to_n, to_b = room("to_n", k), room("to_b", 3 * k)
+        np.subtract(1, z, out=to_n)
+        np.multiply(np.subtract(before, new, out=to_b[:, :, :k]), z, out=to_b[:, :, :k])
+        to_b[:, :, :k] *= to_n
+        other = room("other", k)
+        np.multiply(new, new, out=other)
+        to_n *= np.subtract(1, other, out=other)
+        np.multiply(to_n, r, out=to_b[:, :, 2 * k :])
+        np.multiply(to_b[:, :, 2 * k :], inner, out=to_b[:, :, k : 2 * k])
+        to_b[:, :, k : 2 * k] *= np.subtract(1, r, out=other)
+        back, carried, d_b, d_n = np.ascontiguousarray(self.u.T), np.zeros_like(h), room("d_b", 3 * k), room("d_n", k)
+        for t in range(steps - 1, -1, -1):
+            dh = d_states[t]
+            dh += carried
+            np.multiply(dh[:, None], to_b[t].reshape(lanes, 3, k), out=d_b[t].reshape(lanes, 3, k))
+            np.multiply(dh, to_n[t], out=d_n[t])
+            np.matmul(d_b[t], back, out=carried)
+            carried += dh * z[t]
+            if anew[t]:
+                carried[fresh[t]] = 0
+        grad["u"][...] = before.reshape(-1, k).T @ d_b.reshape(-1, 3 * k)
+        d_b[:, :, 2 * k :] = d_n
+        # running sums over the places in order of their words, and what each word adds to them
         words = inputs.ravel()
         order = np.argsort(words, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(words[order]) > 0))
-        grad["x"][words[order][first]] = np.add.reduceat(d_in.reshape(-1, 3 * k)[order], first, 0)
+        last = np.flatnonzero(np.append(np.diff(words[order]) > 0, True))
+        placed = np.take(d_b.reshape(-1, 3 * k), order, 0, out=given.reshape(-1, 3 * k), mode="clip")
+        sums = np.cumsum(placed, 0, out=placed)[last]
+        sums[1:] -= sums[:-1].copy()
+        grad["x"][words[order][last]] = sums
         return g, h, len(used)
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(1, keepdims=True)
-    return np.log(np.exp(x - top).sum(1)) + top[:, 0]
+    """Of each column."""
+    return np.log(np.exp(x).sum(0))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    """Of each column, in place."""
+    np.exp(x, out=x)
+    x /= x.sum(0)
+    return x
 
 
 def lay_out(lengths: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -300,28 +366,40 @@ class Reader:
     """Texts as symbols of the network: words and the end of each, and what the count table says of the words."""
 
     def __init__(self, counts: Counts):
-        self.counts = counts
+        self.counts, self.known, self.logs = counts, Lookup(counts.words), np.log10(counts.counts + 0.5)
 
     def read(self, texts: pa.Array) -> tuple:
-        """symbols, lengths, and for the words of the slice: codes, ends, hashes, counts (-1: not among the known)."""
-        k = self.counts
-        codes, vocabulary, ends = word_arrays(texts)
-        hashes, kinds = hash_strings(vocabulary), _kinds(vocabulary)
-        at = np.minimum(np.searchsorted(k.words, hashes), max(len(k.words) - 1, 0))
-        found = (k.words[at] == hashes) if len(k.words) else np.zeros(len(hashes), bool)
-        symbol, c = np.full(len(hashes), -1), np.full(len(hashes), -1.0)
-        symbol[found], c[found] = k.symbol[at[found]], k.counts[at[found]]
+        """Symbols and lengths (the ends included); then of the words: texts' ends, hashes, kinds, symbols and places among
+        the known (-1: none)."""
+        w, k = split_words(texts), self.counts
+        kinds, at = _kinds(w), self.known.find(w.hashes)
+        symbol = np.where(at >= 0, k.symbol[at], -1) if len(k.words) else np.full(len(at), -1)
         symbol = np.where(symbol >= 0, symbol, k.size + kinds)
-        lengths = np.diff(np.concatenate(([0], ends))) + 1
+        lengths = spans_of(w.text_ends)[1] + 1
         symbols = np.zeros(int(lengths.sum()), np.int64)
         is_word = np.ones(len(symbols), bool)
         is_word[np.cumsum(lengths) - 1] = False
-        symbols[is_word] = symbol[codes] if len(codes) else 0
-        return symbols, lengths, codes, ends, hashes, kinds, c, symbol
+        symbols[is_word] = symbol
+        return symbols, lengths, w.text_ends, w.hashes, kinds, symbol, at
+
+
+def _sum_vectors(rows: DataFrame) -> DataFrame:
+    """One row for each partition: the sums of ``v`` (bytes of doubles) and ``n``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
+        for b in batches:
+            for v, k in zip(b.column("v").to_pylist(), b.column("n").to_pylist(), strict=True):
+                total, n = np.frombuffer(v) + (0 if total is None else total), n + k
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary()), pa.array([n])], ["task", "v", "n"])
+
+    return rows.mapInArrow(run, "task bigint, v binary, n bigint")
 
 
 def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
-    """The averaged weights after ``rounds`` rounds, which share out ``docs`` (``doc_id``, ``text``) among them."""
+    """The averaged weights after ``rounds`` rounds, which share out ``docs`` (``doc_id``, ``text``) among them. A task
+    sends one vector on; these are added up in groups of ``FAN`` tasks, then all together."""
     weights = Gated(counts).p
     lanes = TRAIN_LANES * max(1, counts.size // VOCABULARY)
 
@@ -330,8 +408,8 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
             model, reader, tokens = Gated(counts), Reader(counts), 0
             model.load(start)
             # the second moments' start keeps a task with few windows from large first steps
-            mean, square, t = np.zeros_like(model.p), np.zeros_like(model.p), 0
-            for part in slices(batches, "text"):
+            mean, square, step, t = np.zeros_like(model.p), np.zeros_like(model.p), np.empty_like(model.p), 0
+            for part in slices(batches, "text", STEP_BYTES // 2):
                 symbols, lengths, *_ = reader.read(part.column("text"))
                 # long texts in segments, so that all lanes are at work to the end
                 parts = -(-lengths // SEGMENT)
@@ -343,19 +421,24 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
                     w = slice(a, a + TRAIN_WINDOW)
                     g, h, n = model.gradient(inputs[w], targets[w], fresh[w], h)
                     t, tokens = t + 1, tokens + n
-                    mean += np.float32(0.1) * (g - mean)
-                    square += np.float32(0.01) * (g * g - square)
-                    rate = RATE / (turn + 1) / (1 - 0.9**t) * math.sqrt(1 - 0.99**t)
-                    model.p -= np.float32(rate) * mean / (np.sqrt(square) + np.float32(1e-6))
+                    # running means of the gradient and its square, in place
+                    mean += np.multiply(np.subtract(g, mean, out=step), np.float32(0.1), out=step)
+                    g *= g
+                    square += np.multiply(np.subtract(g, square, out=step), np.float32(0.01), out=step)
+                    np.sqrt(square, out=step)
+                    step += np.float32(1e-6)
+                    np.divide(mean, step, out=step)
+                    step *= np.float32(RATE / (turn + 1) / (1 - 0.9**t) * math.sqrt(1 - 0.99**t))
+                    model.p -= step
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(model.p), dtype=np.int32)), pa.array(model.p.astype(np.float64) * tokens), pa.array(np.full(len(model.p), tokens, np.int64))], ["i", "v", "n"])
+                v = (model.p.astype(np.float64) * tokens).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([v], pa.binary()), pa.array([tokens], pa.int64())], ["task", "v", "n"])
 
         chosen = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("round")), F.lit(rounds)) == turn)
-        rows = chosen.select("text").mapInArrow(lambda batches: tidy(run(batches)), "i int, v double, n bigint").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-        got = rows.select("i", (F.col("v") / F.col("n")).alias("v")).toArrow()
-        out = start.copy()
-        out[got.column("i").to_numpy()] = got.column("v").to_numpy()
-        return out
+        made = chosen.select("text").mapInArrow(lambda batches: tidy(run(batches)), "task bigint, v binary, n bigint")
+        some = _sum_vectors(made.repartition(F.floor(F.col("task") / FAN)))
+        got = _sum_vectors(some.repartition(1)).toArrow().to_pylist()
+        return (np.frombuffer(got[0]["v"]) / got[0]["n"]).astype(np.float32) if got else start
 
     for turn in range(rounds):
         weights = one_round(turn, weights)
@@ -364,7 +447,7 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
 
 def score(docs: DataFrame, counts: Counts, weights: np.ndarray, key: str = "doc_id") -> DataFrame:
     """For each row: ``key``, ``row`` (unique), ``n_tokens``, ``n_known``, ``base`` and ``lm`` (log10 sums over what the
-    tasks know), and ``words``, ``kinds``, ``times`` of the words whose counts are still to be found."""
+    tasks know), and ``words``, ``times`` of the words whose counts are still to be found."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, reader, row = Gated(counts), Reader(counts), TaskContext.get().partitionId() << 40
@@ -373,7 +456,7 @@ def score(docs: DataFrame, counts: Counts, weights: np.ndarray, key: str = "doc_
         within = np.log10(counts.rare_n + 0.5 * (counts.rare_distinct + 1))
         end_c = counts.unigram[0]
         for part in slices(batches, "text"):
-            symbols, lengths, codes, ends, hashes, kinds, c, symbol = reader.read(part.column("text"))
+            symbols, lengths, ends, hashes, kinds, symbol, at = reader.read(part.column("text"))
             rows = len(lengths)
             inputs, targets, fresh, cell = grid(symbols, lengths, LANES, counts.size + KINDS)
             found = np.zeros(inputs.size, np.float64)
@@ -383,26 +466,28 @@ def score(docs: DataFrame, counts: Counts, weights: np.ndarray, key: str = "doc_
                 for word, new in zip(inputs[a : a + WINDOW], fresh[a : a + WINDOW], strict=True):
                     if new.any():
                         h = np.where(new[:, None], np.float32(0), h)
-                    h = model.step(word, h)[0]
+                    h = model.step(word, h)
                     states.append(h)
                 flat = targets[a : a + WINDOW].ravel()
                 used = np.flatnonzero(flat >= 0)
                 found[a * width + used] = model.log_probability(np.concatenate(states)[used], flat[used])
-            owner_all = np.repeat(np.arange(rows), lengths)
-            lm = np.bincount(owner_all, found[cell], minlength=rows) / math.log(10)
+            lm = np.bincount(np.repeat(np.arange(rows), lengths), found[cell], minlength=rows) / math.log(10)
             owner = np.repeat(np.arange(rows), lengths - 1)
-            rare = symbol >= counts.size
-            told = np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.5), 0.0)
+            told = np.where(at >= 0, reader.logs[at], 0.0) if len(reader.logs) else np.zeros(len(at))
             # of a word outside the vocabulary: its probability within its kind
-            lm_word = np.where(rare, np.where(c >= 0, told, 0.0) - within[kinds], 0.0)
-            by = lambda w: np.bincount(owner, w[codes], minlength=rows) if len(codes) else np.zeros(rows)  # noqa: B023, E731
+            lm_word = np.where(symbol >= counts.size, told - within[kinds], 0.0)
+            by = lambda w: np.bincount(owner, w, minlength=rows)  # noqa: B023, E731
             base = by(told) + math.log10(end_c + 0.5) - whole * lengths
-            known = by((c > 0).astype(np.float64)).astype(np.int64) + int(end_c > 0)
-            pair, times = np.unique(owner[c[codes] < 0] * np.int64(max(len(c), 1)) + codes[c[codes] < 0], return_counts=True) if len(codes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            offsets = pa.array(np.searchsorted(pair // max(len(c), 1), np.arange(rows + 1)).astype(np.int32))
+            known = by((at >= 0).astype(np.float64)).astype(np.int64) + int(end_c > 0)
+            # words whose counts are not here, each once for a row, rows in order
+            away = np.flatnonzero(at < 0)
+            _, first, place = _counted(mix64(hashes[away] + owner[away].astype(np.uint64) * BASE), away)
+            times, place = np.diff(np.append(first, len(place))), place[first]
+            turn = np.argsort(place)
+            times, place = times[turn], place[turn]
+            offsets = pa.array(np.searchsorted(owner[place], np.arange(rows + 1)).astype(np.int32))
             listed = lambda values: pa.ListArray.from_arrays(offsets, pa.array(values))  # noqa: B023, E731
-            code = pair % max(len(c), 1)
-            cols = [part.column(key), pa.array(row + np.arange(rows)), pa.array(lengths), pa.array(known), pa.array(base), pa.array(lm + by(lm_word)), listed(hashes[code].view(np.int64)), listed(times.astype(np.int32))]
+            cols = [part.column(key), pa.array(row + np.arange(rows)), pa.array(lengths), pa.array(known), pa.array(base), pa.array(lm + by(lm_word)), listed(hashes[place].view(np.int64)), listed(times.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, [key, "row", "n_tokens", "n_known", "base", "lm", "words", "times"])
             row += rows
 

@@ -24,21 +24,42 @@ from .shared import slices, table
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Notice phrases of the method's own.
 NOTICES = {
+    "academic free license": "afl",
     "affero general public license": "agpl",
     "apache license": "apache",
+    "apache software license": "apache",
     "artistic license": "artistic",
     "boost software license": "bsl-1.0",
+    "bsd license": "bsd",
+    "business source license": "busl",
+    "common development and distribution license": "cddl",
     "creative commons attribution": "cc-by",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution sharealike": "cc-by-sa",
     "creative commons zero": "cc0",
     "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "free documentation license": "gfdl",
     "isc license": "isc",
     "lesser general public license": "lgpl",
+    "microsoft public license": "ms-pl",
     "mit license": "mit",
     "mozilla public license": "mpl",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd",
+    "no rights reserved": "public-domain",
+    "open database license": "odbl",
     "permission is hereby granted free of charge": "mit",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "postgresql license": "postgresql",
     "public domain": "public-domain",
+    "python software foundation license": "psf",
     "redistribution and use in source and binary forms": "bsd",
     "released under the unlicense": "unlicense",
+    "server side public license": "sspl",
+    "sil open font license": "ofl",
+    "this is free and unencumbered software": "unlicense",
+    "universal permissive license": "upl",
+    "zlib license": "zlib",
 }
 TAG = "spdx license identifier"
 #: Licences that an expression is evaluated against.
@@ -133,8 +154,9 @@ class Scanner:
                 ok, names = evaluate(rpn)
                 permissive = ok if permissive is None else permissive and ok
                 expressions.append(" ".join(rpn))
-                labels.update(names)
-            labels = labels if any(expressions) else labels | {"spdx"}
+                labels.update(names or ["spdx"])
+            if not expressions:  # the words of a tag without its signs
+                labels.add("spdx")
         score = 1.0 - float(np.prod([1 - WEIGHTS[kind] for kind in sorted(set(kinds))]))
         n = len(base)
         return len(words), n, int(base.min()) if n else None, int(base.max()) if n else None, ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, ";".join(expressions), permissive

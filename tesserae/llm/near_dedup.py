@@ -26,11 +26,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import components, discard, hash_strings, materialise, mix64, odd_multipliers, shingle_sets, slices, table, tidy, word_arrays
+from .shared import BASE, STEP_BYTES, Lookup, components, discard, materialise, mix64, odd_multipliers, shingle_sets, sieved, slices, spans_of, split_words, table, tidy
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -43,9 +42,9 @@ _BLOCK = 1 << 15
 
 
 def sets_of(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingles of each text, one after another, and where each text's end."""
-    codes, vocabulary, ends = word_arrays(texts)
-    return shingle_sets(hash_strings(vocabulary)[codes] if len(codes) else np.zeros(0, np.uint64), ends, size)
+    """The distinct shingles of each text, one after another, and where each text's end."""
+    words = split_words(texts)
+    return shingle_sets(words.hashes, words.text_ends, size)
 
 
 def _sigma(shingles: np.ndarray) -> np.ndarray:
@@ -89,18 +88,40 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return key.view(np.int64)
 
 
+def digests(shingles: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
+    """128 bits of each set, whatever the order of its members (sums of two hashes of each); None for an empty one."""
+    starts, n = spans_of(ends)
+    full = np.flatnonzero(n)
+    raw = np.zeros((len(ends), 2), np.uint64)
+    for k, seed in enumerate((np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))):
+        if len(full):
+            raw[full, k] = np.add.reduceat(mix64(shingles ^ seed), starts[full])
+    held = raw.tobytes()
+    return [held[16 * i : 16 * i + 16] if size else None for i, size in enumerate(n.tolist())]
+
+
+def listed(keys: np.ndarray, has: np.ndarray) -> pa.ListArray:
+    """Rows of ``keys`` as lists, for the rows that ``has`` tells; the others are empty."""
+    ends = np.concatenate((np.zeros(1, np.int32), np.cumsum(has, dtype=np.int32))) * np.int32(keys.shape[1])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.ravel()))
+
+
 def sketch(docs: DataFrame, key: str, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """``id``, ``n_shingles``, ``digest`` (128 bits of the set; null for none) and ``bands`` (null for none)."""
+    """``id``, ``n_shingles``, ``digest`` (128 bits of the set; null for none) and ``bands``: of equal sets in a slice of
+    texts only the first has them, so a large group of copies is thinned out before it is shuffled."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", STEP_BYTES // 2):
             shingles, ends = sets_of(part.column("text"), size)
-            starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-            n = ends - starts
-            digest = [xxhash.xxh3_128_digest(shingles[a:b].tobytes()) if b > a else None for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            keys = band_keys(signatures(shingles, ends, bands * rows), bands, rows)
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), pa.array(n), pa.array(digest, pa.binary()), listed], ["id", "n_shingles", "digest", "bands"])
+            n = spans_of(ends)[1]
+            digest = digests(shingles, ends)
+            fresh, seen = np.zeros(len(n), bool), {None}
+            for i, x in enumerate(digest):
+                if x not in seen:
+                    seen.add(x)
+                    fresh[i] = True
+            keys = band_keys(signatures(shingles[np.repeat(fresh, n)], np.cumsum(n[fresh]), bands * rows), bands, rows)
+            yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), pa.array(n), pa.array(digest, pa.binary()), listed(keys, fresh)], ["id", "n_shingles", "digest", "bands"])
 
     return docs.select(F.col(key).cast("long").alias("id"), "text").mapInArrow(lambda batches: tidy(run(batches)), "id bigint, n_shingles bigint, digest binary, bands array<bigint>")
 
@@ -109,21 +130,18 @@ def compare(pairs: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFram
     """``a``, ``b``, ``common`` and ``total`` (sizes of the sets' intersection and union) of each pair of identifiers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text_b"):
+        for part in slices(batches, "text_b", STEP_BYTES // 2):
             left = part.column("text_a").dictionary_encode()  # a hub's text stands in many rows
             hubs, hub_ends = sets_of(left.dictionary, size)
             which = left.indices.to_numpy(zero_copy_only=False)
             others, ends = sets_of(part.column("text_b"), size)
-            hub_n, n = np.diff(np.concatenate(([0], hub_ends)))[which], np.diff(np.concatenate(([0], ends)))
-            common = np.empty(len(n), np.int64)
-            start, hub_start = ends - n, hub_ends[which] - hub_n
-            for i in range(len(n)):
-                hub, own = hubs[hub_start[i] : hub_start[i] + hub_n[i]], others[start[i] : ends[i]]
-                small, large = (own, hub) if len(own) <= len(hub) else (hub, own)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                common[i] = np.count_nonzero(large[at] == small) if len(large) else 0
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(common), pa.array(hub_n + n - common)], ["a", "b", "common", "total"])
+            hub_n, n = spans_of(hub_ends)[1], spans_of(ends)[1]
+            # shingles told apart by their hub: all pairs in one look-up
+            of_hub = lambda shingles, hub: mix64(shingles + hub.astype(np.uint64) * BASE)
+            held = Lookup(np.sort(of_hub(hubs, np.repeat(np.arange(len(hub_n)), hub_n))))
+            met = held.find(of_hub(others, np.repeat(which, n))) >= 0
+            common = np.bincount(np.repeat(np.arange(len(n)), n)[met], minlength=len(n))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(common), pa.array(hub_n[which] + n - common)], ["a", "b", "common", "total"])
 
     with_b = pairs.select("a", "b").hint("merge").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.hint("merge").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -134,9 +152,9 @@ def own_shingles(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``id`` and ``alone``: how many of its shingles no other of these texts has. Each task adds up what it reads."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", STEP_BYTES // 2):
             shingles, ends = sets_of(part.column("text"), size)
-            owner = part.column("id").to_numpy()[np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))]
+            owner = np.repeat(part.column("id").to_numpy(), spans_of(ends)[1])
             unique, first, times = np.unique(shingles, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(times), pa.array(owner[first])], ["shingle", "c", "id"])
 
@@ -149,9 +167,9 @@ def bitmaps(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``id`` and ``bits``: the cells of a table of ``64 * CELLS`` that the text's shingles fall into."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", STEP_BYTES // 2):
             shingles, ends = sets_of(part.column("text"), size)
-            owner = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))
+            owner = np.repeat(np.arange(len(ends)), spans_of(ends)[1])
             cell = (mix64(shingles ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(64 * CELLS)).astype(np.int64)
             marks = np.zeros((len(ends), 64 * CELLS), np.uint8)
             marks[owner, cell] = 1
@@ -185,10 +203,10 @@ def shared_sizes(members: DataFrame, texts: DataFrame, size: int = SHINGLE) -> D
 
 def settle(members: DataFrame, texts: DataFrame, links: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """``node``, ``component`` of all nodes that have a link: those of ``links`` (``a``, ``b``) and of the members
-    (``bucket``, ``rep``, ``n``: set size) whose ``texts`` (``id``, ``text``) share ``percent`` of their shingles.
-    ``links`` must come from ``materialise``; it is discarded as the rounds replace it."""
-    members = shared_sizes(members, texts, size).withColumn("d", F.lit(None).cast("double"))
-    tested, parts, turn, hubs_each = None, None, 0, 1
+    (``bucket``, ``rep``, ``n``: set size) whose ``texts`` (``id``, ``text``) share ``percent`` of their shingles."""
+    held = [shared_sizes(members, texts, size)]
+    members = held[0].withColumn("d", F.lit(None).cast("double"))
+    parts, tested, turn, hubs_each = None, [], 0, 1
     while True:
         previous, parts = parts, components(links)
         discard(previous)
@@ -196,15 +214,17 @@ def settle(members: DataFrame, texts: DataFrame, links: DataFrame, percent: int
         # who shares too little with all, given the smallest set of the bucket, is alone there
         least = placed.groupBy("bucket").agg(F.min("n").alias("least"))
         placed = materialise(placed.join(least, "bucket").where(100 * F.col("m") >= percent * (F.col("n") + F.greatest("least", "m") - F.col("m"))).drop("least"))
+        discard(*held)
         sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-        live = materialise(sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("c", "component")).alias("most")).where("k > 1").select("bucket", "most"))
-        if live.isEmpty():
-            discard(members, links, tested, placed, live)
-            return parts
+        live = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max_by("component", F.struct("c", "component")).alias("most")).where("k > 1").select("bucket", "most")
         # two sets that meet in several buckets are settled in the first of them
         now = placed.join(live, "bucket")
         everywhere = now.groupBy("rep").agg(F.collect_set("bucket").alias("_all"))  # as many as there are bands at most
         now = materialise(now.join(everywhere, "rep").withColumn("earlier", F.filter("_all", lambda x: x < F.col("bucket"))).drop("_all"))
+        discard(placed)
+        if now.isEmpty():
+            discard(now, *tested)
+            return parts
         # first the set that shares most; then smaller components first: a hub of theirs is compared with the rest, one of
         # the largest is nearly settled
         order = [F.col("component") == F.col("most"), F.xxhash64("rep", F.lit(turn)), "rep"] if turn else [F.desc("m"), "rep"]
@@ -218,29 +238,42 @@ def settle(members: DataFrame, texts: DataFrame, links: DataFrame, percent: int
         met = now.join(hubs, "bucket").where((F.col("component") != F.col("hub_component")) & (F.col("rep") != F.col("hub")) & able & ~F.arrays_overlap("earlier", "hub_earlier") & likely)
         pairs = met.select(F.col("hub").alias("a"), F.col("rep").alias("b")) if turn == 0 else met.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
         pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
+        for known in tested:
+            pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
         found = materialise(compare(pairs, texts, size))
-        more = found.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b")
-        rest = placed.select("bucket", "rep", "n", "m", "bits", "d").join(live.select("bucket"), "bucket", "left_semi")
+        tested.append(found)
+        links = links.unionByName(found.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b"))
+        rest = now.select("bucket", "rep", "n", "m", "bits", "d")
         if turn == 0:  # distances to the first hub
             d = found.select(F.col("a").alias("hub"), F.col("b").alias("rep"), (1 - F.col("common") / F.col("total")).alias("d"))
             first = hubs.select("bucket", "hub")
             rest = rest.drop("d").join(first, "bucket").join(d, ["hub", "rep"], "left").select("bucket", "rep", "n", "m", "bits", "d")
-        rest = rest.join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti")
-        old = (members, links, tested, placed, live, now, hubs, pairs, found)
-        members, links = materialise(rest), materialise(links.unionByName(more))
-        tested = materialise(found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b")))
-        discard(*old)
-        turn, hubs_each = turn + 1, hubs_each * 8
+        members, held = rest.join(hubs.select("bucket", F.col("hub").alias("rep")), ["bucket", "rep"], "left_anti"), [now, hubs]
+        turn, hubs_each = turn + 1, hubs_each * 32
 
 
 def in_shared_buckets(banded: DataFrame) -> DataFrame:
-    """``bucket``, ``rep``, ``n`` of the buckets that several of ``banded`` (``rep``, ``n``, array ``bands``) fall into."""
+    """``bucket``, ``rep``, ``n`` of the buckets that several of ``banded`` (``rep``, ``n``, array ``bands``; a ``rep`` may
+    come more than once) fall into."""
     rows = banded.select("rep", "n", F.explode("bands").alias("bucket"))
-    several = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
-    return materialise(rows.join(several, "bucket", "left_semi").select("bucket", "rep", "n"))
+    several = rows.groupBy("bucket").agg(F.min("rep").alias("_lo"), F.max("rep").alias("_hi")).where("_lo <> _hi").select("bucket")
+    return materialise(rows.join(several, "bucket", "left_semi").select("bucket", "rep", "n").distinct())
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``id``, ``text`` of the documents ``ids``: one row for each text of an identifier. Only identifiers that ``known``
+    has more than once with one set are looked at for repeats, so texts move once."""
+    rows = docs.select(F.col(key).cast("long").alias("id"), "text")
+    # merge joins wherever texts move: small and large inputs then move the same share of them
+    texts = materialise(sieved(rows, F.col("id"), ids, "id")[0].hint("merge").join(ids, "id", "left_semi"))
+    again = materialise(known.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id").distinct())
+    if again.isEmpty():
+        discard(again)
+        return texts
+    once = texts.join(again, "id", "left_anti").unionByName(texts.join(again, "id", "left_semi").distinct())
+    out = materialise(once)
+    discard(texts, again)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
@@ -248,15 +281,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT
     known = materialise(sketch(docs, key, bands, rows, size))
     full = known.where("digest is not null and id is not null")
     classes = materialise(full.groupBy("digest").agg(F.min("id").alias("rep")))
-    reps = full.join(classes, "digest").where("id = rep").dropDuplicates(["digest"]).select("rep", F.col("n_shingles").alias("n"), "bands")
-    members = in_shared_buckets(reps)
-    ids = members.select(F.col("rep").alias("id")).distinct()
-    # merge joins wherever texts move: small and large inputs then move the same share of them
-    texts = materialise(docs.select(F.col(key).cast("long").alias("id"), "text").hint("merge").join(ids, "id", "left_semi"))
+    # any row of a set has its bands; in the slice of texts the first row with the set, which may lack an identifier
+    banded = known.where(F.size("bands") > 0).join(classes, "digest").select("rep", F.col("n_shingles").alias("n"), "bands")
+    members = in_shared_buckets(banded)
+    ids = materialise(members.select(F.col("rep").alias("id")).distinct())
+    texts = texts_of(docs, ids, full, key)
     # an identifier with several texts joins their classes
     same = full.join(classes, "digest").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    parts = settle(members, texts, materialise(same), percent, size)
-    discard(members, texts)
+    same = materialise(same)
+    parts = settle(members, texts, same, percent, size)
+    discard(members, texts, ids, same)
     final = classes.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = known.join(final, "digest", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))
@@ -267,4 +301,25 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_near_dedup": op3_near_dedup}
-ORACLES: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: All pairs of documents that share a shingle: for small tables.
+ORACLES: dict[str, str] = {
+    "op3_near_dedup": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY ALL
+), c AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+  SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {PERCENT} * (a.n + b.n - c)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b
+)
+SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
+FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+"""
+}

@@ -16,11 +16,13 @@ its run by its number among the pieces of its length, which is counted per block
 neither a frequent length nor the number of rows matters.
 
 Defined results. Null or empty text: one piece, the end mark alone. Repeated rows: each is packed. Extra columns are
-ignored. Empty table: no rows. Strings of special tokens in a text are ordinary text.
+ignored. Empty table: no rows. Strings of the tokenizer's added tokens in a text become these tokens, as the library has
+it.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -162,7 +164,35 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, large: float = LARGE, gro
 # ---------------------------------------------------------------- pieces
 
 
-def word_ids(path: str) -> WordIds:
+class TextIds:
+    """Ids of whole texts. Added tokens (no part of the pattern) are cut out first; what is between them is encoded word
+    by word."""
+
+    def __init__(self, words: WordIds, added: dict[str, int]):
+        self.words, self.added = words, added
+        longest = sorted(added, key=len, reverse=True)
+        self.cut = re.compile("|".join(map(re.escape, longest))) if longest else None
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        if self.cut is None or not any(x in t for t in texts for x in self.added):
+            return self.words.ids(texts)
+        parts, owners, marks = [], [], {}
+        for i, t in enumerate(texts):
+            at = 0
+            for m in self.cut.finditer(t):
+                parts.append(t[at : m.start()])
+                marks[len(parts) - 1] = self.added[m[0]].to_bytes(4, "little")
+                owners.append(i)
+                at = m.end()
+            parts.append(t[at:])
+            owners.append(i)
+        out = [[] for _ in texts]
+        for k, (i, ids) in enumerate(zip(owners, self.words.ids(parts), strict=True)):
+            out[i] += [ids, marks.get(k, b"")]
+        return [b"".join(x) for x in out]
+
+
+def text_ids(path: str) -> TextIds:
     """Ids by the ``tokenizers`` library for each distinct match of its own pattern; one for each Python worker."""
     if path not in _state:
         import os
@@ -171,7 +201,9 @@ def word_ids(path: str) -> WordIds:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        tokens = tokenizer.get_added_tokens_decoder()
+        if odd := [x.content for x in tokens.values() if x.single_word or x.lstrip or x.rstrip or x.normalized]:
+            raise ValueError(f"added tokens that don't stand for themselves alone: {odd}")
 
         sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
         for token, i in tokenizer.get_vocab().items():
@@ -191,7 +223,7 @@ def word_ids(path: str) -> WordIds:
             found = dict(zip(chain(joined, single), (raw[4 * a : 4 * b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
             return [found[w] for w in words]
 
-        _state[path] = WordIds(encode)
+        _state[path] = TextIds(WordIds(encode), {x.content: i for i, x in tokens.items()})
     return _state[path]
 
 
@@ -207,7 +239,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", path: str | None = None, capaci
     path = path or public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, block, seen = word_ids(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        words, block, seen = text_ids(path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for part in slices(batches, "text", STEP):
             rows: list[tuple] = []
             for i, ids in enumerate(words.ids([x or "" for x in part.column("text").to_pylist()])):

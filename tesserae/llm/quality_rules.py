@@ -5,13 +5,14 @@ documents that hold a line are counted. A line above the limits is boilerplate o
 than a stated share of its characters with such lines is rejected as depleted; from all others they are removed.
 
 Copies of one document are not boilerplate. Equal documents count as one, and a line must also have documents that are
-unlike: ``kind`` is the smallest hash of a beginning among the document's own lines, those that neither begin nor end as a
+unlike: ``kind`` is the beginning with the smallest hash among the document's own lines, those that neither begin nor end as a
 line of ``min_documents`` documents of the host. So the other lines of a template say nothing of its pages, near copies (a
 few words changed here and there) have no lines of their own, and unrelated documents differ. A line is over the limits
 with ``min_documents`` distinct documents of which ``min_unlike`` (a share) differ in kind.
 
 Defined results. Null or empty text: no words, all counts 0, ``base_failed``. Null host: a host of its own. Repeated
-rows: each row gets its result; they count as one document. Extra columns stay; those named as results give way. Empty table: no rows.
+rows: each row gets its result; they count as one document. Extra columns stay, whatever their names, but for those named
+as results, which give way. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, materialise, release, table
+from .shared import discard, free_name, materialise, release, sieved, table
 
 #: A line is boilerplate of its host from so many distinct documents on ...
 MIN_DOCUMENTS = 20
@@ -79,40 +80,47 @@ def base_counts(docs: DataFrame) -> DataFrame:
         grams = F.transform(windows, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
         return F.struct(F.size(words).cast("long").alias("n_words"), _repeated(grams).cast("long").alias("n_repeat_words"))
 
-    out = docs.withColumn("_w", let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of_words))
+    w = free_name(docs.columns, "_w")
+    out = docs.withColumn(w, let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of_words))
     out = out.select(
         *(c for c in docs.columns if c not in COUNTS),
-        F.col("_w.n_words").alias("n_words"),
+        F.col(f"{w}.n_words").alias("n_words"),
         (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.col("_w.n_repeat_words").alias("n_repeat_words"),
+        F.col(f"{w}.n_repeat_words").alias("n_repeat_words"),
     )
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def _number(text: Column) -> Column:
+    """60 bits of a text's MD5: the order of these decides which beginning stands for a document."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def document_lines(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
-    """One row for each line with words of each document: ``doc``, ``body`` (hash of host and whole text), ``pos`` (of the
-    line in the text), ``chars`` (code points of the normalised line), and hashes with the host of the ``line``, of its
-    first words (``head``) and of its last (``tail``)."""
+    """One row for each line with words of each document: ``doc``, ``body`` (hash of host and whole text), ``host``, ``pos``
+    (of the line in the text), ``chars`` (code points of the normalised line), and hashes of the ``line`` (with the host),
+    of its first words (``head``) and of its last (``tail``)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.transform(F.split(F.lower(text), "\n", -1), lambda x: F.trim(x, F.lit(SPACES)))
     ends = lambda x: (F.substring_index(x, " ", END_WORDS), F.substring_index(x, " ", -END_WORDS))
-    named = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.length(x).alias("c"), F.xxhash64(x).alias("h"), F.xxhash64(ends(x)[0], F.lit(0)).alias("a"), F.xxhash64(ends(x)[1], F.lit(1)).alias("b")))
+    named = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.length(x).alias("c"), x.alias("x")))
     own = F.xxhash64(F.coalesce(F.col(host), F.lit("\x00")))
-    flat = docs.select(_identity(key, host).alias("doc"), F.xxhash64(own, text).alias("body"), own.alias("_host"), F.explode(F.filter(named, lambda x: x["c"] > 0)).alias("_l"))
-    of_host = lambda c: F.xxhash64("_host", f"_l.{c}")
-    return flat.select("doc", "body", F.col("_l.pos").alias("pos"), F.col("_l.c").alias("chars"), of_host("h").alias("line"), of_host("a").alias("head"), of_host("b").alias("tail"))
+    flat = docs.select(_identity(key, host).alias("doc"), F.xxhash64(own, text).alias("body"), own.alias("host"), F.explode(F.filter(named, lambda x: x["c"] > 0)).alias("_l"))
+    head, tail = ends(F.col("_l.x"))
+    return flat.select("doc", "body", "host", F.col("_l.pos").alias("pos"), F.col("_l.c").alias("chars"), F.xxhash64("host", "_l.x").alias("line"), _number(head).alias("head"), F.xxhash64(tail).alias("tail"))
 
 
 def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE) -> DataFrame:
     """Lines above the limits: ``line``, ``n_documents``, ``n_kinds``. Nested groupings, each combined before it is
     shuffled, so a line that every document has costs a row a task."""
-    once = lines.groupBy("line", "head", "tail", "body").agg(F.lit(1).alias("one"))
-    often = materialise(once.groupBy("line", "head", "tail").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("line", "head", "tail"))
+    once = lines.groupBy("line", "host", "head", "tail", "body").agg(F.lit(1).alias("one"))
+    often = materialise(once.groupBy("line", "host", "head", "tail").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("line", "host", "head", "tail"))
     # what is a document's own: lines that neither begin nor end as a frequent one
-    heads, tails = often.select("head").distinct(), often.select("tail").distinct()
-    own = lines.select("body", "pos", "chars", "head", "tail").join(heads, "head", "left_anti").join(tails, "tail", "left_anti").distinct()  # repeated rows say the same
+    heads, tails = often.select("host", "head").distinct(), often.select("host", "tail").distinct()
+    own = lines.select("host", "body", "pos", "chars", "head", "tail").join(heads, ["host", "head"], "left_anti").join(tails, ["host", "tail"], "left_anti")
+    own = own.select("body", "pos", "chars", "head").distinct()  # repeated rows say the same
     kinds = own.groupBy("body").agg(F.min("head").alias("kind"), F.sum("chars").alias("own")).where(F.col("own") >= OWN_CHARS).select("body", "kind")
     holders = lines.select("line", "body").join(often.select("line"), "line", "left_semi").distinct()
     placed = holders.join(kinds, "body", "left").select("line", F.coalesce("kind", F.lit(0).cast("long")).alias("kind"))
@@ -125,7 +133,7 @@ def _identity(key: str, host: str) -> Column:
 
 
 def boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "source", min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE) -> DataFrame:
-    """``_doc`` (identity of a row), ``n_boilerplate_chars`` and ``_gone`` (positions of the lines above the limits) of the
+    """``doc`` (identity of a row), ``lost`` (characters) and ``gone`` (positions of the lines above the limits) of the
     documents that hold such lines. Written, so that what it took is gone before texts move."""
     lines = materialise(document_lines(docs, key, host))
     bad = frequent_lines(lines, min_documents, min_unlike).select("line")
@@ -134,7 +142,7 @@ def boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "source", min_
     # repeated rows share an identity and have the same lines
     lost = held.groupBy("doc").agg(F.collect_set(F.struct("pos", "chars")).alias("l"))
     chars = F.aggregate("l", F.lit(0).cast("long"), lambda s, x: s + x["chars"])
-    out = materialise(lost.select(F.col("doc").alias("_doc"), chars.alias("n_boilerplate_chars"), F.transform("l", lambda x: x["pos"]).alias("_gone")))
+    out = materialise(lost.select("doc", chars.alias("lost"), F.transform("l", lambda x: x["pos"]).alias("gone")))
     discard(lines)
     release(docs)
     return out
@@ -146,27 +154,42 @@ def without_lines(text: str, gone: str) -> Column:
     return F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))
 
 
+def _looked_up(docs: DataFrame, lost: DataFrame, key: str, host: str) -> tuple[DataFrame, DataFrame, DataFrame, tuple[str, str, str]]:
+    """Documents that may hold boilerplate and those that don't; ``lost`` with names that ``docs`` doesn't use, and these
+    names. So the texts of the second part needn't move."""
+    doc, chars, gone = (free_name(docs.columns, x) for x in ("_doc", "_lost", "_gone"))
+    maybe, clean = sieved(docs.withColumn(doc, _identity(key, host)), F.col(doc), lost, "doc")
+    return maybe, clean.drop(doc), lost.toDF(doc, chars, gone), (doc, chars, gone)
+
+
 def quality_rules(docs: DataFrame, key: str = "doc_id", host: str = "source", min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE, max_lost: float = MAX_LOST) -> DataFrame:
     """``docs`` with the base counts (of the text as it came), ``n_boilerplate_chars``, ``depleted`` and ``kept``, and
     ``text`` without the lines above the limits. Only columns that are selected from the result move."""
     own = docs.drop("n_boilerplate_chars", "depleted", "kept")
-    out = base_counts(own.withColumn("_doc", _identity(key, host)).withColumn("_size", F.length("text")))
-    out = out.hint("merge").join(boilerplate(docs, key, host, min_documents, min_unlike), "_doc", "left").withColumn("n_boilerplate_chars", F.coalesce("n_boilerplate_chars", F.lit(0).cast("long")))
-    out = out.withColumn("depleted", F.col("n_boilerplate_chars") > max_lost * F.coalesce("_size", F.lit(0))).withColumn("text", without_lines("text", "_gone")).drop("_doc", "_size", "_gone")
-    return out.withColumn("kept", ~(F.col("base_failed") | F.col("depleted")))
+    maybe, clean, lost, (doc, chars, gone) = _looked_up(own, boilerplate(docs, key, host, min_documents, min_unlike), key, host)
+    met = base_counts(maybe).hint("merge").join(lost, doc, "left")
+    columns = [c for c in met.columns if c not in (doc, chars, gone, "text")]
+    n = F.coalesce(chars, F.lit(0).cast("long"))
+    met = met.select(*(F.col(f"`{c}`") for c in columns), without_lines("text", gone).alias("text"), n.alias("n_boilerplate_chars"), (n > max_lost * F.coalesce(F.length("text"), F.lit(0))).alias("depleted"))
+    clean = base_counts(clean).withColumns({"n_boilerplate_chars": F.lit(0).cast("long"), "depleted": F.lit(False)})
+    return clean.unionByName(met).withColumn("kept", ~(F.col("base_failed") | F.col("depleted")))
 
 
 def accepted(docs: DataFrame, key: str = "doc_id", host: str = "source", min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE, max_lost: float = MAX_LOST) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, without the lines above the limits; ``n_chars``, where there is
     one, is that of the text that is left."""
-    lost = boilerplate(docs, key, host, min_documents, min_unlike)
-    plain = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "text")
-    rows = base_counts(plain).where(~F.col("base_failed")).select("_row.*")
-    rows = rows.withColumn("_doc", _identity(key, host)).hint("merge").join(lost, "_doc", "left")
-    rows = rows.where(F.col("_gone").isNull() | (F.col("n_boilerplate_chars") <= max_lost * F.length("text"))).withColumn("text", without_lines("text", "_gone"))
+    maybe, clean, lost, (doc, chars, gone) = _looked_up(docs, boilerplate(docs, key, host, min_documents, min_unlike), key, host)
+
+    def sound(rows: DataFrame) -> DataFrame:
+        plain = rows.withColumn("_row", F.struct(*(F.col(f"`{c}`") for c in rows.columns))).select("_row", "text")
+        return base_counts(plain).where(~F.col("base_failed")).select("_row.*")
+
+    met = sound(maybe).hint("merge").join(lost, doc, "left").where(F.col(gone).isNull() | (F.col(chars) <= max_lost * F.length("text")))
+    left = without_lines("text", gone)
+    of = {"text": left}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        of["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(left)).cast(docs.schema["n_chars"].dataType)
+    return sound(clean).unionByName(met.select(*(of[c].alias(c) if c in of else F.col(f"`{c}`") for c in docs.columns)))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,4 +198,43 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_quality_rules": op4_quality_rules}
-ORACLES: dict[str, str] = {}
+_LINES = "string_split(lower(coalesce(text, '')), chr(10))"
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": f"""
+WITH l AS (
+  SELECT doc_id, host, body, i - 1 AS pos, x, length(x) AS c, array_to_string(string_split(x, ' ')[1:{END_WORDS}], ' ') AS head,
+    array_to_string(list_reverse(list_reverse(string_split(x, ' '))[1:{END_WORDS}]), ' ') AS tail
+  FROM (SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS body, generate_subscripts({_LINES}, 1) AS i,
+    unnest(list_transform({_LINES}, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS x FROM documents)
+  WHERE x <> ''
+), often AS (
+  SELECT host, x, head, tail FROM (SELECT DISTINCT host, x, head, tail, body FROM l) GROUP BY ALL HAVING count(*) >= {MIN_DOCUMENTS}
+), own AS (
+  SELECT DISTINCT host, body, pos, c, head FROM l WHERE (host, head) NOT IN (SELECT (host, head) FROM often) AND (host, tail) NOT IN (SELECT (host, tail) FROM often)
+), kinds AS (
+  SELECT host, body, min(('0x' || substr(md5(head), 1, 15))::BIGINT) AS kind FROM own GROUP BY ALL HAVING sum(c) >= {OWN_CHARS}
+), holders AS (
+  SELECT DISTINCT host, x, body FROM l WHERE (host, x) IN (SELECT (host, x) FROM often)
+), bad AS (
+  SELECT host, x FROM holders LEFT JOIN kinds USING (host, body) GROUP BY ALL HAVING count(DISTINCT coalesce(kind, 0)) >= {MIN_UNLIKE} * count(*)
+), lost AS (
+  SELECT doc_id, sum(c) AS n, list(pos) AS gone FROM l WHERE (host, x) IN (SELECT (host, x) FROM bad) GROUP BY ALL
+), w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)
+), r AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT * FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1)) GROUP BY ALL
+), b AS (
+  SELECT doc_id, text, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+    coalesce(lost.n, 0)::BIGINT AS n_boilerplate_chars, gone FROM documents JOIN w USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN lost USING (doc_id)
+), v AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_boilerplate_chars > {MAX_LOST} * length(coalesce(text, '')) AS depleted FROM b
+)
+SELECT doc_id, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR depleted) AS kept,
+  n_boilerplate_chars, depleted, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text
+FROM v
+"""
+}

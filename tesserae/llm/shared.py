@@ -8,12 +8,13 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds at most (a single longer text is a step of its own).
@@ -93,6 +94,39 @@ def tidy(batches: Iterator[pa.RecordBatch], *leave: Callable[[], None]) -> Itera
         ctypes.CDLL(None).malloc_trim(0)
 
 
+# ---------------------------------------------------------------- names and sparse joins
+
+
+def free_name(taken: Iterable[str], stem: str) -> str:
+    """A column name that none of ``taken`` equals (case aside)."""
+    held = {x.lower() for x in taken}
+    while stem.lower() in held:
+        stem = f"_{stem}"
+    return stem
+
+
+#: Bits of the table that ``sieved`` broadcasts: 262,144 rows of two longs at most, whatever the input.
+SIEVE = 1 << 24
+
+
+def sieved(rows: DataFrame, key: Column, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``key`` may be among ``keys[column]``, and those whose ``key`` surely isn't.
+
+    A join of large rows with few keys need only move the first part. Keys set bits of a table of fixed size by their
+    hash; a row whose bit is not set has no partner. With many more keys than bits the first part nears all rows, which
+    then move as without the sieve. Null keys are in the second part.
+    """
+    word, mask = free_name(rows.columns, "_word"), free_name(rows.columns, "_mask")
+    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(SIEVE)).alias("slot")
+    bit = "shiftleft(1L, cast(slot % 64 as int))"
+    table_ = keys.where(F.col(column).isNotNull()).select(slot).select(F.shiftright("slot", 6).alias(word), F.expr(bit).alias("bit")).groupBy(word).agg(F.bit_or("bit").alias(mask))
+    own = free_name(rows.columns, "slot")
+    placed = rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(SIEVE))).withColumn(word, F.shiftright(own, 6))
+    met = placed.join(F.broadcast(table_), word, "left")
+    maybe = F.coalesce(F.col(mask).bitwiseAND(F.expr(bit.replace("slot", f"`{own}`"))) != 0, F.lit(False)) & key.isNotNull()
+    return met.where(maybe).select(*(F.col(f"`{c}`") for c in rows.columns)), met.where(~maybe).select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
 # ---------------------------------------------------------------- Arrow batches
 
 
@@ -144,37 +178,122 @@ def odd_multipliers(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+class Words(NamedTuple):
+    """The words ``[^\\x20\\x09-\\x0D]+`` of some texts, one text after another."""
+
+    data: np.ndarray  # UTF-8 of all texts, with a line end after each
+    bounds: np.ndarray  # where each text begins in it; text i is data[bounds[i] : bounds[i + 1] - 1]
+    starts: np.ndarray  # of each word in the data
+    ends: np.ndarray
+    hashes: np.ndarray  # of each word, A-Z lower-cased: 64 bits
+    text_ends: np.ndarray  # where each text's words end
+
+
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+#: Bytes whose words are hashed at once.
+_BLOCK = 1 << 17
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of ``BASE`` and of its inverse."""
+    return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n - 1, 0), x, np.uint64)))) for x in (BASE, BACK))
+
+
+_POWERS = powers(_BLOCK)
+_BYTE = np.random.default_rng(17).integers(0, 2**64, 256, dtype=np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
+
+
+def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomials over the bytes of each word, by running sums: no word is looked at by itself."""
+    out, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):
+        lo = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, lo + _BLOCK, "right")))
+        size = int(ends[b - 1]) - lo
+        up, down = _POWERS if size <= _BLOCK else powers(size)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTE[data[lo : lo + size]] * up[:size], out=sums[1:])
+        out[a:b] = (sums[ends[a:b] - lo] - sums[starts[a:b] - lo]) * down[starts[a:b] - lo]
+        a = b
+    return mix64(out + (ends - starts).astype(np.uint64) * BASE)
+
+
+def split_words(texts: pa.Array) -> Words:
+    """Nulls are empty texts."""
+    kind = pa.large_string()
+    whole = pc.binary_join_element_wise(pc.fill_null(texts.cast(kind), ""), pa.scalar("", kind), pa.scalar("\n", kind))
+    n = len(whole)
+    if not n:
+        return Words(np.zeros(0, np.uint8), np.zeros(1, np.int64), *(np.zeros(0, np.int64) for _ in range(2)), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    bounds = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + n + 1]
+    data = np.frombuffer(whole.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    inside = np.zeros(len(data) + 1, bool)
+    inside[1:] = (data != 32) & ((data < 9) | (data > 13))
+    turns = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = turns[::2], turns[1::2]
+    return Words(data, bounds, starts, ends, _hash_words(data, starts, ends), np.searchsorted(starts, bounds[1:]))
+
+
+def spans_of(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of spans that follow each other."""
+    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1])) if len(ends) else np.zeros(0, np.int64)
+    return starts, ends - starts
+
+
 def shingle_sets(words: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct ``size``-word shingles of each text as 64-bit hashes, one text after another, and their ends.
+    """The distinct ``size``-word shingles of each text as 64-bit hashes, one text after another, and their ends.
 
     ``words`` are 64-bit word hashes. A text of fewer words has one shingle, its whole sequence; one without words has
     none. Two different shingles share a hash with probability about 2**-64.
     """
-    starts = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else ends
-    counts = ends - starts
-    multipliers = odd_multipliers(size, 11)
-    n = len(words)
+    starts, counts = spans_of(ends)
+    multipliers, n = odd_multipliers(size, 11), len(words)
     acc = np.zeros(max(n, 1), np.uint64)
     for k in range(size):
         if n - k > 0:
             acc[: n - k] += words[k:] * multipliers[k]
-    full = np.maximum(counts - size + 1, 0)
-    first_of = np.repeat(starts, full)
-    within = np.arange(full.sum(), dtype=np.int64) - np.repeat(np.cumsum(full) - full, full)
-    hashes, owner = mix64(acc[first_of + within]), np.repeat(np.arange(len(ends)), full)
+    total = np.where(counts >= size, counts - size + 1, counts > 0)
+    owner = np.repeat(np.arange(len(ends)), total)
+    last = np.cumsum(total)
+    within = np.arange(len(owner), dtype=np.int64) - np.repeat(last - total, total)
+    hashes = mix64(acc[np.repeat(starts, total) + within])
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
-        extra = np.empty(len(short), np.uint64)
-        for j, i in enumerate(short):
-            extra[j] = xxhash.xxh64_intdigest(words[starts[i] : ends[i]].tobytes(), int(counts[i]))
-        hashes, owner = np.concatenate((hashes, extra)), np.concatenate((owner, short))
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    if len(hashes):
-        keep = np.ones(len(hashes), bool)
-        keep[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-        hashes, owner = hashes[keep], owner[keep]
-    return hashes, np.cumsum(np.bincount(owner, minlength=len(ends)), dtype=np.int64)
+        whole = counts[short].astype(np.uint64) * BASE
+        for k in range(size - 1):
+            there = k < counts[short]
+            whole[there] += words[starts[short][there] + k] * multipliers[k]
+        hashes[last[short] - 1] = mix64(whole)
+    # a shingle that its text has twice: one sort over all texts
+    key = mix64(hashes + owner.astype(np.uint64) * BASE)
+    order = np.argsort(key)
+    key = key[order]
+    keep = np.ones(len(hashes), bool)
+    keep[order[1:][key[1:] == key[:-1]]] = False
+    return hashes[keep], np.cumsum(np.bincount(owner[keep], minlength=len(ends)), dtype=np.int64)
+
+
+class Lookup:
+    """Places in a sorted array of distinct 64-bit hashes: their first bits lead to the few that share them."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, bits = keys, len(keys).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys, np.arange(2**bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.deepest = int(np.diff(np.append(self.first, len(keys))).max()) if len(keys) else 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """-1 for what isn't there."""
+        out = np.full(len(hashes), -1, np.int64)
+        first = self.first[hashes >> self.shift]
+        for step in range(self.deepest):
+            at = np.minimum(first + step, len(self.keys) - 1)
+            hit = self.keys[at] == hashes
+            out[hit] = at[hit]
+        return out
 
 
 # ---------------------------------------------------------------- connected components
@@ -185,22 +304,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round points every node at its smallest neighbour, follows the pointers once more, and contracts the edges to
     what still differs, so long chains shrink geometrically. Neighbours are reduced by map-side ``min`` and looked up by
-    joins, which adaptive execution can split; nothing is collected and every round is written to the shared folder.
+    joins, which adaptive execution can split; nothing is collected, and what a round leaves is written to the shared
+    folder. The rounds' pointers are followed one after the other at the end. ``edges`` is read twice.
     """
     left = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null")
-    nodes = materialise(left.select(F.col("u").alias("node")).union(left.select("v")).distinct().withColumn("component", F.col("node")))
     live = materialise(left.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    jumps = []
     while not live.isEmpty():
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        point = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")))
+        point = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
         up = point.select(F.col("u").alias("p"), F.col("p").alias("pp"))
         jump = materialise(point.join(up, "p", "left").select("u", F.coalesce("pp", "p").alias("root")))
-        moved = nodes.join(jump, nodes["component"] == jump["u"], "left").select("node", F.coalesce("root", "component").alias("component"))
         root_u = jump.select("u", F.col("root").alias("ru"))
         root_v = jump.select(F.col("u").alias("v"), F.col("root").alias("rv"))
         rest = live.join(root_u, "u").join(root_v, "v").where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
-        old = (nodes, live, point, jump)
-        nodes, live = materialise(moved), materialise(rest)
-        discard(*old)
-    discard(live)
-    return nodes
+        old, live = live, materialise(rest)
+        discard(old)
+        jumps.append(jump)
+    nodes = left.select(F.col("u").alias("node")).union(left.select("v")).distinct().withColumn("component", F.col("node"))
+    for jump in jumps:
+        nodes = nodes.join(jump, nodes["component"] == jump["u"], "left").select("node", F.coalesce("root", "component").alias("component"))
+    out = materialise(nodes)
+    discard(live, *jumps)
+    return out

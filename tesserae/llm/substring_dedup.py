@@ -1,55 +1,48 @@
 """Substring dedup by paragraph MinHash banding.
 
 Paragraphs are the lines of a text. The bands of a MinHash signature, tuned for high recall at the threshold, bring near
-paragraphs together; exact Jaccard verifies them, and components of the confirmed links are the clusters. Passages that
-begin or end inside a line are found by its sentences, which are paragraphs of their own but match only if equal. (One
-of fewer than ``SHORT`` words goes with the next.)
+paragraphs together; exact Jaccard verifies them, and components of the confirmed links are the clusters (equal
+paragraphs are one class from the start).
 
-Passages that keep to neither lines nor sentences are found by anchors: runs of ``ANCHOR`` words, chosen by their hash so
-that one begins among any ``SPREAD`` words in a row that begin one. So whatever ``ANCHOR + SPREAD - 1`` = 50 words several
-documents share, one of their anchors is in it. Anchors at the ends of a run are compared with the keeper's text beyond
-them and grow by all words that are the same (as far as ``REACH`` code points).
+Passages that don't keep to lines are found by anchors: runs of ``ANCHOR`` words, chosen by their hash so that one begins
+among any ``SPREAD`` words in a row that begin one. So whatever ``ANCHOR + SPREAD - 1`` = 50 words several documents
+share, one of their anchors is in it. Anchors at the ends of a run are compared with the keeper's text beyond them and
+grow by all words that are the same (as far as ``REACH`` code points).
 
 Of each cluster the document with the smallest identifier keeps its paragraphs; in other documents they are repeats.
 Repeats that follow each other make a run; a run of at least ``MIN_WORDS`` words is removed. So a common short line in
-otherwise unlike documents stays where it is.
+otherwise unlike documents stays where it is. Shared passages inside a line of less than 50 words may stay too.
 
 Defined results. Null or empty text: nothing to remove. Repeats within one document stay. Repeated rows (equal
-identifiers) count as one document. Null identifiers: never removed, never kept for others. Extra columns stay; one named ``removed`` gives way.
-Empty table: no rows.
+identifiers) count as one document. Null identifiers: never removed, never kept for others. Extra columns stay, whatever
+their names; one named ``removed`` gives way. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .near_dedup import SHINGLE, band_keys, in_shared_buckets, settle, signatures
-from .shared import STEP_BYTES, discard, hash_strings, materialise, mix64, release, shingle_sets, slices, table, tidy, word_arrays
+from .near_dedup import SHINGLE, band_keys, in_shared_buckets, listed, settle, signatures
+from .shared import STEP_BYTES, discard, free_name, materialise, mix64, powers, release, shingle_sets, sieved, slices, spans_of, split_words, table, tidy
 
 PERCENT = 80
 RECALL = 0.995
 ROWS = 2
 #: Words of a run of repeats from which it is removed.
 MIN_WORDS = 25
-#: Sentences of fewer words don't end a piece.
-SHORT = 3
 #: Words of an anchor, and of the places among which one is chosen.
-ANCHOR, SPREAD = 30, 21
+ANCHOR, SPREAD = 25, 26
 #: Code points beyond an anchor in which it grows; the words that count there are fewer than ``SPREAD``.
-REACH = 1000
+REACH = 400
 #: Code points (of empty lines) that may lie between the repeats of a run.
 GAP = 4
-_END = re.compile(r"[.!?]+(?=[\x20\x09-\x0D]|\Z)")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOW = {c: c + 32 for c in range(65, 91)}
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def tune(percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -60,143 +53,103 @@ def tune(percent: int = PERCENT, rows: int = ROWS, recall: float = RECALL) -> in
     return bands
 
 
-def lines_of(text: str) -> list[tuple[int, int]]:
-    """Start and end (code points, the end mark included) of each line."""
-    out, at = [], 0
-    while at < len(text):
-        end = text.find("\n", at) + 1 or len(text)
-        out.append((at, end))
-        at = end
-    return out
-
-
-def sentences_of(text: str, at: int, end: int) -> list[tuple[int, int]]:
-    """The sentences of a line. Where it is cut depends on the sentence alone, not on what stands before it."""
-    out, first = [], at
-    for m in _END.finditer(text, at, end):
-        if m.end() - first > 40 or len(text[first : m.end()].split()) >= SHORT:
-            out.append((at, m.end()))
-            at = m.end()
-        first = m.end()
-    if at < end:
-        out.append((at, end))
-    return out
-
-
-def _words(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all pieces, and where each piece's end."""
-    codes, vocabulary, ends = word_arrays(pa.array(pieces, pa.large_string()))
-    return (hash_strings(vocabulary)[codes] if len(codes) else np.zeros(0, np.uint64)), ends
-
-
 def _identity(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit identity of each sequence of words, and its length."""
-    n = np.diff(np.concatenate(([0], ends)))
+    n = spans_of(ends)[1]
     within = np.arange(len(words)) - np.repeat(ends - n, n)
-    powers = np.cumprod(np.full(int(n.max()) if len(n) else 0, _BASE, np.uint64))
-    terms = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(words) * powers[within], dtype=np.uint64))) if len(words) else np.zeros(1, np.uint64)
+    up = powers(int(n.max()) if len(n) else 0)[0]
+    terms = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(words) * up[within], dtype=np.uint64))) if len(words) else np.zeros(1, np.uint64)
     return mix64(terms[ends] - terms[ends - n] + n.astype(np.uint64)).view(np.int64), n
 
 
+def _sliding(values: np.ndarray, width: int, fold: Callable) -> np.ndarray:
+    """``fold`` (minimum or maximum) of each ``width`` values that follow each other."""
+    span = 1
+    while 2 * span <= width:
+        values, span = fold(values[:-span], values[span:]), 2 * span
+    return fold(values[: span - width], values[width - span :]) if width > span else values
+
+
 def anchors(words: np.ndarray, ends: np.ndarray, size: int = ANCHOR, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray]:
     """First words (positions in ``words``) of the anchors of all texts, and their identities. Of any ``spread`` runs of
     ``size`` words that follow each other in a text, the one with the least hash is an anchor."""
     n = len(words)
     if n < size + spread - 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    powers, back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)))) for x in (_BASE, _BACK))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(words) * powers, dtype=np.uint64)))
-    grams = mix64((sums[size:] - sums[:-size]) * back[: n - size + 1] + np.uint64(size))
+    up, down = powers(n)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(words) * up, dtype=np.uint64)))
+    grams = mix64((sums[size:] - sums[:-size]) * down[: n - size + 1] + np.uint64(size))
+    least = _sliding(grams, spread, np.minimum)
     # windows of runs that end in the text in which they begin
-    last = np.repeat(ends, np.diff(np.concatenate(([0], ends))))
-    begins = np.flatnonzero(np.arange(n) + size + spread - 1 <= last)
-    least = np.lib.stride_tricks.sliding_window_view(grams, spread).argmin(1)
-    at = np.unique(begins + least[begins])
+    last = np.repeat(ends, spans_of(ends)[1])
+    least[np.arange(len(least)) + size + spread - 1 > last[: len(least)]] = 0
+    edge = np.zeros(spread - 1, np.uint64)
+    at = np.flatnonzero((_sliding(np.concatenate((edge, least, edge)), spread, np.maximum) == grams) & (grams > 0))
     return at, grams[at].view(np.int64)
 
 
-def word_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end (code points, within its text) of every word of all texts."""
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    points = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = ~((points == 32) | ((points >= 9) & (points <= 13)))
-    turns = np.flatnonzero(np.diff(np.concatenate(([False], inside)).view(np.int8))).reshape(-1, 2)
-    base = np.cumsum(sizes) - sizes
-    base = base[np.searchsorted(base, turns[:, 0], "right") - 1]
-    return turns[:, 0] - base, turns[:, 1] - base
-
-
 def units(docs: DataFrame, bands: int, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """A row per line with words, sentence and anchor: ``doc``, ``line`` (a whole line), ``start``, ``length``, ``at``
-    (its first word's number in the text), ``words``, ``unit`` (identity), ``n`` (shingles of a line; -1: an anchor) and
-    for lines ``bands``."""
+    """A row per line with words and per anchor: ``doc``, ``line`` (or an anchor), ``start``, ``length``, ``at`` (its first
+    word's number in the text), ``words``, ``unit`` (identity), ``n`` (shingles of a line, else 0) and ``bands`` (of lines;
+    of equal ones in a slice of texts only the first has them)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", STEP_BYTES // 2):
-            texts = [x or "" for x in part.column("text").to_pylist()]
-            lines, pieces, last = [], [], []
-            for i, t in enumerate(texts):
-                for a, b in lines_of(t):
-                    lines.append((i, a, b))
-                    pieces.extend((i, *x) for x in sentences_of(t, a, b))
-                    last.append(len(pieces) - 1)
-            # a line's words are those of its sentences
-            words, piece_ends = _words([texts[i][a:b] for i, a, b in pieces])
-            ends = piece_ends[np.array(last, np.int64)]
-            identity, n = _identity(words, ends)
-            whole = n > 0
-            sets, set_ends = shingle_sets(words, ends, size)
-            sizes = np.diff(np.concatenate(([0], set_ends)))
-            keys = np.zeros((0, bands), np.int64)
-            if whole.any():
-                keys = band_keys(signatures(sets[np.repeat(whole, sizes)], np.cumsum(sizes[whole]), bands * rows), bands, rows)
-            piece_identity, piece_n = _identity(words, piece_ends)
-            some = piece_n > 0
-            places = np.array(lines + pieces, np.int64).reshape(-1, 3)
-            keep = np.concatenate((whole, some))
-            # the words of each text, and where they stand
-            owner = np.array([i for i, _, _ in pieces], np.int64)
-            text_ends = np.cumsum(np.bincount(owner, piece_n, minlength=len(texts))).astype(np.int64)
-            first_word = text_ends - np.diff(np.concatenate(([0], text_ends)))
-            found, anchor_identity = anchors(words, text_ends)
-            begin, end = word_places(texts)
-            of = np.searchsorted(text_ends, found, "right")
-            places = np.concatenate((places[keep], np.stack((of, begin[found], end[found + ANCHOR - 1]), 1)))
-            at = np.concatenate(((ends - n)[whole], (piece_ends - piece_n)[some], found)) - first_word[places[:, 0]]
-            n_lines, n_pieces = int(whole.sum()), int(some.sum())
+            w = split_words(part.column("text"))
+            # code points before each byte
+            points = np.zeros(len(w.data) + 1, np.int64)
+            np.cumsum((w.data & 0xC0) != 0x80, out=points[1:])
+            begins, breaks = w.bounds[:-1], np.flatnonzero(w.data == 10)
+            ends = np.searchsorted(w.starts, breaks)
+            identity, n = _identity(w.hashes, ends)
+            of = np.searchsorted(w.bounds[1:], breaks, "right")
+            first = np.concatenate((np.zeros(1, np.int64), breaks[:-1] + 1))
+            whole = np.flatnonzero(n)
+            fresh = np.zeros(len(n), bool)
+            fresh[whole[np.unique(identity[whole], return_index=True)[1]]] = True
+            sets, set_ends = shingle_sets(w.hashes, ends, size)
+            sizes = spans_of(set_ends)[1]
+            keys = band_keys(signatures(sets[np.repeat(fresh, sizes)], np.cumsum(sizes[fresh]), bands * rows), bands, rows)
+            at, anchor = anchors(w.hashes, w.text_ends)
+            anchor_of = np.searchsorted(w.text_ends, at, "right")
+            # a line's end mark belongs to it; that after the text isn't the text's
+            stop = np.concatenate((np.where(breaks + 1 == w.bounds[of + 1], breaks, breaks + 1)[whole], w.ends[at + ANCHOR - 1]))
+            start, owner = np.concatenate((first[whole], w.starts[at])), np.concatenate((of[whole], anchor_of))
+            place = np.concatenate(((ends - n)[whole], at)) - spans_of(w.text_ends)[0][owner]
+            extra = np.zeros(len(at), np.int64)
+            numbers = (points[start] - points[begins[owner]], points[stop] - points[start], place, np.concatenate((n[whole], extra + ANCHOR)))
             cols = [
-                part.column("doc").take(pa.array(places[:, 0])), pa.array(np.arange(len(places)) < n_lines), pa.array(places[:, 1].astype(np.int32)), pa.array((places[:, 2] - places[:, 1]).astype(np.int32)), pa.array(at.astype(np.int32)),
-                pa.array(np.concatenate((n[whole], piece_n[some], np.full(len(found), ANCHOR))).astype(np.int32)), pa.array(np.concatenate((identity[whole], piece_identity[some], anchor_identity))),
-                pa.array(np.concatenate((sizes[whole], np.zeros(n_pieces, np.int64), np.full(len(found), -1)))),
-                pa.ListArray.from_arrays(pa.array((np.minimum(np.arange(len(places) + 1), n_lines) * bands).astype(np.int32)), pa.array(keys.ravel())),
+                part.column("doc").take(pa.array(owner)), pa.array(np.arange(len(owner)) < len(whole)), *(pa.array(x.astype(np.int32)) for x in numbers),
+                pa.array(np.concatenate((identity[whole], anchor))), pa.array(np.concatenate((sizes[whole], extra))), listed(keys, np.concatenate((fresh[whole], extra > 0))),
             ]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["doc", "line", "start", "length", "at", "words", "unit", "n", "bands"]
-    return docs.mapInArrow(lambda batches: tidy(run(batches)), "doc bigint, line boolean, start int, length int, at int, words int, unit bigint, n bigint, bands array<bigint>")
+    kinds = "doc bigint, line boolean, start int, length int, at int, words int, unit bigint, n bigint, bands array<bigint>"
+    return docs.mapInArrow(lambda batches: tidy(run(batches)), kinds)
 
 
-def _again(placed: DataFrame, cluster: str) -> DataFrame:
-    """The places of clusters that several documents hold, but for those of the document that keeps them, and one of its
-    places (``from``)."""
-    keepers = placed.groupBy(cluster).agg(F.min(F.struct("doc", "start", "length")).alias("from"), F.max("doc").alias("_other")).where("from.doc <> _other").select(cluster, "from")
-    return placed.join(keepers, cluster).where("doc <> from.doc").select("doc", "start", "length", "at", "words", "n", "from")
+def _repeated(placed: DataFrame, cluster: str) -> DataFrame:
+    """The places in clusters that several documents hold, with ``keeper``, the smallest of these. Written, so that the
+    join ends there and adaptive execution can split the rows of a large cluster."""
+    several = placed.groupBy(cluster).agg(F.min("doc").alias("keeper"), F.max("doc").alias("_most")).where("keeper <> _most").select(cluster, "keeper")
+    return materialise(placed.join(several, cluster))
 
 
 def same_words(own: str, kept: str, ahead: bool) -> tuple[int, int]:
     """The words that two texts have in common from their beginning (``ahead``) or up to their end, and the code points of
     ``own`` that they take."""
-    a, b = (list(_WORD.finditer(x.translate(_LOW))) for x in (own, kept))
+    a, b = (x.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for x in (own, kept))
     if not ahead:
         a, b = a[::-1], b[::-1]
-    n = 0
-    while n < min(len(a), len(b), SPREAD - 1) and a[n].group() == b[n].group():
-        n += 1
-    # a word at the edge of what was read may go on
-    cut = lambda x, m: len(x) >= REACH and (m.end() == len(x) if ahead else m.start() == 0)
-    if n and (cut(own, a[n - 1]) or cut(kept, b[n - 1])):
-        n -= 1
-    return n, 0 if not n else a[n - 1].end() if ahead else len(own) - a[n - 1].start()
+    n = taken = 0
+    for x, y in zip(_WORD.finditer(a), _WORD.finditer(b), strict=False):
+        # a word at the edge of what was read may go on
+        cut = (len(a) >= REACH and x.end() == len(a)) or (len(b) >= REACH and y.end() == len(b))
+        if n == SPREAD - 1 or cut or x.group() != y.group():
+            break
+        n, taken = n + 1, x.end()
+    return n, taken
 
 
 def grown(edges: DataFrame, around: DataFrame) -> DataFrame:
@@ -209,10 +162,11 @@ def grown(edges: DataFrame, around: DataFrame) -> DataFrame:
             left = np.array([same_words(x, y, False) for x, y in zip(*texts[:2], strict=True)], np.int32).reshape(-1, 2)
             right = np.array([same_words(x, y, True) for x, y in zip(*texts[2:], strict=True)], np.int32).reshape(-1, 2)
             start, length, at, words = (b.column(c).to_numpy() for c in ("start", "length", "at", "words"))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(start - left[:, 1]), pa.array(length + left[:, 1] + right[:, 1]), pa.array(at - left[:, 0]), pa.array(words + left[:, 0] + right[:, 0]), b.column("keeper")], ["doc", "start", "length", "at", "words", "keeper"])
+            made = (start - left[:, 1], length + left[:, 1] + right[:, 1], at - left[:, 0], words + left[:, 0] + right[:, 0])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), *map(pa.array, made), b.column("keeper")], ["doc", "start", "length", "at", "words", "keeper"])
 
-    kept = around.select(F.col("doc").alias("keeper"), F.col("start").alias("_from"), F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
-    both = edges.select("doc", "start", "length", "at", "words", F.col("from.doc").alias("keeper"), F.col("from.start").alias("_from")).join(around, ["doc", "start"]).join(kept, ["keeper", "_from"])
+    kept = around.select(F.col("doc").alias("keeper"), F.col("start").alias("from"), F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
+    both = edges.join(around, ["doc", "start"]).join(kept, ["keeper", "from"])
     return both.mapInArrow(lambda batches: tidy(run(batches)), "doc bigint, start int, length int, at int, words int, keeper bigint")
 
 
@@ -220,59 +174,74 @@ def repeats(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, min_wo
     """The runs to remove: ``doc``, ``start``, ``length``, ``words``, ``keepers`` (documents that keep such passages)."""
     rows = docs.select(F.col(key).cast("long").alias("doc"), "text").where(F.col(key).isNotNull())
     found = materialise(units(rows, tune(percent)))
-    same = materialise(_again(found.where("not line"), "unit"))
+    lines = found.where("line")
+    # equal lines and anchors
+    same = _repeated(found.drop("n", "bands"), "unit")
+    others = same.where("doc <> keeper")
     # anchors that no other overlaps before or after them; rows of equal identifiers hold the same places
     by_place = Window.partitionBy("doc").orderBy("start")
-    ends = same.where("n < 0").dropDuplicates(["doc", "start"]).withColumn("_end", F.col("start") + F.col("length"))
-    ends = ends.withColumn("_open", F.coalesce(F.lag("_end").over(by_place) < F.col("start"), F.lit(True)) | F.coalesce(F.lead("start").over(by_place) > F.col("_end"), F.lit(True)))
-    edges = materialise(ends.where("_open").drop("_open", "_end"))
-    lines = found.where("line")
-    members = in_shared_buckets(lines.dropDuplicates(["unit"]).select(F.col("unit").alias("rep"), "n", "bands"))
-    # the text of each such line from one place where it stands, and what is around the edges and their keepers' places
-    at = lines.groupBy(F.col("unit").alias("id")).agg(F.min(F.struct("doc", "start", "length")).alias("at")).join(members.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "at.*")
-    asked = edges.select("doc", "start", "length").unionByName(edges.select("from.*")).distinct().select(F.lit(None).cast("long").alias("id"), "*")
-    held = rows.hint("merge").join(at.unionByName(asked), "doc")
-    first = F.greatest(F.col("start") - REACH, F.lit(0))
+    ends = others.where("not line").dropDuplicates(["doc", "start"]).withColumn("_end", F.col("start") + F.col("length"))
+    alone = lambda x: F.coalesce(x, F.lit(True))
+    ends = ends.withColumn("_open", alone(F.lag("_end").over(by_place) < F.col("start")) | alone(F.lead("start").over(by_place) > F.col("_end")))
+    first = same.where("not line and doc = keeper").groupBy("unit").agg(F.min("start").alias("from"))
+    edges = materialise(ends.where("_open").join(first, "unit").select("doc", "start", "length", "at", "words", "keeper", "from"))
+    # near lines: the text of each of them from one place where it stands
+    members = in_shared_buckets(lines.select(F.col("unit").alias("rep"), "n", "bands"))
+    at = lines.select("unit", "doc", "start", "length").join(members.select(F.col("rep").alias("unit")).distinct(), "unit", "left_semi")
+    at = at.groupBy(F.col("unit").alias("id")).agg(F.min(F.struct("doc", "start", "length")).alias("at")).select("id", "at.*")
+    # and what is around the edges and their keepers' places
+    asked = edges.select("doc", "start", "length").unionByName(edges.select(F.col("keeper").alias("doc"), F.col("from").alias("start"), "length")).distinct()
+    spots = materialise(at.unionByName(asked.withColumn("id", F.lit(None).cast("long"))))
+    held = sieved(rows, F.col("doc"), spots, "doc")[0].hint("merge").join(spots, "doc")
+    before = F.greatest(F.col("start") - REACH, F.lit(0))
     line = F.col("id").isNotNull()
-    texts = held.select(
-        "id", "doc", "start", F.when(line, F.substring("text", F.col("start") + 1, F.col("length"))).alias("text"),
-        F.when(~line, F.substring("text", first + 1, F.col("start") - first)).alias("before"), F.when(~line, F.substring("text", F.col("start") + F.col("length") + 1, F.lit(REACH))).alias("after"),
-    )
-    every = materialise(texts)
+    every = materialise(
+        held.select(
+            "id", "doc", "start", F.when(line, F.substring("text", F.col("start") + 1, F.col("length"))).alias("text"),
+            F.when(~line, F.substring("text", before + 1, F.col("start") - before)).alias("before"), F.when(~line, F.substring("text", F.col("start") + F.col("length") + 1, F.lit(REACH))).alias("after"),
+        )
+    )
     texts = materialise(every.where("id is not null").select("id", "text").dropDuplicates(["id"]))
     wider = materialise(grown(edges, every.where("id is null").select("doc", "start", "before", "after").dropDuplicates(["doc", "start"])))
-    discard(every, edges)
+    discard(every, edges, spots)
     release(docs)
-    empty = materialise(members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
+    empty = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
     parts = settle(members, texts, empty, percent)
     discard(members, texts)
-    near = materialise(_again(lines.join(parts.select(F.col("node").alias("unit"), "component"), "unit"), "component"))
+    near = _repeated(lines.drop("n", "bands").join(parts.select(F.col("node").alias("unit"), "component"), "unit"), "component")
     discard(found)
     release(docs)
+    columns = ("doc", "start", "length", "at", "words", "keeper")
+    placed = near.where("doc <> keeper").select(*columns).unionByName(others.select(*columns)).unionByName(wider)
     # rows of equal identifiers hold the same places
-    placed = near.unionByName(same).select("doc", "start", "length", "at", "words", F.col("from.doc").alias("keeper")).unionByName(wider)
     again = placed.groupBy("doc", "start", "length").agg(F.max("at").alias("at"), F.max("words").alias("words"), F.min("keeper").alias("keeper")).withColumn("_end", F.col("start") + F.col("length"))
-    before = Window.partitionBy("doc").orderBy("start", "_end").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy("doc").orderBy("start", "_end").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("doc").orderBy("start", "_end").rowsBetween(Window.unboundedPreceding, 0)
     # a run goes on while a place begins where the run ends; empty lines may lie between
-    runs = again.withColumn("_new", F.when(F.col("start") <= F.max("_end").over(before) + GAP, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(upto))
+    runs = again.withColumn("_new", F.when(F.col("start") <= F.max("_end").over(above) + GAP, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(upto))
     # places overlap: a run's words are those from its first to its last
     words = (F.max(F.col("at") + F.col("words")) - F.min("at")).cast("long").alias("words")
     spans = runs.groupBy("doc", "_run").agg(F.min("start").alias("start"), F.max("_end").alias("_end"), words, F.array_sort(F.collect_set("keeper")).alias("keepers"))
-    return materialise(spans.where(F.col("words") >= min_words).select("doc", "start", (F.col("_end") - F.col("start")).alias("length"), "words", "keepers"))
+    out = materialise(spans.where(F.col("words") >= min_words).select("doc", "start", (F.col("_end") - F.col("start")).alias("length"), "words", "keepers"))
+    discard(same, near, wider)
+    return out
 
 
 def substring_dedup(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``removed`` (the runs, ordered) and ``text`` without them."""
     spans = repeats(docs, key, percent, min_words)
-    listed = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "length", "words", "keepers"))).alias("removed"))
-    listed = listed.withColumnRenamed("doc", "_doc")
-    out = docs.drop("removed").withColumn("_id", F.col(key).cast("long")).hint("merge").join(listed, F.col("_id") == F.col("_doc"), "left").drop("_doc", "_id")
+    own = docs.drop("removed")
+    doc = free_name(own.columns, "_doc")
+    listed_ = spans.groupBy(F.col("doc").alias(doc)).agg(F.array_sort(F.collect_list(F.struct("start", "length", "words", "keepers"))).alias("removed"))
+    # only documents that may have runs move
+    cut, whole = sieved(own, F.col(key).cast("long"), spans, "doc")
+    cut = cut.hint("merge").join(listed_, F.col(key).cast("long") == F.col(doc), "left").drop(doc)
     # the text between the runs: from each run's end to the next one's start
     begins = F.concat(F.array(F.lit(0)), F.transform("removed", lambda r: r["start"] + r["length"]))
     ends = F.concat(F.transform("removed", lambda r: r["start"]), F.array(F.length("text")))
     rest = F.array_join(F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda x: F.substring(F.col("text"), x["a"] + 1, x["b"] - x["a"])), "")
-    return out.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest))
+    cut = cut.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest))
+    return cut.unionByName(whole.withColumn("removed", F.lit(None).cast(cut.schema["removed"].dataType)))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,17 @@
 """WARC archives as a chunked record table: written in streams, read back as record-identifier and chunk-number rows.
 
-Writers get one row per record and write it in chunks, each record a gzip member of its own, to files of bounded size in
-the shared folder; what a task wrote counts only through the manifest row it returns, so a repeated task does no harm.
-Readers stream a file and emit chunk rows that carry the SHA-1 of the record so far; no record is ever held whole.
+Records come to the writers as rows of record identifier and chunk number, a payload of any size in chunks of ``CHUNK``
+bytes. A writer streams them into a gzip member for each record, takes the SHA-1 as it goes and checks it against the
+declared one at the last chunk; its files are of bounded size and lie in the shared folder. What a task wrote counts only
+through the manifest row it returns, so a repeated task does no harm. Readers stream a file and emit chunk rows that carry
+the SHA-1 of the record so far. No Python process ever holds a whole record.
 
 A payload of at least ``MIN_REVISIT`` bytes that several records share is stored once, with the largest identifier; the
 others are revisit records, whose block is the HTTP header alone.
 
 Defined results. Null html: an empty payload. Null or repeated identifiers: each row is a record; where equal payloads
-also share the largest identifier, each row with it is a response. Extra columns are ignored. Empty table: no rows.
+also share the largest identifier, each row with it is a response. Identifiers of any characters: percent-encoded in the
+archive. Extra columns are ignored. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -18,9 +21,9 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timezone
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +48,7 @@ def _header(kind: str, key: str, uri: str, digest: str, size: int, length: int,
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:tesserae:{key}>",
+        f"WARC-Record-ID: <urn:tesserae:{quote(key, safe='')}>",
         f"WARC-Date: {datetime.fromtimestamp(0, _UTC):%Y-%m-%dT%H:%M:%SZ}",
         f"WARC-Target-URI: {''.join(uri.split())}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -53,7 +56,7 @@ def _header(kind: str, key: str, uri: str, digest: str, size: int, length: int,
         f"Content-Length: {len(http) + length}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:tesserae:{refers_to}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:tesserae:{quote(refers_to, safe='')}>"]
     return "\r\n".join(lines).encode("utf-8", "replace") + CRLF + CRLF, http
 
 
@@ -61,24 +64,42 @@ class Writer:
     """Files of gzip members in ``folder``, through whatever file system its URI names."""
 
     def __init__(self, folder: str, limit: int = FILE):
-        self.store, self.folder = fs.FileSystem.from_uri(folder)
-        self.limit, self.out, self.files = limit, None, []
+        self.store, self.path = fs.FileSystem.from_uri(folder)
+        self.folder, self.limit, self.out, self.files = folder.rstrip("/"), limit, None, []
 
-    def write(self, key: str, uri: str, digest: str, payload: memoryview, refers_to: str | None) -> None:
-        """``payload`` is written unless the record refers to another."""
+    def begin(self, key: str, uri: str, digest: str, size: int, refers_to: str | None) -> None:
+        """``size``: of the whole payload; of a record that refers to another nothing is appended."""
         if self.out is None:
-            self.path = f"{self.folder}/{uuid.uuid4().hex}.warc.gz"
-            self.out, self.n, self.size = self.store.open_output_stream(self.path, compression=None), 0, 0
-        stored = 0 if refers_to is not None else len(payload)
-        head, http = _header("response" if refers_to is None else "revisit", key, uri, digest, len(payload), stored, refers_to)
-        member = zlib.compressobj(1, zlib.DEFLATED, 31)
-        for piece in (head, http, *(payload[i : i + CHUNK] for i in range(0, stored, CHUNK)), CRLF + CRLF):
-            self._put(member.compress(piece))
-        self._put(member.flush())
+            self.name = f"{uuid.uuid4().hex}.warc.gz"
+            self.out, self.n, self.size = self.store.open_output_stream(f"{self.path}/{self.name}", compression=None), 0, 0
+        self.declared, self.left, self.sha = digest, 0 if refers_to is not None else size, hashlib.sha1()
+        self.checked = refers_to is None
+        self.member = zlib.compressobj(1, zlib.DEFLATED, 31)
+        for piece in _header("response" if refers_to is None else "revisit", key, uri, digest, size, self.left, refers_to):
+            self._put(self.member.compress(piece))
+
+    def append(self, data: memoryview) -> None:
+        self.sha.update(data)
+        self.left -= len(data)
+        self._put(self.member.compress(data))
+
+    def end(self) -> None:
+        if self.left or (self.checked and self.sha.hexdigest() != self.declared):
+            raise ValueError("the chunks of a record are not the payload that was declared")
+        self._put(self.member.compress(CRLF + CRLF))
+        self._put(self.member.flush())
         self.n += 1
         if self.size >= self.limit:
             self.close()
 
+    def write(self, key: str, uri: str, digest: str, payload: memoryview, refers_to: str | None) -> None:
+        """A record whose payload is at hand."""
+        self.begin(key, uri, digest, len(payload), refers_to)
+        if refers_to is None:
+            for i in range(0, len(payload), CHUNK):
+                self.append(payload[i : i + CHUNK])
+        self.end()
+
     def _put(self, data: bytes) -> None:
         if data:
             self.out.write(data)
@@ -87,28 +108,31 @@ class Writer:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.files.append((self.path, self.n, self.size))
+            self.files.append((f"{self.folder}/{self.name}", self.n, self.size))
             self.out = None
 
 
-def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Writes ``record_id`` (string), ``uri``, ``digest``, ``payload`` (binary) and ``refers_to``; returns the manifest:
-    ``path``, ``n_records``, ``bytes``."""
+def write_archives(chunks: DataFrame, folder: str, limit: int = FILE) -> DataFrame:
+    """Writes ``record_id`` (string), ``uri``, ``digest``, ``bytes`` (of the payload), ``refers_to``, ``chunk`` (from 0),
+    ``last`` and ``data`` (binary), whose rows stand in order; returns the manifest: ``path``, ``n_records``, ``bytes``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer = Writer(folder)
-        try:
-            for b in batches:
-                payloads = b.column("payload")
-                for i, (key, uri, digest, refers) in enumerate(zip(*(b.column(c).to_pylist() for c in ("record_id", "uri", "digest", "refers_to")), strict=True)):
-                    buffer = payloads[i].as_buffer()
-                    writer.write(key or "", uri or "", digest or "", memoryview(buffer) if buffer else memoryview(b""), refers)
-        finally:
-            writer.close()
+        writer = Writer(folder, limit)
+        for b in batches:
+            data = b.column("data")
+            for i, (key, uri, digest, size, refers, number, last) in enumerate(zip(*(b.column(c).to_pylist() for c in names[:-1]), strict=True)):
+                if number == 0:
+                    writer.begin(key or "", uri or "", digest or "", size, refers)
+                if buffer := data[i].as_buffer():
+                    writer.append(memoryview(buffer))
+                if last:
+                    writer.end()
+        writer.close()
         cols = list(zip(*writer.files, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["path", "n_records", "bytes"])
 
-    return records.select("record_id", "uri", "digest", "payload", "refers_to").mapInArrow(run, "path string, n_records bigint, bytes bigint")
+    names = ["record_id", "uri", "digest", "bytes", "refers_to", "chunk", "last", "data"]
+    return chunks.select(*names).mapInArrow(run, "path string, n_records bigint, bytes bigint")
 
 
 # ---------------------------------------------------------------- reading
@@ -179,7 +203,7 @@ def read_chunks(source, chunk: int = CHUNK) -> Iterator[tuple]:
             http[name.strip().lower()] = value.strip()
             used += len(line) + 2
         rest, sha, number, offset = size - used - 2, hashlib.sha1(), 0, 0
-        clean = lambda x: x.removeprefix("<urn:tesserae:").removesuffix(">") if x is not None else None
+        clean = lambda x: unquote(x.removeprefix("<urn:tesserae:").removesuffix(">")) if x is not None else None
         told = (clean(head["warc-record-id"]), head["warc-type"], clean(head.get("warc-refers-to")), head["warc-payload-digest"].partition(":")[2], int(http["content-length"]))
         while True:
             data = b""
@@ -201,42 +225,43 @@ CHUNKS = pa.schema(
 )
 
 
-def read_archives(manifest: DataFrame, with_data: bool = True) -> DataFrame:
-    """The chunk table of the files in ``manifest``. ``with_data=False`` leaves the bytes behind (their number stays in
-    ``size``) once the digest has taken them in."""
+def read_archives(manifest: DataFrame) -> DataFrame:
+    """The chunk table of the files in ``manifest``, read by as many tasks as there are files."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column("path").to_pylist():
-                with store.open_input_stream(path, compression=None) as source:
+                store, inside = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(inside, compression=None) as source:
                     rows, held = [], 0
                     for row in read_chunks(source):
-                        held += len(row[7]) if with_data else 0
-                        rows.append(row if with_data else (*row[:7], None, *row[8:]))
-                        sizes.append(len(row[7]))
-                        if held >= 8 * CHUNK or len(rows) >= 4096:
+                        held += len(row[7])
+                        rows.append(row)
+                        if held >= 4 * CHUNK or len(rows) >= 1024:
                             yield batch(rows)
                             rows, held = [], 0
                     if rows:
                         yield batch(rows)
 
-    sizes: list[int] = []
-
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), CHUNKS, strict=True)]
-        cols.append(pa.array(sizes[:], pa.int64()))
-        sizes.clear()
-        return pa.RecordBatch.from_arrays(cols, [*CHUNKS.names, "size"])
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), CHUNKS, strict=True)], CHUNKS.names)
+
+    schema = "record_id string, record_type string, refers_to string, declared_digest string, declared_bytes bigint, chunk int, `offset` bigint, data binary, sha1 string, last boolean"
+    # by ranges of names with a stated number of them: hashes would put several files into one task, and adaptive execution
+    # would put all these tiny rows together
+    return manifest.select("path").repartitionByRange(max(1, manifest.count()), "path").mapInArrow(run, schema)
+
 
-    first = manifest.select("path").head()
-    store = None
-    if first is not None:
-        store = manifest._tesserae_store
-    schema = "record_id string, record_type string, refers_to string, declared_digest string, declared_bytes bigint, chunk int, `offset` bigint, data binary, sha1 string, last boolean, size bigint"
-    return manifest.select("path").repartition("path").mapInArrow(run, schema)
+def chunked(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Rows of ``record_id``, ``uri``, ``digest``, ``payload`` (binary) and ``refers_to`` as chunk rows, in order."""
+    stored = F.when(F.col("refers_to").isNull(), F.length("payload")).otherwise(0)
+    n = F.greatest(F.ceil(stored / chunk).cast("int"), F.lit(1))
+    rows = records.withColumns({"bytes": F.length("payload").cast("long"), "_stored": stored, "_n": n}).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    data = F.when(F.col("_stored") > 0, F.substring("payload", F.col("chunk") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
+    return rows.select("record_id", "uri", "digest", "bytes", "refers_to", "chunk", (F.col("chunk") == F.col("_n") - 1).alias("last"), data.alias("data"))
 
 
-def archive(pages: DataFrame, key: str = "page_id", min_revisit: int = MIN_REVISIT) -> DataFrame:
+def archive(pages: DataFrame, key: str = "page_id", min_revisit: int = MIN_REVISIT, limit: int = FILE) -> DataFrame:
     """Writes a record per row of ``key``, ``url``, ``html`` and returns the written manifest."""
     spark, folder = pages.sparkSession, shared_dir(pages.sparkSession)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
@@ -248,19 +273,17 @@ def archive(pages: DataFrame, key: str = "page_id", min_revisit: int = MIN_REVIS
     records = rows.select(F.col("_key").cast("string").alias("record_id"), "uri", "digest", "payload", F.when(F.col("_response") != F.col("_key"), F.col("_response").cast("string")).alias("refers_to"))
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
-    manifest = materialise(write_archives(records, folder))
-    manifest._tesserae_store = store
-    return manifest
+    return materialise(write_archives(chunked(records), folder, limit))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType
-    last = read_archives(archive(pages), with_data=False).where("last")
+    last = read_archives(archive(pages)).where("last")
     stored = F.col("record_type") == "response"
     return last.select(
         F.col("record_id").try_cast(kind).alias("page_id"),
-        F.when(stored, F.col("offset") + F.col("size")).otherwise(F.col("declared_bytes")).alias("payload_bytes"),
+        F.when(stored, F.col("offset") + F.length("data")).otherwise(F.col("declared_bytes")).alias("payload_bytes"),
         F.when(stored, F.col("sha1")).otherwise(F.col("declared_digest")).alias("payload_digest"),
         "record_type",
         F.col("refers_to").try_cast(kind).alias("refers_to"),

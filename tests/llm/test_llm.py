@@ -67,6 +67,47 @@ def none(spark):
 # ---------------------------------------------------------------- shared
 
 
+def test_split_words():
+    texts = ["zz", " A  b\n", None, "x\x1cy z\x85\x0bq", "", "ab " * 90_000 + "É日本 Z" * 3, "y" * 300_000 + " a"]
+    w = shared.split_words(pa.array(texts)[1:])
+    assert w.text_ends.tolist() == np.cumsum([len(words(t)) for t in texts[1:]]).tolist()
+    flat = [x for t in texts[1:] for x in words(t)]
+    assert [bytes(w.data[a:b]).decode().translate(LOW) for a, b in zip(w.starts, w.ends)] == flat
+    assert len(set(zip(flat, w.hashes.tolist()))) == len(set(flat)) == len(set(w.hashes.tolist()))
+    assert len(shared.split_words(pa.array([], pa.string())).hashes) == 0
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.text(alphabet="ab \n", max_size=40) | st.none(), max_size=6))
+def test_shingle_sets(texts):
+    w = shared.split_words(pa.array(texts, pa.string()))
+    sets, ends = shared.shingle_sets(w.hashes, w.text_ends, 5)
+    assert shared.spans_of(ends)[1].tolist() == [len(shingles(t)) for t in texts]
+    named = {}
+    for t, a, n in zip(texts, *shared.spans_of(ends)):
+        named.setdefault(frozenset(shingles(t)), set()).add(frozenset(sets[a : a + n].tolist()))
+    assert all(len(x) == 1 for x in named.values()) and len(set().union(*named.values())) == len(named)
+
+
+def test_lookup():
+    keys = np.unique(np.random.default_rng(0).integers(0, 2**64, 5000, dtype=np.uint64))
+    asked = np.concatenate((keys[::3], keys[::7] + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)))
+    assert shared.Lookup(keys).find(asked).tolist() == [int(np.searchsorted(keys, x)) if x in keys else -1 for x in asked]
+    assert shared.Lookup(keys[:0]).find(asked).max() == -1
+
+
+def test_sieve_parts_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i if i % 9 else None, f"t{i}", i) for i in range(300)], "k long, _word string, slot int")
+    keys = spark.createDataFrame([(i,) for i in range(0, 300, 5)] + [(None,)], "doc long")
+    for bits in (1 << 24, 128):
+        monkeypatch.setattr(shared, "SIEVE", bits)
+        maybe, rest = shared.sieved(rows, F.col("k"), keys, "doc")
+        maybe, rest = ([tuple(r) for r in x.collect()] for x in (maybe, rest))
+        assert sorted(r[2] for r in maybe + rest) == list(range(300))
+        assert {r[0] for r in maybe} >= {i for i in range(0, 300, 5) if i % 9} and all(r[0] is not None for r in maybe)
+    assert shared.sieved(rows, F.col("k"), keys.limit(0), "doc")[0].count() == 0
+
+
 def test_word_arrays_of_slices():
     texts = pa.array(["zz", " A  b\n", None, "x\x1cy z\x85\x0bq", ""])[1:]
     codes, vocabulary, ends = shared.word_arrays(texts)
@@ -95,21 +136,20 @@ def test_shared_dir_needs_a_setting_on_a_cluster():
 
 
 def signatures(t):
+    """By definition: for each anchor the next two words that are neither stop words nor anchors."""
     w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()) if x]
-    content, found = [x for x in w if x in fingerprints.ANCHORS or x not in fingerprints.STOPS], set()
-    for i, x in enumerate(content):
-        chain, anchors = [], 0
-        for y in content[i + 1 :] if x in fingerprints.ANCHORS else ():
-            anchors += y in fingerprints.ANCHORS
-            if anchors == 3 or len(chain) == 2:
-                break
-            if y not in fingerprints.ANCHORS:
-                chain.append(y)
-        if chain:
-            found.add(tuple(chain))
+    found = {tuple([y for y in w[i + 1 :] if y not in fingerprints.STOPS][:2]) for i, x in enumerate(w) if x in fingerprints.ANCHORS} - {()}
     return found or ({tuple(w)} if w else set())
 
 
+def test_chains_go_over_any_number_of_anchors(spark):
+    texts = ["the cat and the is dog", "the and is a cat", "the cat", "the of and is a der cat to the in the dog runs", "and the is", "cat dog", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", fingerprints.signatures(F.col("t")).alias("s")).collect()
+    digest = lambda c: hashlib.md5(" ".join(c).encode()).hexdigest()[:16]
+    assert {r.i: set(r.s) for r in rows} == {i: {digest(c) for c in signatures(t)} for i, t in enumerate(texts)}
+    assert signatures(texts[0]) == {("cat", "dog"), ("dog",)}
+
+
 def jaccard(a, b):
     return 1.0 if not a | b else len(a & b) / len(a | b)
 
@@ -191,12 +231,64 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.64) ** n >= 0.995 > 1 - (1 - 0.64) ** (n - 1)
 
 
-@given(st.text(alphabet="ab.!\n ", max_size=80))
-def test_pieces_cover_a_text(text):
-    lines = substring_dedup.lines_of(text)
-    pieces = [x for a, b in lines for x in substring_dedup.sentences_of(text, a, b)]
-    for spans in (lines, pieces):
-        assert "".join(text[a:b] for a, b in spans) == text and all(a < b for a, b in spans)
+def test_units_are_lines_and_anchors(spark):
+    texts = {1: None, 2: "", 3: "\n \n", 4: "Éa b\n\n c\td", 5: "a b\n", 6: para(1, 200) + "\n" + para(2, 30)}
+    df = spark.createDataFrame(list(texts.items()), "doc long, text string")
+    rows = substring_dedup.units(df, 6).collect()
+    for i, t in texts.items():
+        t, lines, at = t or "", [], 0
+        for x in t.splitlines(keepends=True):
+            if WORD.search(x):
+                lines.append((at, len(x), len(words(t[:at])), len(words(x)), len(shingles(x))))
+            at += len(x)
+        assert sorted((r.start, r.length, r.at, r.words, r.n) for r in rows if r.doc == i and r.line) == lines
+        for r in rows:
+            if r.doc == i and not r.line:
+                assert words(t[r.start : r.start + r.length]) == words(t)[r.at : r.at + substring_dedup.ANCHOR] and not t[r.start + r.length : r.start + r.length + 1].strip()
+    assert len({r.unit for r in rows if r.doc in (4, 5) and r.line}) == 3
+
+
+@settings(deadline=None, max_examples=40)
+@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40), st.integers(0, 30))
+def test_any_shared_run_has_a_common_anchor(left, right, seed):
+    run = [f"w{x}" for x in np.random.default_rng(seed).integers(0, 4, 7)]
+    texts = [" ".join(left + run + right), " ".join(right + run + left)]
+    w = shared.split_words(pa.array(texts))
+    at, names = substring_dedup.anchors(w.hashes, w.text_ends, 4, 4)
+    found = [{n for p, n in zip(at, names) if a <= p and p + 4 <= a + 7} for a in (len(left), int(w.text_ends[0]) + len(right))]
+    assert found[0] & found[1]
+
+
+def test_near_lines_of_all_lengths_are_found(spark):
+    """Recall of the banding by brute force over all pairs: lines of 5 to 60 words with one or two other words."""
+    rng, rows, near, n = np.random.default_rng(5), [], 0, 0
+    for size in range(5, 61):
+        base = para(9000 + size, size).split()
+        other = list(base)
+        for k in {0, size - 1} if size > 40 else {0}:
+            other[k] = f"new{rng.integers(1000)}"
+        rows += [(2 * size, " ".join(base)), (2 * size + 1, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in substring_dedup.substring_dedup(df, min_words=1).where("removed is not null").collect()}
+    want = set()
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and 100 * len(shingles(a) & shingles(b)) >= 80 * len(shingles(a) | shingles(b)):
+                want.add(j)
+    assert len(want) > 40 and len(got & want) >= 0.9 * len(want) and got <= want | {j for j, t in rows if len(t.split()) > 25}
+
+
+def test_columns_may_have_any_name(spark):
+    import corpus_pipeline
+
+    names = ["_id", "_doc", "_size", "_w", "_row", "_gone", "_lost", "_word", "_mask", "slot", "doc", "removed", "gone", "lost", "unit", "row", "id"]
+    rows = [(i, TEXTS[i], "en", "s", 1, *[f"{c}{i}" for c in names]) for i in (10, 12, 13, 14, 18, 19, 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    want = {i: [f"{c}{i}" for c in names] for i in (10, 12, 13, 14, 18, 19, 20)}
+    for made, gone in ((substring_dedup.substring_dedup(df), "removed"), (quality_rules.quality_rules(df), None), (quality_rules.accepted(df), None), (corpus_pipeline.near(spark, df, ""), None)):
+        kept = [c for c in names if c != gone]
+        for r in made.collect():
+            assert [r[c] for c in kept] == [x for x, c in zip(want[r.doc_id], names) if c != gone]
 
 
 # ---------------------------------------------------------------- 3 near-dedup
@@ -243,6 +335,19 @@ def test_near_duplicates_in_a_dense_group(spark, monkeypatch):
     assert got == brute_components(texts, 85)[0]
 
 
+def test_repeated_rows_are_compared_once(spark):
+    near = para(2, 300)
+    other = " ".join(w if i != 150 else "other" for i, w in enumerate(near.split()))
+    df = spark.createDataFrame([(1, near)] * 200 + [(2, other)] * 200 + [(3, other), (3, para(1, 50))], "doc_id long, text string")
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    known = near_dedup.sketch(df, "doc_id").where("digest is not null")
+    texts = near_dedup.texts_of(df, ids, known, "doc_id")
+    assert sorted((r.id, r.text) for r in texts.collect()) == sorted([(1, near), (2, other), (3, other), (3, para(1, 50))])
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert near_dedup.compare(pairs, texts).count() == 1
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_null_identifiers_link_nothing(spark):
     df = spark.createDataFrame([(None, SENTENCE), (None, para(1, 50)), (5, SENTENCE)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.kept) for r in near_dedup.near_duplicates(df).collect()) == [(0, True), (0, True), (5, True)]
@@ -339,6 +444,25 @@ def test_licence_places(parts, sep):
     assert got[:4] == (len(w), len(places), min(places, default=None), max(places, default=None))
 
 
+def test_licence_labels_and_scores(spark):
+    parts = ["MIT License", "cc by", "Apache License", "public domain", "SPDX-License-Identifier: MIT OR Foo-1.0", "SPDX-License-Identifier: !", "words", "General Public License"]
+    known = {**{k: ("notice", v) for k, v in licenses.NOTICES.items()}, **{k: ("base", v) for k, v in licenses.BASE.items()}}
+    rng, rows = np.random.default_rng(2), []
+    for i in range(120):
+        rows.append((i, "\n".join(rng.choice(parts, rng.integers(0, 4)))))
+    for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = rows[r.doc_id][1]
+        plain = " " + " ".join(re.findall(r"[0-9a-z]+", text.lower())) + " "
+        hits = [kind_label for phrase, kind_label in known.items() if f" {phrase} " in plain]
+        labels = {label for _, label in hits}
+        kinds = {kind for kind, _ in hits}
+        for tag in re.findall(r"SPDX-License-Identifier: (.*)", text):
+            labels |= {"mit", "foo-1.0"} if tag.startswith("MIT") else {"spdx"}
+            kinds.add("tag")
+        miss = math.prod(1 - licenses.WEIGHTS[k] for k in kinds)
+        assert r.labels == ",".join(sorted(labels)) and r.score == pytest.approx(1 - miss if kinds else 0.0)
+
+
 @pytest.mark.parametrize(
     "text,rpn,ok",
     [
@@ -393,6 +517,17 @@ def test_long_texts_go_in_runs(monkeypatch, reference_encoding):
 # ---------------------------------------------------------------- 7 packing
 
 
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " a", "b ", " ", "\n", "é", "don't"]), max_size=12))
+def test_ids_with_added_tokens(parts):
+    from tokenizers import Tokenizer
+
+    path, text = public_tokenizers.path("byte_bpe_50k.json"), "".join(parts)
+    got = packing.text_ids(path).ids(["x", text, "y <|endoftext|>"])
+    whole = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [whole.encode(t, add_special_tokens=False).ids for t in ("x", text, "y <|endoftext|>")]
+
+
 def check_packing(pieces, capacity):
     by = {}
     for r in pieces:
@@ -410,7 +545,6 @@ def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = packing.pack(docs).collect()
     n = check_packing(rows, 2048)
     assert n <= -(-sum(r.length for r in rows) // 2048) + 1
@@ -502,7 +636,7 @@ def test_gradient():
     def loss():
         h, total = h0, 0.0
         for w, t, f in zip(inputs, targets, fresh, strict=True):
-            h = m.step(w, np.where(f[:, None], 0, h))[0]
+            h = m.step(w, np.where(f[:, None], 0, h))
             used = np.flatnonzero(t >= 0)
             total -= m.log_probability(h[used], t[used]).sum()
         return total / (targets >= 0).sum()
@@ -525,6 +659,40 @@ def test_probabilities_sum_to_one():
     assert np.exp(m.log_probability(np.repeat(h, n, 0), np.arange(n))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_scores_by_scalar_arithmetic(spark):
+    """The network's score of small texts, one number at a time."""
+    rows = [(1, "a b a"), (2, "b zz. É c"), (3, None), (4, "a b b a c " * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = language_model.gather(language_model.word_counts(df), vocabulary=4)
+    model = language_model.Gated(counts)
+    model.p += np.random.default_rng(3).normal(0, 0.3, len(model.p)).astype(np.float32)
+    told = {r.doc_id: r for r in language_model.score(df, counts, model.p).collect()}
+    c = Counter(w for _, t in rows for w in words(t))
+    top = sorted(c, key=lambda w: (-c[w], int(shared.split_words(pa.array([w])).hashes.view(np.int64)[0])))[:3]
+    kind = lambda w: 3 * (not w.isascii()) + (1 if w[-1] == "." else 0 if w[-1].isalnum() else 2)
+    k, sig = model.hidden, lambda x: 1 / (1 + math.exp(-x))
+    for i, t in rows:
+        h, before, total = [0.0] * k, counts.size + language_model.KINDS, 0.0
+        for w in [*words(t), None]:
+            symbol = 0 if w is None else top.index(w) + 1 if w in top else counts.size + kind(w)
+            a, b = [float(x) for x in model.x[before]], [sum(h[j] * float(model.u[j, m]) for j in range(k)) for m in range(3 * k)]
+            z, r = [sig(a[j] + b[j]) for j in range(k)], [sig(a[k + j] + b[k + j]) for j in range(k)]
+            n = [math.tanh(a[2 * k + j] + r[j] * b[2 * k + j]) for j in range(k)]
+            h = [n[j] + z[j] * (h[j] - n[j]) for j in range(k)]
+            cls = [sum(h[j] * float(model.wc[j, m]) for j in range(k)) + float(model.bc[m]) for m in range(model.wc.shape[1])]
+            own = symbol // language_model.CLASS if symbol < counts.size else symbol - counts.size + model.classes
+            total += cls[own] - math.log(sum(map(math.exp, cls)))
+            if symbol < counts.size:
+                span = range(own * language_model.CLASS, (own + 1) * language_model.CLASS)
+                out = {m: max(-60, sum(h[j] * float(model.wo[m, j]) for j in range(k)) + float(model.bo[m])) for m in span}
+                total += out[symbol] - math.log(sum(map(math.exp, out.values())))
+            else:
+                rare = [x for x in c if x not in top and kind(x) == kind(w)]
+                total += math.log((c[w] + 0.5) / (sum(c[x] for x in rare) + 0.5 * (len(rare) + 1)))
+            before = symbol
+        assert told[i].lm == pytest.approx(total / math.log(10), rel=1e-4)
+
+
 def test_the_state_is_carried_over_windows(spark, monkeypatch):
     df = spark.createDataFrame([(1, para(5, 500)), (2, "a")], "doc_id long, text string")
     counts = small_counts()
@@ -547,7 +715,7 @@ def test_archives_round_trip(tmp_path_factory, payloads):
     writer.close()
     got, last = {}, {}
     for path, _, _ in writer.files:
-        with open(path, "rb") as f:
+        with open(path.removeprefix("file://"), "rb") as f:
             for key, kind, refers, digest, size, number, offset, data, sha, end in warc.read_chunks(f, chunk=512):
                 assert len(data) <= 512 and offset == len(got.get(key, b"")) and kind == "response" and refers is None
                 got[key] = got.get(key, b"") + data
@@ -566,6 +734,32 @@ def test_a_broken_archive_is_an_error():
         list(warc.read_chunks(io.BytesIO(gzip.compress(b"nonsense\r\n"))))
 
 
+def test_archives_with_large_payloads_and_odd_identifiers(spark):
+    rng = np.random.default_rng(1)
+    pages = [(f"a\r\nWARC/1.1 {i} %é", "u", "".join(map(chr, rng.integers(97, 123, int(rng.integers(1000, 30_000)))))) for i in range(30)]
+    pages += [("big", "u", "0123456789" * 250_000), ("copy", "u", pages[3][2])]
+    manifest = warc.archive(spark.createDataFrame(pages, "page_id string, url string, html string").repartition(3), limit=20_000)
+    chunks = warc.read_archives(manifest)
+    assert manifest.count() > 5 and chunks.rdd.getNumPartitions() == manifest.count()  # a task for each file
+    assert max(len(set(p)) for p in chunks.select("record_id").rdd.glom().map(lambda x: [r[0] for r in x]).collect()) < 20
+    rows = chunks.collect()
+    top = max("copy", pages[3][0])
+    for key, _, html in pages:
+        own = sorted((r for r in rows if r.record_id == key), key=lambda r: r.chunk)
+        assert [r.chunk for r in own] == list(range(len(own))) and all(len(r.data) <= warc.CHUNK for r in own)
+        if html == pages[3][2] and key != top:
+            assert own[0].record_type == "revisit" and own[0].refers_to == top
+        else:
+            assert b"".join(r.data for r in own) == html.encode() and own[-1].sha1 == own[-1].declared_digest == hashlib.sha1(html.encode()).hexdigest()
+    assert len([r for r in rows if r.record_id == "big"]) == 3
+
+
+def test_a_wrong_payload_is_an_error(tmp_path):
+    writer = warc.Writer(f"file://{tmp_path}")
+    with pytest.raises(ValueError):
+        writer.write("1", "u", hashlib.sha1(b"x").hexdigest(), memoryview(b"y"), None)
+
+
 def test_warc_query(spark, tmp_path):
     big = "é" * 700
     rows = [(1, "u", big), (5, "u", big), (3, None, big), (2, "u", "small"), (4, "u", "small"), (6, "u", None), (7, "u", ""), (8, "u", "z" * 1000), (5, "u", big)]
@@ -586,6 +780,32 @@ def test_statistics_of_odd_texts():
     assert quality_model.statistics(pa.array([], pa.string())).shape[0] == 0
 
 
+def test_trees_are_followed_as_one_by_one():
+    rng = np.random.default_rng(4)
+    x = rng.random((300, 4)).astype(np.float32)
+    forest = quality_model.grow(x, (x[:, 0] + x[:, 1] > 1).astype(float), trees=9, depth=3)
+    for row, got in zip(x[:60], forest.score(x[:60]), strict=True):
+        total = forest.base
+        for feature, cut, leaf in zip(forest.feature, forest.cut, forest.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > cut[node] else 1)
+            total += leaf[node - len(feature)]
+        assert got == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_statistics_by_definition():
+    texts = ["The cat, the cat cat sat.\nOn 2 mats! #x", "É é\tDer Hund\n\n", "a"]
+    for row, t in zip(quality_model.statistics(pa.array(texts)), texts, strict=True):
+        raw, w = t.encode(), words(t)
+        got, times = dict(zip(quality_model.FEATURES, row.tolist(), strict=True)), Counter(w)
+        want = {f"share_{c}": sum(raw.count(bytes([b])) for b in m) / len(raw) for c, m in quality_model._CLASSES.items()}
+        want |= {"share_high": sum(b >= 128 for b in raw) / len(raw), "log_bytes": math.log1p(len(raw)), "log_words": math.log1p(len(w)), "word_bytes": sum(len(x.encode()) for x in w) / len(w)}
+        want |= {"distinct_words": len(times) / len(w), "same_as_before": sum(a == b for a, b in zip(w, w[1:])) / len(w), "common_words": sum(x in quality_model.COMMON for x in w) / len(w)}
+        want |= {"longest_word": math.log1p(max(len(x.encode()) for x in w)), "words_a_line": math.log1p(len(w) / (t.count("\n") + 1)), "most_frequent": max(times.values()) / len(w)}
+        assert {k: got[k] for k in want} == pytest.approx(want, rel=1e-5)
+
+
 def test_trees_learn_a_rule():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 5)).astype(np.float32)
@@ -645,3 +865,19 @@ def test_registered_queries(spark, small):
     names = set(registry.queries())
     assert {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
     assert set(registry.oracle_sql()) <= names
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_queries_match_their_sql(spark, small, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    df = registry.queries()[name](spark, small)
+    cols = sorted(df.columns)
+    found = con.execute(registry.oracle_sql()[name])
+    names = [x[0] for x in found.description]
+    assert sorted(names) == cols
+    got, want = ({tuple(r[i] for i in at) for r in rows} for at, rows in ((cols, df.collect()), ([names.index(c) for c in cols], found.fetchall())))
+    assert got == want and len(got) == df.count()
