@@ -45,8 +45,8 @@ TRAIN_LANES, TRAIN_WINDOW = 128, 32
 #: Tokens of a text that training takes without a fresh state.
 SEGMENT = 1024
 RATE = 0.04
-#: Tasks whose weights are added up by one task.
-FAN = 32
+#: Vectors that one task adds up, and the fewest training tokens that a task is taken to have.
+FAN, TASK_TOKENS = 32, 1_000_000
 #: The end token's key in the count table; no word hashes to it but by a chance of 2**-64.
 END_KEY = np.uint64(0x51AFD7ED558CCD01)
 
@@ -384,23 +384,24 @@ class Reader:
 
 
 def _sum_vectors(rows: DataFrame) -> DataFrame:
-    """One row for each partition: the sums of ``v`` (bytes of doubles) and ``n``."""
+    """One row for each partition: the least ``task`` and the sums of ``v`` (bytes of doubles) and ``n``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = None, 0
+        total, n, task = None, 0, 1 << 62
         for b in batches:
-            for v, k in zip(b.column("v").to_pylist(), b.column("n").to_pylist(), strict=True):
-                total, n = np.frombuffer(v) + (0 if total is None else total), n + k
+            for t, v, k in zip(*(b.column(c).to_pylist() for c in ("task", "v", "n")), strict=True):
+                total, n, task = np.frombuffer(v) + (0 if total is None else total), n + k, min(task, t)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()], pa.binary()), pa.array([n])], ["task", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([total.tobytes()], pa.binary()), pa.array([n])], ["task", "v", "n"])
 
     return rows.mapInArrow(run, "task bigint, v binary, n bigint")
 
 
 def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
     """The averaged weights after ``rounds`` rounds, which share out ``docs`` (``doc_id``, ``text``) among them. A task
-    sends one vector on; these are added up in groups of ``FAN`` tasks, then all together."""
+    sends one vector on; these are added up in a tree whose nodes have ``FAN`` children."""
     weights = Gated(counts).p
+    levels = max(1, math.ceil(math.log(max(counts.n, 1) / TASK_TOKENS, FAN)) - 1)
     lanes = TRAIN_LANES * max(1, counts.size // VOCABULARY)
 
     def one_round(turn: int, start: np.ndarray) -> np.ndarray:
@@ -436,8 +437,9 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
 
         chosen = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("round")), F.lit(rounds)) == turn)
         made = chosen.select("text").mapInArrow(lambda batches: tidy(run(batches)), "task bigint, v binary, n bigint")
-        some = _sum_vectors(made.repartition(F.floor(F.col("task") / FAN)))
-        got = _sum_vectors(some.repartition(1)).toArrow().to_pylist()
+        for _ in range(levels):
+            made = _sum_vectors(made.withColumn("task", F.floor(F.col("task") / FAN)).repartition("task"))
+        got = _sum_vectors(made.repartition(1)).toArrow().to_pylist()
         return (np.frombuffer(got[0]["v"]) / got[0]["n"]).astype(np.float32) if got else start
 
     for turn in range(rounds):
