@@ -94,7 +94,8 @@ def units(docs: DataFrame, bands: int, rows: int = ROWS, size: int = SHINGLE) ->
     of equal ones in a slice of texts only the first has them)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", STEP_BYTES // 2):
+        # a step holds many numbers a word
+        for part in slices(batches, "text", STEP_BYTES // 8):
             w = split_words(part.column("text"))
             # code points before each byte
             points = np.zeros(len(w.data) + 1, np.int64)
