@@ -16,6 +16,8 @@ MODULES = (
     "language_model",
     "fingerprints",
     "substring_dedup",
+    "divergence",
+    "url_filter",
 )
 
 
