@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules of this folder with ``QUERIES`` and ``ORACLES``.
-MODULES: tuple[str, ...] = ("search", "facts", "documents")
+MODULES: tuple[str, ...] = ("search", "facts", "documents", "jobs")
 
 
 def _all(name: str) -> dict:
