@@ -5,10 +5,13 @@ documents that hold a line are counted. A line above the limits is boilerplate o
 than a stated share of its characters with such lines is rejected as depleted; from all others they are removed.
 
 Copies of one document are not boilerplate. Equal documents count as one, and a line must also have documents that are
-unlike: ``kind`` is the beginning with the smallest hash among the document's own lines, those that neither begin nor end as a
-line of ``min_documents`` documents of the host. So the other lines of a template say nothing of its pages, near copies (a
-few words changed here and there) have no lines of their own, and unrelated documents differ. A line is over the limits
-with ``min_documents`` distinct documents of which ``min_unlike`` (a share) differ in kind.
+unlike: they have lines of their own, and these differ. A document's own lines are those that neither are frequent (on
+``min_documents`` documents of the host) nor a changed copy of a frequent line: one that begins or ends with the same three
+words, and of whose three-word windows more than half are in frequent lines. So near copies (a few words changed here and
+there) have no lines of their own, and pages of a template have, however short these are. Lines that differ in digits alone
+are the same (a copy may carry a date or a number). ``kind`` is the own line with the smallest hash, one kind for all without
+own lines. A line is over the limits with ``min_documents`` distinct documents of which ``min_unlike`` (a share) differ in
+kind.
 
 Defined results. Null or empty text: no words, all counts 0, ``base_failed``. Null host: a host of its own. Repeated
 rows: each row gets its result; they count as one document. Extra columns stay, whatever their names, but for those named
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, free_name, materialise, release, sieved, table
+from .shared import discard, free_name, marked, materialise, release, sieved, table
 
 #: A line is boilerplate of its host from so many distinct documents on ...
 MIN_DOCUMENTS = 20
@@ -30,8 +33,8 @@ MIN_UNLIKE = 0.5
 MAX_LOST = 0.5
 #: Words at either end of a line by which a changed copy of it is known.
 END_WORDS = 3
-#: Code points of its own lines below which a document counts as a copy with a mark (a date, a number), not as unlike.
-OWN_CHARS = 40
+#: A line that begins or ends as a frequent one is a changed copy if more than this share of its windows are frequent lines'.
+CHANGED = 0.5
 
 #: Columns that ``base_counts`` adds; columns of these names in the input give way.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -94,36 +97,61 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def _number(text: Column) -> Column:
-    """60 bits of a text's MD5: the order of these decides which beginning stands for a document."""
+    """60 bits of a text's MD5: the order of these decides which line stands for a document."""
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def document_lines(docs: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
+def document_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", with_text: bool = False) -> DataFrame:
     """One row for each line with words of each document: ``doc``, ``body`` (hash of host and whole text), ``host``, ``pos``
-    (of the line in the text), ``chars`` (code points of the normalised line), and hashes of the ``line`` (with the host),
-    of its first words (``head``) and of its last (``tail``)."""
+    (of the line in the text), ``chars`` (code points of the normalised line), hashes of the ``line`` (with the host), of its
+    first words (``head``) and of its last (``tail``), ``mark`` (the line's own number, digits aside), and ``x``, the
+    normalised line, if asked."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.transform(F.split(F.lower(text), "\n", -1), lambda x: F.trim(x, F.lit(SPACES)))
-    ends = lambda x: (F.substring_index(x, " ", END_WORDS), F.substring_index(x, " ", -END_WORDS))
     named = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.length(x).alias("c"), x.alias("x")))
     own = F.xxhash64(F.coalesce(F.col(host), F.lit("\x00")))
     flat = docs.select(_identity(key, host).alias("doc"), F.xxhash64(own, text).alias("body"), own.alias("host"), F.explode(F.filter(named, lambda x: x["c"] > 0)).alias("_l"))
-    head, tail = ends(F.col("_l.x"))
-    return flat.select("doc", "body", "host", F.col("_l.pos").alias("pos"), F.col("_l.c").alias("chars"), F.xxhash64("host", "_l.x").alias("line"), _number(head).alias("head"), F.xxhash64(tail).alias("tail"))
-
-
-def frequent_lines(lines: DataFrame, min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE) -> DataFrame:
-    """Lines above the limits: ``line``, ``n_documents``, ``n_kinds``. Nested groupings, each combined before it is
-    shuffled, so a line that every document has costs a row a task."""
-    once = lines.groupBy("line", "host", "head", "tail", "body").agg(F.lit(1).alias("one"))
-    often = materialise(once.groupBy("line", "host", "head", "tail").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("line", "host", "head", "tail"))
-    # what is a document's own: lines that neither begin nor end as a frequent one
-    heads, tails = often.select("host", "head").distinct(), often.select("host", "tail").distinct()
-    own = lines.select("host", "body", "pos", "chars", "head", "tail").join(heads, ["host", "head"], "left_anti").join(tails, ["host", "tail"], "left_anti")
-    own = own.select("body", "pos", "chars", "head").distinct()  # repeated rows say the same
-    kinds = own.groupBy("body").agg(F.min("head").alias("kind"), F.sum("chars").alias("own")).where(F.col("own") >= OWN_CHARS).select("body", "kind")
+    x = F.col("_l.x")
+    end = lambda n: F.xxhash64("host", F.substring_index(x, " ", n), F.lit(n))
+    columns = ["doc", "body", "host", F.col("_l.pos").alias("pos"), F.col("_l.c").alias("chars"), F.xxhash64("host", x).alias("line"), end(END_WORDS).alias("head"), end(-END_WORDS).alias("tail")]
+    return flat.select(*columns, x.alias("x")) if with_text else flat.select(*columns, _number(F.regexp_replace(x, "[0-9]+", "0")).alias("mark"))
+
+
+def _windows(x: Column) -> Column:
+    """The distinct windows of three words; a shorter line is one."""
+
+    def of_words(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.array_join(F.slice(w, i + 1, 3), " "))
+        return F.when(F.size(w) < 3, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(grams))
+
+    return let(F.split(x, " "), of_words)
+
+
+def changed_copies(docs: DataFrame, often: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
+    """``line`` of the lines that are changed copies of frequent ones (``often``: ``line``, ``head``, ``tail``). Only
+    lines that may begin or end as a frequent one move, each distinct one once."""
+    rows = document_lines(docs, key, host, with_text=True).select("host", "line", "head", "tail", "x")
+    rows = marked(marked(rows, F.col("head"), often, "head", "_h"), F.col("tail"), often, "tail", "_t").where("_h or _t")
+    near = materialise(rows.groupBy("host", "line", "head", "tail").agg(F.min("x").alias("x")))
+    held = near.join(often.select("line"), "line", "left_semi").select("host", F.explode(_windows(F.col("x"))).alias("w")).distinct()
+    rest = near.join(often.select("line"), "line", "left_anti")
+    met = rest.join(often.select("head").distinct(), "head", "left_semi").unionByName(rest.join(often.select("tail").distinct(), "tail", "left_semi")).distinct()
+    parts = met.select("host", "line", F.explode(_windows(F.col("x"))).alias("w")).join(held.withColumn("_in", F.lit(1)), ["host", "w"], "left")
+    out = materialise(parts.groupBy("line").agg(F.count("_in").alias("n_in"), F.count(F.lit(1)).alias("n")).where(F.col("n_in") > CHANGED * F.col("n")).select("line"))
+    discard(near)
+    return out
+
+
+def frequent_lines(lines: DataFrame, docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE, key: str = "doc_id", host: str = "source") -> DataFrame:
+    """Lines above the limits: ``line``, ``n_documents``, ``n_kinds``. ``lines`` are those of ``docs``. Nested groupings, each
+    combined before it is shuffled, so a line that every document has costs a row a task."""
+    once = lines.groupBy("line", "head", "tail", "body").agg(F.lit(1).alias("one"))
+    often = materialise(once.groupBy("line", "head", "tail").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("line", "head", "tail"))
+    # what is a document's own
+    known = often.select("line").unionByName(changed_copies(docs, often, key, host))
+    kinds = lines.select("line", "body", "mark").join(known, "line", "left_anti").groupBy("body").agg(F.min("mark").alias("kind"))
     holders = lines.select("line", "body").join(often.select("line"), "line", "left_semi").distinct()
-    placed = holders.join(kinds, "body", "left").select("line", F.coalesce("kind", F.lit(0).cast("long")).alias("kind"))
+    placed = holders.join(kinds, "body", "left").select("line", F.coalesce("kind", F.lit(-1).cast("long")).alias("kind"))
     by_kind = placed.groupBy("line", "kind").agg(F.count(F.lit(1)).alias("n"))
     return by_kind.groupBy("line").agg(F.sum("n").alias("n_documents"), F.count(F.lit(1)).alias("n_kinds")).where(F.col("n_kinds") >= min_unlike * F.col("n_documents"))
 
@@ -136,7 +164,7 @@ def boilerplate(docs: DataFrame, key: str = "doc_id", host: str = "source", min_
     """``doc`` (identity of a row), ``lost`` (characters) and ``gone`` (positions of the lines above the limits) of the
     documents that hold such lines. Written, so that what it took is gone before texts move."""
     lines = materialise(document_lines(docs, key, host))
-    bad = frequent_lines(lines, min_documents, min_unlike).select("line")
+    bad = frequent_lines(lines, docs, min_documents, min_unlike, key, host).select("line")
     # a line of very many documents is one row on the right; adaptive execution splits its rows on the left
     held = lines.select("doc", "line", "pos", "chars").join(bad, "line", "left_semi")
     # repeated rows share an identity and have the same lines
@@ -199,24 +227,28 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op4_quality_rules": op4_quality_rules}
 _LINES = "string_split(lower(coalesce(text, '')), chr(10))"
+_WINDOWS = "list_distinct(CASE WHEN len(string_split(x, ' ')) < 3 THEN [x] ELSE [array_to_string(string_split(x, ' ')[i:i + 2], ' ') FOR i IN range(1, len(string_split(x, ' ')) - 1)] END)"
 ORACLES: dict[str, str] = {
     "op4_quality_rules": f"""
 WITH l AS (
-  SELECT doc_id, host, body, i - 1 AS pos, x, length(x) AS c, array_to_string(string_split(x, ' ')[1:{END_WORDS}], ' ') AS head,
-    array_to_string(list_reverse(list_reverse(string_split(x, ' '))[1:{END_WORDS}]), ' ') AS tail
+  SELECT doc_id, host, body, i - 1 AS pos, x, length(x) AS c, string_split(x, ' ')[:{END_WORDS}] AS head, string_split(x, ' ')[-{END_WORDS}:] AS tail, regexp_replace(x, '[0-9]+', '0', 'g') AS plain
   FROM (SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS body, generate_subscripts({_LINES}, 1) AS i,
     unnest(list_transform({_LINES}, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) AS x FROM documents)
   WHERE x <> ''
 ), often AS (
   SELECT host, x, head, tail FROM (SELECT DISTINCT host, x, head, tail, body FROM l) GROUP BY ALL HAVING count(*) >= {MIN_DOCUMENTS}
-), own AS (
-  SELECT DISTINCT host, body, pos, c, head FROM l WHERE (host, head) NOT IN (SELECT (host, head) FROM often) AND (host, tail) NOT IN (SELECT (host, tail) FROM often)
+), suspect AS (
+  SELECT DISTINCT host, x FROM l WHERE (host, x) NOT IN (SELECT (host, x) FROM often) AND ((host, head) IN (SELECT (host, head) FROM often) OR (host, tail) IN (SELECT (host, tail) FROM often))
+), held AS (
+  SELECT DISTINCT host, unnest({_WINDOWS}) AS w FROM often
+), changed AS (
+  SELECT host, x FROM (SELECT host, x, unnest({_WINDOWS}) AS w FROM suspect) LEFT JOIN (SELECT *, 1 AS met FROM held) USING (host, w) GROUP BY ALL HAVING count(met) > {CHANGED} * count(*)
 ), kinds AS (
-  SELECT host, body, min(('0x' || substr(md5(head), 1, 15))::BIGINT) AS kind FROM own GROUP BY ALL HAVING sum(c) >= {OWN_CHARS}
+  SELECT host, body, min(('0x' || substr(md5(plain), 1, 15))::BIGINT) AS kind FROM l WHERE (host, x) NOT IN (SELECT (host, x) FROM often) AND (host, x) NOT IN (SELECT (host, x) FROM changed) GROUP BY ALL
 ), holders AS (
   SELECT DISTINCT host, x, body FROM l WHERE (host, x) IN (SELECT (host, x) FROM often)
 ), bad AS (
-  SELECT host, x FROM holders LEFT JOIN kinds USING (host, body) GROUP BY ALL HAVING count(DISTINCT coalesce(kind, 0)) >= {MIN_UNLIKE} * count(*)
+  SELECT host, x FROM holders LEFT JOIN kinds USING (host, body) GROUP BY ALL HAVING count(DISTINCT coalesce(kind, -1)) >= {MIN_UNLIKE} * count(*)
 ), lost AS (
   SELECT doc_id, sum(c) AS n, list(pos) AS gone FROM l WHERE (host, x) IN (SELECT (host, x) FROM bad) GROUP BY ALL
 ), w AS (

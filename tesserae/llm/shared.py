@@ -105,26 +105,34 @@ def free_name(taken: Iterable[str], stem: str) -> str:
     return stem
 
 
-#: Bits of the table that ``sieved`` broadcasts: 262,144 rows of two longs at most, whatever the input.
+#: Bits of the table that ``marked`` broadcasts: 262,144 rows of two longs at most, whatever the input.
 SIEVE = 1 << 24
 
 
-def sieved(rows: DataFrame, key: Column, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """``rows`` in two parts: those whose ``key`` may be among ``keys[column]``, and those whose ``key`` surely isn't.
+def marked(rows: DataFrame, key: Column, keys: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the boolean ``name``: whether ``key`` may be among ``keys[column]``; false is certain.
 
-    A join of large rows with few keys need only move the first part. Keys set bits of a table of fixed size by their
-    hash; a row whose bit is not set has no partner. With many more keys than bits the first part nears all rows, which
-    then move as without the sieve. Null keys are in the second part.
+    Keys set bits of a table of fixed size by their hash. With many more keys than bits nearly all rows are marked. Null
+    keys are not among any.
     """
-    word, mask = free_name(rows.columns, "_word"), free_name(rows.columns, "_mask")
+    word, mask, own = (free_name((*rows.columns, name), x) for x in ("_word", "_mask", "slot"))
     slot = F.pmod(F.xxhash64(F.col(column)), F.lit(SIEVE)).alias("slot")
     bit = "shiftleft(1L, cast(slot % 64 as int))"
     table_ = keys.where(F.col(column).isNotNull()).select(slot).select(F.shiftright("slot", 6).alias(word), F.expr(bit).alias("bit")).groupBy(word).agg(F.bit_or("bit").alias(mask))
-    own = free_name(rows.columns, "slot")
-    placed = rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(SIEVE))).withColumn(word, F.shiftright(own, 6))
-    met = placed.join(F.broadcast(table_), word, "left")
-    maybe = F.coalesce(F.col(mask).bitwiseAND(F.expr(bit.replace("slot", f"`{own}`"))) != 0, F.lit(False)) & key.isNotNull()
-    return met.where(maybe).select(*(F.col(f"`{c}`") for c in rows.columns)), met.where(~maybe).select(*(F.col(f"`{c}`") for c in rows.columns))
+    placed = rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(SIEVE))).withColumn(word, F.shiftright(own, 6)).withColumn(name, key.isNotNull())
+    maybe = F.coalesce(F.col(mask).bitwiseAND(F.expr(bit.replace("slot", f"`{own}`"))) != 0, F.lit(False)) & F.col(name)
+    return placed.join(F.broadcast(table_), word, "left").select(*(F.col(f"`{c}`") for c in rows.columns), maybe.alias(name))
+
+
+def sieved(rows: DataFrame, key: Column, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``key`` may be among ``keys[column]``, and those whose ``key`` surely isn't.
+
+    A join of large rows with few keys need only move the first part. With many more keys than bits it nears all rows, which
+    then move as without the sieve. Null keys are in the second part.
+    """
+    name = free_name(rows.columns, "_maybe")
+    met = marked(rows, key, keys, column, name)
+    return met.where(F.col(name)).drop(name), met.where(~F.col(name)).drop(name)
 
 
 # ---------------------------------------------------------------- Arrow batches

@@ -404,12 +404,28 @@ def test_templates_of_many_lines(spark, shared, own):
     # near copies: one line with another word, another line for each
     rows += [(100 + i, "\n".join(x.replace(x.split()[9], f"new{i}") if k == i % 8 else x for k, x in enumerate(copy)), "host") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    bad = quality_rules.frequent_lines(quality_rules.document_lines(df)).collect()
+    bad = quality_rules.frequent_lines(quality_rules.document_lines(df), df).collect()
     assert len(bad) == shared and {r.n_documents for r in bad} == {60}
     got = {r.doc_id: r.depleted for r in quality_rules.quality_rules(df).collect()}
     assert {i for i, x in got.items() if x} == set(range(60))
 
 
+def test_own_lines_of_any_length(spark):
+    """Pages with most boilerplate don't pass because they have little of their own. A host for each case."""
+    shared = [para(1500 + k, 12) for k in range(12)]
+    begin, end = " ".join(shared[0].split()[:3]) + " ", " " + " ".join(shared[5].split()[-3:])
+    copy = [para(1700 + k, 12) for k in range(5)]
+    rows = []
+    for size in (4, 20, 34, 44, 200):
+        for a, b in (("", ""), (begin, ""), ("", end), (begin, end)):
+            host = f"{size}/{a}/{b}"
+            rows += [(i, "\n".join([*shared[:6], a + para(1600 + i, 40)[:size].strip() + b, *shared[6:]]), host) for i in range(60)]
+            # copies of an article, with a date, and one word of one line changed
+            rows += [(100 + i, "\n".join([f"copy of 2024-01-{i:02}", *(x.replace(x.split()[5], f"new{i}") if k == i % 5 else x for k, x in enumerate(copy))]), host) for i in range(60)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("depleted").select("doc_id", "source").collect()
+    assert {tuple(r) for r in got} == {(i, h) for i, _, h in rows if i < 60}
+
+
 def test_boilerplate_lines_go(spark):
     import corpus_pipeline
 
