@@ -8,10 +8,12 @@ Copies of one document are not boilerplate. Equal documents count as one, and a
 unlike: they have lines of their own, and these differ. A document's own lines are those that neither are frequent (on
 ``min_documents`` documents of the host) nor a changed copy of a frequent line: one that begins or ends with the same three
 words, and of whose three-word windows more than half are in frequent lines. So near copies (a few words changed here and
-there) have no lines of their own, and pages of a template have, however short these are. Lines that differ in digits alone
-are the same (a copy may carry a date or a number). ``kind`` is the own line with the smallest hash, one kind for all without
-own lines. A line is over the limits with ``min_documents`` distinct documents of which ``min_unlike`` (a share) differ in
-kind.
+there) have no lines of their own, and pages of a template have, however short these are. ``kind`` tells them apart: of less
+than ``OWN_CHARS`` code points of own lines the line with the smallest hash, digits aside (a copy may carry a date or a number);
+of more the smallest hash among the first, middle and last words of the own lines, which copies of an article share though
+each of their long lines was changed. Beginnings and ends of frequent lines don't count there. Documents without own lines
+are of one kind. A line is over the limits with ``min_documents`` distinct documents of which ``min_unlike`` (a share) differ
+in kind.
 
 Defined results. Null or empty text: no words, all counts 0, ``base_failed``. Null host: a host of its own. Repeated
 rows: each row gets its result; they count as one document. Extra columns stay, whatever their names, but for those named
@@ -35,6 +37,8 @@ MAX_LOST = 0.5
 END_WORDS = 3
 #: A line that begins or ends as a frequent one is a changed copy if more than this share of its windows are frequent lines'.
 CHANGED = 0.5
+#: Code points of own lines below which whole lines tell documents apart.
+OWN_CHARS = 200
 
 #: Columns that ``base_counts`` adds; columns of these names in the input give way.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -103,18 +107,21 @@ def _number(text: Column) -> Column:
 
 def document_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", with_text: bool = False) -> DataFrame:
     """One row for each line with words of each document: ``doc``, ``body`` (hash of host and whole text), ``host``, ``pos``
-    (of the line in the text), ``chars`` (code points of the normalised line), hashes of the ``line`` (with the host), of its
-    first words (``head``) and of its last (``tail``), ``mark`` (the line's own number, digits aside), and ``x``, the
-    normalised line, if asked."""
+    (of the line in the text), ``chars`` (code points of the normalised line), a hash of the ``line`` (with the host), numbers
+    of its first (``head``), middle (``mid``) and last words (``tail``), ``mark`` (that of the line, digits aside), and ``x``,
+    the normalised line, if asked."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.transform(F.split(F.lower(text), "\n", -1), lambda x: F.trim(x, F.lit(SPACES)))
     named = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), F.length(x).alias("c"), x.alias("x")))
     own = F.xxhash64(F.coalesce(F.col(host), F.lit("\x00")))
     flat = docs.select(_identity(key, host).alias("doc"), F.xxhash64(own, text).alias("body"), own.alias("host"), F.explode(F.filter(named, lambda x: x["c"] > 0)).alias("_l"))
     x = F.col("_l.x")
-    end = lambda n: F.xxhash64("host", F.substring_index(x, " ", n), F.lit(n))
-    columns = ["doc", "body", "host", F.col("_l.pos").alias("pos"), F.col("_l.c").alias("chars"), F.xxhash64("host", x).alias("line"), end(END_WORDS).alias("head"), end(-END_WORDS).alias("tail")]
-    return flat.select(*columns, x.alias("x")) if with_text else flat.select(*columns, _number(F.regexp_replace(x, "[0-9]+", "0")).alias("mark"))
+    ends = [_number(F.substring_index(x, " ", n)).alias(name) for name, n in (("head", END_WORDS), ("tail", -END_WORDS))]
+    columns = ["doc", "body", "host", F.col("_l.pos").alias("pos"), F.col("_l.c").alias("chars"), F.xxhash64("host", x).alias("line"), *ends]
+    if with_text:
+        return flat.select(*columns, x.alias("x"))
+    mid = let(F.split(x, " "), lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), F.floor(F.size(w) / 2).cast("int")), END_WORDS), " "))
+    return flat.select(*columns, _number(mid).alias("mid"), _number(F.regexp_replace(x, "[0-9]+", "0")).alias("mark"))
 
 
 def _windows(x: Column) -> Column:
@@ -128,29 +135,41 @@ def _windows(x: Column) -> Column:
 
 
 def changed_copies(docs: DataFrame, often: DataFrame, key: str = "doc_id", host: str = "source") -> DataFrame:
-    """``line`` of the lines that are changed copies of frequent ones (``often``: ``line``, ``head``, ``tail``). Only
-    lines that may begin or end as a frequent one move, each distinct one once."""
+    """``line`` of the lines that are changed copies of frequent ones (``often``: ``line``, ``host``, ``head``, ``tail``).
+    Only lines that may begin or end as a frequent one move, each distinct one once."""
     rows = document_lines(docs, key, host, with_text=True).select("host", "line", "head", "tail", "x")
-    rows = marked(marked(rows, F.col("head"), often, "head", "_h"), F.col("tail"), often, "tail", "_t").where("_h or _t")
+    ends = often.select(F.xxhash64("host", "head").alias("_head"), F.xxhash64("host", "tail").alias("_tail"))
+    rows = marked(marked(rows, F.xxhash64("host", "head"), ends, "_head", "_h"), F.xxhash64("host", "tail"), ends, "_tail", "_t").where("_h or _t")
     near = materialise(rows.groupBy("host", "line", "head", "tail").agg(F.min("x").alias("x")))
     held = near.join(often.select("line"), "line", "left_semi").select("host", F.explode(_windows(F.col("x"))).alias("w")).distinct()
     rest = near.join(often.select("line"), "line", "left_anti")
-    met = rest.join(often.select("head").distinct(), "head", "left_semi").unionByName(rest.join(often.select("tail").distinct(), "tail", "left_semi")).distinct()
+    alike = lambda end: rest.join(often.select("host", end).distinct(), ["host", end], "left_semi").select("host", "line", "x")
+    met = alike("head").unionByName(alike("tail")).distinct()
     parts = met.select("host", "line", F.explode(_windows(F.col("x"))).alias("w")).join(held.withColumn("_in", F.lit(1)), ["host", "w"], "left")
     out = materialise(parts.groupBy("line").agg(F.count("_in").alias("n_in"), F.count(F.lit(1)).alias("n")).where(F.col("n_in") > CHANGED * F.col("n")).select("line"))
     discard(near)
     return out
 
 
+def _kinds(lines: DataFrame, often: DataFrame, changed: DataFrame) -> DataFrame:
+    """``body`` and ``kind`` of the documents with own lines."""
+    own = lines.join(often.select("line").unionByName(changed), "line", "left_anti").select("host", "body", "pos", "chars", "head", "mid", "tail", "mark").distinct()  # repeated rows say the same
+    for end in ("head", "tail"):
+        own = own.join(often.select("host", end).distinct().withColumn(f"_{end}", F.lit(True)), ["host", end], "left")
+    some = F.least(F.when(F.col("_head").isNull(), F.col("head")), F.when(F.col("_tail").isNull(), F.col("tail")), "mid")
+    by_body = own.groupBy("body").agg(F.sum("chars").alias("own"), F.min("mark").alias("mark"), F.min(some).alias("some"))
+    return by_body.select("body", F.when(F.col("own") < OWN_CHARS, F.col("mark")).otherwise(F.col("some")).alias("kind"))
+
+
 def frequent_lines(lines: DataFrame, docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_unlike: float = MIN_UNLIKE, key: str = "doc_id", host: str = "source") -> DataFrame:
     """Lines above the limits: ``line``, ``n_documents``, ``n_kinds``. ``lines`` are those of ``docs``. Nested groupings, each
     combined before it is shuffled, so a line that every document has costs a row a task."""
-    once = lines.groupBy("line", "head", "tail", "body").agg(F.lit(1).alias("one"))
-    often = materialise(once.groupBy("line", "head", "tail").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("line", "head", "tail"))
-    # what is a document's own
-    known = often.select("line").unionByName(changed_copies(docs, often, key, host))
-    kinds = lines.select("line", "body", "mark").join(known, "line", "left_anti").groupBy("body").agg(F.min("mark").alias("kind"))
-    holders = lines.select("line", "body").join(often.select("line"), "line", "left_semi").distinct()
+    once = lines.groupBy("line", "host", "head", "tail", "body").agg(F.lit(1).alias("one"))
+    often = materialise(once.groupBy("line", "host", "head", "tail").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("line", "host", "head", "tail"))
+    holders = materialise(lines.select("line", "body").join(often.select("line"), "line", "left_semi").distinct())
+    # only documents that hold a frequent line need a kind
+    concerned = sieved(lines, F.col("body"), holders, "body")[0]
+    kinds = _kinds(concerned, often, changed_copies(docs, often, key, host))
     placed = holders.join(kinds, "body", "left").select("line", F.coalesce("kind", F.lit(-1).cast("long")).alias("kind"))
     by_kind = placed.groupBy("line", "kind").agg(F.count(F.lit(1)).alias("n"))
     return by_kind.groupBy("line").agg(F.sum("n").alias("n_documents"), F.count(F.lit(1)).alias("n_kinds")).where(F.col("n_kinds") >= min_unlike * F.col("n_documents"))
@@ -227,6 +246,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op4_quality_rules": op4_quality_rules}
 _LINES = "string_split(lower(coalesce(text, '')), chr(10))"
+_NUMBER = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
 _WINDOWS = "list_distinct(CASE WHEN len(string_split(x, ' ')) < 3 THEN [x] ELSE [array_to_string(string_split(x, ' ')[i:i + 2], ' ') FOR i IN range(1, len(string_split(x, ' ')) - 1)] END)"
 ORACLES: dict[str, str] = {
     "op4_quality_rules": f"""
@@ -243,8 +263,13 @@ WITH l AS (
   SELECT DISTINCT host, unnest({_WINDOWS}) AS w FROM often
 ), changed AS (
   SELECT host, x FROM (SELECT host, x, unnest({_WINDOWS}) AS w FROM suspect) LEFT JOIN (SELECT *, 1 AS met FROM held) USING (host, w) GROUP BY ALL HAVING count(met) > {CHANGED} * count(*)
+), own AS (
+  SELECT DISTINCT host, body, pos, c, plain, head, tail, string_split(x, ' ')[greatest(1, len(string_split(x, ' ')) // 2):][:{END_WORDS}] AS mid FROM l
+  WHERE (host, x) NOT IN (SELECT (host, x) FROM often) AND (host, x) NOT IN (SELECT (host, x) FROM changed)
 ), kinds AS (
-  SELECT host, body, min(('0x' || substr(md5(plain), 1, 15))::BIGINT) AS kind FROM l WHERE (host, x) NOT IN (SELECT (host, x) FROM often) AND (host, x) NOT IN (SELECT (host, x) FROM changed) GROUP BY ALL
+  SELECT host, body, CASE WHEN sum(c) < {OWN_CHARS} THEN min({_NUMBER.format('plain')}) ELSE min(least(
+    CASE WHEN (host, head) NOT IN (SELECT (host, head) FROM often) THEN {_NUMBER.format("array_to_string(head, ' ')")} END,
+    CASE WHEN (host, tail) NOT IN (SELECT (host, tail) FROM often) THEN {_NUMBER.format("array_to_string(tail, ' ')")} END, {_NUMBER.format("array_to_string(mid, ' ')")})) END AS kind FROM own GROUP BY ALL
 ), holders AS (
   SELECT DISTINCT host, x, body FROM l WHERE (host, x) IN (SELECT (host, x) FROM often)
 ), bad AS (
