@@ -13,8 +13,8 @@ Of each cluster the document with the smallest identifier keeps its paragraphs;
 Repeats that follow each other make a run; a run of at least ``MIN_WORDS`` words is removed. So a common short line in
 otherwise unlike documents stays where it is. Shared passages inside a line of less than 50 words may stay too.
 
-Defined results. Null or empty text: nothing to remove. Repeats within one document stay. Repeated rows (equal
-identifiers) count as one document. Null identifiers: never removed, never kept for others. Extra columns stay, whatever
+Defined results. Null or empty text: nothing to remove. Repeats within one document stay. Rows of one identifier
+count as one document: what they share stays, and each loses what its own text repeats of others. Null identifiers: never removed, never kept for others. Extra columns stay, whatever
 their names; one named ``removed`` gives way. Empty table: no rows.
 """
 
@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .near_dedup import SHINGLE, band_keys, in_shared_buckets, listed, settle, signatures
@@ -88,6 +88,16 @@ def anchors(words: np.ndarray, ends: np.ndarray, size: int = ANCHOR, spread: int
     return at, grams[at].view(np.int64)
 
 
+def _text_of(doc: Column) -> Column:
+    """What places belong to: an identifier and its text. Rows of one identifier may hold unlike texts; the order is that of
+    identifiers."""
+    return F.struct(doc.cast("long").alias("doc"), F.xxhash64("text").alias("body"))
+
+
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["doc"].dataType.simpleString()
+
+
 def units(docs: DataFrame, bands: int, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """A row per line with words and per anchor: ``doc``, ``line`` (or an anchor), ``start``, ``length``, ``at`` (its first
     word's number in the text), ``words``, ``unit`` (identity), ``n`` (shingles of a line, else 0) and ``bands`` (of lines;
@@ -126,14 +136,14 @@ def units(docs: DataFrame, bands: int, rows: int = ROWS, size: int = SHINGLE) ->
             yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["doc", "line", "start", "length", "at", "words", "unit", "n", "bands"]
-    kinds = "doc bigint, line boolean, start int, length int, at int, words int, unit bigint, n bigint, bands array<bigint>"
-    return docs.mapInArrow(lambda batches: tidy(run(batches)), kinds)
+    kinds = "line boolean, start int, length int, at int, words int, unit bigint, n bigint, bands array<bigint>"
+    return docs.mapInArrow(lambda batches: tidy(run(batches)), f"doc {_kind(docs)}, {kinds}")
 
 
 def _repeated(placed: DataFrame, cluster: str) -> DataFrame:
     """The places in clusters that several documents hold, with ``keeper``, the smallest of these. Written, so that the
     join ends there and adaptive execution can split the rows of a large cluster."""
-    several = placed.groupBy(cluster).agg(F.min("doc").alias("keeper"), F.max("doc").alias("_most")).where("keeper <> _most").select(cluster, "keeper")
+    several = placed.groupBy(cluster).agg(F.min("doc").alias("keeper"), F.max("doc").alias("_most")).where("keeper.doc <> _most.doc").select(cluster, "keeper")
     return materialise(placed.join(several, cluster))
 
 
@@ -168,18 +178,19 @@ def grown(edges: DataFrame, around: DataFrame) -> DataFrame:
 
     kept = around.select(F.col("doc").alias("keeper"), F.col("start").alias("from"), F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
     both = edges.join(around, ["doc", "start"]).join(kept, ["keeper", "from"])
-    return both.mapInArrow(lambda batches: tidy(run(batches)), "doc bigint, start int, length int, at int, words int, keeper bigint")
+    return both.mapInArrow(lambda batches: tidy(run(batches)), f"doc {_kind(edges)}, start int, length int, at int, words int, keeper {_kind(edges)}")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """The runs to remove: ``doc``, ``start``, ``length``, ``words``, ``keepers`` (documents that keep such passages)."""
-    rows = docs.select(F.col(key).cast("long").alias("doc"), "text").where(F.col(key).isNotNull())
+    """The runs to remove: ``doc`` (identifier and text), ``start``, ``length``, ``words``, ``keepers`` (identifiers of the
+    documents that keep such passages)."""
+    rows = docs.where(F.col(key).isNotNull()).select(_text_of(F.col(key)).alias("doc"), "text")
     found = materialise(units(rows, tune(percent)))
     lines = found.where("line")
     # equal lines and anchors
     same = _repeated(found.drop("n", "bands"), "unit")
-    others = same.where("doc <> keeper")
-    # anchors that no other overlaps before or after them; rows of equal identifiers hold the same places
+    others = same.where("doc.doc <> keeper.doc")
+    # anchors that no other overlaps before or after them; repeated rows hold the same places
     by_place = Window.partitionBy("doc").orderBy("start")
     ends = others.where("not line").dropDuplicates(["doc", "start"]).withColumn("_end", F.col("start") + F.col("length"))
     alone = lambda x: F.coalesce(x, F.lit(True))
@@ -213,8 +224,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, min_wo
     discard(found)
     release(docs)
     columns = ("doc", "start", "length", "at", "words", "keeper")
-    placed = near.where("doc <> keeper").select(*columns).unionByName(others.select(*columns)).unionByName(wider)
-    # rows of equal identifiers hold the same places
+    placed = near.where("doc.doc <> keeper.doc").select(*columns).unionByName(others.select(*columns)).unionByName(wider)
+    # repeated rows hold the same places
     again = placed.groupBy("doc", "start", "length").agg(F.max("at").alias("at"), F.max("words").alias("words"), F.min("keeper").alias("keeper")).withColumn("_end", F.col("start") + F.col("length"))
     above = Window.partitionBy("doc").orderBy("start", "_end").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("doc").orderBy("start", "_end").rowsBetween(Window.unboundedPreceding, 0)
@@ -222,7 +233,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT, min_wo
     runs = again.withColumn("_new", F.when(F.col("start") <= F.max("_end").over(above) + GAP, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(upto))
     # places overlap: a run's words are those from its first to its last
     words = (F.max(F.col("at") + F.col("words")) - F.min("at")).cast("long").alias("words")
-    spans = runs.groupBy("doc", "_run").agg(F.min("start").alias("start"), F.max("_end").alias("_end"), words, F.array_sort(F.collect_set("keeper")).alias("keepers"))
+    spans = runs.groupBy("doc", "_run").agg(F.min("start").alias("start"), F.max("_end").alias("_end"), words, F.array_sort(F.collect_set("keeper.doc")).alias("keepers"))
     out = materialise(spans.where(F.col("words") >= min_words).select("doc", "start", (F.col("_end") - F.col("start")).alias("length"), "words", "keepers"))
     discard(same, near, wider)
     return out
@@ -235,8 +246,9 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT
     doc = free_name(own.columns, "_doc")
     listed_ = spans.groupBy(F.col("doc").alias(doc)).agg(F.array_sort(F.collect_list(F.struct("start", "length", "words", "keepers"))).alias("removed"))
     # only documents that may have runs move
-    cut, whole = sieved(own, F.col(key).cast("long"), spans, "doc")
-    cut = cut.hint("merge").join(listed_, F.col(key).cast("long") == F.col(doc), "left").drop(doc)
+    mine = _text_of(F.col(key))
+    cut, whole = sieved(own, mine, spans, "doc")
+    cut = cut.hint("merge").join(listed_, mine == F.col(doc), "left").drop(doc)
     # the text between the runs: from each run's end to the next one's start
     begins = F.concat(F.array(F.lit(0)), F.transform("removed", lambda r: r["start"] + r["length"]))
     ends = F.concat(F.transform("removed", lambda r: r["start"]), F.array(F.length("text")))

@@ -204,6 +204,14 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def test_places_belong_to_a_text(spark):
+    """Rows of one identifier with unlike texts: each loses what it repeats, and nothing where only the other does."""
+    p, a, b, c, d = (para(900 + i, n) for i, n in enumerate((60, 20, 20, 120, 80)))
+    rows = [(1, p), (7, f"{a}\n{p}\n{b}"), (7, c), (7, c), (8, f"{d} {c}"), (None, p), (9, f"{p}\n{a}")]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, p), (1, p), (7, f"{a}\n{b}"), (7, c), (7, c), (8, f"{d} "), (9, "")])
+
+
 def test_passages_of_fifty_words_anywhere(spark):
     rows, left = [], {}
     for i in range(40):
