@@ -1,29 +1,26 @@
 """Lexical and vector retrieval over whole batches of queries.
 
 Everything is keyed by (query, document). Tokens are counted where their text lies; what moves are document frequencies,
-scores and the per-query top-k, which Spark limits before it shuffles. An index is written once and asked many times. Query sets are small next to a corpus: they are joined so that Spark may broadcast them
-by their known size, and vector queries go in blocks of a stated number.
+scores and the per-query top-k, which Spark limits before it shuffles. An index is written once and asked many times. Query
+sets may be of any size; Spark broadcasts them where their size allows. Vector search is in ``dense``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import let, tokens
+from tesserae.operators.dense import dense
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 CANDIDATES, RERANKED = 30, 20
-#: Query vectors that one pass over the vectors compares at most.
-QUERY_BLOCK = 4096
 
 
 def ranked(rows: DataFrame, by: list[Column], within: str = "query_id", name: str = "rank") -> DataFrame:
@@ -130,48 +127,6 @@ def holders(passages: DataFrame, docs: DataFrame, held: Index, key: str = "doc_i
     return both.where(F.contains("_t", "_p")).select("query_id", "doc").distinct()
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """``query_id``, ``doc``, ``score``, ``rank``: exact inner products in double precision. Each batch of vectors is
-    multiplied with all queries, ``QUERY_BLOCK`` at a time, and sends its best ``k`` of each query on."""
-    rows = queries.select(F.col(query_key).alias("query_id"), F.col(vector).alias("q")).toLocalIterator()
-    found = _block(queries, vectors, k, key, query_key, vector, list(islice(rows, QUERY_BLOCK)))
-    while asked := list(islice(rows, QUERY_BLOCK)):
-        found = found.unionByName(_block(queries, vectors, k, key, query_key, vector, asked))
-    return ranked(found, [F.round("score", 9).desc(), F.col("doc")]).where(F.col("rank") <= k)
-
-
-def _block(queries: DataFrame, vectors: DataFrame, k: int, key: str, query_key: str, vector: str, asked: list) -> DataFrame:
-    """``query_id``, ``doc``, ``score`` of the best ``k`` of each batch of vectors for each of the queries ``asked``."""
-    ids = [r["query_id"] for r in asked]
-    matrix = np.array([r["q"] for r in asked], np.float64) if asked else np.zeros((0, 0))
-    id_type = queries.schema[query_key].dataType.simpleString()
-    doc_type = vectors.schema[key].dataType.simpleString()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        kind = to_arrow_type(query_field)
-        names = pa.array(ids, kind)
-        for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            values = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            scores = values @ matrix.T
-            n = min(k, b.num_rows)
-            # ties at the edge are settled by document among all of the batch
-            order = np.lexsort((np.broadcast_to(rank_of(b.column("d"))[:, None], scores.shape), -np.round(scores, 9)), axis=0)[:n]
-            cols = np.broadcast_to(np.arange(len(ids)), order.shape)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(cols.ravel())), b.column("d").take(pa.array(order.ravel())), pa.array(scores[order, cols].ravel())], ["query_id", "doc", "score"])
-
-    def rank_of(column: pa.Array) -> np.ndarray:
-        out = np.empty(len(column), np.int64)
-        out[pa.compute.sort_indices(column).to_numpy()] = np.arange(len(column))
-        return out
-
-    query_field = queries.schema[query_key].dataType
-    return vectors.select(F.col(key).alias("d"), F.col(vector).alias("v")).where("v is not null").mapInArrow(run, f"query_id {id_type}, doc {doc_type}, score double")
-
-
 def tag_filter(results: DataFrame, tags: DataFrame, wanted: dict[str, str], ids: DataFrame | None = None, doc: str = "doc") -> DataFrame:
     """Keeps results by an allow-list (``ids``, one column; an empty one keeps nothing) and by array tags. A document
     without tags passes only if an allow-list is given; without either filter all pass. ``tags``: ``doc`` and arrays."""

@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.operators import retrieval
+from tesserae.sources.scratch import shared_folder
 
 _indexes: dict[tuple, str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``. Without that setting a local master gets a temporary one; on a cluster
-    executors could not see each other's files, so there it is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tesserae-")
-    return f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
-
-
 def table_state(spark: SparkSession, path: str) -> tuple:
     """Files, bytes and last change of a table: another state is another table."""
     files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()

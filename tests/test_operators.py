@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae import schemas
 from tesserae.functions import text as T
-from tesserae.operators import answer, chunking, evaluate, facts, incremental, parsing, retrieval, validate
+from tesserae.operators import answer, chunking, dense, evaluate, facts, incremental, parsing, retrieval, validate
 from tesserae.sources import files
 from tesserae.streaming import ingest
 
@@ -145,13 +145,12 @@ def test_dense_is_exact_with_ties(spark):
     assert retrieval.dense(q.limit(0), v).count() == 0
 
 
-def test_dense_in_blocks(spark, monkeypatch):
+def test_dense_in_blocks(spark):
     rng = np.random.default_rng(3)
     v = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(30)], "vec_id long, embedding array<double>")
     q = v.select(F.col("vec_id").alias("query_id"), "embedding")
     whole = sorted(retrieval.dense(q, v, 5).collect())
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
-    assert sorted(retrieval.dense(q, v, 5).collect()) == whole and len(whole) == 150
+    assert sorted(dense.dense(q, v, 5, tile=64, asked_tile=7).collect()) == whole and len(whole) == 150
 
 
 def test_tag_filter(spark):
