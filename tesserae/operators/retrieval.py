@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import let, tokens
-from tesserae.operators.dense import dense
+from tesserae.operators.dense import CANDIDATES, dense
+from tesserae.sources.scratch import written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
-CANDIDATES, RERANKED = 30, 20
+RERANKED = 20
 
 
 def ranked(rows: DataFrame, by: list[Column], within: str = "query_id", name: str = "rank") -> DataFrame:
@@ -62,12 +63,14 @@ def idf(held: DataFrame, n_docs: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """What BM25 knows of a corpus: postings, the terms' weights, and two totals."""
+    """What BM25 knows of a corpus: postings, the terms' weights, two totals, and the postings in blocks, if they were
+    written."""
 
     postings: DataFrame
     terms: DataFrame
     n_docs: int
     mean_length: float
+    blocks: DataFrame | None = None
 
 
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
@@ -80,39 +83,104 @@ def _index(counted: DataFrame, n_docs: int, held: DataFrame) -> Index:
     return Index(held, idf(held, n_docs), n_docs, total / n_docs if n_docs else 0.0)
 
 
+#: Documents of a block, about: the hash that deals them out is not exact.
+BLOCK = 1024
+#: Blocks of documents that are scored first for each query, to know what its results reach at least.
+FIRST = 4
+#: Room that is given to bounds, against rounding.
+ROOM = 1e-6
+
+
+def _contribution(held: Index) -> Column:
+    """What a posting (``tf``, ``dl``, ``idf``) adds to a score for each time that a query has its term."""
+    return F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(held.mean_length or 1.0)))
+
+
+def blocks_of(held: Index, size: int | None = None) -> DataFrame:
+    """``term``, ``bucket``, ``top`` (the greatest contribution, 0 at least), ``docs`` (of ``doc`` and contribution ``w``).
+
+    A document is in one bucket of about ``size`` documents of its own length (to a fifth): contributions fall with length,
+    so the blocks of short documents stand out. A frequent term has a block in each bucket, none is longer than a bucket."""
+    length = F.floor(F.log2(F.col("dl") + 1) * 4).cast("long")
+    docs = held.postings.select("doc", length.alias("length")).distinct()
+    parts = docs.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / (size or BLOCK)).alias("parts"))
+    weighed = held.postings.withColumn("length", length).join(parts, "length").join(held.terms.select("term", "idf"), "term")
+    bucket = F.shiftleft("length", 40) + F.pmod(F.xxhash64("doc"), F.col("parts"))
+    rows = weighed.select("term", bucket.alias("bucket"), "doc", _contribution(held).alias("w"))
+    made = rows.groupBy("term", "bucket").agg(F.greatest(F.max("w"), F.lit(0.0)).alias("top"), F.collect_list(F.struct("doc", "w")).alias("docs"))
+    return made.repartitionByRange("term", "bucket").sortWithinPartitions("term", "bucket")
+
+
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> Index:
-    """The index, written to ``path`` (texts are tokenised once) and read back."""
+    """The index, written to ``path`` (texts are tokenised once) and read back; blocks lie in the order of terms."""
     spark = docs.sparkSession
     postings(docs, key, text).write.mode("overwrite").parquet(f"{path}/postings")
     held = spark.read.parquet(f"{path}/postings")
     made = _index(held, docs.count(), held)
     made.terms.write.mode("overwrite").parquet(f"{path}/terms")
     spark.createDataFrame([(made.n_docs, made.mean_length)], "n_docs long, mean_length double").write.mode("overwrite").parquet(f"{path}/totals")
+    weighed = Index(held, spark.read.parquet(f"{path}/terms"), made.n_docs, made.mean_length)
+    blocks_of(weighed).write.mode("overwrite").parquet(f"{path}/blocks")
     return read_index(spark, path)
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
     totals = spark.read.parquet(f"{path}/totals").head()
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), totals["n_docs"], totals["mean_length"])
+    return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms")), totals["n_docs"], totals["mean_length"], spark.read.parquet(f"{path}/blocks"))
+
+
+def _asked(queries: DataFrame, query_key: str) -> DataFrame:
+    """``query_id``, ``term``, ``qtf``: a term that a query repeats counts as often."""
+    return queries.select(F.col(query_key).alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def _permitted(found: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    return found if allowed is None else found.join(allowed, [c for c in ("query_id", "doc") if c in allowed.columns], "left_semi")
 
 
 def bm25_scores(queries: DataFrame, held: Index, query_key: str = "query_id", allowed: DataFrame | None = None) -> DataFrame:
-    """``query_id``, ``doc``, ``score`` of all documents with a positive score. A term that a query repeats counts as often.
-    ``allowed`` (``doc``, or ``query_id`` and ``doc``) restricts the results, not the statistics."""
-    asked = queries.select(F.col(query_key).alias("query_id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    found = held.postings.join(asked.join(held.terms.select("term", "idf"), "term"), "term")
-    if allowed is not None:
-        found = found.join(allowed, [c for c in ("query_id", "doc") if c in allowed.columns], "left_semi")
-    mean = held.mean_length or 1.0
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
-    return found.groupBy("query_id", "doc").agg(F.sum(part).alias("score")).where("score > 0")
+    """``query_id``, ``doc``, ``score`` of all documents with a positive score. ``allowed`` (``doc``, or ``query_id`` and
+    ``doc``) restricts the results, not the statistics."""
+    found = held.postings.join(_asked(queries, query_key).join(held.terms.select("term", "idf"), "term"), "term")
+    return _permitted(found, allowed).groupBy("query_id", "doc").agg(F.sum(F.col("qtf") * _contribution(held)).alias("score")).where("score > 0")
+
+
+def _of_buckets(asked: DataFrame, held: Index, wanted: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """The scores of all documents in the ``wanted`` buckets (``query_id``, ``bucket``)."""
+    read = asked.join(wanted, "query_id").join(held.blocks.select("term", "bucket", "docs"), ["term", "bucket"])
+    found = read.select("query_id", "qtf", F.explode("docs").alias("d")).select("query_id", "qtf", "d.doc", "d.w")
+    return _permitted(found, allowed).groupBy("query_id", "doc").agg(F.sum(F.col("qtf") * F.col("w")).alias("score")).where("score > 0")
+
+
+def reached_buckets(queries: DataFrame, held: Index, k: int, query_key: str = "query_id", allowed: DataFrame | None = None) -> DataFrame:
+    """``query_id``, ``bucket``, ``reach`` (what no document there exceeds), ``needed``: whether it may hold one of the best
+    ``k``. The buckets of greatest reach are scored; the ``k``-th score among them is what others must reach."""
+    asked = _asked(queries, query_key)
+    reach = asked.join(held.blocks.select("term", "bucket", "top"), "term").groupBy("query_id", "bucket").agg(F.sum(F.col("qtf") * F.col("top")).alias("reach"))
+    reach = written(reach)
+    first = ranked(reach, [F.desc("reach"), F.col("bucket")]).where(F.col("rank") <= FIRST).select("query_id", "bucket")
+    known = ranked(_of_buckets(asked, held, first, allowed), [F.desc("score")]).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    return reach.join(known, "query_id", "left").select("query_id", "bucket", "reach", (F.col("reach") >= F.coalesce(F.col("least") - ROOM, F.lit(0.0))).alias("needed"))
 
 
 def bm25(queries: DataFrame, docs: DataFrame | Index, k: int = CANDIDATES, key: str = "doc_id", query_key: str = "query_id", text: str = "text", allowed: DataFrame | None = None) -> DataFrame:
     """``query_id``, ``doc``, ``score``, ``rank``: the best ``k`` with a positive score, ties by document. ``docs``: a
-    corpus, or its index."""
+    corpus, or its index; one that was written is read in blocks, and blocks that can't reach a query's ``k``-th score are
+    left out. The results are the same."""
     held = docs if isinstance(docs, Index) else index(docs, key, text)
-    return ranked(bm25_scores(queries, held, query_key, allowed), [F.round("score", 9).desc(), F.col("doc")]).where(F.col("rank") <= k)
+    if held.blocks is None:
+        scores = bm25_scores(queries, held, query_key, allowed)
+    else:
+        wanted = reached_buckets(queries, held, k, query_key, allowed).where("needed").select("query_id", "bucket")
+        scores = _of_buckets(_asked(queries, query_key), held, wanted, allowed)
+    return ranked(scores, [F.round("score", 9).desc(), F.col("doc")]).where(F.col("rank") <= k)
+
+
+def block_report(queries: DataFrame, held: Index, k: int = CANDIDATES, query_key: str = "query_id") -> DataFrame:
+    """``query_id``, ``n_blocks`` that its terms have, ``n_read`` of them for its best ``k``."""
+    needed = reached_buckets(queries, held, k, query_key).select("query_id", "bucket", "needed")
+    rows = _asked(queries, query_key).join(held.blocks.select("term", "bucket"), "term").join(needed, ["query_id", "bucket"])
+    return rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.count(F.when(F.col("needed"), 1)).alias("n_read"))
 
 
 def holders(passages: DataFrame, docs: DataFrame, held: Index, key: str = "doc_id", query_key: str = "query_id") -> DataFrame:

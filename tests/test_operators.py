@@ -533,3 +533,33 @@ def test_nearest_by_brute_force(spark):
         if gaps and min(gaps)[0] < 6:
             want[i] = (min(gaps)[1], min(gaps)[0])
     assert got == want and len(want) > 20
+
+
+def test_blocks_give_what_all_postings_give(spark, tmp_path, monkeypatch):
+    """Frequent words are in every document, rare ones in few; documents of many lengths, ties, repeated query words."""
+    rng = np.random.default_rng(8)
+    common, rare = ["the", "of", "and", "to"], [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join([*rng.choice(common, n), *rng.choice(rare, max(1, n // 4))])
+    rows = [(i, text(int(n))) for i, n in enumerate(rng.integers(1, 120, 1500))] + [(5000 + i, "the w1 w2") for i in range(20)] + [(6000, ""), (6001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    q = spark.createDataFrame([(0, "the of w1 w2"), (1, "w3 w3 the"), (2, "the"), (3, "nowhere"), (4, ""), (5, None), (6, " ".join(rare[:40]))], "query_id long, text string")
+    monkeypatch.setattr(retrieval, "BLOCK", 16)
+    held = retrieval.write_index(docs, str(tmp_path / "index"))
+    assert held.blocks.agg(F.max(F.size("docs"))).head()[0] < 64
+    plain = retrieval.Index(held.postings, held.terms, held.n_docs, held.mean_length)
+    shown = lambda rows: sorted((r.query_id, r["rank"], r.doc, round(r.score, 9)) for r in rows.collect())
+    some = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("doc"))
+    for k, allowed in ((5, None), (30, None), (30, some), (5000, None)):
+        assert shown(retrieval.bm25(q, held, k, allowed=allowed)) == shown(retrieval.bm25(q, plain, k, allowed=allowed))
+    told = {r.query_id: (r.n_read, r.n_blocks) for r in retrieval.block_report(q, held, 5).collect()}
+    # what holds frequent words alone is left out
+    assert told[0][0] < told[0][1] / 2 and told[1][0] < told[1][1] / 2 and told.keys() == {0, 1, 2, 6}
+
+
+def test_negative_weights_stay_exact(spark, tmp_path):
+    """Most words are in most documents, so the mean weight, which replaces negative ones, is negative."""
+    docs = spark.createDataFrame([(i, "a b c" if i else "a b c d") for i in range(9)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "a d"), (2, "a"), (3, "d d")], "query_id long, text string")
+    held = retrieval.write_index(docs, str(tmp_path / "index"))
+    plain = retrieval.Index(held.postings, held.terms, held.n_docs, held.mean_length)
+    assert sorted(retrieval.bm25(q, held, 3).collect()) == sorted(retrieval.bm25(q, plain, 3).collect())
