@@ -7,8 +7,8 @@ than a stated share of its characters with such lines is rejected as depleted; f
 Copies of one document are not boilerplate. Equal documents count as one, and a line must also have documents that are
 unlike: they have lines of their own, and these differ. A document's own lines are those that neither are frequent (on
 ``min_documents`` documents of the host) nor a changed copy of a frequent line: one that begins or ends with the same three
-words, and of whose three-word windows more than half are in frequent lines. So near copies (a few words changed here and
-there) have no lines of their own, and pages of a template have, however short these are. ``kind`` tells them apart: of less
+words, and of whose three-word windows (every third of a long line's) more than half are in frequent lines. So near copies
+(a few words changed here and there) have no lines of their own, and pages of a template have, however short these are. ``kind`` tells them apart: of less
 than ``OWN_CHARS`` code points of own lines the line with the smallest hash, digits aside (a copy may carry a date or a number);
 of more the smallest hash among the first, middle and last words of the own lines, which copies of an article share though
 each of their long lines was changed. Beginnings and ends of frequent lines don't count there. Documents without own lines
@@ -37,6 +37,8 @@ MAX_LOST = 0.5
 END_WORDS = 3
 #: A line that begins or ends as a frequent one is a changed copy if more than this share of its windows are frequent lines'.
 CHANGED = 0.5
+#: Words of a line up to which all its windows are looked up; of longer ones every third.
+SHORT_WORDS = 12
 #: Code points of own lines below which whole lines tell documents apart.
 OWN_CHARS = 200
 
@@ -124,11 +126,16 @@ def document_lines(docs: DataFrame, key: str = "doc_id", host: str = "source", w
     return flat.select(*columns, _number(mid).alias("mid"), _number(F.regexp_replace(x, "[0-9]+", "0")).alias("mark"))
 
 
-def _windows(x: Column) -> Column:
-    """The distinct windows of three words; a shorter line is one."""
+def _windows(x: Column, every: int = 1) -> Column:
+    """The distinct windows of three words; a shorter line is one. ``every``: of lines of more than ``SHORT_WORDS`` words only
+    those from so many words to so many, and the last."""
 
     def of_words(w: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.array_join(F.slice(w, i + 1, 3), " "))
+        last = F.size(w) - 3
+        starts = F.sequence(F.lit(0), last)
+        if every > 1:
+            starts = F.filter(starts, lambda i: (F.size(w) <= SHORT_WORDS) | (i % every == 0) | (i == last))
+        grams = F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, 3), " "))
         return F.when(F.size(w) < 3, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(grams))
 
     return let(F.split(x, " "), of_words)
@@ -145,8 +152,9 @@ def changed_copies(docs: DataFrame, often: DataFrame, key: str = "doc_id", host:
     rest = near.join(often.select("line"), "line", "left_anti")
     alike = lambda end: rest.join(often.select("host", end).distinct(), ["host", end], "left_semi").select("host", "line", "x")
     met = alike("head").unionByName(alike("tail")).distinct()
-    parts = met.select("host", "line", F.explode(_windows(F.col("x"))).alias("w")).join(held.withColumn("_in", F.lit(1)), ["host", "w"], "left")
-    out = materialise(parts.groupBy("line").agg(F.count("_in").alias("n_in"), F.count(F.lit(1)).alias("n")).where(F.col("n_in") > CHANGED * F.col("n")).select("line"))
+    asked = met.select("host", "line", _windows(F.col("x"), 3).alias("ws")).select("host", "line", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    parts = asked.join(held, ["host", "w"], "left_semi")
+    out = materialise(parts.groupBy("line", "n").agg(F.count(F.lit(1)).alias("n_in")).where(F.col("n_in") > CHANGED * F.col("n")).select("line"))
     discard(near)
     return out
 
@@ -248,6 +256,7 @@ QUERIES = {"op4_quality_rules": op4_quality_rules}
 _LINES = "string_split(lower(coalesce(text, '')), chr(10))"
 _NUMBER = "('0x' || substr(md5({0}), 1, 15))::BIGINT"
 _WINDOWS = "list_distinct(CASE WHEN len(string_split(x, ' ')) < 3 THEN [x] ELSE [array_to_string(string_split(x, ' ')[i:i + 2], ' ') FOR i IN range(1, len(string_split(x, ' ')) - 1)] END)"
+_SOME = _WINDOWS.replace("- 1)]", f"- 1) IF len(string_split(x, ' ')) <= {SHORT_WORDS} OR (i - 1) % 3 = 0 OR i = len(string_split(x, ' ')) - 2]")
 ORACLES: dict[str, str] = {
     "op4_quality_rules": f"""
 WITH l AS (
@@ -262,7 +271,7 @@ WITH l AS (
 ), held AS (
   SELECT DISTINCT host, unnest({_WINDOWS}) AS w FROM often
 ), changed AS (
-  SELECT host, x FROM (SELECT host, x, unnest({_WINDOWS}) AS w FROM suspect) LEFT JOIN (SELECT *, 1 AS met FROM held) USING (host, w) GROUP BY ALL HAVING count(met) > {CHANGED} * count(*)
+  SELECT host, x FROM (SELECT host, x, unnest({_SOME}) AS w FROM suspect) LEFT JOIN (SELECT *, 1 AS met FROM held) USING (host, w) GROUP BY ALL HAVING count(met) > {CHANGED} * count(*)
 ), own AS (
   SELECT DISTINCT host, body, pos, c, plain, head, tail, string_split(x, ' ')[greatest(1, len(string_split(x, ' ')) // 2):][:{END_WORDS}] AS mid FROM l
   WHERE (host, x) NOT IN (SELECT (host, x) FROM often) AND (host, x) NOT IN (SELECT (host, x) FROM changed)
