@@ -112,13 +112,35 @@ def sections(papers: DataFrame) -> DataFrame:
     return kept.withColumn("chunk_type", F.when(F.col("_norm") == "abstract", "abstract").otherwise("text")).drop("_norm")
 
 
+def _first_by_page(sections: Column) -> Column:
+    """Where the first section in order changes, as structs of ``at`` (page) and ``title`` (null: none). A sweep over the
+    pages where sections begin and end, with the set of those that are open."""
+    spans = F.transform(sections, lambda x, i: F.struct(x["page_start"].alias("a"), x["page_end"].alias("b"), i.alias("i")))
+    spans = F.filter(spans, lambda x: x["a"] <= x["b"])
+    event = lambda at, opens, i: F.struct(at.cast("int").alias("at"), F.lit(opens).alias("opens"), i.alias("i"))
+    events = F.array_sort(F.concat(F.transform(spans, lambda x: event(x["a"], 1, x["i"])), F.transform(spans, lambda x: event(x["b"] + 1, 0, x["i"]))))
+
+    def step(s: Column, e: Column) -> Column:
+        held = F.when(e["opens"] == 1, F.array_append(s["open"], e["i"])).otherwise(F.array_remove(s["open"], e["i"]))
+        return let(held, lambda h: F.struct(h.alias("open"), F.array_append(s["cuts"], F.struct(e["at"].alias("at"), F.array_min(h).alias("i"))).alias("cuts")))
+
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.array().cast("array<struct<at:int,i:int>>").alias("cuts"))
+    cuts = F.aggregate(events, start, step, lambda s: s["cuts"])
+    return F.transform(cuts, lambda c: F.struct(c["at"].alias("at"), F.get(sections, c["i"])["title"].alias("title")))
+
+
 def enclosing_section(pages: DataFrame, papers: DataFrame) -> DataFrame:
     """``pages`` (``paper_id``, ``page``, more) with ``section_title``: the first section in order that holds the page,
-    else ``Unknown``."""
-    spans = papers.select("paper_id", F.posexplode("sections").alias("sec_idx", "s")).select(F.col("paper_id").alias("_p"), "sec_idx", F.col("s.title").alias("_t"), F.col("s.page_start").alias("_a"), F.col("s.page_end").alias("_b"))
-    met = pages.withColumn("_row", F.monotonically_increasing_id()).join(spans, (F.col("paper_id") == F.col("_p")) & F.col("page").between(F.col("_a"), F.col("_b")), "left")
-    first = met.groupBy("_row", *pages.columns).agg(F.min_by("_t", "sec_idx").alias("_t"))
-    return first.select(*pages.columns, F.coalesce("_t", F.lit("Unknown")).alias("section_title"))
+    else ``Unknown``. Papers come once each. Pages and the places where the section changes go through one sort a paper."""
+    row = F.struct(*(F.col(f"`{c}`") for c in pages.columns))
+    asks = pages.select("paper_id", F.col("page").cast("int").alias("_at"), row.alias("_row"), F.lit(None).cast("struct<title:string>").alias("_cut"), F.lit(None).cast("int").alias("_k"))
+    cuts = papers.where("paper_id is not null").select("paper_id", F.posexplode(_first_by_page(F.col("sections"))).alias("_k", "c"))
+    none = F.lit(None).cast(pages.select(row.alias("r")).schema["r"].dataType)
+    cuts = cuts.select("paper_id", F.col("c.at").alias("_at"), none.alias("_row"), F.struct(F.col("c.title").alias("title")).alias("_cut"), "_k")
+    # on one page, changes stand before what asks, and the last of them counts
+    upto = Window.partitionBy("paper_id").orderBy("_at", F.col("_row").isNotNull(), "_k").rowsBetween(Window.unboundedPreceding, 0)
+    met = asks.unionByName(cuts).withColumn("_cut", F.last("_cut", ignorenulls=True).over(upto)).where("_row is not null")
+    return met.select("_row.*", F.coalesce("_cut.title", F.lit("Unknown")).alias("section_title"))
 
 
 def tables(papers: DataFrame, most: int = TABLE_MOST, count: Count = count_words) -> DataFrame:

@@ -1,22 +1,20 @@
 """From lines and HTML blocks to sections, tables and diagnostics.
 
 ``lines``: ``paper_id, page, pos, text, size, bold, bbox``. Order is data: everything is ordered by page and position.
-Merges that consume lines run per page in Python; headings, sections and captions are windows and joins.
+Merges that consume lines are folds over a page's lines; headings, sections and captions are windows and joins.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tesserae.functions import text as T
-from tesserae.schemas import LINES
 
 BOLD_FLAG = 16
 CAPTION_WINDOW = 120.0
@@ -35,46 +33,60 @@ def lines_from_spans(spans: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- merges within a page
 
 
-def join_numbers(rows: list[dict]) -> list[dict]:
-    """A bare section number (bold, or larger than what follows) takes the next line, if that has at most ten words."""
-    out, skip = [], False
-    for row, after in zip(rows, [*rows[1:], None], strict=True):
-        if skip:
-            skip = False
-        elif after and re.match(T.BARE_NUMBER, row["text"]) and (row["bold"] or row["size"] > after["size"]) and len(after["text"].split()) <= 10:
-            out.append(after | {"pos": row["pos"], "text": f"{row['text']} {after['text']}", "size": max(row["size"], after["size"]), "bold": row["bold"] or after["bold"]})
-            skip = True
-        else:
-            out.append(row)
-    return out
+def _fold(rows: Column, step: Callable[[Column, Column], Column], **state: Column) -> Column:
+    """``out`` of a fold over the ordered lines of a page: ``step`` gets what was kept so far (``out``, and ``state``) and a
+    line with the next one (``x``, ``y``)."""
+    pairs = F.transform(rows, lambda x, i: F.struct(x.alias("x"), F.get(rows, i + 1).alias("y")))
+    start = F.struct(F.slice(rows, 1, 0).alias("out"), *(v.alias(k) for k, v in state.items()))
+    return F.aggregate(pairs, start, step, lambda s: s["out"])
 
 
-def join_captions(rows: list[dict]) -> list[dict]:
-    """A caption takes the lines that go on in its type (bold, size within 0.5), up to a numbered heading or a line of
-    more than thirty words. Captions of figures go."""
-    out, head = [], None
-    for row in rows:
-        if head and row["bold"] == head["bold"] and abs(row["size"] - head["size"]) < 0.5 and not re.match(T.NUMBERED, row["text"]) and len(row["text"].split()) <= 30:
-            head["text"] += " " + row["text"]
-            continue
-        figure, table = re.match(T.FIGURE_CAPTION, row["text"]), re.match(T.TABLE_CAPTION, row["text"])
-        head = dict(row) if figure or table else None
-        if not figure:
-            out.append(head or row)
-    return out
+def _line(pos: Column, text: Column, size: Column, bold: Column, bbox: Column) -> Column:
+    return F.struct(pos.alias("pos"), text.alias("text"), size.alias("size"), bold.alias("bold"), bbox.alias("bbox"))
 
 
-def merge_lines(lines: DataFrame, *steps: Callable[[list[dict]], list[dict]]) -> DataFrame:
-    """The steps (default: numbers, then captions) on the lines of each page."""
-    steps = steps or (join_numbers, join_captions)
+def join_numbers(rows: Column) -> Column:
+    """A bare section number (bold, or larger than what follows) takes the next line, if that has at most ten words."""
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("pos").to_dict("records")
-        for step in steps:
-            rows = step(rows)
-        return pd.DataFrame(rows, columns=list(pdf.columns))
+    def step(s: Column, p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        takes = F.coalesce(y.isNotNull() & x["text"].rlike(T.BARE_NUMBER) & (x["bold"] | (x["size"] > y["size"])) & (T.count_words(y["text"]) <= 10), F.lit(False))
+        joined = _line(x["pos"], F.concat_ws(" ", x["text"], y["text"]), F.greatest(x["size"], y["size"]), x["bold"] | y["bold"], y["bbox"])
+        kept = lambda out, skip: F.struct(out.alias("out"), F.lit(skip).alias("skip"))
+        return F.when(s["skip"], kept(s["out"], False)).when(takes, kept(F.array_append(s["out"], joined), True)).otherwise(kept(F.array_append(s["out"], x), False))
+
+    return _fold(rows, step, skip=F.lit(False))
+
+
+def join_captions(rows: Column) -> Column:
+    """A caption takes the lines that go on in its type (bold, size within 0.5), up to a numbered heading or a line of
+    more than thirty words. Captions of figures go."""
 
-    return lines.select("paper_id", "page", "pos", "text", "size", "bold", "bbox").groupBy("paper_id", "page").applyInPandas(page, LINES)
+    def step(s: Column, p: Column) -> Column:
+        x, head = p["x"], s["head"]
+        alike = x["bold"].eqNullSafe(head["bold"]) & (F.abs(x["size"] - head["size"]) < 0.5)
+        goes_on = F.coalesce(head.isNotNull() & alike & ~x["text"].rlike(T.NUMBERED) & (T.count_words(x["text"]) <= 30), F.lit(False))
+        longer = _line(head["pos"], F.concat_ws(" ", head["text"], x["text"]), head["size"], head["bold"], head["bbox"])
+        kept = lambda out, top, shown: F.struct(out.alias("out"), top.alias("head"), F.lit(shown).alias("shown"))
+        replaced = F.array_append(F.slice(s["out"], 1, F.size(s["out"]) - 1), longer)
+        return (
+            F.when(goes_on & s["shown"], kept(replaced, longer, True))
+            .when(goes_on, kept(s["out"], longer, False))
+            .when(x["text"].rlike(T.FIGURE_CAPTION), kept(s["out"], x, False))
+            .when(x["text"].rlike(T.TABLE_CAPTION), kept(F.array_append(s["out"], x), x, True))
+            .otherwise(kept(F.array_append(s["out"], x), F.get(F.slice(rows, 1, 0), F.lit(0)), False))
+        )
+
+    return _fold(rows, step, head=F.get(F.slice(rows, 1, 0), F.lit(0)), shown=F.lit(False))
+
+
+def merge_lines(lines: DataFrame, *steps: Callable[[Column], Column]) -> DataFrame:
+    """The steps (default: numbers, then captions) on the lines of each page, which are one row's array."""
+    held = F.array_sort(F.collect_list(_line(*(F.col(c) for c in ("pos", "text", "size", "bold", "bbox")))))
+    pages = lines.groupBy("paper_id", "page").agg(held.alias("_l"))
+    for step in steps or (join_numbers, join_captions):
+        pages = pages.withColumn("_l", step(F.col("_l")))
+    return pages.select("paper_id", "page", F.explode("_l").alias("_x")).select("paper_id", "page", "_x.*")
 
 
 # ---------------------------------------------------------------- headings and sections

@@ -66,7 +66,7 @@ def percent_as_ratio(metric: Column) -> Column:
 
 def flags(extraction: Column, source: Column, curated_signal: Column, curated_asset: Column, curated: Column, extended: bool = False) -> Column:
     """The ordered list of flags. ``curated`` tells whether there is a curated record. ``extended`` adds a check that the
-    ranges can't make: a percentage labelled as a ratio."""
+    ranges can't make: a percentage labelled as a ratio. The names of flags are fixed values: stored records hold them."""
     metrics = extraction["performance_metrics"]
     quoted = lambda m: F.concat(F.lit("'"), m["metric_name"], F.lit("'"))
 

@@ -271,6 +271,21 @@ def a6_backoff(spark, d):
     return spark.createDataFrame(rows, "attempt long, least double, most double, least_other double, most_other double")
 
 
+#: Recursive SQL of the merges: which numbers take the next line, then which lines captions take.
+MERGES = """
+o AS (SELECT *, row_number() OVER w AS rn, lead(text) OVER w AS nt, lead(size) OVER w AS ns, lead(bold) OVER w AS nb FROM ln WINDOW w AS (PARTITION BY paper_id, page ORDER BY pos)),
+e AS (SELECT *, coalesce(nt IS NOT NULL AND regexp_matches(text, '^\\d+(?:\\.\\d+)*\\.?$') AND (bold OR size > ns) AND len(regexp_extract_all(nt, '\\S+')) <= 10, false) AS can FROM o),
+nm AS (SELECT paper_id, page, rn, can AS takes FROM e WHERE rn = 1
+  UNION ALL SELECT e.paper_id, e.page, e.rn, e.can AND NOT nm.takes FROM nm JOIN e ON e.paper_id = nm.paper_id AND e.page = nm.page AND e.rn = nm.rn + 1),
+tk AS (SELECT e.*, takes, coalesce(lag(takes) OVER (PARTITION BY paper_id, page ORDER BY rn), false) AS taken FROM e JOIN nm USING (paper_id, page, rn)),
+m AS (SELECT paper_id, page, pos, CASE WHEN takes THEN text || ' ' || nt ELSE text END AS text, CASE WHEN takes THEN greatest(size, ns) ELSE size END AS size, CASE WHEN takes THEN bold OR nb ELSE bold END AS bold,
+  row_number() OVER (PARTITION BY paper_id, page ORDER BY rn) AS rn FROM tk WHERE NOT taken),
+k AS (SELECT *, regexp_matches(text, '^\\s*(FIGURE|Figure|Fig\\.?)\\s+([IVXLCDM]+|\\d+)\\b') AS fig, regexp_matches(text, '^\\s*(TABLE|Table)\\s+([IVXLCDM]+|\\d+)\\b') AS tab,
+  regexp_matches(text, '^(\\d+(?:\\.\\d+)*)\\.?\\s+(\\S.*)$') OR len(regexp_extract_all(text, '\\S+')) > 30 AS stops FROM m),
+cp AS (SELECT paper_id, page, rn, rn AS seg, CASE WHEN fig OR tab THEN bold END AS hb, CASE WHEN fig OR tab THEN size END AS hs, fig AS hf FROM k WHERE rn = 1
+  UNION ALL SELECT paper_id, page, rn, CASE WHEN go THEN seg ELSE rn END, CASE WHEN go THEN hb WHEN fig OR tab THEN bold END, CASE WHEN go THEN hs WHEN fig OR tab THEN size END, CASE WHEN go THEN hf ELSE fig END
+  FROM (SELECT k.paper_id, k.page, k.rn, cp.seg, hb, hs, hf, fig, tab, k.bold, k.size, coalesce(NOT stops AND k.bold = hb AND abs(k.size - hs) < 0.5, false) AS go
+    FROM cp JOIN k ON k.paper_id = cp.paper_id AND k.page = cp.page AND k.rn = cp.rn + 1))"""
 TABLE_BODY = "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: array_to_string(list_filter(list_transform(string_split(x, ' '), lambda c: regexp_replace(regexp_replace(CASE WHEN c = 'the' THEN '' ELSE c END, '^\\s+', ''), '\\s+$', '')), lambda c: c <> ''), ' | ')), lambda x: x <> ''), chr(10))"
 TABLE_TEXT = f"CASE WHEN {TABLE_BODY} = '' THEN 'Table 1 of ' || source ELSE 'Table 1 of ' || source || chr(10) || chr(10) || {TABLE_BODY} END"
 SENTENCES = "list_filter(string_split(regexp_replace(regexp_replace(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '([.!?])\\s+([A-Z0-9])', '\\1' || chr(30) || '\\2', 'g'), '([.!?])\\s+([A-Z0-9])', '\\1' || chr(30) || '\\2', 'g'), chr(30)), lambda x: x <> '')"
@@ -295,6 +310,7 @@ s AS (SELECT doc_id, i // 2 * 2 AS i, regexp_replace(regexp_replace(string_agg(l
 b AS (SELECT doc_id, string_agg('## ' || CASE i WHEN 0 THEN 'Abstract' ELSE '1.2 Part ' || i END || chr(10) || line, chr(10) || chr(10) ORDER BY i) AS body FROM s WHERE i <> 6 AND line <> '' GROUP BY 1)
 SELECT 'arxiv:' || doc_id AS paper_id, md5('Title: ' || lang || coalesce(chr(10) || chr(10) || body, '') || chr(10) || chr(10) || '## Table p2/t1 (page 2)' || chr(10) || {TABLE_TEXT}) AS md5 FROM documents LEFT JOIN b USING (doc_id)""",
     "s9_chunk_stats": "SELECT lang AS chunk_type, count(*) AS n, round(avg(n_chars), 4) AS mean, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY lang UNION ALL SELECT NULL, count(*), round(avg(n_chars), 4), min(n_chars), max(n_chars) FROM documents",
+    "p2_p3_merges": f"WITH RECURSIVE {LINES}, {MERGES} SELECT paper_id, page, min(pos) AS pos, string_agg(text, ' ' ORDER BY rn) AS text FROM cp JOIN k USING (paper_id, page, rn) WHERE NOT hf GROUP BY paper_id, page, seg",
     "p4_weighted_mode": f"WITH {LINES} SELECT * FROM body",
     "p5_prose": "SELECT doc_id, len(string_split(text, chr(10))) AS n, len(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '[\\x00-\\x1f]') AND (x = '' OR length(regexp_replace(x, '[\\x00-\\x7f]', '', 'g')) / greatest(length(x), 1) <= 0.15))) AS n_prose FROM documents",
     "p6_heading_rules": f"WITH {LINES} SELECT paper_id, pos, level FROM hd",

@@ -180,6 +180,22 @@ def a3_structured_batch(spark, d):
     return found.select("query_id", F.col("place").cast("long").alias("place"), "paper_id", F.col("matching_metric.value").alias("value"), "total_matches")
 
 
+def _asked_of_facts(spark, d):
+    """A question for each customer: filters, a part of a metric's name and a threshold by its columns."""
+    k = F.col("c_custkey")
+    pick = lambda n, *values: F.get(F.array(*values), (k % n).cast("int"))
+    none, words = F.array().cast("array<string>"), lambda *v: F.array(*map(F.lit, v))
+    return table(spark, d, "customer").select(
+        k.alias("query_id"), pick(4, none, words("error"), words("view", "click"), none).alias("signal_type"), F.when(k % 3 == 0, F.array(F.concat(F.lit("c"), (k % 2).cast("string")))).otherwise(none).alias("asset_class"),
+        pick(5, *map(F.lit, ("click", "IC", "e", "", "no such"))).alias("keyword"), pick(7, *map(F.lit, (">", "<", "none", ">=", "<=", ">", "<"))).alias("operator"), (F.abs("c_acctbal") % 90).alias("threshold"), F.when(k % 11 == 0, "ratio").alias("unit"),
+    )
+
+
+def a4_questions(spark, d):
+    found = answer.structured_questions(records(spark, d), _asked_of_facts(spark, d))
+    return found.select("query_id", F.col("place").cast("long").alias("place"), "paper_id", F.col("matching_metric.value").alias("value"), "total_matches")
+
+
 HYBRID = {
     0: facts.Params(("click", "view"), ("c0", "c1"), "purchase", ">", 50.0), 1: facts.Params(keyword="error", operator="<", threshold=5.0),
     2: facts.Params(asset_class=("c2",)), 3: facts.Params(keyword="no such"),
@@ -198,7 +214,7 @@ FROM (SELECT b.item_id, min(rank) AS r, count(rank) / greatest(max(g.n), 1)::DOU
   LEFT JOIN (SELECT query_id, rank FROM {bm} JOIN gold USING (query_id, doc) WHERE rank <= 10) h ON h.query_id = b.item_id GROUP BY 1)"""
 POST = "SELECT query_id, doc, round(score, 4) AS score, rank FROM bm"
 
-QUERIES = {f.__name__: f for f in (r1_tokenize, r2_bm25_stats, r2_doc_lengths, r3_bm25_topk, r4_dense_topk, r5_tag_postfilter, r5_missing_tags, r5_prefilter, r6_rrf, r8_hybrid_norerank, r7_rerank_standin, r9_embed_text, r10_embed_standin, r11_lookup, e1_hit_mrr, e2_config_grid, e3_ablation, a2_retrieval_batch, a3_hybrid_batch, a3_structured_batch)}
+QUERIES = {f.__name__: f for f in (r1_tokenize, r2_bm25_stats, r2_doc_lengths, r3_bm25_topk, r4_dense_topk, r5_tag_postfilter, r5_missing_tags, r5_prefilter, r6_rrf, r8_hybrid_norerank, r7_rerank_standin, r9_embed_text, r10_embed_standin, r11_lookup, e1_hit_mrr, e2_config_grid, e3_ablation, a2_retrieval_batch, a3_hybrid_batch, a3_structured_batch, a4_questions)}
 RRF = """f AS (SELECT query_id, doc, sum(s) AS score, min(seen) AS seen FROM (
     SELECT query_id, doc, 1.0::DOUBLE / (60 + rank) AS s, {{'list': 0, 'rank': rank}} AS seen FROM dn UNION ALL SELECT query_id, doc, 1.0::DOUBLE / (60 + rank), {{'list': 1, 'rank': rank}} FROM bm) GROUP BY ALL)
 SELECT query_id, doc, round(score, 8) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, seen) AS rank FROM f {0}"""
@@ -216,6 +232,15 @@ SELECT query_id, doc, round(score, 4) AS score, rank, false AS widened FROM p WH
     "a3_hybrid_batch": f"""WITH {BM25}, {REC}, {PARAMS}, al AS (SELECT DISTINCT b.item_id AS query_id, d.doc_id AS doc FROM benchmark b JOIN sb ON sb.query_id = b.item_id % 4 AND place <= 3 JOIN documents d ON sb.paper_id = 'user:' || (d.doc_id % 200))
 SELECT query_id, doc, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc) AS rank FROM bm_scores JOIN al USING (query_id, doc) QUALIFY rank <= 8""",
     "a3_structured_batch": f"WITH {REC}, {PARAMS} SELECT query_id::BIGINT AS query_id, place, paper_id, value, total_matches FROM sb WHERE place <= 25",
+    "a4_questions": f"""WITH {REC}, q AS (SELECT c_custkey AS query_id, [[], ['error'], ['view', 'click'], []][c_custkey % 4 + 1] AS s, CASE WHEN c_custkey % 3 = 0 THEN 'c' || (c_custkey % 2) END AS a, ['click', 'ic', 'e', '', 'no such'][c_custkey % 5 + 1] AS kw,
+  ['>', '<', 'none', '>=', '<=', '>', '<'][c_custkey % 7 + 1] AS op, abs(c_acctbal) % 90 AS t, CASE WHEN c_custkey % 11 = 0 THEN 'ratio' END AS u FROM customer),
+qr AS (SELECT query_id, kw, op, t, u, user_id FROM q JOIN rec ON (len(s) = 0 OR list_has_any(signal, s)) AND (a IS NULL OR a = asset)),
+x AS (SELECT query_id, qr.user_id, op, value FROM qr JOIN ev ON ev.user_id = qr.user_id AND kw <> '' AND contains(lower(event_type), kw) AND (u IS NULL OR unit = u)
+    AND CASE op WHEN '>' THEN value > t WHEN '>=' THEN value >= t WHEN '<' THEN value < t WHEN '<=' THEN value <= t ELSE true END
+  QUALIFY row_number() OVER (PARTITION BY query_id, qr.user_id ORDER BY CASE WHEN op IN ('>', '>=') THEN -value WHEN op IN ('<', '<=') THEN value ELSE 0 END, event_id) = 1
+  UNION ALL SELECT query_id, user_id, 'none', NULL FROM qr WHERE kw = ''),
+y AS (SELECT query_id, user_id, value, count(*) OVER (PARTITION BY query_id) AS total_matches, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN value IS NULL THEN 0 WHEN op IN ('<', '<=') THEN value ELSE -value END, user_id) AS place FROM x)
+SELECT query_id, place, 'user:' || user_id AS paper_id, value, total_matches FROM y WHERE place <= 25""",
     "r1_tokenize": f"SELECT doc_id, array_to_string({TOKENS.format('text')}, ' ') AS tokens, len({TOKENS.format('text')}) AS n_tokens FROM documents",
     "r2_bm25_stats": f"WITH {BM25} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "r2_doc_lengths": f"WITH {BM25} SELECT doc, dl FROM dl",

@@ -263,6 +263,25 @@ def test_merges(spark):
     assert got == ["1 Introduction", "2", "Not merged", "Table 2: y goes on", "3. Heading", "text"]
 
 
+def test_merges_at_the_edges(spark):
+    """Two numbers in a row, a number at the end, a caption's lines to the end of the page, unknown weights, pages apart."""
+    rows = [line(0, "1", bold=True), line(1, "2", bold=True), line(2, "x " * 11), line(3, "Table 1"), line(4, "a"), line(5, "b " * 31), line(6, "3", bold=True)]
+    rows += [line(0, "Table 2", bold=None, page=2), line(1, "c", bold=None, page=2), line(2, "Figure 3", page=2), line(3, "d", page=2), line(0, "e", page=3)]
+    got = [(r.page, r.text.strip()) for r in parsing.merge_lines(spark.createDataFrame(rows, schemas.LINES)).orderBy("page", "pos").collect()]
+    assert got == [(1, "1 2"), (1, ("x " * 11).strip()), (1, "Table 1 a"), (1, ("b " * 31).strip()), (1, "3"), (2, "Table 2 c"), (3, "e")]
+    assert "Python" not in parsing.merge_lines(spark.createDataFrame(rows, schemas.LINES))._jdf.queryExecution().toString()
+
+
+def test_first_section_of_a_page(spark):
+    spans = {"p": [("a", 2, 9), ("b", 1, 3), ("c", 3, 3), ("d", 8, 12), (None, 14, 14), ("x", 7, 5)], "q": [], "r": None}
+    papers = spark.createDataFrame([(k, None if v is None else [(t, 1, a, b, "") for t, a, b in v]) for k, v in spans.items()], "paper_id string, sections array<struct<title:string,level:int,page_start:int,page_end:int,text:string>>")
+    asked = [(p, n, f"{p}{n}") for p in ("p", "q", "r", "s", None) for n in (0, 1, 2, 3, 9, 10, 12, 13, 14, None)] + [("p", 3, "again")]
+    got = chunking.enclosing_section(spark.createDataFrame(asked, "paper_id string, page int, more string"), papers)
+    first = lambda p, n: next((t or "Unknown" for t, a, b in spans.get(p) or [] if n is not None and a <= n <= b), "Unknown")
+    assert got.columns == ["paper_id", "page", "more", "section_title"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((p, n, m, first(p, n))) for p, n, m in asked)
+
+
 def test_body_size_rounds_half_to_even(spark):
     rows = [line(0, "aa", 10.25), line(1, "bbb", 10.75), line(2, "c" * 4, 10.0), line(3, "d", 11.0)]
     assert parsing.body_size(spark.createDataFrame(rows, schemas.LINES)).head().body == 10.0
@@ -320,7 +339,7 @@ def test_answers(spark):
     got = engine.retrieved("works well", facts.Params(signal_type=("carry",)))
     assert got["caveat"] == answer.WIDENED
     got = engine.hybrid("works", facts.Params(keyword="sharpe", operator=">", threshold=0.5))
-    assert got["answer"] == "yes" and asked[-1].startswith("[1] (")
+    assert got["answer"] == "yes" and asked[-1].startswith("Source 1 | ")
     assert engine.hybrid("works", facts.Params(keyword="none such"))["answer"] is None
     assert engine.retrieved("zzz", facts.Params())["caveat"] == answer.NOTHING["caveat"]
 
@@ -563,3 +582,32 @@ def test_negative_weights_stay_exact(spark, tmp_path):
     held = retrieval.write_index(docs, str(tmp_path / "index"))
     plain = retrieval.Index(held.postings, held.terms, held.n_docs, held.mean_length)
     assert sorted(retrieval.bm25(q, held, 3).collect()) == sorted(retrieval.bm25(q, plain, 3).collect())
+
+
+def test_questions_as_rows_equal_one_by_one(spark):
+    """Random questions over random records: each question of the table against ``structured_query``."""
+    rng = np.random.default_rng(12)
+    names, tags, assets = ["Sharpe ratio", "SHARPE", "alpha", "beta", "drawdown"], ["carry", "value", "size"], ["fx", "equities"]
+    some = lambda values: [x for x in values if rng.random() < 0.5]
+    metric = lambda: (str(rng.choice(names)), float(rng.choice([-1, 0, 0.5, 2, 2, float("nan")])), str(rng.choice(["ratio", "percent"])), "", "", "")
+    rows = [(f"f{i:02}", f"p{i}", "t", (some(tags), some(assets), "m", [metric() for _ in range(rng.integers(0, 5))])) for i in range(40)]
+    kind = f"file_name string, paper_id string, title string, extraction struct<signal_type:array<string>,asset_class:array<string>,methodology_summary:string,performance_metrics:array<{schemas.METRIC}>>"
+    held = spark.createDataFrame(rows, kind).cache()
+    pick = lambda *v: v[rng.integers(len(v))]
+    asked = {i: facts.Params(tuple(some(tags)), tuple(some(assets)), pick("", "sharpe", "A", "RATIO", "none"), pick("none", ">", ">=", "<", "<="), float(pick(-1, 0, 0.5, 2)), pick(None, None, "ratio")) for i in range(24)}
+    got = answer.structured_questions(held, answer.question_table(spark, asked), limit=5).collect()
+    found = {(r.query_id, r.place): (r.paper_id, repr(r.matching_metric), r.total_matches) for r in got}
+    expected = {}
+    for i, p in asked.items():
+        rows = facts.structured_query(held, p, limit=5, with_total=True).collect()
+        expected |= {(i, n + 1): (r.paper_id, repr(r.matching_metric), r.total_matches) for n, r in enumerate(rows)}
+    assert found == expected
+
+
+def test_ten_thousand_questions_are_one_plan(spark):
+    held = spark.createDataFrame([("f", "p", "t", (["carry"], ["fx"], "m", [("Sharpe", 1.5, "ratio", "", "", "")]))], f"file_name string, paper_id string, title string, extraction struct<signal_type:array<string>,asset_class:array<string>,methodology_summary:string,performance_metrics:array<{schemas.METRIC}>>")
+    many = lambda n: spark.range(n).selectExpr("id as query_id", "array('carry') as signal_type", "cast(array() as array<string>) as asset_class", "'sharpe' as keyword", "'>' as operator", "id / 5000.0D as threshold", "cast(null as string) as unit")
+    found = answer.structured_questions(held, many(10_000))
+    assert found.count() == 7500  # thresholds below 1.5
+    size = lambda n: len(answer.structured_questions(held, many(n))._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(10) - size(10_000)) < 100
