@@ -14,7 +14,7 @@ TABLE_CAPTION = r"^\s*(TABLE|Table)\s+([IVXLCDM]+|\d+)\b"
 FIGURE_CAPTION = r"^\s*(FIGURE|Figure|Fig\.?)\s+([IVXLCDM]+|\d+)\b"
 TABLE_MENTION = r"\bTable\s+([IVXLCDM]+|\d+)\b"
 SENTENCE_GAP = r"(?<=[.!?])\s+(?=[A-Z0-9])"
-TOKEN = "[a-z0-9]+"
+TOKEN_LETTERS = "a-z0-9"
 SECTION_WORDS = (
     "abstract", "introduction", "related work", "literature review", "background",
     "data", "data description", "methodology", "method", "methods", "model",
@@ -36,13 +36,14 @@ def strip(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of a-z and 0-9; other letters part words."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    """Lower-case runs of a-z and 0-9; other letters part words. To split at what lies between costs a fifth of what it costs
+    to extract matches; only a gap at either end leaves an empty string."""
+    return F.array_remove(F.split(F.lower(text), f"[^{TOKEN_LETTERS}]+"), "")
 
 
 def words(text: Column) -> Column:
     """Runs without white space: the default unit of length."""
-    return F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def count_words(text: Column) -> Column:
