@@ -292,6 +292,47 @@ SENTENCES = "list_filter(string_split(regexp_replace(regexp_replace(trim(text, '
 WORDS = "regexp_extract_all(text, '\\S+')"
 PAGED = "pg AS (SELECT doc_id, i AS page, unnest(regexp_extract_all(line, '\\S+')) AS t, generate_subscripts(regexp_extract_all(line, '\\S+'), 1) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)), tk AS (SELECT doc_id, page, t, row_number() OVER (PARTITION BY doc_id ORDER BY page, k) - 1 AS pos FROM pg)"
 
+
+
+def _packed(name: str, units: str, key: str = "id") -> str:
+    """Recursive SQL of the packing, unit by unit: tables ``<name>_...`` and ``<name>`` (``id``, ``pos``, ``text``). ``units``
+    gives ``id`` and the list ``u``. ``e[i + 1]`` are the words before unit ``i``."""
+    most, overlap = chunking.MOST, chunking.OVERLAP
+    before = lambda x: f"len(list_filter(e, lambda y: y {x}))"
+    seed = lambda i, start: f"CASE WHEN e[{i} + 1] > e[{start} + 1] THEN greatest({start}, {before(f'<= e[{i} + 1] - {overlap}')} - 1, 0) ELSE {i} END"
+    return f"""
+{name}_u AS (SELECT id, u, n, list_concat([0], [list_sum(n[1:i]) FOR i IN range(1, len(n) + 1)]) AS e FROM (SELECT id, u, [len(regexp_extract_all(x, '\\S+')) FOR x IN u] AS n FROM ({units})) WHERE len(u) > 0),
+{name}_r AS (SELECT id, 0::BIGINT AS i, 0::BIGINT AS start, false AS fresh, NULL::BIGINT AS a1, NULL::BIGINT AS b1, NULL::BIGINT AS a2, NULL::BIGINT AS b2 FROM {name}_u
+  UNION ALL SELECT id, i + 1, CASE WHEN NOT shut THEN s2 WHEN s3 = s2 THEN s2 + 1 ELSE s3 END, NOT shut, CASE WHEN cut THEN start END, CASE WHEN cut THEN i END, CASE WHEN shut THEN s2 END, CASE WHEN shut THEN i + 1 END
+  FROM (SELECT *, {seed('(i + 1)', 's2')} AS s3 FROM (SELECT *, e[i + 2] - e[s2 + 1] >= {most} AS shut FROM (SELECT *, CASE WHEN full_ THEN greatest(s1, least(i, {before(f'< e[i + 2] - {most}')})) ELSE s1 END AS s2
+    FROM (SELECT *, full_ AND fresh AS cut, CASE WHEN full_ AND fresh THEN {seed('i', 'start')} ELSE start END AS s1
+      FROM (SELECT r.*, e, e[i + 1] > e[start + 1] AND e[i + 2] - e[start + 1] > {most} AS full_ FROM {name}_r r JOIN {name}_u USING (id) WHERE i < len(n))))))),
+{name}_c AS (SELECT id, i, 1 AS w, a1 AS a, b1 AS b FROM {name}_r WHERE a1 IS NOT NULL UNION ALL SELECT id, i, 2, a2, b2 FROM {name}_r WHERE a2 IS NOT NULL
+  UNION ALL SELECT id, i, 3, start, len(n) FROM {name}_r JOIN {name}_u USING (id) WHERE i = len(n) AND fresh AND start < len(n)),
+{name} AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i, w) - 1 AS pos, array_to_string(u[a + 1:b], ' ') AS text FROM {name}_c JOIN {name}_u USING (id))"""
+
+
+UNITS = f"flatten(list_transform({SENTENCES}, lambda s: CASE WHEN len(regexp_extract_all(s, '\\S+')) <= {chunking.MOST} THEN [s] ELSE [array_to_string(regexp_extract_all(s, '\\S+')[k + 1:k + {chunking.MOST}], ' ') FOR k IN range(0, len(regexp_extract_all(s, '\\S+')), {chunking.MOST})] END))"
+#: Lines of a table with their words, and greedy batches of them under a budget.
+ROWS = "list_filter(list_transform(string_split(text, chr(10)), lambda x: array_to_string(list_filter(list_transform(string_split(x, ' '), lambda c: regexp_replace(regexp_replace(CASE WHEN c = 'the' THEN '' ELSE c END, '^\\s+', ''), '\\s+$', '')), lambda c: c <> ''), ' | ')), lambda x: x <> '')"
+
+
+def _batches(most: int) -> str:
+    """Tables of ``documents`` as chunks: ``doc_id``, ``source``, ``part`` (null: the whole), ``text``."""
+    words = lambda x: f"len(regexp_extract_all({x}, '\\S+'))"
+    return f"""
+tl AS (SELECT doc_id, 'Table 1 of ' || source AS caption, {TABLE_TEXT} AS whole, {ROWS} AS ls FROM documents),
+tb AS (SELECT *, {most} - {words('caption')} AS budget, [{words('x')} FOR x IN ls] AS n FROM tl WHERE {words('whole')} > {most}),
+tr AS (SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS total, 0::BIGINT AS part FROM tb
+  UNION ALL SELECT doc_id, i + 1, CASE WHEN i > 0 AND total + n[i + 1] > budget AND total > 0 THEN n[i + 1] ELSE total + n[i + 1] END, CASE WHEN i > 0 AND total + n[i + 1] > budget AND total > 0 THEN part + 1 ELSE part END
+  FROM tr JOIN tb USING (doc_id) WHERE i < len(n)),
+tp AS (SELECT doc_id, part, string_agg(ls[i], chr(10) ORDER BY i) AS body FROM tr JOIN tb USING (doc_id) WHERE i > 0 GROUP BY ALL),
+tc AS (SELECT doc_id, NULL::BIGINT AS part, whole AS text FROM tl WHERE {words('whole')} <= {most}
+  UNION ALL SELECT doc_id, CASE WHEN max(part) OVER (PARTITION BY doc_id) > 0 THEN part END, caption || chr(10) || chr(10) || body FROM tp JOIN tb USING (doc_id))"""
+
+
+TABLE_ID = "'arxiv:' || doc_id || '::table::p2_t1' || CASE WHEN part IS NULL THEN '' ELSE '::part' || part END"
+
 QUERIES = {
     f.__name__: f
     for f in (c1_word_count, c2_title_norm, c3_sentences, c4_hard_split, c5_pack, c6_rows_to_text, c7_table_batches, c8_interval_join, c9_chunk_papers, c10_token_pages, c11_fixed_windows, c12_doc_text, s9_chunk_stats, p2_p3_merges, p4_weighted_mode, p5_prose, p6_heading_rules, p7_sessionize, p8_nearest, p9_tables, p10_mentions, p10_diagnostics, p11_html_text, p12_html_table, p13_block_page, p14_heading_level, p15_walk, p16_sibling_caption, p17_block_sections, p18_parser, p19_upsert, i1_anti_ingest, i2_resume, i4_select, r11_last_wins, s4_query, s5_ids, s7_listing, s12_eval_format, s14_page_label, a5_cited, a6_backoff)
@@ -301,6 +342,15 @@ ORACLES = {
     "c2_title_norm": "SELECT p_partkey, regexp_replace(lower(regexp_replace((p_size % 7) || CASE WHEN p_size % 2 = 0 THEN '.3. ' ELSE ' ' END || upper(p_name), '^\\d+(\\.\\d+)*\\.?\\s+', '')), ':+$', '') AS title FROM part",
     "c3_sentences": f"SELECT doc_id, len({SENTENCES}) AS n, md5(array_to_string({SENTENCES}, '|')) AS md5 FROM documents",
     "c4_hard_split": f"SELECT doc_id, ceil(len({WORDS}) / 100.0)::BIGINT AS n, md5(array_to_string([array_to_string(({WORDS})[i + 1:i + 100], ' ') FOR i IN range(0, len({WORDS}), 100)], '|')) AS md5 FROM documents",
+    "c5_pack": f"WITH RECURSIVE {_packed('pk', f'SELECT doc_id AS id, {UNITS} AS u FROM documents')} SELECT id AS doc_id, pos::INT AS pos, len(regexp_extract_all(text, '\\S+'))::INT AS token_count, text FROM pk",
+    "c7_table_batches": f"WITH RECURSIVE {_batches(200)} SELECT {TABLE_ID} AS chunk_id, 'arxiv:' || doc_id AS paper_id, lang AS title, 2 AS page, tc.text FROM tc JOIN documents USING (doc_id)",
+    "c9_chunk_papers": f"""WITH RECURSIVE ln AS (SELECT doc_id, i - 1 AS i, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+sx AS (SELECT doc_id, i // 2 * 2 AS i, regexp_replace(regexp_replace(string_agg(line, ' ' ORDER BY ln.i), '^\\s+', ''), '\\s+$', '') AS text FROM ln GROUP BY doc_id, ln.i // 2),
+{_packed('pk', f"SELECT {{'d': doc_id, 'i': i}} AS id, {UNITS} AS u FROM sx WHERE text <> '' AND i <> 6")}, {_batches(chunking.TABLE_MOST)},
+tx AS (SELECT id.d AS doc_id, id.i AS i, text, len(regexp_extract_all(text, '\\S+'))::INT AS n, pos FROM pk WHERE len(regexp_extract_all(text, '\\S+')) >= {chunking.LEAST})
+SELECT 'arxiv:' || doc_id || '::sec' || i // 2 || '::chunk' || (row_number() OVER (PARTITION BY doc_id, i ORDER BY pos) - 1) AS chunk_id, 'arxiv:' || doc_id AS paper_id, lang AS title, CASE WHEN i = 0 THEN 'Abstract' ELSE '1.2 Part ' || i END AS section_title,
+  CASE WHEN i = 0 THEN 'abstract' ELSE 'text' END AS chunk_type, (i + 1)::INT AS page_start, (i + 2)::INT AS page_end, n AS token_count, tx.text FROM tx JOIN documents USING (doc_id)
+UNION ALL SELECT {TABLE_ID}, 'arxiv:' || doc_id, lang, 'Abstract', 'table', 2, 2, len(regexp_extract_all(tc.text, '\\S+'))::INT, tc.text FROM tc JOIN documents USING (doc_id)""",
     "c6_rows_to_text": f"SELECT doc_id, md5({TABLE_TEXT}) AS md5 FROM documents",
     "c8_interval_join": "SELECT c.conv_id AS paper_id, c.turn::INT AS page, coalesce('s' || min(u.turn), 'Unknown') AS section_title FROM conversations c LEFT JOIN conversations u ON u.conv_id = c.conv_id AND u.role = 'user' AND c.turn BETWEEN u.turn AND u.turn + 2 GROUP BY ALL",
     "c10_token_pages": f"WITH {PAGED} SELECT 'arxiv:' || doc_id AS paper_id, count(*) AS n, max(page) AS last_page, sum((pos % 7) * page)::BIGINT AS mix FROM tk GROUP BY doc_id",
