@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.sources.scratch import written
+
 
 def new_rows(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not known yet, one for each key."""
@@ -21,6 +23,27 @@ def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return base.join(changes.select(key).distinct(), key, "left_anti").unionByName(changes.select(*base.columns))
 
 
+def write_bucketed(rows: DataFrame, path: str, key: str, buckets: int) -> None:
+    """A table in ``buckets`` folders by hash of the key, for ``upsert_into``."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    rows.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def upsert_into(path: str, changes: DataFrame, key: str, buckets: int) -> int:
+    """``upsert`` of a table that ``write_bucketed`` wrote: only the buckets of changed keys are read and written again, the
+    files of all others stay. The number of such buckets. What is written is read from the old files, so it goes to a folder
+    of its own first."""
+    spark = changes.sparkSession
+    placed = changes.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = [r["bucket"] for r in placed.select("bucket").distinct().collect()]  # at most ``buckets``
+    if not touched:
+        return 0
+    base = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    merged = written(upsert(base, placed.select(*base.columns), key))
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return len(touched)
+
+
 def flagged(parsed: DataFrame) -> DataFrame:
     """Papers whose diagnostics ask for the other parser."""
     return parsed.where(F.coalesce("diagnostics.needs_fallback_parser", F.lit(False)))

@@ -233,6 +233,32 @@ def rerank_standin(queries: DataFrame, results: DataFrame, docs: DataFrame, k: i
     return ranked(scored, [F.col("score").desc(), F.col("_before")]).where(F.col("rank") <= k).select("query_id", "doc", "score", "rank")
 
 
+RERANK_BATCH = 32
+
+
+def rerank(queries: DataFrame, results: DataFrame, docs: DataFrame, make_model: Callable[[], Callable[[list[tuple[str, str]]], Iterable[float]]], k: int, key: str = "doc_id", query_key: str = "query_id", batch: int = RERANK_BATCH) -> DataFrame:
+    """The best ``k`` of ``results`` by a model of pairs (a cross-encoder): ``query_id``, ``doc``, ``score``, ``rank``. The
+    model is made once for each task, where it runs, and sees ``batch`` pairs of texts (null: empty) at a time; scores that
+    are equal or no numbers leave the order as it was, the latter at the end."""
+    asked = queries.select(F.col(query_key).alias("query_id"), F.col("text").alias("_q"))
+    held = docs.select(F.col(key).alias("doc"), F.col("text").alias("_d")).join(results.select("doc").distinct(), "doc", "left_semi")
+    pairs = results.select("query_id", "doc", F.col("rank").alias("_before")).join(asked, "query_id").join(held, "doc").select("query_id", "doc", "_before", "_q", "_d")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for b in batches:
+            for a in range(0, b.num_rows, batch):
+                part = b.slice(a, batch)
+                model = model or make_model()
+                texts = [(x or "", y or "") for x, y in zip(part.column("_q").to_pylist(), part.column("_d").to_pylist(), strict=True)]
+                scores = np.asarray(list(model(texts)), np.float64)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("query_id", "doc", "_before")), pa.array(np.where(np.isnan(scores), -np.inf, scores))], ["query_id", "doc", "_before", "score"])
+
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("query_id", "doc", "_before"))
+    scored = pairs.mapInArrow(run, f"{kinds}, score double")
+    return ranked(scored, [F.col("score").desc(), F.col("_before")]).where(F.col("rank") <= k).select("query_id", "doc", "score", "rank")
+
+
 def search(
     queries: DataFrame,
     docs: DataFrame,
@@ -245,11 +271,12 @@ def search(
     lexical: bool = True,
     filter_mode: str = "pre",
     held: Index | None = None,
+    model: Callable[[], Callable[[list[tuple[str, str]]], Iterable[float]]] | None = None,
 ) -> DataFrame:
     """Hybrid search: 30 candidates of each kind, fused, optionally reranked (20), cut to ``k``. ``queries``:
     ``query_id``, ``text`` and, for vectors, ``embedding``; ``docs``: ``doc_id``, ``text``; ``vectors``: ``doc_id``,
     ``embedding``. ``filter_mode='post'`` filters the candidates, ``'pre'`` the documents before they are ranked (term statistics stay those of all documents).
-    ``held``: the documents' index, if there is one."""
+    ``held``: the documents' index, if there is one; ``model``: what ``rerank`` takes, else the stand-in ranks."""
     if filter_mode not in ("pre", "post"):
         raise ValueError("filter_mode is 'pre' or 'post'")
     wanted = wanted or {}
@@ -271,7 +298,8 @@ def search(
         lists.append(again(bm25(queries, held or docs, CANDIDATES, allowed=allowed)))
     fused = fuse(*lists) if len(lists) > 1 else lists[0]
     if rerank:
-        return rerank_standin(queries, fused.where(F.col("rank") <= RERANKED), docs, k)
+        best = fused.where(F.col("rank") <= RERANKED)
+        return rerank(queries, best, docs, model, k) if model else rerank_standin(queries, best, docs, k)
     return fused.where(F.col("rank") <= k).select("query_id", "doc", "score", "rank")
 
 

@@ -176,7 +176,9 @@ def p13_block_page(spark, d):
 
 
 def p14_heading_level(spark, d):
-    return table(spark, d, "pages").select("page_id", T.html_level(F.concat(F.lit(" <h"), (F.col("page_id") % 9).cast("string"), F.lit(">x"))).alias("level"))
+    """Of each piece of a page's html that begins with a heading."""
+    pieces = F.split("html", r"(?=<h[0-9])")
+    return table(spark, d, "pages").select("page_id", F.posexplode(pieces).alias("pos", "x")).select("page_id", "pos", T.html_level(F.col("x")).alias("level"))
 
 
 def _blocks(spark, d):
@@ -253,7 +255,7 @@ def s7_listing(spark, d):
 
 
 def s12_eval_format(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.format_string("%.4f", F.col("n_nationkey") / 7.0).alias("shown"))
+    return table(spark, d, "documents").select("doc_id", F.format_string("%.4f", F.col("n_chars") / 7.0).alias("shown"))
 
 
 def s14_page_label(spark, d):
@@ -267,8 +269,9 @@ def a5_cited(spark, d):
 
 
 def a6_backoff(spark, d):
-    rows = [(i, *answer.backoff(i), *answer.backoff(i, service=False)) for i in range(1, 6)]
-    return spark.createDataFrame(rows, "attempt long, least double, most double, least_other double, most_other double")
+    """Pauses for each turn of a conversation as one more attempt."""
+    rows = table(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).alias("attempt"))
+    return rows.withColumn("b", answer.backoff_bounds(F.col("attempt"))).select("conv_id", "attempt", "b.*")
 
 
 #: Recursive SQL of the merges: which numbers take the next line, then which lines captions take.
@@ -371,7 +374,7 @@ SELECT 'arxiv:' || doc_id AS paper_id, md5('Title: ' || lang || coalesce(chr(10)
     "p10_diagnostics": f"WITH {LINES}, pp AS (SELECT paper_id, count(DISTINCT page) AS num_pages, len(list_distinct(flatten(list(regexp_extract_all(text, '\\bTable\\s+([IVXLCDM]+|\\d+)\\b', 1))))) AS m, count(level) AS h FROM hd GROUP BY 1), cc AS (SELECT paper_id, count(*) AS n, count(DISTINCT regexp_extract(text, '\\d+')) AS c FROM ln WHERE regexp_matches(text, '^\\s*(TABLE|Table)\\s+([IVXLCDM]+|\\d+)\\b') AND pos % 2 = 0 GROUP BY 1) SELECT paper_id, num_pages, h AS num_headings_detected, m AS mentioned_table_count, coalesce(n, 0) AS captured_table_count, m > coalesce(c, 0) AS tables_garbled, h / num_pages > 3.5 AS headings_garbled, m > coalesce(c, 0) OR h / num_pages > 3.5 AS needs_fallback_parser FROM pp LEFT JOIN cc USING (paper_id)",
     "p12_html_table": "SELECT page_id, 'a,' || page_id || ';b & c' AS rows FROM pages",
     "p13_block_page": "SELECT page_id, (page_id + 1)::INT AS page FROM pages",
-    "p14_heading_level": "SELECT page_id, CASE WHEN page_id % 9 BETWEEN 1 AND 6 THEN page_id % 9 ELSE 1 END::INT AS level FROM pages",
+    "p14_heading_level": "SELECT page_id, i::INT AS pos, CASE WHEN regexp_matches(x, '^[1-6]') AND i > 0 THEN x[1]::INT ELSE 1 END AS level FROM (SELECT page_id, unnest(string_split(regexp_replace(html, '<h([0-9])', chr(1) || '\\1', 'g'), chr(1))) AS x, generate_subscripts(string_split(regexp_replace(html, '<h([0-9])', chr(1) || '\\1', 'g'), chr(1)), 1) - 1 AS i FROM pages)",
     "p15_walk": "SELECT page_id, 0::INT AS ord, -1::INT AS parent, 0::INT AS idx, 'Document' AS block_type, NULL::VARCHAR AS id FROM pages UNION ALL SELECT page_id, 1, 0, 0, 'Page', url FROM pages UNION ALL SELECT page_id, 2, 1, 0, 'Text', page_id::VARCHAR FROM pages",
     "p16_sibling_caption": "WITH b AS (SELECT *, CASE WHEN role = 'user' THEN 'Caption' WHEN role = 'system' THEN 'SectionHeader' WHEN turn % 3 = 1 THEN 'Table' ELSE 'Text' END AS bt FROM conversations), s AS (SELECT *, lag(bt) OVER w AS pb, lag(turn) OVER w AS pt, lead(bt) OVER w AS nb, lead(turn) OVER w AS nt FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id AS paper_id, '/page/' || (turn % 3) || '/x/' || turn AS table_id, (turn % 3 + 1)::INT AS page, CASE WHEN pb = 'Caption' THEN 't' || pt || ' <' WHEN nb = 'Caption' THEN 't' || nt || ' <' ELSE '' END AS caption FROM s WHERE bt = 'Table'",
     "p17_block_sections": "WITH b AS (SELECT *, CASE WHEN role = 'user' THEN 'Caption' WHEN role = 'system' THEN 'SectionHeader' WHEN turn % 3 = 1 THEN 'Table' ELSE 'Text' END AS bt FROM conversations), s AS (SELECT *, count(*) FILTER (bt = 'SectionHeader') OVER (PARTITION BY conv_id ORDER BY turn) AS seg FROM b WHERE bt <> 'Table') SELECT conv_id AS paper_id, row_number() OVER (PARTITION BY conv_id ORDER BY seg) - 1 AS sec_idx, coalesce('t' || max(turn) FILTER (bt = 'SectionHeader') || ' <', 'Front Matter') AS title, CASE WHEN max(bt = 'SectionHeader') THEN 3 ELSE 0 END AS level, 5 AS page_start, 5 AS page_end, coalesce(string_agg('t' || turn || ' <', ' ' ORDER BY turn) FILTER (bt <> 'SectionHeader'), '') AS text FROM s GROUP BY conv_id, seg",
@@ -383,8 +386,8 @@ SELECT 'arxiv:' || doc_id AS paper_id, md5('Title: ' || lang || coalesce(chr(10)
     "s4_query": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '(cat:' || n_name || ' OR cat:b) AND (x y)' ELSE 'cat:' || n_name || ' OR cat:b' END AS query FROM nation",
     "s5_ids": "SELECT page_id, url || '/abs/2' AS id, CASE WHEN contains(url, '/abs/') THEN regexp_extract(url, '^.*?/abs/(.*)$', 1) ELSE url END AS whole, 'arxiv:a_' || page_id AS file FROM pages",
     "s7_listing": "SELECT 'arxiv:' || o_orderkey AS paper_id, o_orderpriority AS title, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS published, o_orderstatus AS primary_category, 'http://x/abs/' || o_orderkey AS url, 'abs' AS abstract, o_orderkey || '.pdf' AS pdf_path FROM orders",
-    "s12_eval_format": "SELECT n_nationkey, printf('%.4f', n_nationkey / 7.0::DOUBLE) AS shown FROM nation",
+    "s12_eval_format": "SELECT doc_id, printf('%.4f', n_chars / 7.0::DOUBLE) AS shown FROM documents",
     "s14_page_label": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'p' || (doc_id % 5) ELSE 'pp' || (doc_id % 5) || '-' || (doc_id % 5 + 1) END AS pages, replace(substr(text, 1, 280), chr(10), ' ') AS snippet FROM documents",
     "a5_cited": "WITH s AS (SELECT conv_id, list(role || turn ORDER BY turn) AS s FROM conversations GROUP BY 1) SELECT conv_id, array_to_string(list_filter([s[i] FOR i IN [2, 1, 9]], lambda x: x IS NOT NULL), ',') AS cited FROM s",
-    "a6_backoff": "SELECT i AS attempt, least(20.0 * pow(2, i - 1), 180)::DOUBLE AS least, (least(20.0 * pow(2, i - 1), 180) * 1.25)::DOUBLE AS most, (least(20.0 * pow(2, i - 1), 180) / 2)::DOUBLE AS least_other, (least(20.0 * pow(2, i - 1), 180) / 2)::DOUBLE AS most_other FROM range(1, 6) t(i)",
+    "a6_backoff": "SELECT conv_id, turn + 1 AS attempt, least(20.0 * pow(2, turn), 180)::DOUBLE AS least, (least(20.0 * pow(2, turn), 180) * 1.25)::DOUBLE AS most, (least(20.0 * pow(2, turn), 180) / 2)::DOUBLE AS least_other, (least(20.0 * pow(2, turn), 180) / 2)::DOUBLE AS most_other FROM conversations",
 }

@@ -611,3 +611,39 @@ def test_ten_thousand_questions_are_one_plan(spark):
     assert found.count() == 7500  # thresholds below 1.5
     size = lambda n: len(answer.structured_questions(held, many(n))._jdf.queryExecution().optimizedPlan().toString())
     assert abs(size(10) - size(10_000)) < 100
+
+
+def test_rerank_by_a_model(spark):
+    docs = spark.createDataFrame([(i, "x" * i) for i in range(40)] + [(99, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "up"), (2, "down"), (3, None), (4, "odd")], "query_id long, text string")
+    found = spark.createDataFrame([(i, d, 1.0, r + 1) for i in (1, 2, 3, 4) for r, d in enumerate((5, 99, 30, 7))], "query_id long, doc long, score double, rank int")
+
+    def make():
+        return lambda pairs: [{"up": len(d), "down": -len(d), "": 0, "odd": float("nan") if len(d) == 30 else 1}[a] for a, d in pairs]
+
+    got = {i: [r.doc for r in retrieval.rerank(q, found, docs, make, 3, batch=2).where(F.col("query_id") == i).orderBy("rank").collect()] for i in (1, 2, 3, 4)}
+    assert got == {1: [30, 7, 5], 2: [99, 5, 7], 3: [5, 99, 30], 4: [5, 99, 7]}
+
+
+def test_upsert_leaves_other_files(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "table")
+    incremental.write_bucketed(spark.range(200).select("id", F.lit("old").alias("v")), path, "id", 16)
+    state = lambda: {f"{d}/{f}": os.stat(f"{d}/{f}").st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+    before = state()
+    changes = spark.createDataFrame([(3, "new"), (500, "added")], "id long, v string")
+    n = incremental.upsert_into(path, changes, "id", 16)
+    after = state()
+    assert n in (1, 2) and len(before.items() - after.items()) == n
+    rows = {r.id: r.v for r in spark.read.parquet(path).collect()}
+    assert rows == {i: "old" for i in range(200)} | {3: "new", 500: "added"}
+    assert incremental.upsert_into(path, changes.limit(0), "id", 16) == 0 and state() == after
+    # again: the same table
+    incremental.upsert_into(path, changes, "id", 16)
+    assert {r.id: r.v for r in spark.read.parquet(path).collect()} == rows
+
+
+def test_backoff_as_columns(spark):
+    rows = spark.range(1, 9).select("id", answer.backoff_bounds(F.col("id")).alias("b")).select("id", "b.*").collect()
+    assert [tuple(r)[1:] for r in rows] == [(*answer.backoff(i), *answer.backoff(i, service=False)) for i in range(1, 9)]
