@@ -90,7 +90,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         return F.struct(F.size(words).cast("long").alias("n_words"), _repeated(grams).cast("long").alias("n_repeat_words"))
 
     w = free_name(docs.columns, "_w")
-    out = docs.withColumn(w, let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), of_words))
+    out = docs.withColumn(w, let(F.array_remove(F.split(text, f"{SPACE}+"), ""), of_words))
     out = out.select(
         *(c for c in docs.columns if c not in COUNTS),
         F.col(f"{w}.n_words").alias("n_words"),
