@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tesserae.functions import text as T
+from tesserae.sources.scratch import written
 
 BOLD_FLAG = 16
 CAPTION_WINDOW = 120.0
@@ -247,6 +248,49 @@ def blocks_of(tree: pd.Series) -> pd.Series:
     return tree.map(lambda x: walk(json.loads(x)) if x else [])
 
 
+#: Rounds of ``preorder``: each doubles the depth that is resolved.
+ROUNDS = 24
+
+
+def preorder(edges: DataFrame) -> DataFrame:
+    """Trees kept as edges (``tree``, ``node``, ``parent``, ``idx`` among its siblings) in pre-order: ``tree``, ``node``,
+    ``ord`` from 0, ``depth`` from 0. A node without parent, or whose parent isn't there, is a root.
+
+    Each round a node takes over what is known of the way to its nearest unresolved ancestor, so a tree of any depth takes as
+    many joins as its depth has binary digits; ways compare as arrays, parents before children. A circle is an error."""
+    rows = edges.select("tree", "node", F.col("parent").alias("up"), F.array(F.coalesce("idx", F.lit(0))).alias("way"))
+    for _ in range(ROUNDS):
+        above = rows.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("way").alias("way2"))
+        rows = written(rows.join(above, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), F.coalesce(F.concat("way2", "way"), F.col("way")).alias("way")))
+        if rows.where("up is not null").isEmpty():
+            break
+    else:
+        raise ValueError("a circle in the edges")
+    order = Window.partitionBy("tree").orderBy("way", "node")
+    return rows.select("tree", "node", (F.row_number().over(order) - 1).alias("ord"), (F.size("way") - 1).alias("depth"))
+
+
+#: Tags that hold blocks and are always closed.
+BLOCK_TAGS = ("html", "head", "body", "nav", "ul", "li", "a", "article", "div")
+
+
+def tag_edges(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """The tree of ``BLOCK_TAGS`` of each page as edges: ``tree``, ``node`` (place among the tags), ``parent``, ``idx``,
+    ``tag``. Depths are running sums of opening and closing tags; a tag's parent is the last one before it that opened a level
+    above."""
+    found = F.regexp_extract_all(F.lower(html), F.lit(rf"</?(?:{'|'.join(BLOCK_TAGS)})\b"), F.lit(0))
+    tags = pages.select(F.col(key).alias("tree"), F.posexplode(found).alias("node", "t"))
+    opens = ~F.startswith("t", F.lit("</"))
+    depth = F.sum(F.when(opens, 1).otherwise(-1)).over(Window.partitionBy("tree").orderBy("node"))
+    nodes = tags.withColumn("depth", depth).where(opens).select("tree", "node", "depth", F.substring("t", 2, 99).alias("tag"))
+    # an opening tag asks for a parent on the level above and is one for the level below
+    roles = nodes.withColumn("asks", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("level", F.col("depth") - F.col("asks").cast("int"))
+    before = Window.partitionBy("tree", "level").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    asked = roles.withColumn("parent", F.last(F.when(~F.col("asks"), F.col("node")), ignorenulls=True).over(before)).where("asks")
+    idx = F.row_number().over(Window.partitionBy("tree", "parent").orderBy("node")) - 1
+    return asked.select("tree", "node", "parent", idx.alias("idx"), "tag")
+
+
 def block_tables(blocks: DataFrame) -> DataFrame:
     """Tables of flat blocks (``paper_id, ord, parent, idx, block_type, id, html``) with the caption that stands before
     them, else the one after."""

@@ -190,8 +190,12 @@ def _blocks(spark, d):
 
 
 def p15_walk(spark, d):
-    tree = F.to_json(F.struct(F.lit("Document").alias("block_type"), F.array(F.struct(F.lit("Page").alias("block_type"), F.col("url").alias("id"), F.array(F.struct(F.lit("Text").alias("block_type"), F.col("page_id").cast("string").alias("id"))).alias("children"))).alias("children")))
-    return table(spark, d, "pages").select("page_id", F.explode(parsing.blocks_of(tree)).alias("b")).select("page_id", "b.ord", "b.parent", "b.idx", "b.block_type", "b.id")
+    """The trees of block tags in the html of pages, in pre-order."""
+    edges = parsing.tag_edges(table(spark, d, "pages"))
+    walked = parsing.preorder(edges)
+    above = walked.select("tree", F.col("node").alias("parent"), F.col("ord").alias("_up"))
+    rows = edges.join(walked, ["tree", "node"]).join(above, ["tree", "parent"], "left")
+    return rows.select(F.col("tree").alias("page_id"), "ord", F.coalesce("_up", F.lit(-1)).alias("parent"), "idx", "depth", F.col("tag").alias("block_type"))
 
 
 def p16_sibling_caption(spark, d):
@@ -375,7 +379,12 @@ SELECT 'arxiv:' || doc_id AS paper_id, md5('Title: ' || lang || coalesce(chr(10)
     "p12_html_table": "SELECT page_id, 'a,' || page_id || ';b & c' AS rows FROM pages",
     "p13_block_page": "SELECT page_id, (page_id + 1)::INT AS page FROM pages",
     "p14_heading_level": "SELECT page_id, i::INT AS pos, CASE WHEN regexp_matches(x, '^[1-6]') AND i > 0 THEN x[1]::INT ELSE 1 END AS level FROM (SELECT page_id, unnest(string_split(regexp_replace(html, '<h([0-9])', chr(1) || '\\1', 'g'), chr(1))) AS x, generate_subscripts(string_split(regexp_replace(html, '<h([0-9])', chr(1) || '\\1', 'g'), chr(1)), 1) - 1 AS i FROM pages)",
-    "p15_walk": "SELECT page_id, 0::INT AS ord, -1::INT AS parent, 0::INT AS idx, 'Document' AS block_type, NULL::VARCHAR AS id FROM pages UNION ALL SELECT page_id, 1, 0, 0, 'Page', url FROM pages UNION ALL SELECT page_id, 2, 1, 0, 'Text', page_id::VARCHAR FROM pages",
+    "p15_walk": """WITH t AS (SELECT page_id, i, x FROM (SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(lower(html), '</?(?:html|head|body|nav|ul|li|a|article|div)\\b') AS l FROM pages))),
+d AS (SELECT *, sum(CASE WHEN starts_with(x, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM t),
+o AS (SELECT page_id, substr(x, 2) AS tag, depth, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ord FROM d WHERE NOT starts_with(x, '</')),
+p AS (SELECT c.page_id, c.ord, c.tag, c.depth, coalesce(max(a.ord), -1) AS parent FROM o c LEFT JOIN o a ON a.page_id = c.page_id AND a.depth = c.depth - 1 AND a.ord < c.ord GROUP BY ALL),
+e AS (SELECT *, row_number() OVER (PARTITION BY page_id, parent ORDER BY ord) - 1 AS idx FROM p)
+SELECT page_id, ord::INT AS ord, parent::INT AS parent, idx::INT AS idx, (depth - min(depth) OVER (PARTITION BY page_id))::INT AS depth, tag AS block_type FROM e""",
     "p16_sibling_caption": "WITH b AS (SELECT *, CASE WHEN role = 'user' THEN 'Caption' WHEN role = 'system' THEN 'SectionHeader' WHEN turn % 3 = 1 THEN 'Table' ELSE 'Text' END AS bt FROM conversations), s AS (SELECT *, lag(bt) OVER w AS pb, lag(turn) OVER w AS pt, lead(bt) OVER w AS nb, lead(turn) OVER w AS nt FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id AS paper_id, '/page/' || (turn % 3) || '/x/' || turn AS table_id, (turn % 3 + 1)::INT AS page, CASE WHEN pb = 'Caption' THEN 't' || pt || ' <' WHEN nb = 'Caption' THEN 't' || nt || ' <' ELSE '' END AS caption FROM s WHERE bt = 'Table'",
     "p17_block_sections": "WITH b AS (SELECT *, CASE WHEN role = 'user' THEN 'Caption' WHEN role = 'system' THEN 'SectionHeader' WHEN turn % 3 = 1 THEN 'Table' ELSE 'Text' END AS bt FROM conversations), s AS (SELECT *, count(*) FILTER (bt = 'SectionHeader') OVER (PARTITION BY conv_id ORDER BY turn) AS seg FROM b WHERE bt <> 'Table') SELECT conv_id AS paper_id, row_number() OVER (PARTITION BY conv_id ORDER BY seg) - 1 AS sec_idx, coalesce('t' || max(turn) FILTER (bt = 'SectionHeader') || ' <', 'Front Matter') AS title, CASE WHEN max(bt = 'SectionHeader') THEN 3 ELSE 0 END AS level, 5 AS page_start, 5 AS page_end, coalesce(string_agg('t' || turn || ' <', ' ' ORDER BY turn) FILTER (bt <> 'SectionHeader'), '') AS text FROM s GROUP BY conv_id, seg",
     "p19_upsert": "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN lower(s_name) ELSE s_name END AS s_name FROM supplier",

@@ -647,3 +647,32 @@ def test_upsert_leaves_other_files(spark, tmp_path):
 def test_backoff_as_columns(spark):
     rows = spark.range(1, 9).select("id", answer.backoff_bounds(F.col("id")).alias("b")).select("id", "b.*").collect()
     assert [tuple(r)[1:] for r in rows] == [(*answer.backoff(i), *answer.backoff(i, service=False)) for i in range(1, 9)]
+
+
+def test_preorder_of_deep_and_bushy_trees(spark):
+    rng = np.random.default_rng(4)
+    edges, expected = [(1, i, i - 1 if i else None, 0) for i in range(200)], {(1, i): (i, i) for i in range(200)}
+    above, below = {0: None}, {}
+    for node in range(1, 120):
+        above[node] = int(rng.integers(0, node))
+        below.setdefault(above[node], []).append(node)
+    for siblings in below.values():
+        rng.shuffle(siblings)
+    stack, n = [(0, 0)], 0
+    while stack:
+        node, depth = stack.pop()
+        expected[2, 1000 - node], n = (n, depth), n + 1
+        stack += [(c, depth + 1) for c in reversed(below.get(node, []))]
+    place = {c: i for siblings in below.values() for i, c in enumerate(siblings)}
+    edges += [(2, 1000 - node, None if p is None else 1000 - p, place.get(node, 0)) for node, p in above.items()]
+    got = parsing.preorder(spark.createDataFrame(edges, "tree long, node long, parent long, idx int")).collect()
+    assert {(r.tree, r.node): (r.ord, r.depth) for r in got} == expected
+    assert parsing.preorder(spark.createDataFrame([], "tree long, node long, parent long, idx int")).count() == 0
+
+
+def test_tags_as_edges(spark):
+    deep = "<div>" * 60 + "</div>" * 60
+    pages = spark.createDataFrame([(1, "<html><body><ul><li><a href=x>t</a></li><li></ul></li><DIV>x</DIV>"), (2, deep), (3, None), (4, "<p>no blocks<abbr>")], "page_id long, html string")
+    got = sorted(tuple(r) for r in parsing.tag_edges(pages).where("tree = 1").select("node", "parent", "tag").collect())
+    assert got == [(0, None, "html"), (1, 0, "body"), (2, 1, "ul"), (3, 2, "li"), (4, 3, "a"), (7, 2, "li"), (10, 1, "div")]
+    assert parsing.preorder(parsing.tag_edges(pages).where("tree = 2")).agg(F.max("depth")).head()[0] == 59
