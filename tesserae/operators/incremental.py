@@ -64,11 +64,14 @@ def select_run(rows: DataFrame, key: str, only: list[str] | None = None, limit:
 
 def in_batches(todo: DataFrame, key: str, process, size: int, stop=lambda result: False) -> list:
     """Processes rows in batches of about ``size`` by hash of the key, one job each, until ``stop`` says so: finished
-    batches stay finished."""
+    batches stay finished. ``todo`` is computed once, and each batch reads its own rows alone."""
     n = max(1, -(-todo.count() // size))
+    if n == 1:
+        return [process(todo)]
+    dealt = written(todo.withColumn("_batch", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).repartition("_batch"), "_batch")
     results = []
     for i in range(n):
-        results.append(process(todo.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)))
+        results.append(process(dealt.where(F.col("_batch") == i).drop("_batch")))
         if stop(results[-1]):
             break
     return results

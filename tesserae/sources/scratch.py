@@ -20,8 +20,9 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
 
 
-def written(rows: DataFrame) -> DataFrame:
-    """``rows``, computed once: later reads, and losing an executor, don't compute them again."""
+def written(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows``, computed once: later reads, and losing an executor, don't compute them again. ``by``: columns of folders, so
+    that a read of some of their values opens no others."""
     path = shared_folder(rows.sparkSession)
-    rows.write.parquet(path)
+    rows.write.partitionBy(*by).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
