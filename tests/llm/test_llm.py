@@ -887,7 +887,7 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
 
 def test_registered_queries(spark, small):
     names = set(registry.queries())
-    assert {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in names} == {*(f"op{i}" for i in range(1, 13)), "pipeline"}
     assert set(registry.oracle_sql()) <= names
 
 
