@@ -22,7 +22,7 @@ an identifier, if any. Extra columns are ignored. Empty table: no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -186,7 +186,12 @@ def most_in_common(n: Column, bits: Column, other_n: Column, other_bits: Column)
     return F.least(n - outside(bits, other_bits), other_n - outside(other_bits, bits))
 
 
-def shared_sizes(members: DataFrame, texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+def described(texts: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``id``, ``bits`` and ``alone`` of texts."""
+    return bitmaps(texts, size).join(own_shingles(texts, size), "id", "left")
+
+
+def shared_sizes(members: DataFrame, texts: DataFrame, size: int = SHINGLE, describe: Callable[[DataFrame, int], DataFrame] = described) -> DataFrame:
     """``members`` with ``m``: in buckets of more than ``LARGE`` members, how many of a set's shingles occur in another
     set of such buckets; else the set's size. No two sets have more than the smaller ``m`` in common. ``bits`` (large
     buckets only) bound what two sets share."""
@@ -194,17 +199,21 @@ def shared_sizes(members: DataFrame, texts: DataFrame, size: int = SHINGLE) -> D
     marked = materialise(members.select("bucket", "rep", "n").join(large, "bucket", "left"))
     of_large = marked.where("large").select(F.col("rep").alias("id")).distinct()
     held = materialise(texts.hint("merge").join(of_large, "id", "left_semi"))
-    told = bitmaps(held, size).join(own_shingles(held, size), "id", "left").withColumnRenamed("id", "rep")
+    told = describe(held, size).withColumnRenamed("id", "rep")
     m = F.when(F.col("large"), F.col("n") - F.coalesce("alone", F.lit(0))).otherwise(F.col("n"))
     out = materialise(marked.join(told, "rep", "left").select("bucket", "rep", "n", m.alias("m"), F.when(F.col("large"), F.col("bits")).alias("bits")))
     discard(marked, held)
     return out
 
 
-def settle(members: DataFrame, texts: DataFrame, links: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+def settle(
+    members: DataFrame, texts: DataFrame, links: DataFrame, percent: int = PERCENT, size: int = SHINGLE,
+    describe: Callable[[DataFrame, int], DataFrame] = described, measure: Callable[[DataFrame, DataFrame, int], DataFrame] = compare,
+) -> DataFrame:
     """``node``, ``component`` of all nodes that have a link: those of ``links`` (``a``, ``b``) and of the members
-    (``bucket``, ``rep``, ``n``: set size) whose ``texts`` (``id``, ``text``) share ``percent`` of their shingles."""
-    held = [shared_sizes(members, texts, size)]
+    (``bucket``, ``rep``, ``n``: set size) whose ``texts`` (``id``, ``text``) share ``percent`` of their shingles. Sets of
+    another kind come with their own ``describe`` and ``measure``."""
+    held = [shared_sizes(members, texts, size, describe)]
     members = held[0].withColumn("d", F.lit(None).cast("double"))
     parts, tested, turn, hubs_each = None, [], 0, 1
     while True:
@@ -240,7 +249,7 @@ def settle(members: DataFrame, texts: DataFrame, links: DataFrame, percent: int
         pairs = pairs.distinct()
         for known in tested:
             pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = materialise(compare(pairs, texts, size))
+        found = materialise(measure(pairs, texts, size))
         tested.append(found)
         links = links.unionByName(found.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b"))
         rest = now.select("bucket", "rep", "n", "m", "bits", "d")

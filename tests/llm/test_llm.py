@@ -171,6 +171,49 @@ def test_fingerprints(spark, none):
     assert fingerprints.fingerprints(none).count() == 0
 
 
+def test_near_fingerprints_are_those_of_all_pairs(spark, none, monkeypatch):
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(400)}"
+    texts = []
+    for length in (1, 2, 3, 4, 5, 6, 9, 12, 20, 40, 80):
+        base = [f"the {word()} {word()}" for _ in range(length)]
+        for edits in (0, 0, 1, 1, 2, 3, max(1, length // 9), length // 5):
+            copy = list(base)
+            for at in rng.integers(length, size=edits):
+                copy[at] = f"and {word()} {word()}"
+            texts.append(" ".join(copy[: max(1, length - int(rng.integers(2)))]))
+    texts += ["", None, "no spot here", "no spot here", "the end"]
+    rows = [(i * 7 % 1009, x) for i, x in enumerate(texts)] + [(None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit("x"))
+    sets = {r.doc_id: set(r.s) for r in df.where("doc_id is not null").select("doc_id", fingerprints.signatures(F.col("text")).alias("s")).collect()}
+    alike = lambda a, b: bool(a) and bool(b) and 5 * len(a & b) >= 4 * len(a | b)
+    wanted, pairs = {i: i for i in sets}, 0
+    for _ in sets:
+        wanted = {i: min([wanted[j] for j in sets if alike(sets[i], sets[j])], default=i) for i in sets}
+    tested, plain = [], fingerprints.compare
+    monkeypatch.setattr(fingerprints, "compare", lambda p, s, n=0: tested.append(p.count()) or plain(p, s, n))
+    for large in (32, 4):
+        monkeypatch.setattr(near_dedup, "LARGE", large)
+        tested.clear()
+        got = fingerprints.with_near(df).select("doc_id", "near_id").collect()
+        assert len(got) == len(rows) and {r.doc_id: r.near_id for r in got} == wanted | {None: None}
+        # far fewer than all pairs of sets are compared
+        assert 0 < sum(tested) < len(sets) * (len(sets) - 1) / 2 / 8
+    assert len(set(wanted.values())) < len(sets) - 20
+    assert fingerprints.with_near(none).count() == 0
+
+
+def test_an_identifier_with_unlike_texts_and_alike_lengths(spark):
+    a, b = "the red fox is a blue whale and green sea", "the old man is a young tree and tall hill"
+    df = spark.createDataFrame([(5, a), (9, a), (9, b), (7, b), (7, b)], "doc_id long, text string")
+    assert sorted((r.id, r.near_id) for r in fingerprints.similar(df).collect()) == [(9, 5)]
+    # alike sets have a partition in common, whatever their lengths
+    sizes = spark.range(1, 3000).select("id", fingerprints.length_partitions(F.col("id")).alias("k"))
+    at = {r.id: set(r.k) for r in sizes.collect()}
+    assert all(at[n] & at[m] for n in at for m in (n, n + 1, 5 * n // 4) if m in at and 4 * m <= 5 * n)
+    assert not at[100] & at[200]
+
+
 def test_fingerprint_neighbours_over_many_ranges(spark):
     ids = sorted({int(x) for x in np.random.default_rng(0).integers(-(10**12), 10**12, 1500)} | set(range(300)))
     df = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(None, "none")], "doc_id long, text string")
