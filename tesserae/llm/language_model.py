@@ -6,8 +6,10 @@ every other string falls, by its characters, into one of ``KINDS`` rare kinds, a
 
 The output softmax is factored: classes of words of like frequency, then words within the class; a rare kind is a class.
 It starts as the unigram model of the counts. The network is trained by truncated backpropagation in ``ROUNDS`` rounds
-that share out all training documents among them by hash, each document in exactly one. All tasks of a round start from
-the same weights and train on their documents; the weights are averaged by tokens. The vocabulary grows with the corpus,
+that share out all training documents among them by hash, each document in exactly one. A round's documents are dealt by
+hash into shards, one a task, each in the order of hashes. All shards of a round start from the same weights and train on
+their documents; the weights are averaged by tokens, in the order of shards. So the weights depend on the documents alone,
+not on how or in what order the table's files hold them. The vocabulary grows with the corpus,
 and the lanes of a training step with it, so that the cost of a token's share of an update stays the same. In scoring, the state is
 carried across windows over each complete document.
 
@@ -45,8 +47,10 @@ TRAIN_LANES, TRAIN_WINDOW = 128, 32
 #: Tokens of a text that training takes without a fresh state.
 SEGMENT = 1024
 RATE = 0.04
-#: Vectors that one task adds up, and the fewest training tokens that a task is taken to have.
-FAN, TASK_TOKENS = 32, 1_000_000
+#: Vectors that one task adds up.
+FAN = 32
+#: Training tokens of a shard, while a round has up to ``SHARDS`` of them; with more tokens shards grow in number and size.
+SHARD_TOKENS, SHARDS = 500_000, 1000
 #: The end token's key in the count table; no word hashes to it but by a chance of 2**-64.
 END_KEY = np.uint64(0x51AFD7ED558CCD01)
 
@@ -383,25 +387,38 @@ class Reader:
         return symbols, lengths, w.text_ends, w.hashes, kinds, symbol, at
 
 
-def _sum_vectors(rows: DataFrame) -> DataFrame:
-    """One row for each partition: the least ``task`` and the sums of ``v`` (bytes of doubles) and ``n``."""
+def shards_of(tokens: float) -> int:
+    """Shards of a round with so many training tokens."""
+    full = max(1, math.ceil(tokens / SHARD_TOKENS))
+    return full if full <= SHARDS else math.ceil(math.sqrt(full * SHARDS))
+
+
+def _sum_vectors(rows: DataFrame, group: Column) -> DataFrame:
+    """One row for each ``group``, its ``task`` from then on: the sums of ``v`` (bytes of doubles) and ``n``, added in the
+    order of tasks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, task = None, 0, 1 << 62
+        sums, n, task = None, 0, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([sums.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["task", "v", "n"])
         for b in batches:
-            for t, v, k in zip(*(b.column(c).to_pylist() for c in ("task", "v", "n")), strict=True):
-                total, n, task = np.frombuffer(v) + (0 if total is None else total), n + k, min(task, t)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([total.tobytes()], pa.binary()), pa.array([n])], ["task", "v", "n"])
+            for g, v, k in zip(*(b.column(c).to_pylist() for c in ("group", "v", "n")), strict=True):
+                if g != task and sums is not None:
+                    yield row()
+                    sums, n = None, 0
+                sums, n, task = np.frombuffer(v) + (0 if sums is None else sums), n + k, g
+        if sums is not None:
+            yield row()
 
-    return rows.mapInArrow(run, "task bigint, v binary, n bigint")
+    placed = rows.withColumn("group", group.cast("long")).repartition("group").sortWithinPartitions("group", "task")
+    return placed.mapInArrow(run, "task bigint, v binary, n bigint")
 
 
 def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
     """The averaged weights after ``rounds`` rounds, which share out ``docs`` (``doc_id``, ``text``) among them. A task
     sends one vector on; these are added up in a tree whose nodes have ``FAN`` children."""
     weights = Gated(counts).p
-    levels = max(1, math.ceil(math.log(max(counts.n, 1) / TASK_TOKENS, FAN)) - 1)
+    shards = shards_of(counts.n / rounds)
+    levels = max(0, math.ceil(math.log(shards, FAN)) - 1)
     lanes = TRAIN_LANES * max(1, counts.size // VOCABULARY)
 
     def one_round(turn: int, start: np.ndarray) -> np.ndarray:
@@ -436,10 +453,14 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([v], pa.binary()), pa.array([tokens], pa.int64())], ["task", "v", "n"])
 
         chosen = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("round")), F.lit(rounds)) == turn)
-        made = chosen.select("text").mapInArrow(lambda batches: tidy(run(batches)), "task bigint, v binary, n bigint")
+        # the text is hashed too: rows of one identifier need not share a shard
+        placed = chosen.select("text", F.xxhash64("doc_id", "text").alias("_h"))
+        shard = F.pmod(F.xxhash64("_h", F.lit("shard")), F.lit(shards)).cast("int")
+        dealt = placed.repartitionById(shards, shard).sortWithinPartitions("_h")
+        made = dealt.select("text").mapInArrow(lambda batches: tidy(run(batches)), "task bigint, v binary, n bigint")
         for _ in range(levels):
-            made = _sum_vectors(made.withColumn("task", F.floor(F.col("task") / FAN)).repartition("task"))
-        got = _sum_vectors(made.repartition(1)).toArrow().to_pylist()
+            made = _sum_vectors(made, F.floor(F.col("task") / FAN))
+        got = _sum_vectors(made, F.lit(0)).toArrow().to_pylist()
         return (np.frombuffer(got[0]["v"]) / got[0]["n"]).astype(np.float32) if got else start
 
     for turn in range(rounds):

@@ -687,6 +687,20 @@ def test_every_training_document_is_learnt_from(spark):
     assert counts.size == 201 and (before.x[:201] != after.x[:201]).any(1)[1:].all()
 
 
+def test_scores_do_not_depend_on_how_the_table_is_split(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.5, 40) % 50)) for i in range(240)]
+    monkeypatch.setattr(language_model, "SHARD_TOKENS", 400)  # several shards a round, added up in a tree
+    monkeypatch.setattr(language_model, "FAN", 2)
+    told = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows if parts == 1 else rows[::-1], "doc_id long, text string").repartition(parts)
+        found = language_model.lm_scores(df, df.where(~language_model.held_out(F.col("doc_id")))).collect()
+        told.append({r.doc_id: r.score for r in found})
+    assert len(told[0]) == len(rows) and told[0] == pytest.approx(told[1], rel=1e-5)
+    assert [language_model.shards_of(x) for x in (0, 1, 400, 401, 4e5, 1.6e6)] == [1, 1, 1, 2, 1000, 2000]
+
+
 def test_the_vocabulary_grows():
     sizes = [language_model.vocabulary_of(n) for n in (0, 10**7, 8 * 10**7, 10**10, 10**18)]
     assert sizes[:3] == [1024, 1024, 2048] and sizes == sorted(sizes) and sizes[3] > 8 * 1024 and sizes[4] == language_model.KNOWN
