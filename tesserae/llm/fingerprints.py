@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .near_dedup import CELLS, in_shared_buckets, settle
 from .quality_rules import let
-from .shared import discard, materialise, sieved, table
+from .shared import discard, materialise, release, sieved, table
 
 #: Anchors of four languages.
 ANCHORS = "the and is a der die und ist le la et est el y es".split()
@@ -193,14 +193,16 @@ def compare(pairs: DataFrame, sets: DataFrame, size: int = 0) -> DataFrame:
 def similar(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """``id`` and ``near_id``, the smallest identifier reachable over near documents, of those documents for which the two
     differ. Near documents have ``percent`` of the union of their signature sets in common."""
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), signatures(F.col("text")).alias("s")).where(F.size("s") > 0)
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), signatures(F.col("text")).alias("s"))
     # numbers of 64 bits as the signatures themselves; the digest of a set has 128
-    known = materialise(rows.select("id", F.unhex(F.md5(F.array_join("s", ""))).alias("digest"), F.transform("s", lambda x: F.xxhash64(x)).alias("s")))
+    told = materialise(rows.select("id", F.unhex(F.md5(F.array_join("s", ""))).alias("digest"), F.transform("s", lambda x: F.xxhash64(x)).alias("s")))
+    known = told.where(F.size("s") > 0)  # not before the table is written: the sets would be made twice
     classes = materialise(known.groupBy("digest").agg(F.min("id").alias("least"), F.first("s").alias("s")).withColumn("node", F.monotonically_increasing_id()))
     sets = classes.select(F.col("node").alias("id"), "s")
     lists = rarest(sets, percent)
     bands = F.flatten(F.transform(length_partitions(F.col("n"), percent), lambda k: F.transform("prefix", lambda x: F.xxhash64(x, k))))
     members = in_shared_buckets(lists.select(F.col("id").alias("rep"), "n", bands.alias("bands")))
+    release(members)
     met = materialise(sets.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
     none = classes.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))
     parts = settle(members, met, none, percent, describe=_described, measure=compare)
@@ -208,7 +210,8 @@ def similar(docs: DataFrame, key: str = "doc_id", percent: int = PERCENT) -> Dat
     names = placed.groupBy("component").agg(F.min("least").alias("near_id"))
     named = placed.join(names, "component").select("digest", "near_id")
     out = materialise(known.select("id", "digest").join(named, "digest").where("id <> near_id").groupBy("id").agg(F.min("near_id").alias("near_id")))
-    discard(known, classes, members, met, parts)
+    discard(told, classes, members, met, parts)
+    release(out)
     return out
 
 
