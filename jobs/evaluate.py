@@ -58,13 +58,13 @@ def indexed(documents: DataFrame, path: str, window: int, step: int) -> retrieva
         cut = chunks_of(documents, Windows(window, step)).select(F.struct("doc_id", F.col("chunk_id").alias("part")).alias("key"), "text")
     else:
         cut = documents.select(F.struct("doc_id", F.lit("").alias("part")).alias("key"), "text")
-    return retrieval.write_index(cut, path, key="key")
+    return retrieval.write_index(cut, path, key="key", blocks=False)
 
 
 def ranked_documents(questions: DataFrame, held: retrieval.Index, depth: int) -> DataFrame:
     """``query_id``, ``doc``, ``score`` (of the document's best window), ``rank``."""
-    scores = retrieval.bm25_scores(questions, held, "item_id")
-    best = scores.groupBy("query_id", F.col("doc.doc_id").alias("doc")).agg(F.max("score").alias("score"))
+    scores = retrieval.bm25_scores(questions, held, "item_id", group=F.col("doc.doc_id"))
+    best = scores.groupBy("query_id", "group").agg(F.max("score").alias("score")).withColumnRenamed("group", "doc")
     return retrieval.ranked(best, [F.round("score", 9).desc(), F.col("doc")]).where(F.col("rank") <= depth)
 
 

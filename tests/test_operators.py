@@ -575,6 +575,23 @@ def test_blocks_give_what_all_postings_give(spark, tmp_path, monkeypatch):
     assert told[0][0] < told[0][1] / 2 and told[1][0] < told[1][1] / 2 and told.keys() == {0, 1, 2, 6}
 
 
+def test_scores_move_by_document(spark, tmp_path):
+    """Postings are dealt out by document before queries meet them; pairs of both are never shuffled, with or without a restriction."""
+    docs = spark.createDataFrame([(i, f"the w{i % 7} of w{i % 5}") for i in range(300)], "doc_id long, text string")
+    q = spark.createDataFrame([(i, f"the w{i} of w{i + 1}") for i in range(6)], "query_id long, text string")
+    held = retrieval.write_index(docs, str(tmp_path / "index"), blocks=False)
+    assert held.blocks is None and not (tmp_path / "index/blocks").exists()
+    pairs = q.select("query_id").crossJoin(docs.select(F.col("doc_id").alias("doc"))).where("doc % 5 = query_id % 5")
+    shown = lambda rows: sorted((r.query_id, r["rank"], r.doc, round(r.score, 9)) for r in rows.collect())
+    for allowed in (None, pairs, pairs.select("doc").distinct()):
+        found = retrieval.bm25(q, held, 5, allowed=allowed)
+        moved = [x for x in plan(found).split("== Initial")[0].splitlines() if "Arguments: hashpartitioning(query_id" in x]
+        assert len(moved) <= 1  # the best of each task only
+        scores = retrieval.bm25_scores(q, held)
+        kept = scores if allowed is None else scores.join(allowed, [c for c in ("query_id", "doc") if c in allowed.columns], "left_semi")
+        assert shown(found) == shown(retrieval.ranked(kept, [F.round("score", 9).desc(), F.col("doc")]).where("rank <= 5"))
+
+
 def test_negative_weights_stay_exact(spark, tmp_path):
     """Most words are in most documents, so the mean weight, which replaces negative ones, is negative."""
     docs = spark.createDataFrame([(i, "a b c" if i else "a b c d") for i in range(9)], "doc_id long, text string")
