@@ -20,6 +20,10 @@ from tesserae.sources import files
 _REPORTED = re.compile(r"reported (\w+) of (-?\d+(?:\.\d+)?(?:[eE]-?\d+)?)(%?)")
 
 
+#: Papers whose results a task holds at once.
+AT_ONCE = 64
+
+
 def extract_standin(text: str) -> dict:
     """A rule-based stand-in for a model: sentences like 'reported x of 1.5%' as metrics. Not comparable with a model."""
     metrics = [
@@ -36,18 +40,19 @@ def extracted(sources: DataFrame, extractor: Callable[[str], dict], tries: int =
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spent = None
         for pdf in frames:
-            rows = []
-            for paper, text in zip(pdf["paper_id"], pdf["source"], strict=True):
-                made, error = None, spent
-                if not spent:
-                    try:
-                        made = with_retries(lambda: extractor(text or ""), tries, sleep=sleep)  # noqa: B023
-                    except DayQuota as e:
-                        error = spent = f"DayQuota: {e}"
-                    except Exception as e:  # noqa: BLE001 - one paper's failure is a row
-                        error = f"{type(e).__name__}: {e.__cause__ or e}"
-                rows.append((paper, made, error, spent is not None))
-            yield pd.DataFrame(rows, columns=["paper_id", "extraction", "error", "stop"])
+            for at in range(0, len(pdf), AT_ONCE):
+                part, rows = pdf.iloc[at : at + AT_ONCE], []
+                for paper, text in zip(part["paper_id"], part["source"], strict=True):
+                    made, error = None, spent
+                    if not spent:
+                        try:
+                            made = with_retries(lambda: extractor(text or ""), tries, sleep=sleep)  # noqa: B023
+                        except DayQuota as e:
+                            error = spent = f"DayQuota: {e}"
+                        except Exception as e:  # noqa: BLE001 - one paper's failure is a row
+                            error = f"{type(e).__name__}: {e.__cause__ or e}"
+                    rows.append((paper, made, error, spent is not None))
+                yield pd.DataFrame(rows, columns=["paper_id", "extraction", "error", "stop"])
 
     return sources.select("paper_id", "source").mapInPandas(run, f"paper_id string, extraction {EXTRACTION}, error string, stop boolean")
 

@@ -458,7 +458,7 @@ def test_extraction_keeps_failures_apart_and_stops(spark, tmp_path):
     def extractor(text):
         if "broken" in text:
             raise ValueError("no model can read this")
-        return extract.extract_standin(text)
+        return extraction.extract_standin(text)
 
     rows = {r.paper_id: r for r in extract.process_papers(papers, extractor, tags, "m", "now", sleep=lambda s: None).collect()}
     assert rows["a"].extraction.performance_metrics[0].value == 250 and rows["a"].extraction_meta.validation_flags == [] and rows["a"].extraction_meta.curation_signal_type == ["momentum"]
@@ -656,6 +656,39 @@ def test_questions_of_a_class_meet_records_once(spark):
     assert {(r.query_id, r.total_matches) for r in answer.structured_questions(held, odd, limit=1).collect()} == {(2, n)}
 
 
+def test_results_of_extraction_leave_a_task_in_parts(spark):
+    """However many papers a batch has, few results are held at once, and a spent day holds for the rest of the task."""
+    from tesserae.operators import answer
+    from tesserae.operators import extract as extraction
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(text):
+        asked.add(1)
+        if text == "last":
+            raise answer.DayQuota("spent")
+        return extraction.extract_standin(text)
+
+    rows = spark.range(0, 300, 1, 1).selectExpr("cast(id as string) as paper_id", "if(id = 200, 'last', 'reported click of 1.5%') as source")
+    got = {int(r.paper_id): (r.error is None, r.stop) for r in extraction.extracted(rows, model, 1).collect()}
+    assert asked.value == 201 and got == {i: (i < 200, i >= 200) for i in range(300)}
+    sent = []
+    import pandas as pd
+
+    def frames():
+        yield pd.DataFrame({"paper_id": [str(i) for i in range(300)], "source": ["x"] * 300})
+
+    class Rows:  # what Spark does with the function, in this process
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            sent.extend(len(x) for x in run(frames()))
+
+    extraction.extracted(Rows(), extraction.extract_standin)
+    assert sum(sent) == 300 and max(sent) <= extraction.AT_ONCE
+
+
 def test_rerank_by_a_model(spark):
     docs = spark.createDataFrame([(i, "x" * i) for i in range(40)] + [(99, None)], "doc_id long, text string")
     q = spark.createDataFrame([(1, "up"), (2, "down"), (3, None), (4, "odd")], "query_id long, text string")
