@@ -18,6 +18,8 @@ from tesserae.functions.text import EXCLUDED_SECTIONS, count_words, hard_split,
 
 MOST, OVERLAP, LEAST, TABLE_MOST = 800, 90, 10, 4000
 WINDOW, STEP = 650, 560
+#: Rows whose sizes and ranges Python holds at once.
+AT_ONCE = 256
 Count = Callable[[Column], Column]
 
 
@@ -72,13 +74,15 @@ def pack_rows(sizes: list[int], budget: int) -> list[tuple[int, int]]:
 
 
 def _ranges(rows: DataFrame, sizes: str, fn: Callable[[list[int], dict], list[tuple[int, int]]], *needed: str) -> DataFrame:
-    """Adds ``ranges``: what ``fn`` makes of each row's array of sizes."""
+    """Adds ``ranges``: what ``fn`` makes of each row's array of sizes, of ``AT_ONCE`` rows at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            others = [b.column(c).to_pylist() for c in needed]
-            made = [[{"a": x, "b": y} for x, y in fn(s or [], *values)] for s, *values in zip(b.column(sizes).to_pylist(), *others, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, kind)], [*b.schema.names, "ranges"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(at, AT_ONCE)
+                others = [b.column(c).to_pylist() for c in needed]
+                made = [[{"a": x, "b": y} for x, y in fn(s or [], *values)] for s, *values in zip(b.column(sizes).to_pylist(), *others, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, kind)], [*b.schema.names, "ranges"])
 
     kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
