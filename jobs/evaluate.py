@@ -8,7 +8,8 @@ by their best window. A document is right for a question if it holds the questio
 - ``rankings``: the first ``depth`` documents of each question, by configuration and language of the document;
 - ``scores``: hit rates, mean reciprocal rank and recall by configuration;
 - ``report``: the same as CSV and Markdown, for people;
-- ``index``: the lexical index of each configuration, to search with; ``whole`` is that of whole documents.
+- ``index``: the lexical index of each configuration, to search with; ``whole`` is that of whole documents. Beside it stands
+  what it was ``made`` of: a rerun over the same files reads the index that is there.
 
 A rerun writes over what belongs to the configurations it was asked for and leaves those of others; the report tells of all.
 Rows without identifier are left out; of unlike rows with one identifier the largest counts.
@@ -16,6 +17,7 @@ Rows without identifier are left out; of unlike rows with one identifier the lar
 
 from __future__ import annotations
 
+import json
 import logging
 import re
 from dataclasses import dataclass, field
@@ -27,7 +29,7 @@ from jobs.common import main, stored
 from jobs.ingest import NO_LANG, Settings as Windows, chunks_of
 from tesserae.operators import evaluate as metrics
 from tesserae.operators import retrieval
-from tesserae.sources import files
+from tesserae.sources import catalog, files
 
 log = logging.getLogger("jobs.evaluate")
 
@@ -52,19 +54,28 @@ def one_each(rows: DataFrame, key: str) -> DataFrame:
     return named.groupBy(key).agg(F.max(F.struct("text", *(c for c in others if c != "text"))).alias("r")).select(key, *(F.col(f"r.{c}") for c in others))
 
 
-def indexed(documents: DataFrame, path: str, window: int, step: int) -> retrieval.Index:
-    """The index of windows, or of whole documents, written to ``path``. Its keys are (``doc_id``, ``part``)."""
+def indexed(documents: DataFrame, path: str, window: int, step: int, state: str = "") -> retrieval.Index:
+    """The index of windows, or of whole documents, written to ``path``. Its keys are (``doc_id``, ``part``). One that was
+    made of the same ``state`` (files of the documents, empty: not known) in the same way is read instead."""
+    spark = documents.sparkSession
+    mark = json.dumps([state, window, step])
+    if state and [r[0] for r in stored(spark, f"{path}/made", "state string").collect()] == [mark]:
+        log.info("%s stands: made of the same files", path)
+        return retrieval.read_index(spark, path, blocks=False)
+    told = lambda x: spark.range(1).select(F.lit(x).alias("state")).write.mode("overwrite").parquet(f"{path}/made")
+    told("")  # until all of it is written
     if window:
         cut = chunks_of(documents, Windows(window, step)).select(F.struct("doc_id", F.col("chunk_id").alias("part")).alias("key"), "text")
     else:
         cut = documents.select(F.struct("doc_id", F.lit("").alias("part")).alias("key"), "text")
-    return retrieval.write_index(cut, path, key="key", blocks=False)
+    held = retrieval.write_index(cut, path, key="key", blocks=False)
+    told(mark)
+    return held
 
 
 def ranked_documents(questions: DataFrame, held: retrieval.Index, depth: int) -> DataFrame:
     """``query_id``, ``doc``, ``score`` (of the document's best window), ``rank``."""
-    scores = retrieval.bm25_scores(questions, held, "item_id", group=F.col("doc.doc_id"))
-    best = scores.groupBy("query_id", "group").agg(F.max("score").alias("score")).withColumnRenamed("group", "doc")
+    best = retrieval.bm25_best(questions, held, depth, "item_id", group=F.col("doc.doc_id"))
     return retrieval.ranked(best, [F.round("score", 9).desc(), F.col("doc")]).where(F.col("rank") <= depth)
 
 
@@ -82,14 +93,15 @@ def evaluate(spark: SparkSession, documents: str, questions: str, output: str, s
     asked = one_each(spark.read.parquet(questions).select("item_id", "text"), "item_id")
     log.info("read %d documents of %s, %d questions of %s", docs.count(), documents, asked.count(), questions)
     # what is right is a matter of whole documents, whatever the configurations
-    whole = indexed(docs, f"{output}/whole", 0, 0)
+    state = json.dumps([documents, *catalog.table_state(spark, documents)])
+    whole = indexed(docs, f"{output}/whole", 0, 0, state)
     gold_of(asked, docs, whole).write.mode("overwrite").parquet(f"{output}/gold")
     gold = spark.read.schema("query_id long, doc long").parquet(f"{output}/gold")
     right = gold.withColumn("is_right", F.lit(True))
     langs = docs.select(F.col("doc_id").alias("doc"), "lang")
     for config in settings.configs:
         name = config["name"]
-        held = indexed(docs, f"{output}/index/config={name}", config["window"], config["step"]) if config["window"] else whole
+        held = indexed(docs, f"{output}/index/config={name}", config["window"], config["step"], state) if config["window"] else whole
         found = ranked_documents(asked, held, settings.depth).join(right, ["query_id", "doc"], "left").join(langs, "doc", "left")
         rows = found.select("query_id", "doc", "lang", "score", "rank", F.coalesce("is_right", F.lit(False)).alias("is_right"), F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit(NO_LANG)).alias("part_lang"))
         rows.repartition("part_lang").write.mode("overwrite").partitionBy("part_lang").parquet(f"{output}/rankings/config={name}")

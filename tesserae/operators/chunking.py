@@ -192,10 +192,14 @@ def paged_tokens(papers: DataFrame, tokens: Callable[[Column], Column] = words)
 
 def fixed_chunks(papers: DataFrame, window: int = WINDOW, step: int = STEP, tokens: Callable[[Column], Column] = words) -> DataFrame:
     """Chunks of ``window`` tokens, ``step`` apart (schema ``CHUNKS``)."""
-    flat = paged_tokens(papers, tokens)
-    parts = flat.select("paper_id", "title", F.posexplode(let(F.col("tokens"), lambda t: F.transform(windows(F.size(t), window, step), lambda i: F.slice(t, i + 1, window)))).alias("k", "w"))
-    page = F.transform("w", lambda x: x["page"])
-    out = parts.select(F.format_string("%s::fixed::chunk%d", "paper_id", "k").alias("chunk_id"), "paper_id", "title", F.lit("N/A (fixed-size chunk)").alias("section_title"), F.lit("text").alias("chunk_type"), F.array_min(page).alias("page_start"), F.array_max(page).alias("page_end"), F.size("w").alias("token_count"), F.array_join(F.transform("w", lambda x: x["t"]), " ").alias("text"))
+    pages = F.transform("pages", lambda p: F.struct(tokens(F.coalesce(p["text"], F.lit(""))).alias("t"), p["page_number"].alias("page")))
+    flat = papers.select("paper_id", "title", pages.alias("_p"))
+    # tokens and their pages lie side by side; nothing is computed for single tokens
+    flat = flat.select("paper_id", "title", F.flatten("_p.t").alias("_t"), F.flatten(F.transform("_p", lambda p: F.array_repeat(p["page"], F.size(p["t"])))).alias("_g"))
+    part = lambda c, i: F.slice(c, i + 1, F.lit(window))
+    made = lambda i: F.struct(F.array_min(part("_g", i)).alias("a"), F.array_max(part("_g", i)).alias("b"), F.size(part("_t", i)).alias("n"), F.array_join(part("_t", i), " ").alias("text"))
+    parts = flat.select("paper_id", "title", F.posexplode(F.transform(windows(F.size("_t"), window, step), made)).alias("k", "w"))
+    out = parts.select(F.format_string("%s::fixed::chunk%d", "paper_id", "k").alias("chunk_id"), "paper_id", "title", F.lit("N/A (fixed-size chunk)").alias("section_title"), F.lit("text").alias("chunk_type"), F.col("w.a").alias("page_start"), F.col("w.b").alias("page_end"), F.col("w.n").alias("token_count"), "w.text")
     return out
 
 

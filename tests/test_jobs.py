@@ -144,6 +144,41 @@ def test_evaluation_reruns_and_keeps_other_configurations(spark, tmp_path):
     assert sorted(r.config for r in spark.read.option("header", True).csv(f"{out}/report/csv").collect()) == ["w5", "whole"]
 
 
+def test_a_rerun_reads_the_index_that_stands(spark, tmp_path):
+    """Until the files, or the windows, are others; one that broke off is made anew."""
+    docs, asked, out = (str(tmp_path / x) for x in ("docs", "asked", "out"))
+    put(spark, TEXTS, docs)
+    spark.createDataFrame(ASKED, "item_id long, text string").write.parquet(asked)
+    made = lambda name: sorted(spark.read.parquet(f"{out}/{name}/postings").inputFiles())
+    names = ("whole", "index/config=w5")
+    evaluate.evaluate(spark, docs, asked, out, TWO)
+    first = [made(n) for n in names]
+    evaluate.evaluate(spark, docs, asked, out, TWO)
+    assert [made(n) for n in names] == first
+    evaluate.evaluate(spark, docs, asked, out, evaluate.Settings([TWO.configs[0], {"name": "w5", "window": 4, "step": 3}], 3))
+    assert made(names[0]) == first[0] and made(names[1]) != first[1]
+    put(spark, [(8, "the quick brown fox again", "en", "s", 1)], docs)
+    evaluate.evaluate(spark, docs, asked, out, TWO)
+    assert made(names[0]) != first[0]
+    assert {r.doc for r in common.stored(spark, f"{out}/rankings", evaluate.RANKINGS).where("is_right and query_id = 1").collect()} == {1, 8}
+
+
+def test_an_index_that_broke_off_is_made_anew(spark, tmp_path, monkeypatch):
+    docs, path = spark.createDataFrame(TEXTS, SCHEMA).where("doc_id is not null"), str(tmp_path / "index")
+    write = evaluate.retrieval.write_index
+
+    def broken(cut, *args, **kw):
+        write(cut.limit(1), *args, **kw)
+        raise ZeroDivisionError
+
+    evaluate.indexed(docs, path, 0, 0, "one")
+    monkeypatch.setattr(evaluate.retrieval, "write_index", broken)
+    with pytest.raises(ZeroDivisionError):
+        evaluate.indexed(docs, path, 0, 0, "two")
+    monkeypatch.setattr(evaluate.retrieval, "write_index", write)
+    assert evaluate.indexed(docs, path, 0, 0, "one").n_docs == docs.count()
+
+
 def test_names_that_no_folder_can_have(spark):
     with pytest.raises(ValueError, match="folders"):
         evaluate.evaluate(spark, "x", "y", "z", evaluate.Settings([{"name": "a/b", "window": 0, "step": 0}]))

@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -592,6 +593,81 @@ def test_scores_move_by_document(spark, tmp_path):
         assert shown(found) == shown(retrieval.ranked(kept, [F.round("score", 9).desc(), F.col("doc")]).where("rank <= 5"))
 
 
+def test_best_of_parts_are_the_best_of_all(spark, monkeypatch):
+    """Ties, names as identifiers, none at all, repeated identifiers, more queries than a block; groups count by their best."""
+    monkeypatch.setattr(retrieval, "SCORED", 16)
+    monkeypatch.setattr(retrieval, "ASKING", 3)
+    rows = [(f"d{i % 90}" if i else None, f"the w{i % 7} of w{i % 5} " + "x " * (i % 3)) for i in range(100)] + [("e", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    q = spark.createDataFrame([(i, f"the w{i} w{i} of w{i + 1}") for i in range(8)] + [(8, ""), (9, "nowhere")], "query_id long, text string")
+    held = retrieval.index(docs)
+    shown = lambda rows: sorted(((r.query_id, r["rank"], r.doc, round(r.score, 9)) for r in rows.collect()), key=repr)
+    top = lambda scores, k: retrieval.ranked(scores, [F.round("score", 9).desc(), F.col("doc")]).where(F.col("rank") <= k)
+    for k in (1, 7, 500):
+        found = retrieval.bm25(q, held, k)
+        assert shown(found) == shown(top(retrieval.bm25_scores(q, held), k))
+    assert "FlatMapCoGroupsInArrow" in plan(found)  # no row for a pair of posting and query
+    group = F.substring("doc", 1, 2)
+    best = retrieval.bm25_scores(q, held, group=group).groupBy("query_id", F.col("group").alias("doc")).agg(F.max("score").alias("score"))
+    assert shown(top(retrieval.bm25_best(q, held, 4, group=group), 4)) == shown(top(best, 4))
+
+
+def _counting(spark, rows, kind):
+    """``rows``, and how many of them were made so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return spark.createDataFrame(rows, kind).mapInArrow(count, kind), made
+
+
+def test_an_index_is_made_in_one_pass(spark, tmp_path):
+    docs, made = _counting(spark, [(1, "a b a"), (2, None), (3, ""), (4, "c")], "doc_id long, text string")
+    held = retrieval.write_index(docs, str(tmp_path / "index"), blocks=False)
+    assert (made.value, held.n_docs, held.mean_length) == (4, 4, 1.0)
+    none = retrieval.write_index(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "none"), blocks=False)
+    assert (none.n_docs, none.mean_length, none.postings.count()) == (0, 0.0, 0)
+
+
+def test_counted_tokens_are_the_tokens(spark):
+    """Texts that end and begin inside a token, letters that only become ASCII in lower case."""
+    texts = ["ab", "cd", "\u0130x \u212a2 Ab-ab ab", None, "", " ", "\u65e5\u672c \u00e9 e 1", "tail", "-head-"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    brute = docs.select("doc_id", F.posexplode(T.tokens(F.col("text"))).alias("i", "term")).groupBy("doc_id", "term").agg(F.count("i").alias("tf")).join(docs.select("doc_id", F.size(T.tokens(F.col("text"))).alias("dl")), "doc_id")
+    assert sorted(tuple(r) for r in retrieval.postings(docs).collect()) == sorted((r.doc_id, r.term, r.tf, r.dl) for r in brute.collect())
+    parts = list(retrieval._counted([pa.record_batch({"doc": list(range(5)), "text": ["ab ab", "", "a" * retrieval.COUNTED, "b", "a b"]})]))
+    assert len(parts) == 2 and [(r["doc"], len(r["term"]), r["tf"], r["dl"]) for p in parts for r in p.to_pylist()] == [(0, 2, 2, 2), (2, retrieval.COUNTED, 1, 1), (3, 1, 1, 1), (4, 1, 1, 2), (4, 1, 1, 2)]
+
+
+def test_reranked_results_are_made_once(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "d")], "doc_id long, text string")
+    q = spark.createDataFrame([(0, "b c")], "query_id long, text string")
+    for run in (lambda found: retrieval.rerank_standin(q, found, docs, 2), lambda found: retrieval.rerank(q, found, docs, lambda: lambda pairs: [len(set(a.split()) & set(b.split())) for a, b in pairs], 2)):
+        found, made = _counting(spark, [(0, 1, 1.0, 1), (0, 2, 0.5, 2)], "query_id long, doc long, score double, rank int")
+        assert [(r.doc, r["rank"]) for r in run(found).orderBy("rank").collect()] == [(2, 1), (1, 2)]
+        assert made.value == 2
+
+
+def test_fixed_chunks_of_odd_pages(spark):
+    """Pages out of order, without number or text; against loops."""
+    pages = [(3, "a b c"), (1, "d"), (None, "e f"), (2, None), (7, "g h i j")]
+    papers = spark.createDataFrame([("p", "t", pages), ("q", "t", []), ("r", "t", None)], "paper_id string, title string, pages array<struct<page_number:int,text:string>>")
+    flat = [(w, n) for n, text in pages for w in (text or "").split()]
+    expected = []
+    for k, at in enumerate(range(0, 10, 3)):
+        part = flat[at : at + 4]
+        numbers = [n for _, n in part if n is not None]
+        expected.append((f"p::fixed::chunk{k}", min(numbers), max(numbers), len(part), " ".join(w for w, _ in part)))
+        if at + 4 >= len(flat):
+            break
+    found = chunking.fixed_chunks(papers, 4, 3)
+    assert sorted(tuple(r) for r in found.select("chunk_id", "page_start", "page_end", "token_count", "text").collect()) == expected
+    assert "named_struct(t" not in plan(found)  # nothing is made for single tokens
+
+
 def test_negative_weights_stay_exact(spark, tmp_path):
     """Most words are in most documents, so the mean weight, which replaces negative ones, is negative."""
     docs = spark.createDataFrame([(i, "a b c" if i else "a b c d") for i in range(9)], "doc_id long, text string")
