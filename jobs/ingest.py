@@ -72,8 +72,8 @@ def chunks_of(documents: DataFrame, settings: Settings) -> DataFrame:
 
 
 def terms_of(chunks: DataFrame) -> DataFrame:
-    held = retrieval.postings(chunks.withColumn("key", F.struct("chunk_id", "lang")), key="key")
-    return held.groupBy(F.col("doc.lang").alias("lang"), "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    held = retrieval.postings(chunks, key="lang")  # a row is a chunk
+    return held.groupBy(F.col("doc").alias("lang"), "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 def _writer(output: str, settings: Settings) -> Callable[[DataFrame, int], None]:
