@@ -163,6 +163,31 @@ def test_a_rerun_reads_the_index_that_stands(spark, tmp_path):
     assert {r.doc for r in common.stored(spark, f"{out}/rankings", evaluate.RANKINGS).where("is_right and query_id = 1").collect()} == {1, 8}
 
 
+def test_a_rerun_leaves_what_stands(spark, tmp_path, monkeypatch):
+    """Rankings and scores of the same files, settings and questions; what broke off, or is of others, is made anew."""
+    docs, asked, out = (str(tmp_path / x) for x in ("docs", "asked", "out"))
+    put(spark, TEXTS, docs)
+    spark.createDataFrame(ASKED, "item_id long, text string").write.parquet(asked)
+    ranks = lambda name: sorted(spark.read.parquet(f"{out}/rankings/config={name}").inputFiles())
+    evaluate.evaluate(spark, docs, asked, out, TWO)
+    first = [ranks(c["name"]) for c in TWO.configs]
+    evaluate.evaluate(spark, docs, asked, out, TWO)
+    assert [ranks(c["name"]) for c in TWO.configs] == first
+    evaluate.evaluate(spark, docs, asked, out, evaluate.Settings([TWO.configs[0], {"name": "w5", "window": 4, "step": 3}], 3))
+    assert ranks("whole") == first[0] and ranks("w5") != first[1]
+    monkeypatch.setattr(evaluate.metrics, "summary", lambda rows: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        evaluate.evaluate(spark, docs, asked, out, evaluate.Settings(TWO.configs[:1], 2))
+    monkeypatch.undo()
+    evaluate.evaluate(spark, docs, asked, out, TWO)
+    assert ranks("whole") != first[0] and max(r["rank"] for r in common.stored(spark, f"{out}/rankings", evaluate.RANKINGS).collect()) <= 3
+    spark.createDataFrame([(9, "a b c")], "item_id long, text string").write.mode("append").parquet(asked)
+    evaluate.evaluate(spark, docs, asked, out, TWO)
+    rows = common.stored(spark, f"{out}/rankings", evaluate.RANKINGS).where("query_id = 9").collect()
+    assert {(r.config, r.doc) for r in rows if r.is_right} == {("whole", 5), ("w5", 5)}
+    assert {r.n_queries for r in common.stored(spark, f"{out}/scores", evaluate.SCORES).collect()} == {5}
+
+
 def test_an_index_that_broke_off_is_made_anew(spark, tmp_path, monkeypatch):
     docs, path = spark.createDataFrame(TEXTS, SCHEMA).where("doc_id is not null"), str(tmp_path / "index")
     write = evaluate.retrieval.write_index

@@ -642,6 +642,60 @@ def test_counted_tokens_are_the_tokens(spark):
     assert len(parts) == 2 and [(r["doc"], len(r["term"]), r["tf"], r["dl"]) for p in parts for r in p.to_pylist()] == [(0, 2, 2, 2), (2, retrieval.COUNTED, 1, 1), (3, 1, 1, 1), (4, 1, 1, 2), (4, 1, 1, 2)]
 
 
+def test_packed_postings_are_the_postings(spark, tmp_path, monkeypatch):
+    """Whole documents and windows against chunks made by Spark; white space of all kinds, words without tokens or of several."""
+    from jobs import ingest
+
+    monkeypatch.setattr(retrieval, "PACKED", 40)
+    monkeypatch.setattr(retrieval, "DOCS", 3)
+    texts = ["a b c d e f g h", "  a,b c\t\nd-d \x0b e\x0cf\r\n g ", None, "", " \n ", "... --- a ...", "\u0130x \u212a2 Ab\u00a0c \u65e5 d e f g", "a " * 30, "b"]
+    docs = spark.createDataFrame([(9 - i, x, "en") for i, x in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1)
+    for window, step in ((0, 0), (4, 3), (3, 1), (2, 5)):
+        held = retrieval.write_index(docs, str(tmp_path / f"{window}"), blocks=False, windows=(window, step))
+        cut = ingest.chunks_of(docs, ingest.Settings(window, step)).selectExpr("struct(doc_id, chunk_id AS part) AS key", "text") if window else docs.selectExpr("struct(doc_id, '' AS part) AS key", "text")
+        plain = retrieval.index(cut, "key")
+        rows = lambda t: sorted(map(repr, t.collect()))
+        assert rows(held.postings) == rows(plain.postings) and held.n_docs == plain.n_docs and held.mean_length == pytest.approx(plain.mean_length)
+        assert {r.term: (r.df, round(r.idf, 9)) for r in held.terms.collect()} == {r.term: (r.df, round(r.idf, 9)) for r in plain.terms.collect()}
+        assert held.packed.count() > 2
+    none = retrieval.write_index(docs.limit(0), str(tmp_path / "none"), blocks=False, windows=(4, 3))
+    assert (none.n_docs, none.mean_length, none.postings.count(), none.terms.count()) == (0, 0.0, 0, 0)
+
+
+def test_packed_postings_rank_as_all_do(spark, tmp_path, monkeypatch):
+    """Ties, repeated query words, more queries than a block, rows in several parts; terms as products and one by one."""
+    monkeypatch.setattr(retrieval, "ASKING", 3)
+    monkeypatch.setattr(retrieval, "PACKED", 400)
+    rows = [(i, f"the w{i % 7} of w{i % 5} " + "x y " * (i % 9)) for i in range(100)] + [(200, None), (201, "the w1 of w2 w1 of w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    q = spark.createDataFrame([(i, f"the w{i} w{i} of w{i + 1}") for i in range(8)] + [(8, ""), (9, "nowhere"), (10, "w1 of w2"), (11, None), (12, "w1 nowhere")], "query_id long, text string")
+    shown = lambda rows: sorted((r.query_id, r["rank"], r.doc, round(r.score, 9)) for r in rows.collect())
+    top = lambda scores, k: retrieval.ranked(scores, [F.round("score", 9).desc(), F.col("doc")]).where(F.col("rank") <= k)
+    for window, step in ((0, 0), (4, 3)):
+        held = retrieval.write_index(docs, str(tmp_path / f"{window}"), blocks=False, windows=(window, step))
+        group = F.col("doc.doc_id")
+        best = retrieval.bm25_scores(q, held, group=group).groupBy("query_id", F.col("group").alias("doc")).agg(F.max("score").alias("score"))
+        for k, dense, cells, pairs in ((1, 0, 1 << 21, 1 << 22), (7, 1 / 4, 1 << 5, 4), (500, 2, 1 << 21, 4)):
+            for name, value in (("DENSE", dense), ("CELLS", cells), ("PAIRS", pairs)):
+                monkeypatch.setattr(retrieval, name, value)
+            found = retrieval.best_documents(q, held, k)
+            assert shown(top(found, k)) == shown(top(best, k))
+        # postings stay where they lie; best scores move
+        moved = [x for x in plan(found).split("== Initial")[0].splitlines() if "Arguments: hashpartitioning(" in x]
+        assert not any(f"hashpartitioning({c}" in x for x in moved for c in ("part", "term", "doc")) and "FlatMapCoGroupsInArrow" not in plan(found)
+
+
+def test_holders_by_packed_postings(spark, tmp_path):
+    """The same as by all postings; texts are only made ready for a search where a document has all words."""
+    docs = spark.createDataFrame([(1, "x, B a! c"), (2, "a. b b a"), (3, "ba a"), (4, None), (5, "b"), (6, "a c b"), (7, "B... A")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "b a"), (2, "a b"), (3, "..."), (4, None), (5, "a nowhere"), (6, "b"), (7, "a a")], "query_id long, text string")
+    held = retrieval.write_index(docs, str(tmp_path / "index"), blocks=False, windows=(0, 0))
+    found = retrieval.holders(q, docs, held)
+    want = sorted(tuple(r) for r in retrieval.holders(q, docs, retrieval.index(docs)).collect())
+    assert sorted(tuple(r) for r in found.collect()) == want and (1, 2) in want and (1, 7) in want
+    assert plan(retrieval.holders(q, docs, held)).lower().count("isnotnull(concat(") == 1  # of the passages alone
+
+
 def test_reranked_results_are_made_once(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "d")], "doc_id long, text string")
     q = spark.createDataFrame([(0, "b c")], "query_id long, text string")
